@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import quality, simhash
+from . import bpe, mixing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
         "op1_quality_divergence": quality.op1_quality_divergence,
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+        "op3_pfair_mixing": mixing.op3_pfair_mixing,
+        "op4_bpe_encoding": bpe.op4_bpe_encoding,
+        "op6_feistel_sharding": sharding.op6_feistel_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_feistel_sharding": sharding.OP6_SQL}
