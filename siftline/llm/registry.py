@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, mixing, quality, sharding, simhash
+from . import bpe, mixing, privacy, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op3_pfair_mixing": mixing.op3_pfair_mixing,
         "op4_bpe_encoding": bpe.op4_bpe_encoding,
         "op6_feistel_sharding": sharding.op6_feistel_sharding,
+        "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
     }
 
 
