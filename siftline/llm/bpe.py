@@ -213,5 +213,14 @@ def digested(rows: DataFrame, keys: list[str]) -> DataFrame:
     return coded(rows, keys, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ids and the digests of every row."""
+    import public_tokenizers
+
+    finish = lambda n, ids, data: (*digest(n, ids, data), list(map(int, ids.split())))
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    return coded(rows, keys, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish, schema)
+
+
 def op4_bpe_encoding(spark, sf_dir: str) -> DataFrame:
     return digested(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"])

@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -89,6 +89,21 @@ def _first_empty_slot(dealt: DataFrame, source: str, shares: dict, frame: int, b
     return min(((n := counts.get(s, 0) // block_rows) // a * frame + at[s, n % a] for s, a in shares.items()), default=0)
 
 
+def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
+    """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots.
+
+    Numbers are given to ids and digests, not to whole rows; full copies are told apart by a counter.
+    """
+    copies = Window.partitionBy("doc_id", "source", "_own").orderBy(F.lit(0))
+    counted = rows.withColumn("_own", F.md5(F.coalesce(F.col("text"), F.lit("")))).withColumn("_copy", F.row_number().over(copies))
+    light = rows.select("doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_own")).withColumn("_copy", F.row_number().over(copies))
+    slots = mixed(light, "doc_id", "source", tempered_weights(rows, "source", power), ["_own", "_copy"]).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_own").alias("_digest"), F.col("_copy").alias("_k"), "slot", "place"
+    )
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_own") == F.col("_digest")) & (F.col("_copy") == F.col("_k"))
+    return counted.join(slots, on).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*rows.columns)
+
+
 def op3_pfair_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, source, block, slot, place, balanced of every document; weights by row counts to the power 0.7."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -14,13 +14,15 @@ languages) only the base rules judge. Repeated rows are judged one by one; other
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DDL, map_rows
+from .common import DDL, map_rows, table
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -157,40 +159,54 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, tuple[np.
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nearest_lang string, class_excess double, word_excess double, kept boolean"
 
 
-def judged(documents: DataFrame, keys: list[str], rules: QualityRules | None = None) -> DataFrame:
-    """keys of every document with its counts, its distances as shares of their limits, and its verdict."""
-    rules = rules or QualityRules()
+def judge_of(documents: DataFrame, rules: QualityRules) -> Callable[[str | None], tuple]:
+    """A function from a text to the values of COLUMNS, by the references of documents."""
     refs = references(documents, rules)
     langs = list(refs)
     by_class = np.array([refs[k][0] for k in langs])
     by_word = np.array([refs[k][1] for k in langs])
 
-    def make():
-        def judge(text, *key):
-            text = text or ""
-            data = text.encode()
-            words = data.split()
-            counts = base_counts(text, data, words)
-            n, failed = counts[0], base_failed(counts[0], counts[4], rules)
-            if not langs or not words:
-                return (*key, *counts, failed, None, None, None, not failed)
-            classes, common = histograms(data, words)
-            d_class = js_distances(classes, by_class) / limit(rules.class_limit, n)
-            d_word = js_distances(common, by_word) / limit(rules.word_limit, n)
-            worst = np.maximum(d_class, d_word)
-            k = int(worst.argmin())
-            kept = not failed and (n < rules.min_words or bool(worst[k] <= 1))
-            return (*key, *counts, failed, langs[k], float(d_class[k]), float(d_word[k]), kept)
-
-        return judge
+    def judge(text: str | None) -> tuple:
+        text = text or ""
+        data = text.encode()
+        words = data.split()
+        counts = base_counts(text, data, words)
+        n, failed = counts[0], base_failed(counts[0], counts[4], rules)
+        if not langs or not words:
+            return (*counts, failed, None, None, None, not failed)
+        classes, common = histograms(data, words)
+        d_class = js_distances(classes, by_class) / limit(rules.class_limit, n)
+        d_word = js_distances(common, by_word) / limit(rules.word_limit, n)
+        worst = np.maximum(d_class, d_word)
+        k = int(worst.argmin())
+        kept = not failed and (n < rules.min_words or bool(worst[k] <= 1))
+        return (*counts, failed, langs[k], float(d_class[k]), float(d_word[k]), kept)
+
+    return judge
+
 
+def judged(documents: DataFrame, keys: list[str], rules: QualityRules | None = None) -> DataFrame:
+    """keys of every document with its counts, its distances as shares of their limits, and its verdict."""
+    rules = rules or QualityRules()
+    judge = judge_of(documents, rules)
+    make = lambda: lambda text, *key: (*key, *judge(text))
     picked = documents.select("text", *keys)
     kinds = dict(picked.dtypes)
     schema = ", ".join(f"{k} {kinds[k].replace('bigint', 'long')}" for k in keys)
     return map_rows(picked, make, f"{schema}, {COLUMNS}")
 
 
-def op1_quality_divergence(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+def passing(documents: DataFrame, rules: QualityRules | None = None) -> DataFrame:
+    """The documents that the rules keep, all columns as they are."""
+    judge = judge_of(documents, rules or QualityRules())
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py())[-1] for t in batch.column(at)], pa.bool_()))
 
+    return documents.mapInArrow(run, documents.schema)
+
+
+def op1_quality_divergence(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, mixing, privacy, quality, sharding, simhash
+from . import bpe, mixing, privacy, quality, sharding, simhash, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op4_bpe_encoding": bpe.op4_bpe_encoding,
         "op6_feistel_sharding": sharding.op6_feistel_sharding,
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
+        "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
     }
 
 

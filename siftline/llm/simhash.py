@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_rows, table
@@ -135,18 +135,39 @@ def near_links(distinct_prints: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(verified, "src long, dst long")
 
 
+def near_groups(prints: DataFrame) -> DataFrame:
+    """(fingerprint, root) of every distinct fingerprint in prints; root is the least fingerprint of its component."""
+    distinct_prints = prints.select("fingerprint").distinct()
+    roots = connected(near_links(distinct_prints)).withColumnRenamed("node", "fingerprint")
+    return distinct_prints.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of documents."""
     docs = checkpointed(fingerprints(documents))
-    prints = docs.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    roots = connected(near_links(prints.select("fingerprint")))
-    rooted = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = rooted.join(least, "root").select("fingerprint", "component_id")
+    least = docs.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
+    rooted = near_groups(docs).join(least, "fingerprint")
+    known = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fingerprint", "component_id")
     return docs.join(known, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they are: the least doc_id, then the least MD5 of the text."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    rows = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    docs = checkpointed(map_rows(rows, lambda: lambda text, doc_id, own: (doc_id, own, simhash(text)), "doc_id long, digest string, fingerprint long"))
+    # A null id comes after all others.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    of_print = docs.groupBy("fingerprint").agg(first.alias("first"))
+    kept = near_groups(docs).join(of_print, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    of_rows = documents.withColumn("_own", digest)
+    same = of_rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    # Full copies of the kept row have its id and text.
+    order = Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))
+    return same.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*documents.columns)
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
