@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, mixing, privacy, quality, sharding, simhash, wrappers
+from . import bpe, mixing, neighbours, privacy, quality, sharding, simhash, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_pfair_mixing": mixing.op3_pfair_mixing,
         "op4_bpe_encoding": bpe.op4_bpe_encoding,
+        "op5_hilbert_neighbours": neighbours.op5_hilbert_neighbours,
         "op6_feistel_sharding": sharding.op6_feistel_sharding,
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
         "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
