@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, licences, mixing, neighbours, privacy, quality, sharding, simhash, wrappers
+from . import bpe, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op4_bpe_encoding": bpe.op4_bpe_encoding,
         "op5_hilbert_neighbours": neighbours.op5_hilbert_neighbours,
         "op6_feistel_sharding": sharding.op6_feistel_sharding,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_licence_scan": licences.op8_licence_scan,
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
         "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
