@@ -34,7 +34,8 @@ def replace_postings(batch: DataFrame, table: str) -> None:
     if spark.catalog.tableExists(table):
         old = spark.table(table).join(changed.select("bucket").distinct(), "bucket", "left_semi").join(changed.select("page_id"), "page_id", "left_anti")
         new = checkpointed(new.unionByName(old.select(new.columns)))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # of the batch's own session
+        new.write.insertInto(table, overwrite=True)
     else:
         new.write.partitionBy("bucket").saveAsTable(table, format="parquet")
 
