@@ -43,6 +43,11 @@ def synonyms(values: Column, mapping: dict[str, str] = lexicon.SYNONYMS) -> Colu
     return F.transform(values, lambda x: F.coalesce(table[x], x))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Half up by plain arithmetic, which is alike in other engines."""
+    return F.floor(value * 10.0**places + 0.5) / 10.0**places
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 if either is empty."""
     union = F.size(F.array_union(a, b))

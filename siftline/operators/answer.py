@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from .retrieve import THRESHOLD
 
 FALLBACK = "No reliable information was found for this question. Please contact us directly."
@@ -58,4 +59,4 @@ def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, gene
 
 def preview(results: DataFrame, most: int = 5) -> DataFrame:
     """query_id, rank, chunk_id, section, score (4 decimals), preview (200 characters) of the first results."""
-    return results.where(F.col("rank") <= most).select("query_id", "rank", "chunk_id", "section", F.round("final_score", 4).alias("score"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("preview"))
+    return results.where(F.col("rank") <= most).select("query_id", "rank", "chunk_id", "section", rounded(F.col("final_score"), 4).alias("score"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("preview"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard
+from ..functions.text import jaccard, rounded
 from . import index
 
 K1, B = 1.2, 0.75
@@ -57,7 +57,7 @@ def scored(queries: DataFrame, own: Indexes) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = frequency.join(F.broadcast(statistics)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("term", "idf", "avgdl")
     per_term = hits.join(weighted, "term").join(length, "chunk_id").withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    found = wanted.join(per_term, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
+    found = wanted.join(per_term, "term").groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
     return found.join(own.chunks.select("chunk_id", "page_id"), "chunk_id")
 
 
@@ -142,7 +142,7 @@ def reranked(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> Da
     boost = boost * F.when(F.col("section_type").isin("requirements", "process", "pricing"), 1.5).otherwise(1.0)
     weight = F.when(F.coalesce("priority_score", F.lit(0.0)) == 0, 0.5).otherwise(F.col("priority_score"))
     share = overlap(F.col("query_keywords"), F.col("keywords"))
-    made = own.withColumn("overlap", share).withColumn("final_score", F.round(F.col("score") * (boost + share * 0.5) * (0.5 + weight), 6))
+    made = own.withColumn("overlap", share).withColumn("final_score", rounded(F.col("score") * (boost + share * 0.5) * (0.5 + weight), 6))
     return ranked(made, ["query_id"], [F.desc("final_score"), F.col("tier"), F.col("chunk_id")], "place")
 
 

@@ -240,10 +240,10 @@ register("postings_stem")(lambda spark, d: index.postings(C.document_chunks(tabl
 register("url_index_sql", f"""SELECT DISTINCT slug, page_id FROM (SELECT page_id, lower({q.host('url')}) AS h, unnest(list_append(string_split(lower(regexp_replace(url, '^https?://', '')), '/'), {q.slug('url')})) AS slug FROM pages) WHERE slug <> '' AND slug <> h""")(lambda spark, d: index.url_index_sql(table(spark, d, "pages")))
 
 
-@register("index_lookup", q.retrieval("SELECT w.keyword, k.chunk_id FROM (SELECT DISTINCT unnest(keywords) AS keyword FROM processed) w LEFT JOIN keyword_index k USING (keyword)"))
+@register("index_lookup", q.retrieval("SELECT w.keyword, coalesce(k.chunk_id, -1) AS chunk_id FROM (SELECT DISTINCT unnest(keywords) AS keyword FROM processed) w LEFT JOIN keyword_index k USING (keyword)"))
 def index_lookup(spark, d):
     wanted = C.processed_questions(spark, d).select(F.explode("keywords").alias("keyword")).distinct()
-    return index.lookup(C.document_indexes(spark, d).keyword, "keyword", wanted).select("keyword", "chunk_id")
+    return index.lookup(C.document_indexes(spark, d).keyword, "keyword", wanted).select("keyword", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
 
 
 @register("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -325,14 +325,14 @@ on_retrieval("bm25_topk", "SELECT query_id, chunk_id, score, rank FROM (SELECT *
 on_retrieval("keyword_supplement", "SELECT query_id, chunk_id FROM supplement", lambda x, i: retrieve.keyword_chunks(x, i))
 on_retrieval("like_search", """SELECT query_id, chunk_id, CAST(0.3 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS r FROM (
   SELECT query_id, chunk_id FROM processed p, chunks c WHERE len(p.keywords) > 0 AND len(list_filter(p.keywords[1:3], lambda k: contains(lower(c.text), k))) > 0)) WHERE r <= 25""", lambda x, i: retrieve.like_search(x, i.chunks))
-on_retrieval("rerank", "SELECT query_id, chunk_id, round(final_score, 4) AS final_score, tier, place FROM reranked", lambda x, i: retrieve.reranked(retrieve.gathered(x, i), x, i.chunks).select("query_id", "chunk_id", F.round("final_score", 4).alias("final_score"), "tier", "place"))
+on_retrieval("rerank", "SELECT query_id, chunk_id, final_score, tier, place FROM reranked", lambda x, i: retrieve.reranked(retrieve.gathered(x, i), x, i.chunks).select("query_id", "chunk_id", "final_score", "tier", "place"))
 on_retrieval("prefix_dedup", "SELECT query_id, chunk_id, place FROM deduped", lambda x, i: retrieve.deduplicated(retrieve.reranked(retrieve.gathered(x, i), x, i.chunks)).select("query_id", "chunk_id", "place"))
 on_retrieval("retrieve_topk", "SELECT query_id, rank, chunk_id FROM top", lambda x, i: retrieve.retrieved(x, i).select("query_id", "rank", "chunk_id"))
 on_retrieval("confidence", "SELECT * FROM confidence", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x))
 on_retrieval("confidence_band", "SELECT CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM confidence GROUP BY 1", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x).groupBy(T.confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n")))
-on_retrieval("retrieve", "SELECT t.query_id, t.rank, t.chunk_id, t.page_id, t.section_type, round(t.final_score, 4) AS final_score, t.tier, c.confidence FROM top t JOIN confidence c USING (query_id)", lambda x, i: (lambda r: r.join(retrieve.confidence(r, x), "query_id").select("query_id", "rank", "chunk_id", "page_id", "section_type", F.round("final_score", 4).alias("final_score"), "tier", "confidence"))(retrieve.retrieved(x, i)))
+on_retrieval("retrieve", "SELECT t.query_id, t.rank, t.chunk_id, t.page_id, t.section_type, t.final_score, t.tier, c.confidence FROM top t JOIN confidence c USING (query_id)", lambda x, i: (lambda r: r.join(retrieve.confidence(r, x), "query_id").select("query_id", "rank", "chunk_id", "page_id", "section_type", "final_score", "tier", "confidence"))(retrieve.retrieved(x, i)))
 on_retrieval("answer_gate", "SELECT query_id, confidence < 0.25 OR n_chunks = 0 AS fallback FROM confidence", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x).select("query_id", ((F.col("confidence") < retrieve.THRESHOLD) | (F.col("n_chunks") == 0)).alias("fallback")))
-on_retrieval("admin_search", "SELECT query_id, rank, chunk_id, section, round(final_score, 4) AS score, sha256(substr(text, 1, 200) || '...') AS preview_hash FROM top", lambda x, i: answer.preview(retrieve.retrieved(x, i)).select("query_id", "rank", "chunk_id", "section", "score", F.sha2("preview", 256).alias("preview_hash")))
+on_retrieval("admin_search", "SELECT query_id, rank, chunk_id, section, floor(final_score * 10000 + 0.5) / 10000 AS score, sha256(substr(text, 1, 200) || '...') AS preview_hash FROM top", lambda x, i: answer.preview(retrieve.retrieved(x, i)).select("query_id", "rank", "chunk_id", "section", "score", F.sha2("preview", 256).alias("preview_hash")))
 on_retrieval("context_block", "SELECT query_id, sha256(context) AS context_hash, length(context) AS n_chars FROM contexts", lambda x, i: answer.context(retrieve.retrieved(x, i)).select("query_id", F.sha2("context", 256).alias("context_hash"), F.length("context").alias("n_chars")))
 on_retrieval("prompt_sources", "SELECT p.query_id, coalesce(array_to_string(urls[1:5], '|'), '') AS sources FROM processed p LEFT JOIN contexts USING (query_id)", lambda x, i: answer.prompts(x, answer.context(retrieve.retrieved(x, i))).select("query_id", "sources"))
 on_retrieval("answers", f"SELECT c.query_id, sha256(CASE WHEN low THEN '{answer.FALLBACK}' ELSE first_text END) AS answer_hash, confidence, CASE WHEN low THEN '' ELSE array_to_string(urls[1:3], '|') END AS sources, n_chunks, low AS fallback FROM (SELECT *, confidence < 0.25 OR n_chunks = 0 AS low FROM confidence) c LEFT JOIN contexts USING (query_id)", lambda x, i: (lambda r: answer.answers(x, r, retrieve.confidence(r, x)).select("query_id", F.sha2("answer", 256).alias("answer_hash"), "confidence", "sources", "n_chunks", "fallback"))(retrieve.retrieved(x, i)))

@@ -169,7 +169,7 @@ SCORED = """len AS (SELECT chunk_id, sum(tf) AS len FROM postings GROUP BY 1), s
 ), wanted AS (SELECT query_id, unnest(match_terms) AS term, len(match_terms) AS n_terms FROM processed
 ), idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM df, stat
 ), scored AS (
-  SELECT query_id, chunk_id, page_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score, count(*) AS n_match, max(n_terms) AS n_terms
+  SELECT query_id, chunk_id, page_id, floor(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) * 1000000 + 0.5) / 1000000 AS score, count(*) AS n_match, max(n_terms) AS n_terms
   FROM wanted JOIN postings USING (term) JOIN idf USING (term) JOIN len USING (chunk_id) JOIN chunks USING (chunk_id) GROUP BY ALL)"""
 
 ROUTED = """kw_hits AS (SELECT query_id, keyword, idx, k.chunk_id, k.page_id FROM (SELECT query_id, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS idx FROM processed) JOIN keyword_index k USING (keyword)
@@ -214,8 +214,8 @@ GATHERED = """more AS (SELECT query_id, chunk_id, CAST(0.2 AS DOUBLE) AS score,
 RERANKED = """joined AS (SELECT g.*, c.page_id, c.url, c.section, c.section_type, c.text, c.priority_score, c.keywords,
     len(list_intersect(p.keywords, c.keywords)) / CAST(greatest(len(list_distinct(p.keywords)), 1) AS DOUBLE) AS overlap
   FROM gathered g JOIN chunks c USING (chunk_id) JOIN processed p USING (query_id)
-), boosted AS (SELECT *, round(score * ((CASE WHEN section_type = 'faq' THEN 2.0 ELSE 1.0 END * CASE WHEN contains(lower(section), 'title') OR contains(lower(section), 'overview') THEN 2.5 ELSE 1.0 END
-    * CASE WHEN section_type IN ('requirements', 'process', 'pricing') THEN 1.5 ELSE 1.0 END)::DOUBLE + overlap * 0.5::DOUBLE) * (0.5::DOUBLE + CASE WHEN priority_score = 0 THEN 0.5 ELSE priority_score END), 6) AS final_score FROM joined
+), boosted AS (SELECT *, floor(score * ((CASE WHEN section_type = 'faq' THEN 2.0 ELSE 1.0 END * CASE WHEN contains(lower(section), 'title') OR contains(lower(section), 'overview') THEN 2.5 ELSE 1.0 END
+    * CASE WHEN section_type IN ('requirements', 'process', 'pricing') THEN 1.5 ELSE 1.0 END)::DOUBLE + overlap * 0.5::DOUBLE) * (0.5::DOUBLE + CASE WHEN priority_score = 0 THEN 0.5 ELSE priority_score END) * 1000000 + 0.5) / 1000000 AS final_score FROM joined
 ), reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, tier, chunk_id) AS place FROM boosted)"""
 
 TOP = """deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(substr(text, 1, 80)) ORDER BY place) AS dup FROM reranked) WHERE dup = 1
