@@ -6,7 +6,7 @@ together are a token, by rank), finds each word's leftmost pair of least rank, c
 had one, until none has. Decoding joins tokens with their bytes and aggregates them in order. A text's ids and bytes
 are those of its words, one after another.
 
-DuckDB only holds the words of one piece of a batch, WORDS at a time; the words known so far are dropped beyond KNOWN.
+A task numbers its distinct words and encodes the new ones of each PIECE_BYTES of text, WORDS at a time; beyond KNOWN words it starts afresh.
 Words of over LONG bytes (runs of one kind of character, such as encoded data) would need as many rounds as bytes; they are
 contracted in the same order by a heap.
 
@@ -19,19 +19,22 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DDL, table
+from .common import DDL, bounded_batches, table
 
-PIECE_CHARS = 2_000_000
-WORDS = 50_000
-KNOWN = 800_000
+PIECE_BYTES = 8_000_000
+ROWS_OUT = 256
+WORDS = 40_000
+KNOWN = 400_000
 LONG = 500
 
 # Letters, numbers and white space below U+0250, as the Unicode classes of the pattern have them.
@@ -104,7 +107,7 @@ def heap_contracted(word: bytes, vocabulary: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Word by word encoding and decoding with a DuckDB database of its own."""
+    """Words to ids and back, many at a time, in a DuckDB database. A worker process keeps it, without any words."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -113,60 +116,71 @@ class Encoder:
         self.ranks = ranks(path)
         self.full = regex.compile(pattern)
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
         left, right, rank = merge_table(self.ranks)
         self.db.register("given", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS FROM given")
         self.db.register("given", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM given")
+        self.db.unregister("given")
         self.bytes_of = {r: t for t, r in self.ranks.items()}
 
     def words(self, text: str) -> list[str]:
         return (PLAIN_WORDS if PLAIN.fullmatch(text) else self.full).findall(text)
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Ids and decoded bytes of words that aren't known yet."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
+    def coded(self, words: list[str]) -> tuple[list[str], list[bytes]]:
+        """Ids as decimal text, and decoded bytes, of each word."""
+        ids, decoded = [""] * len(words), [b""] * len(words)
         todo = []
-        for word in words:
+        for k, word in enumerate(words):
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.known[word] = (str(rank), self.bytes_of[rank])
+                ids[k], decoded[k] = str(rank), self.bytes_of[rank]
             elif len(data) > LONG:
-                ids = heap_contracted(data, self.ranks)
-                self.known[word] = (" ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids))
+                own = heap_contracted(data, self.ranks)
+                ids[k], decoded[k] = " ".join(map(str, own)), b"".join(self.bytes_of[i] for i in own)
             else:
-                todo.append((word, data))
-        for k in range(0, len(todo), WORDS):
-            self.contract(todo[k : k + WORDS])
-
-    def contract(self, words: list[tuple[str, bytes]]) -> None:
-        sizes = np.array([len(d) for _, d in words])
-        tokens = self.base[np.frombuffer(b"".join(d for _, d in words), np.uint8)]
+                todo.append((k, data))
+        for start in range(0, len(todo), WORDS):
+            part = todo[start : start + WORDS]
+            for (k, _), own, back in zip(part, *self.contracted([data for _, data in part])):
+                ids[k], decoded[k] = own, bytes.fromhex(back)
+        return ids, decoded
+
+    def contracted(self, words: list[bytes]) -> tuple[list[str], list[str]]:
+        sizes = np.array([len(d) for d in words])
+        tokens = self.base[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         i = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = i == np.repeat(sizes - 1, sizes)
         start = {"word": word, "i": i.astype(np.int64), "tok": tokens, "j": np.where(last, -1, i + 1).astype(np.int64), "nxt": np.where(last, -1, np.roll(tokens, -1)).astype(np.int32)}
         self.db.register("start", pa.table(start))
         found = self.db.sql(CONTRACTED).to_arrow_table()
-        for (w, _), ids, decoded in zip(words, found.column("ids").to_pylist(), found.column("decoded").to_pylist()):
-            self.known[w] = (ids, bytes.fromhex(decoded))
+        self.db.unregister("start")
+        return found.column("ids").to_pylist(), found.column("decoded").to_pylist()
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str, pattern: str) -> Encoder:
-    """One encoder a worker process: the next task starts with the words known so far."""
     return Encoder(path, pattern)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about PIECE_CHARS characters of its first column."""
+class Numbered(dict):
+    """Words by number, in the order of their first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def pieces(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about that many bytes of its first column."""
+    import pyarrow.compute as pc
+
     start, held = 0, 0
-    for k, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(0)), 0).to_pylist()):
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
         held += n
-        if held >= PIECE_CHARS:
+        if held >= chars:
             yield batch.slice(start, k + 1 - start)
             start, held = k + 1, 0
     if start < batch.num_rows:
@@ -175,25 +189,28 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def coded(rows: DataFrame, keys: list[str], path: str, pattern: str, finish: Callable, schema: str) -> DataFrame:
     """keys and what finish(n_tokens, ids, decoded) returns for each row's text: ids as decimal text, decoded as bytes."""
+    bounded_batches(rows.sparkSession)
     picked = rows.select("text", *keys)
     kinds = dict(picked.dtypes)
     out = ", ".join([*(f"{k} {kinds[k].replace('bigint', 'long')}" for k in keys), schema])
     target = DDL(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
+        numbers, ids, decoded = Numbered(), [], []
         for batch in batches:
             encoder = encoder_of(path, pattern)
-            for piece in pieces(batch):
-                cut = [encoder.words(t or "") for t in piece.column(0).to_pylist()]
-                encoder.learn({w for words in cut for w in words if w not in encoder.known})
-                known, made = encoder.known, []
-                for words in cut:
-                    found = [known[w] for w in words]
-                    ids = " ".join([x[0] for x in found])
-                    made.append(finish(ids.count(" ") + 1 if ids else 0, ids, b"".join([x[1] for x in found])))
-                yield target.batch([*(c.to_pylist() for c in piece.columns[1:]), *zip(*made)])
+            for piece in pieces(batch, PIECE_BYTES):
+                if len(numbers) > KNOWN:
+                    numbers, ids, decoded = Numbered(), [], []
+                cut = [array("I", map(numbers.__getitem__, encoder.words(t.as_py() or ""))) for t in piece.column(0)]
+                for known, more in zip((ids, decoded), encoder.coded(list(islice(reversed(numbers), len(numbers) - len(ids)))[::-1])):
+                    known += more
+                for lo in range(0, len(cut), ROWS_OUT):
+                    made = []
+                    for own in cut[lo : lo + ROWS_OUT]:
+                        text = " ".join([ids[k] for k in own])
+                        made.append(finish(text.count(" ") + 1 if text else 0, text, b"".join([decoded[k] for k in own])))
+                    yield target.batch([*(c.to_pylist() for c in piece.slice(lo, ROWS_OUT).columns[1:]), *zip(*made)])
 
     return picked.mapInArrow(run, out)
 

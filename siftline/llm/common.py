@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes and not only by rows, so that very long texts don't add up; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not any(key == k for k, _ in spark.sparkContext.getConf().getAll()):
+        spark.conf.set(key, "16m")
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[..., tuple]],
@@ -47,6 +54,7 @@ def map_rows(
     The function takes the columns of df in order and returns a tuple for the columns of schema. Results
     are handed back every `piece` rows, so that memory follows the longest texts and not the batch.
     """
+    bounded_batches(df.sparkSession)
     target = DDL(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DDL, checkpointed, map_rows, table
+from .common import DDL, bounded_batches, checkpointed, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -230,6 +230,7 @@ def replaced(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int
 
 def sanitised(documents: DataFrame, rules: DisclosureRules | None = None) -> DataFrame:
     """documents with their texts sanitised; all other columns as they are, n_chars made anew if there is one."""
+    bounded_batches(documents.sparkSession)
     rules = rules or DisclosureRules()
     own = term_spans(documents, rules)
     columns = documents.columns
@@ -238,7 +239,8 @@ def sanitised(documents: DataFrame, rules: DisclosureRules | None = None) -> Dat
     schema = documents.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, start in ((b, k) for b in batches for k in range(0, b.num_rows, 256)):
+            batch = whole.slice(start, 256)
             texts = []
             for text, terms in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
                 spans = base_spans(text or "")
