@@ -234,7 +234,7 @@ def sanitised(documents: DataFrame, rules: DisclosureRules | None = None) -> Dat
     rules = rules or DisclosureRules()
     own = term_spans(documents, rules)
     columns = documents.columns
-    rows = documents.withColumn("_text_key", text_key()).join(own.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
+    rows = documents.withColumn("_text_key", text_key()).join(own.select(F.col("text_key").alias("_text_key"), F.col("terms").alias("_terms")), "_text_key", "left")
     at = columns.index("text")
     schema = documents.schema
 
@@ -249,7 +249,7 @@ def sanitised(documents: DataFrame, rules: DisclosureRules | None = None) -> Dat
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    out = rows.select(*columns, "terms").mapInArrow(run, schema)
+    out = rows.select(*columns, "_terms").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
 
 
