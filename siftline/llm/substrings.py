@@ -1,12 +1,12 @@
 """Repeated substrings by a distributed difference cover.
 
 Only strings of LENGTH = 50 bytes are compared, so suffixes are sorted and named by their first bytes and the recursion ends
-once names span 50. The sample is the positions of a document that are in the difference cover COVER modulo 31: for any two
-positions i and j there is a shift d below 31 that takes both into the sample. If the 50 bytes at i and j are equal, so
-are the TUPLE = 20 bytes at i + d and j + d. So:
+once names span 50. The sample is the positions of a document that are in the difference cover COVER modulo 21: for any two
+positions i and j there is a shift d below 21 that takes both into the sample. If the 50 bytes at i and j are equal, so
+are the TUPLE = 30 bytes at i + d and j + d. So:
 
 1. Name the sampled tuples (a 64-bit hash stands for the bytes), sort names across the cluster, and find those that two documents share.
-2. Merge in the other suffixes: a string of 50 bytes can only be repeated if it starts less than 31 bytes before a shared tuple. Name all such
+2. Merge in the other suffixes: a string of 50 bytes can only be repeated if it starts less than 21 bytes before a shared tuple. Name all such
    strings, sort the names across the cluster, and compare neighbours: a name that a smaller doc_id has is to go.
 3. Mark the bytes that those strings cover in each document.
 
@@ -16,28 +16,30 @@ least doc_id; the piece settles the others itself. So a passage that a third of
 than one name for each piece.
 
 Null texts are empty. A null doc_id counts as larger than all others. Rows with the same id don't remove from each other. Texts
-under 50 bytes lose nothing. Strings don't cross documents. Two different strings share a 64-bit name with odds of 5e-20; for a corpus
-with n candidate strings that is n * n / 4e19 expected errors.
+under 50 bytes lose nothing. Strings don't cross documents. A string's name has 56 bits and those of its bucket; for a corpus with n candidate
+strings and b buckets, b * n * n / 2 ** 58 / b ** 2 pairs of different strings with one name are to be expected.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DDL, checkpointed, table
 
 LENGTH = 50
-MODULUS = 31
-# A perfect difference set modulo 31.
-COVER = np.array([1, 5, 11, 24, 25, 27])
+MODULUS = 21
+# A perfect difference set modulo 21.
+COVER = np.array([3, 6, 7, 12, 14])
 TUPLE = LENGTH - MODULUS + 1
-BUCKET = 4_000_000
+BUCKET = 8_000_000
+STRING_WIDTH = 7
 PIECE = 16_000_000
 LAST = (1 << 63) - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -131,7 +133,7 @@ class Shipper:
         for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(names)).tolist()):
             if hi > lo:
                 own, counts = np.unique(doc[lo:hi], return_counts=True)
-                columns = [rows[own].tobytes(), ids[own].tobytes(), counts.astype(np.int32).tobytes(), packed(names[lo:hi], self.width), bytes([flag])]
+                columns = [rows[own].tobytes(), ids[own].tobytes() if self.later else b"", counts.astype(np.int32).tobytes(), packed(names[lo:hi], self.width), bytes([flag])]
                 yield self.target.batch([[int(bucket[lo])], *([c] for c in columns)])
 
 
@@ -221,7 +223,7 @@ def repeated_strings(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame
     """rows: row, doc_id, text. The strings of 50 bytes of each row that start in a document with a smaller id as well."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper = Shipper(bits, 8, later=True)
+        shipper = Shipper(bits, STRING_WIDTH, later=True)
         for batch in batches:
             for row, doc_id, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data = (text.as_py() or "").encode()
@@ -232,12 +234,12 @@ def repeated_strings(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame
                     yield from shipper.batches()
         yield from shipper.batches()
 
-    return told(rows.join(shared, "row").select("row", "doc_id", "text", "names").mapInArrow(run, SHIPPED), bits, 8, later=True)
+    return told(rows.join(shared, "row").select("row", "doc_id", "text", "names").mapInArrow(run, SHIPPED), bits, STRING_WIDTH, later=True)
 
 
-def removed(data: bytes, parts: list[bytes]) -> tuple[int, int, list[tuple[int, int]]]:
+def removed(data: bytes, parts: list[bytes], bits: int) -> tuple[int, int, list[tuple[int, int]]]:
     """n_removed, n_spans and the spans of the bytes that the named strings cover."""
-    starts = np.flatnonzero(is_in(names_at(data, np.arange(len(data) - LENGTH + 1), LENGTH), parts))
+    starts = np.flatnonzero(is_in(trimmed(names_at(data, np.arange(len(data) - LENGTH + 1), LENGTH), bits, STRING_WIDTH), parts))
     edge = np.zeros(len(data) + 1, np.int32)
     edge[starts] += 1
     edge[starts + LENGTH] -= 1
@@ -249,6 +251,18 @@ def removed(data: bytes, parts: list[bytes]) -> tuple[int, int, list[tuple[int,
 RESULT = "row long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished action's shuffle files go at once; its results are in checkpoints by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends in turn) of every row of documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -261,9 +275,10 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     # Copies: all but those with the least id go whole, and needn't be compared.
     least = light.groupBy("sha").agg(F.min("_order").alias("_least"))
     known = light.join(least, "sha").withColumn("_copy", (F.col("_order") > F.col("_least")) & (F.col("n_bytes") >= LENGTH)).select("doc_id", "row", "n_bytes", "sha", "_copy")
-    shared = checkpointed(shared_tuples(rows, bits))
-    only = shared.join(known.where("_copy").select("row").distinct(), "row", "left_anti")
-    strings = checkpointed(repeated_strings(rows, only, bits))
+    known = checkpointed(known)
+    firsts = rows.join(known.where("not _copy").select("row").distinct(), "row", "left_semi")
+    shared = checkpointed(shared_tuples(firsts.select("row", "doc_id", "text"), bits))
+    strings = checkpointed(repeated_strings(rows, shared, bits))
     target = DDL(RESULT)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +286,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
             out = []
             for row, text, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = text.as_py().encode()
-                n, k, spans = removed(data, parts.as_py())
+                n, k, spans = removed(data, parts.as_py(), bits)
                 kept, end = hashlib.sha256(), 0
                 for lo, hi in spans:
                     kept.update(data[end:lo])
@@ -294,4 +309,5 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+    with shuffles_dropped(spark):
+        return deduplicated(table(spark, sf_dir, "documents")).drop("spans")
