@@ -6,9 +6,12 @@ positions i and j there is a shift d below 21 that takes both into the sample. I
 are the TUPLE = 30 bytes at i + d and j + d. So:
 
 1. Name the sampled tuples (a 64-bit hash stands for the bytes), sort names across the cluster, and find those that two documents share.
-2. Merge in the other suffixes: a string of 50 bytes can only be repeated if it starts less than 21 bytes before a shared tuple. Name all such
-   strings, sort the names across the cluster, and compare neighbours: a name that a smaller doc_id has is to go.
-3. Mark the bytes that those strings cover in each document.
+2. Merge in the other suffixes: a string of 50 bytes can only be repeated if it starts less than 21 bytes before a shared tuple. Runs of such
+   candidates are cut where a string's own name says so, alike in all documents; name each chunk of a run, sort these names across the cluster,
+   and compare neighbours: of a chunk that a smaller doc_id has, all strings are to go.
+3. The first document to hold a string holds it in a chunk that no smaller doc_id has. So it's enough to do the same with the strings of such
+   chunks, each on its own: a name that a smaller doc_id has is to go.
+4. Mark the bytes that those strings cover in each document.
 
 Names are sorted in buckets by their leading bits, as packed arrays: a row holds the names of many documents. The number of
 buckets follows the corpus's bytes, so a bucket holds about BUCKET names. A piece of a partition ships each of its names once, for its
@@ -40,6 +43,7 @@ COVER = np.array([3, 6, 7, 12, 14])
 TUPLE = LENGTH - MODULUS + 1
 BUCKET = 8_000_000
 STRING_WIDTH = 7
+CHUNK = 16
 PIECE = 16_000_000
 LAST = (1 << 63) - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -219,27 +223,80 @@ def is_in(names: np.ndarray, parts: list[bytes]) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
 
 
-def repeated_strings(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """rows: row, doc_id, text. The strings of 50 bytes of each row that start in a document with a smaller id as well."""
+def candidates(data: bytes, shared: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the strings that may be repeated, their names, and where chunks begin among them: about every CHUNK strings, by content."""
+    at = sample(len(data))
+    starts = near(at[is_in(trimmed(names_at(data, at, TUPLE), bits, 5), shared)], len(data))
+    names = names_at(data, starts, LENGTH)
+    cut = names % np.uint64(CHUNK) == 0
+    cut[1:] |= np.diff(starts) != 1
+    cut[:1] = True
+    return starts, names, np.flatnonzero(cut)
+
+
+def chunk_names(names: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """64-bit names of chunks from the names of their strings, in order."""
+    if not len(names):
+        return names
+    size = np.diff(np.append(begins, len(names)))
+    place = (np.arange(len(names)) - np.repeat(begins, size)).astype(np.uint64)
+    factor = (place + np.uint64(1)) * ODD[0]
+    factor = (factor ^ factor >> np.uint64(31)) * ODD[1] | np.uint64(1)
+    out = np.add.reduceat((names ^ names >> np.uint64(32)) * factor, begins) ^ size.astype(np.uint64) * ODD[2]
+    return (out ^ out >> np.uint64(29)) * ODD[3]
+
+
+def chunk_bits(bits: int) -> int:
+    return max(4, bits - 3)
+
+
+def repeated_chunks(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """rows: row, doc_id, text. The chunks of candidates of each row that a smaller id has as well."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper = Shipper(bits, STRING_WIDTH, later=True)
+        shipper = Shipper(chunk_bits(bits), 8, later=True)
         for batch in batches:
             for row, doc_id, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                data = (text.as_py() or "").encode()
-                at = sample(len(data))
-                hit = at[is_in(trimmed(names_at(data, at, TUPLE), bits, 5), parts.as_py())]
-                shipper.add(row, doc_id, names_at(data, near(hit, len(data)), LENGTH))
+                _, names, begins = candidates(text.as_py().encode(), parts.as_py(), bits)
+                shipper.add(row, doc_id, chunk_names(names, begins))
+                if shipper.held >= PIECE // 8:
+                    yield from shipper.batches()
+        yield from shipper.batches()
+
+    return told(rows.join(shared, "row").select("row", "doc_id", "text", "names").mapInArrow(run, SHIPPED), chunk_bits(bits), 8, later=True)
+
+
+def repeated_strings(rows: DataFrame, shared: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
+    """rows: row, doc_id, text. Of the strings outside the repeated chunks, those that start in a document with a smaller id as well."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shipper = Shipper(bits, STRING_WIDTH, later=True)
+        for batch in batches:
+            for row, doc_id, text, parts, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(k) for k in (2, 3, 4))):
+                _, names, begins = candidates(text.as_py().encode(), parts.as_py(), bits)
+                shipper.add(row, doc_id, names[~in_chunks(names, begins, gone.as_py())])
                 if shipper.held >= PIECE // 8:
                     yield from shipper.batches()
         yield from shipper.batches()
 
-    return told(rows.join(shared, "row").select("row", "doc_id", "text", "names").mapInArrow(run, SHIPPED), bits, STRING_WIDTH, later=True)
+    known = rows.join(shared, "row").join(chunks.withColumnRenamed("names", "chunks"), "row", "left")
+    return told(known.select("row", "doc_id", "text", "names", "chunks").mapInArrow(run, SHIPPED), bits, STRING_WIDTH, later=True)
+
+
+def in_chunks(names: np.ndarray, begins: np.ndarray, chunks: list[bytes] | None) -> np.ndarray:
+    """Which strings lie in one of the named chunks."""
+    if not chunks or not len(names):
+        return np.zeros(len(names), bool)
+    return np.repeat(is_in(chunk_names(names, begins), chunks), np.diff(np.append(begins, len(names))))
 
 
-def removed(data: bytes, parts: list[bytes], bits: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """n_removed, n_spans and the spans of the bytes that the named strings cover."""
-    starts = np.flatnonzero(is_in(trimmed(names_at(data, np.arange(len(data) - LENGTH + 1), LENGTH), bits, STRING_WIDTH), parts))
+def removed(data: bytes, shared: list[bytes], chunks: list[bytes] | None, strings: list[bytes] | None, bits: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """n_removed, n_spans and the spans of the bytes that the named chunks and strings cover."""
+    starts, names, begins = candidates(data, shared, bits)
+    hit = in_chunks(names, begins, chunks)
+    if strings:
+        hit |= is_in(trimmed(names, bits, STRING_WIDTH), strings)
+    starts = starts[hit]
     edge = np.zeros(len(data) + 1, np.int32)
     edge[starts] += 1
     edge[starts + LENGTH] -= 1
@@ -278,15 +335,16 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     known = checkpointed(known)
     firsts = rows.join(known.where("not _copy").select("row").distinct(), "row", "left_semi")
     shared = checkpointed(shared_tuples(firsts.select("row", "doc_id", "text"), bits))
-    strings = checkpointed(repeated_strings(rows, shared, bits))
+    chunks = checkpointed(repeated_chunks(rows, shared, bits))
+    strings = checkpointed(repeated_strings(rows, shared, chunks, bits))
     target = DDL(RESULT)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, text, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for row, text, *parts in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4))):
                 data = text.as_py().encode()
-                n, k, spans = removed(data, parts.as_py(), bits)
+                n, k, spans = removed(data, *(p.as_py() for p in parts), bits)
                 kept, end = hashlib.sha256(), 0
                 for lo, hi in spans:
                     kept.update(data[end:lo])
@@ -297,7 +355,8 @@ def deduplicated(documents: DataFrame) -> DataFrame:
                 yield target.batch(list(zip(*out)))
 
     # Rows alike in id and text have one result.
-    changed = rows.join(strings, "row").select("row", "text", "names").mapInArrow(finish, RESULT).dropDuplicates(["row"])
+    gone = chunks.withColumnRenamed("names", "chunks").join(strings.withColumnRenamed("names", "strings"), "row", "full").join(shared, "row")
+    changed = rows.join(gone, "row").select("row", "text", "names", "chunks", "strings").mapInArrow(finish, RESULT).dropDuplicates(["row"])
     whole = F.col("_copy")
     return known.join(changed, "row", "left").select(
         "doc_id", "n_bytes",
