@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,34 +50,50 @@ LAST = (1 << 63) - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def words_at(data: bytes, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """The `size` bytes at each position, as 64-bit words; the last word overlaps the one before."""
-    every = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    return [every[at + k] for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]]
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of two parts in order, from their names."""
+    out = left * ODD[1]
+    out += right
+    out ^= out >> np.uint64(29)
+    out *= ODD[2]
+    out ^= out >> np.uint64(32)
+    return out
 
 
-def names_at(data: bytes, at: np.ndarray, size: int) -> np.ndarray:
-    """64-bit names of the `size` bytes at each position."""
-    out = np.full(len(at), size, np.uint64)
-    for word, odd in zip(words_at(data, at, size), ODD):
-        out ^= word * odd
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return out * np.uint64(0x94D049BB133111EB)
+def blocks(data: bytes) -> np.ndarray:
+    """64-bit names of the 16 bytes at every position; at least 16 bytes are needed."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)) * ODD[0]
+    words ^= words >> np.uint64(32)
+    words *= ODD[3]
+    return joined(words[:-8], words[8:])
+
+
+def names_at(block: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit names of the `size` bytes at each position, from those of blocks of 16; parts may overlap."""
+    if size <= 32:
+        return joined(block[at], block[at + (size - 16)]) * ODD[4]
+    return joined(joined(block[at], block[at + 16]), joined(block[at + (size - 32)], block[at + (size - 16)])) * ODD[5]
 
 
 def sample(n: int) -> np.ndarray:
     """Positions of the cover in a document of n bytes whose tuple lies within it."""
-    every = (np.arange(0, n, MODULUS)[:, None] + COVER).ravel()
-    return every[every + TUPLE <= n]
+    every = cover_to(max(1 << 20, 1 << n.bit_length()))
+    return every[: np.searchsorted(every, n - TUPLE, side="right")]
+
+
+@lru_cache(2)
+def cover_to(n: int) -> np.ndarray:
+    return (np.arange(0, n, MODULUS)[:, None] + COVER).ravel()
 
 
 def near(shared: np.ndarray, n: int) -> np.ndarray:
     """Starts of the strings of 50 bytes that hold one of the tuples at `shared`, wherever it lies in them."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.maximum(shared - (MODULUS - 1), 0), 1)
-    np.add.at(edge, shared + 1, -1)
+    first = shared - (MODULUS - 1)
+    early = int(np.searchsorted(first, 0, side="right"))  # these start at 0; the others differ
+    edge[0] = early
+    edge[first[early:]] += 1
+    edge[shared + 1] -= 1
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     return starts[starts + LENGTH <= n]
 
@@ -108,6 +125,9 @@ class Shipper:
         self.names.append(names)
         self.held += len(names)
 
+    def low(self, names: np.ndarray) -> np.ndarray:
+        return names & np.uint64((1 << 8 * self.width) - 1)
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             self.clear()
@@ -116,8 +136,15 @@ class Shipper:
         rows, ids = np.array(self.rows, np.int64)[by_id], np.array(self.ids, np.int64)[by_id]
         names = trimmed(np.concatenate([self.names[k] for k in by_id]), self.bits, self.width)
         doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(self.names[k]) for k in by_id])
-        order = np.argsort(names, kind="stable")  # documents in order within a name
-        names, doc = names[order], doc[order]
+        self.room = max(0, 64 - self.bits - 8 * self.width)  # bits left for a document beside a name, in one word
+        if len(rows) > 1 << self.room:
+            order = np.argsort(names, kind="stable")  # documents in order within a name
+            names, doc = names[order], doc[order]
+        else:
+            word = (names >> np.uint64(64 - self.bits) << np.uint64(8 * self.width) | self.low(names)) << np.uint64(self.room) | doc.astype(np.uint64)
+            word.sort()
+            doc = (word & np.uint64((1 << self.room) - 1)).astype(np.int32)
+            names = word >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits) | self.low(word >> np.uint64(self.room))
         new_name = np.concatenate(([True], names[1:] != names[:-1]))
         fresh = new_name | np.concatenate(([True], doc[1:] != doc[:-1]))  # once a document
         names, doc, new_name = names[fresh], doc[fresh], new_name[fresh]
@@ -131,8 +158,15 @@ class Shipper:
     def parts(self, names: np.ndarray, doc: np.ndarray, rows: np.ndarray, ids: np.ndarray, flag: int) -> Iterator[pa.RecordBatch]:
         """A row for each bucket: names by document. flag 1: already told."""
         bucket = (names >> np.uint64(64 - self.bits)).astype(np.int64)
-        order = np.argsort(bucket * len(rows) + doc, kind="stable")
-        names, doc, bucket = names[order], doc[order], bucket[order]
+        if len(rows) > 1 << self.room:
+            order = np.argsort(bucket * len(rows) + doc, kind="stable")
+            names, doc, bucket = names[order], doc[order], bucket[order]
+        else:
+            width = np.uint64(8 * self.width)
+            word = (bucket.astype(np.uint64) << np.uint64(self.room) | doc.astype(np.uint64)) << width | self.low(names)
+            word.sort()
+            doc = (word >> width & np.uint64((1 << self.room) - 1)).astype(np.int32)
+            names = word >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits) | self.low(word)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(names)).tolist()):
             if hi > lo:
@@ -169,13 +203,17 @@ def told(shipped: DataFrame, bits: int, width: int, later: bool) -> DataFrame:
         every = np.concatenate([names[k] for k in asked])
         who = np.concatenate([np.repeat(np.frombuffer(ids[k], np.int64), np.frombuffer(counts[k], np.int32)) for k in asked]) if later else None
         if later:
-            order = np.lexsort((who, every))
-            least = who[order]
-            ordered = every[order]
+            order = np.argsort(every)
+            own, ordered = who[order], every[order]
             start = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ordered))))
             hit = np.empty(len(every), bool)
-            hit[order] = least > least[start][group]
+            hit[order] = own > np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(ordered))))
+        elif width == 5 and len(every) <= 1 << 24:  # a name and its place in one word
+            word = every << np.uint64(24) | np.arange(len(every), dtype=np.uint64)
+            word.sort()
+            same = word[1:] >> np.uint64(24) == word[:-1] >> np.uint64(24)
+            hit = np.empty(len(every), bool)
+            hit[word & np.uint64((1 << 24) - 1)] = np.append(same, False) | np.insert(same, 0, False)
         else:
             ordered = np.sort(every)
             twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -210,7 +248,7 @@ def shared_tuples(rows: DataFrame, bits: int) -> DataFrame:
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = (text.as_py() or "").encode()
                 if len(data) >= LENGTH:
-                    shipper.add(row, doc_id, names_at(data, sample(len(data)), TUPLE))
+                    shipper.add(row, doc_id, names_at(blocks(data), sample(len(data)), TUPLE))
                 if shipper.held * MODULUS >= PIECE * len(COVER):
                     yield from shipper.batches()
         yield from shipper.batches()
@@ -225,9 +263,9 @@ def is_in(names: np.ndarray, parts: list[bytes]) -> np.ndarray:
 
 def candidates(data: bytes, shared: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the strings that may be repeated, their names, and where chunks begin among them: about every CHUNK strings, by content."""
-    at = sample(len(data))
-    starts = near(at[is_in(trimmed(names_at(data, at, TUPLE), bits, 5), shared)], len(data))
-    names = names_at(data, starts, LENGTH)
+    at, block = sample(len(data)), blocks(data)
+    starts = near(at[is_in(trimmed(names_at(block, at, TUPLE), bits, 5), shared)], len(data))
+    names = names_at(block, starts, LENGTH)
     cut = names % np.uint64(CHUNK) == 0
     cut[1:] |= np.diff(starts) != 1
     cut[:1] = True
