@@ -348,3 +348,29 @@ def test_pipeline_stages(spark, documents, tmp_path):
         assert out.columns == docs.columns, name
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count() > 0
+
+
+@pytest.mark.parametrize("bits", [4, 20])
+def test_substring_names_are_shipped_once(bits):
+    """bits 4: a document's number fits beside a name; 20: it doesn't."""
+    chance = np.random.default_rng(7)
+    pool = substrings.trimmed(chance.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), bits, 5)
+    documents = {k: chance.choice(pool, 9) for k in range(100)}
+    shipper = substrings.Shipper(bits, 5, later=False)
+    for k, names in documents.items():
+        shipper.add(k, k, names)
+    shipped, told = [], set()
+    for batch in shipper.batches():
+        x = batch.to_pylist()[0]
+        names = substrings.unpacked(x["names"], 5, x["bucket"], bits).tolist()
+        docs = np.repeat(np.frombuffer(x["rows"], np.int64), np.frombuffer(x["counts"], np.int32)).tolist()
+        if x["told"] == b"\1":
+            told |= set(zip(docs, names))
+        else:
+            shipped += names
+    holders = {}
+    for k, names in documents.items():
+        for n in names.tolist():
+            holders.setdefault(n, set()).add(k)
+    assert sorted(shipped) == sorted(holders)
+    assert told == {(k, n) for n, h in holders.items() if len(h) > 1 for k in h}
