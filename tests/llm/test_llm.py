@@ -328,6 +328,17 @@ def test_main_text(spark):
     assert wrappers.extracted(df.where("false"), ["page_id"]).count() == 0
 
 
+def test_wrapper_decides_in_articles(spark):
+    page = "<body><article><h1>Head {0}</h1><p class='byline'>By <b>our staff</b>.</p><p>Story {0}</p><p>More of {0}</p>{1}</article></body>"
+    box = "<div class='box'><p>Read our other pages</p></div>"
+    rows = [(k, f"https://a.org/{k}", page.format(k, box if k % 2 else "")) for k in range(20)]
+    rows += [(100 + k, f"https://b.org/{k}", page.format(k % 3, "")) for k in range(20)]  # three different pages: too few
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(df, ["page_id"]).collect()}
+    assert all(got[k] == f"Head {k}\n\nStory {k}\n\nMore of {k}" for k in range(20))
+    assert got[101] == "Head 1\n\nBy our staff.\n\nStory 1\n\nMore of 1"
+
+
 def test_wrapper_alignment():
     a = wrappers.skeleton("<ul><li>x<li>y</ul><p>same</p><p>one</p>")
     b = wrappers.skeleton("<ul><li>z</ul><p>same</p><h2>extra</h2>")
