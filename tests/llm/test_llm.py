@@ -348,6 +348,23 @@ def test_wrapper_alignment():
     assert wrappers.aligned(w, a) and len(wrappers.aligned(w, b)) == len(w)
 
 
+def test_wide_wrappers_lose_constants(spark):
+    r = random.Random(6)
+    names = "p h2 h3 dd pre li blockquote figure".split()
+    wide = lambda k: "<body><h1>Site</h1>" + "".join(f"<{n}>text {k} {j}</{n}>" for j, n in enumerate(r.choices(names, k=700))) + "<address>Imprint</address></body>"
+    pages = [wide(k) for k in range(4)]
+    whole = wrappers.skeleton(pages[0])
+    for p in pages[1:]:
+        whole = wrappers.aligned(whole, wrappers.skeleton(p))
+    assert wrappers.constants(whole) == {wrappers.mark("Site"), wrappers.mark("Imprint")}
+    assert len(whole) < 2 * min(len(wrappers.skeleton(p)) for p in pages)
+    same = "<body><p>Name</p><p>Only story</p></body>"  # copies and a repeated row are one page
+    rows = [(k, f"https://w.org/{k}", p) for k, p in enumerate(pages)] + [(10, "https://c.org/1", same), (11, "https://c.org/2", same), (10, "https://c.org/1", same)]
+    got = {x["page_id"]: x["text"] for x in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), ["page_id"]).collect()}
+    assert all(got[k] == "\n\n".join(f"text {k} {j}" for j in range(700)) for k in range(4))
+    assert got[10] == got[11] == "Name\n\nOnly story"
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
