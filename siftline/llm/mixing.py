@@ -1,30 +1,31 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in a reproducible random order, form blocks. Weights are whole shares a of a frame of A slots.
-Block j of a source is released at floor(j * A / a) and due at ceil((j + 1) * A / a). Earliest deadline first
+Each source's rows, in a reproducible random order, form blocks. Weights w are taken as they are, as exact fractions of their sum.
+Block j of a source is released at floor(j / w) and due at ceil((j + 1) / w). Earliest deadline first
 gives every slot to a block within its window (the weights sum to one, so that always works out): after any number T of slots
-a source has had more than a * T / A - 1 and fewer than a * T / A + 1 blocks. The windows repeat with every
-frame, so only one frame, a table of A rows, is scheduled; block k of a source lies in frame k div a at the slot of
-its block k mod a. Each row's slot follows from its number, with no pass over all blocks.
+a source has had more than w * T - 1 and fewer than w * T + 1 blocks, however large T is. The schedule goes through the blocks in
+turn, so one task makes it, as rows that it hands on; it holds one block a source, and sees counts and weights only.
 
 Every row stays. `balanced` tells whether its slot lies before the first slot that a source which has run out leaves empty; up
-to there the mix keeps the weights. Null sources are a source of their own. Null texts and repeated rows are rows as any. An
-empty table gives an empty result.
+to there the mix keeps the weights. From there on sources that have run out have no blocks in the schedule, the others keep their windows.
+Null sources are a source of their own. Null texts and repeated rows are rows as any. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import DDL, table
 from .ordering import numbered
 
-MAX_SOURCES = 10_000
-
 
 def frame_shares(weights: dict[str | None, float], slots: int) -> dict[str | None, int]:
     """Whole shares of a frame of about `slots` slots, one at least for each positive weight."""
@@ -32,65 +33,81 @@ def frame_shares(weights: dict[str | None, float], slots: int) -> dict[str | Non
     return {s: max(1, round(w / total * slots)) for s, w in weights.items() if w > 0}
 
 
-def pfair_frame(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one frame, by earliest deadline among the released blocks."""
-    frame = sum(shares.values())
-    names = sorted(shares, key=lambda s: (s is None, s or ""))
-    waiting = [(0, k, 0) for k in range(len(names))]  # (release, source, block)
-    heapq.heapify(waiting)
+def pfair_schedule(sources: list[tuple[str | None, float, int, int]]) -> Iterator[tuple[str | None, int, int, bool]]:
+    """(source, block, slot, balanced) in order of slots, for sources as (name, weight, blocks, full blocks).
+
+    By earliest deadline among the released blocks, ties by name.
+    """
+    own = sorted(((n, Fraction(w), b, f) for n, w, b, f in sources if w > 0), key=lambda x: (x[0] is None, x[0] or ""))
+    scale = lcm(*(w.denominator for _, w, _, _ in own)) if own else 1
+    shares = [int(w * scale) for _, w, _, _ in own]
+    total, balanced, slot = sum(shares), True, 0
+    waiting = [(0, k, 0) for k in range(len(own))]  # (release, source, block)
     ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
-    out = []
-    for slot in range(frame):
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((j + 1) * frame / shares[names[k]]), k, j))
+            # Sources that have run out take part until one of them would get a slot.
+            if balanced or j < own[k][2]:
+                heapq.heappush(ready, (-(-(j + 1) * total // shares[k]), k, j))
+        if not ready:
+            continue
         deadline, k, j = heapq.heappop(ready)
+        if not balanced and j >= own[k][2]:
+            continue
         if slot >= deadline:
             raise ValueError("a block missed its deadline")
-        out.append((names[k], j, slot))
-        if j + 1 < shares[names[k]]:
-            heapq.heappush(waiting, ((j + 1) * frame // shares[names[k]], k, j + 1))
-    return out
+        balanced = balanced and j < own[k][3]
+        if j < own[k][2]:
+            yield own[k][0], j, slot, balanced
+        if balanced or j + 1 < own[k][2]:
+            heapq.heappush(waiting, ((j + 1) * total // shares[k], k, j + 1))
+        slot += 1
+
+
+def pfair_frame(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
+    """(source, block, slot) of one frame, whose shares are whole numbers of blocks."""
+    return [x[:3] for x in pfair_schedule([(s, a, a, a) for s, a in shares.items()])]
+
+
+def tempered_weights(rows: DataFrame, source: str, power: float) -> DataFrame:
+    """source, weight: in proportion to the sources' row counts to a power below 1, which lifts small sources."""
+    return rows.groupBy(source).agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight")).select(F.col(source).alias("source"), "weight")
 
 
-def tempered_weights(rows: DataFrame, source: str, power: float) -> dict[str | None, float]:
-    """Weights in proportion to the sources' row counts to a power below 1, which lifts small sources."""
-    counts = rows.groupBy(source).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give their weights")
-    return {s: float(n) ** power for s, n in counts}
+def scheduled(rows: DataFrame, source: str, weights: DataFrame, block_rows: int) -> DataFrame:
+    """_source, _block, slot, balanced of every block of the sources with a weight."""
+    target = DDL("_source string, _block long, slot long, balanced boolean")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = [(s, w, -(-n // block_rows), n // block_rows) for b in batches for s, w, n in zip(*(c.to_pylist() for c in b.columns))]
+        blocks = pfair_schedule(sources)
+        while some := list(islice(blocks, 10_000)):
+            yield target.batch(list(zip(*some)))
 
-def mixed(rows: DataFrame, key: str, source: str, weights: dict[str | None, float], ties: list[str] = (), block_rows: int = 32, frame_slots: int = 1000) -> DataFrame:
+    counts = rows.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("n"))
+    each = weights.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.col("weight").cast("double").alias("weight"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return each.where("weight > 0").repartition(1).mapInArrow(run, "_source string, _block long, slot long, balanced boolean")
+
+
+def mixed(rows: DataFrame, key: str, source: str, weights: dict[str | None, float] | DataFrame, ties: list[str] = (), block_rows: int = 32, frame_slots: int | None = None) -> DataFrame:
     """rows with block (number within the source), slot (of the block), place (within the block) and balanced.
 
-    Sources without a weight come last, after all slots (slot null).
+    Sources without a weight come last, after all slots (slot null). frame_slots has no effect: weights aren't rounded to a frame.
     """
-    shares = frame_shares(weights, frame_slots)
-    frame = sum(shares.values())
-    spark = rows.sparkSession
-    plan = spark.createDataFrame([(s, shares[s], j, slot) for s, j, slot in pfair_frame(shares)], "_source string, _share long, _j long, _at long")
+    if isinstance(weights, dict):
+        weights = rows.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+    plan = scheduled(rows, source, weights, block_rows)
     dealt = numbered(rows, key, [source], list(ties), "_number", "_rows")
     blocks = dealt.withColumn("block", F.floor(F.col("_number") / block_rows).cast("long")).withColumn("place", (F.col("_number") % block_rows).cast("int"))
-    share = F.create_map(*[x for s, a in shares.items() if s is not None for x in (F.lit(s), F.lit(a))]) if any(s is not None for s in shares) else None
-    own = F.when(F.col(source).isNull(), F.lit(shares.get(None))) if None in shares else F.when(F.lit(False), F.lit(1))
-    blocks = blocks.withColumn("_a", (own.otherwise(share[F.col(source)]) if share is not None else own).cast("long"))
-    on = F.col(source).eqNullSafe(F.col("_source")) & ((F.col("block") % F.col("_a")) == F.col("_j"))
-    # The plan has a row for each slot of a frame, whatever the input: its size is a parameter.
-    slotted = blocks.join(F.broadcast(plan), on, "left").withColumn("slot", F.floor(F.col("block") / F.col("_a")).cast("long") * frame + F.col("_at"))
-    short = _first_empty_slot(dealt, source, shares, frame, block_rows)
-    return slotted.withColumn("balanced", F.coalesce(F.col("slot") < F.lit(short), F.lit(False))).select(*rows.columns, "block", "slot", "place", "balanced")
-
-
-def _first_empty_slot(dealt: DataFrame, source: str, shares: dict, frame: int, block_rows: int) -> int:
-    """The earliest slot that a source has no full block for."""
-    at = {(s, j): slot for s, j, slot in pfair_frame(shares)}
-    counts = dict(dealt.groupBy(source).agg(F.count("*")).limit(MAX_SOURCES + 1).collect())
-    return min(((n := counts.get(s, 0) // block_rows) // a * frame + at[s, n % a] for s, a in shares.items()), default=0)
+    slotted = blocks.join(plan, F.col(source).eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    return slotted.select(*[F.col(c) for c in rows.columns], "block", "slot", "place", F.coalesce("balanced", F.lit(False)).alias("balanced"))
 
 
-def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
-    """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots.
+def with_slots(rows: DataFrame, power: float = 0.7) -> DataFrame:
+    """All rows (doc_id, source, text and more) with slot, place and balanced.
 
     Numbers are given to ids and digests, not to whole rows; full copies are told apart by a counter.
     """
@@ -98,10 +115,15 @@ def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
     counted = rows.withColumn("_own", F.md5(F.coalesce(F.col("text"), F.lit("")))).withColumn("_copy", F.row_number().over(copies))
     light = rows.select("doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_own")).withColumn("_copy", F.row_number().over(copies))
     slots = mixed(light, "doc_id", "source", tempered_weights(rows, "source", power), ["_own", "_copy"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_own").alias("_digest"), F.col("_copy").alias("_k"), "slot", "place"
+        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_own").alias("_digest"), F.col("_copy").alias("_k"), "slot", "place", "balanced"
     )
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_own") == F.col("_digest")) & (F.col("_copy") == F.col("_k"))
-    return counted.join(slots, on).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*rows.columns)
+    return counted.join(slots, on).select(*[counted[c] for c in rows.columns], "slot", "place", "balanced")
+
+
+def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
+    """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots."""
+    return with_slots(rows, power).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*rows.columns)
 
 
 def op3_pfair_mixing(spark, sf_dir: str) -> DataFrame:

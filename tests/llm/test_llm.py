@@ -137,6 +137,34 @@ def test_pfair_windows(weights):
     assert had == shares
 
 
+def test_pfair_deviation_from_the_weights():
+    counts = {"a": 400_000, "b": 90_000, "c": 77_777, None: 12_345, "tiny": 40}
+    weights = {s: n**0.7 for s, n in counts.items()}
+    total = sum(weights.values())
+    had, end, slots = dict.fromkeys(counts, 0), {s: -(-n // 32) for s, n in counts.items()}, set()
+    for s, j, slot, balanced in mixing.pfair_schedule([(s, weights[s], end[s], n // 32) for s, n in counts.items()]):
+        assert j == had[s] and slot not in slots and j * total / weights[s] - 1.001 < slot < (j + 1) * total / weights[s] + 1.001
+        slots.add(slot)
+        had[s] += 1
+        if balanced:
+            assert slot == len(slots) - 1 and all(abs(had[x] - weights[x] / total * (slot + 1)) < 1.000001 for x in counts)
+    assert had == end
+    long = {s: 10**9 for s in "abc"}
+    own = {"a": 0.70037, "b": 0.29951, "c": 0.00012}  # the last is below a thousandth, and none is a whole number of them
+    had = dict.fromkeys(long, 0)
+    for k, (s, _, slot, balanced) in enumerate(mixing.pfair_schedule([(s, own[s], n, n) for s, n in long.items()])):
+        had[s] += 1
+        assert slot == k and balanced and all(abs(had[x] - own[x] * (k + 1)) < 1.000001 for x in own)
+        if k == 50_000:
+            break
+
+
+def test_mixing_many_sources(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"))
+    got = mixing.mixed(rows, "doc_id", "source", mixing.tempered_weights(rows, "source", 0.7), block_rows=1)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(12_000))
+
+
 def test_mixing_keeps_all_rows(documents, nothing):
     rows = mixing.mixed(documents.select("doc_id", "source", "text"), "doc_id", "source", {"a": 2, "b": 1, None: 1}, ["text"], block_rows=2, frame_slots=8)
     got = rows.collect()
