@@ -376,6 +376,30 @@ def test_wrapper_alignment():
     assert wrappers.aligned(w, a) and len(wrappers.aligned(w, b)) == len(w)
 
 
+def test_pipeline_tells_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    common = "the of and to in is that for it as with be on by at".split()
+    made = lambda: " ".join(r.choice(common) if k % 2 else "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(70))
+    rows = [(k, made(), "en", "a" if k % 4 else "b", 0) for k in range(1200)]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    counts = {s: sum(x["source"] == s for x in got) for s in "ab"}
+    assert min(counts.values()) > 100
+    weights = {s: n**0.7 for s, n in counts.items()}
+    slots = {}
+    for x in got:
+        slots.setdefault(x["slot"], []).append((x["source"], x["place"], x["balanced"]))
+    had, balanced = dict.fromkeys(counts, 0), sorted(k for k, v in slots.items() if v[0][2])
+    assert balanced == list(range(len(balanced))) and len(balanced) >= 6
+    for k in balanced:
+        assert len({(s, b) for s, _, b in slots[k]}) == 1 and sorted(p for _, p, _ in slots[k]) == list(range(32))
+        had[slots[k][0][0]] += 1
+        assert all(abs(had[s] - (k + 1) * weights[s] / sum(weights.values())) < 1 for s in had)
+
+
 def test_wide_wrappers_lose_constants(spark):
     r = random.Random(6)
     names = "p h2 h3 dd pre li blockquote figure".split()
