@@ -99,7 +99,7 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def case_contains(column: Column, rules: list[tuple[str, str | list[str]]], default: str, swapped: bool = False) -> Column:
+def case_contains(column: Column, rules: list[tuple[str, str | list[str]]], default: str | Column, swapped: bool = False) -> Column:
     """The label of the first rule with a part that the column contains. Rules are (part, label), or (label, parts) if swapped."""
     out = None
     for a, b in rules:
@@ -126,12 +126,12 @@ def sql_values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
-def sql_case(column: str, rules: list[tuple], default: str, swapped: bool = False) -> str:
+def sql_case(column: str, rules: list[tuple], default: str, swapped: bool = False, quote: bool = True) -> str:
     parts = []
     for a, b in rules:
         label, found = (a, b) if swapped else (b, [a])
         parts.append("WHEN " + " OR ".join(f"contains({column}, {quoted(p)})" for p in found) + f" THEN {quoted(label)}")
-    return "CASE " + " ".join(parts) + f" ELSE {quoted(default)} END"
+    return "CASE " + " ".join(parts) + f" ELSE {quoted(default) if quote else default} END"
 
 
 def sql_map(pairs: dict[str, str]) -> str:

@@ -81,7 +81,9 @@ def page_file(url: Column) -> Column:
 
 
 def page_type(url: Column, rules: list | None = None) -> Column:
-    return lexicon.case_contains(F.lower(path(url)), rules or lexicon.PAGE_TYPES, "general", swapped=True)
+    """The first rule's label that fits the path. Without rules given, a path that fits none is `home` if it has one slash at most."""
+    default = F.lit("general") if rules else F.when(F.regexp_count(path(url), F.lit("/")) > 1, "general").otherwise("home")
+    return lexicon.case_contains(F.lower(path(url)), rules or lexicon.PAGE_TYPES, default, swapped=True)
 
 
 def canonical(url: Column) -> Column:

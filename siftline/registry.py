@@ -36,39 +36,43 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def simple(name: str, source: str, key: str, columns: dict[str, tuple[Column, str]], where: str | None = None) -> None:
-    """A query of columns of one table, each with its SQL."""
+def simple(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[DataFrame], Column], str]], where: str | None = None) -> None:
+    """A query of columns of one table, each made of the table when the query runs, with its SQL."""
     sql = f"SELECT {key}, " + ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items()) + f" FROM {source}" + (f" WHERE {where}" if where else "")
-    register(name, sql)(lambda spark, d: (lambda t: t.where(where) if where else t)(table(spark, d, source)).select(key, *[c.alias(n) for n, (c, _) in columns.items()]))
+
+    @register(name, sql)
+    def build(spark, d):
+        rows = table(spark, d, source)
+        own = rows.where(where) if where else rows
+        return own.select(key, *[make(own).alias(n) for n, (make, _) in columns.items()])
 
 
-TEXT, URL, HTML = F.col("text"), F.col("url"), F.col("html")
 joined = lambda c: F.array_join(c, "|")
 sql_joined = lambda s: f"array_to_string({s}, '|')"
 
 # Text and URLs.
-simple("word_count", "documents", "doc_id", {"n_words": (T.word_count(TEXT), q.words("text"))})
-simple("content_hash", "documents", "doc_id", {"content_hash": (F.sha2(TEXT, 256), "sha256(text)")})
-simple("page_key", "pages", "page_id", {"page_key": (T.page_key(URL), q.page_key("url"))})
-simple("url_slug", "pages", "page_id", {"slug": (T.slug(URL), q.slug("url"))})
-simple("page_filename", "pages", "page_id", {"file": (T.page_file(URL), f"substr({q.slug('url')}, 1, 60) || '_' || {q.page_key('url')} || '.json'")})
-simple("url_canonical", "pages", "page_id", {"canonical": (T.canonical(URL), "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace(url, '#.*$', '') END")})
-simple("page_type", "pages", "page_id", {"page_type": (T.page_type(URL), lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES, "general", True)), "page_type_v1": (T.page_type(URL, lx.PAGE_TYPES_V1), lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES_V1, "general", True))})
-simple("crawlable", "pages", "page_id", {"crawlable": (T.crawlable(URL), f"regexp_matches(url, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.path('url')}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')")})
-simple("low_content", "documents", "doc_id", {"low_v1": (F.length(F.trim(TEXT)) < 50, "length(trim(text)) < 50"), "low_v2": ((F.length(TEXT) < 100) | (T.word_count(TEXT) < 30), f"length(text) < 100 OR {q.words('text')} < 30")})
-simple("section_type", "documents", "doc_id", {"section_type": (T.section_type(C.section_of(F.col("lang"))), q.section_type(q.SECTION_OF)), "by_text": (T.section_type(F.substring(TEXT, 1, 200)), q.section_type("substr(text, 1, 200)"))})
-simple("chunk_priority", "documents", "doc_id", {"priority": (T.priority(T.section_type(C.section_of(F.col("lang"))), T.word_count(TEXT)), q.priority(q.section_type(q.SECTION_OF), q.words("text")))})
-simple("entities", "documents", "doc_id", {"entities": (joined(T.entities(TEXT)), sql_joined(q.entities("text")))})
-simple("page_lengths", "pages", "page_id", {"n_chars": (F.length(HTML).cast("long"), "length(html)"), "n_words": (T.word_count(H.visible(HTML)), q.words(q.visible("html")))}, "html IS NOT NULL")
-simple("sentence_split", "documents", "doc_id", {"n_sentences": (F.size(chunks.sentences(TEXT)).cast("long"), "len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1␞', 'g'), '␞'))")})
-simple("pages_scan", "pages", "page_id", {"url": (URL, "url"), "n_chars": (F.length(HTML).cast("long"), "length(html)")})
+simple("word_count", "documents", "doc_id", {"n_words": (lambda t: T.word_count(t.text), q.words("text"))})
+simple("content_hash", "documents", "doc_id", {"content_hash": (lambda t: F.sha2(t.text, 256), "sha256(text)")})
+simple("page_key", "pages", "page_id", {"page_key": (lambda t: T.page_key(t.url), q.page_key("url"))})
+simple("url_slug", "pages", "page_id", {"slug": (lambda t: T.slug(t.url), q.slug("url"))})
+simple("page_filename", "pages", "page_id", {"file": (lambda t: T.page_file(t.url), f"substr({q.slug('url')}, 1, 60) || '_' || {q.page_key('url')} || '.json'")})
+simple("url_canonical", "pages", "page_id", {"canonical": (lambda t: T.canonical(t.url), "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace(url, '#.*$', '') END")})
+simple("page_type", "pages", "page_id", {"page_type": (lambda t: T.page_type(t.url), q.page_type("url")), "page_type_v1": (lambda t: T.page_type(t.url, lx.PAGE_TYPES_V1), lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES_V1, "general", True))})
+simple("crawlable", "pages", "page_id", {"crawlable": (lambda t: T.crawlable(t.url), f"regexp_matches(url, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.path('url')}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')")})
+simple("low_content", "documents", "doc_id", {"low_v1": (lambda t: F.length(F.trim(t.text)) < 50, "length(trim(text)) < 50"), "low_v2": (lambda t: (F.length(t.text) < 100) | (T.word_count(t.text) < 30), f"length(text) < 100 OR {q.words('text')} < 30")})
+simple("section_type", "documents", "doc_id", {"section_type": (lambda t: T.section_type(C.section_of(t.lang)), q.section_type(q.SECTION_OF)), "by_text": (lambda t: T.section_type(t.text), q.section_type("text"))})
+simple("chunk_priority", "documents", "doc_id", {"priority": (lambda t: T.priority(T.section_type(C.section_of(t.lang)), T.word_count(t.text)), q.priority(q.section_type(q.SECTION_OF), q.words("text")))})
+simple("entities", "documents", "doc_id", {"entities": (lambda t: joined(T.entities(t.text)), sql_joined(q.entities("text")))})
+simple("page_lengths", "pages", "page_id", {"n_chars": (lambda t: F.length(t.html).cast("long"), "length(html)"), "n_words": (lambda t: T.word_count(H.visible(t.html)), q.words(q.visible("html")))}, "html IS NOT NULL")
+simple("sentence_split", "documents", "doc_id", {"n_sentences": (lambda t: F.size(chunks.sentences(t.text)).cast("long"), "len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1␞', 'g'), '␞'))")})
+simple("pages_scan", "pages", "page_id", {"url": (lambda t: t.url, "url"), "n_chars": (lambda t: F.length(t.html).cast("long"), "length(html)")})
 
 # Page parts.
-simple("page_title", "pages", "page_id", {"title": (H.title(HTML), q.title("html")), "h1": (H.h1(HTML), q.h1("html"))})
-simple("html_strip", "pages", "page_id", {"stripped_hash": (F.sha2(H.stripped(HTML), 256), f"sha256({q.stripped('html')})")})
-simple("visible_text", "pages", "page_id", {"visible": (H.visible(HTML), q.visible("html"))})
+simple("page_title", "pages", "page_id", {"title": (lambda t: H.title(t.html), q.title("html")), "h1": (lambda t: H.h1(t.html), q.h1("html"))})
+simple("html_strip", "pages", "page_id", {"stripped_hash": (lambda t: F.sha2(H.stripped(t.html), 256), f"sha256({q.stripped('html')})")})
+simple("visible_text", "pages", "page_id", {"visible": (lambda t: H.visible(t.html), q.visible("html"))})
 EMAIL, PHONE = "[\\w.+-]+@[\\w-]+\\.[a-zA-Z]{2,}", "\\+?\\d[\\d\\s\\-().]{7,}\\d"
-simple("contacts", "documents", "doc_id", {"email": (joined(H.contacts(TEXT)["email"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{EMAIL}')") + "[1:5]")), "phone": (joined(H.contacts(TEXT)["phone"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{PHONE}')") + "[1:5]"))})
+simple("contacts", "documents", "doc_id", {"email": (lambda t: joined(H.contacts(t.text)["email"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{EMAIL}')") + "[1:5]")), "phone": (lambda t: joined(H.contacts(t.text)["phone"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{PHONE}')") + "[1:5]"))})
 
 HEADINGS_SQL = f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS n, level, heading FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, heading ORDER BY idx) AS r FROM (SELECT page_id, lower(substr(h, 2, 2)) AS level, {q.tag_text('h')} AS heading, idx FROM (
@@ -77,7 +81,7 @@ HEADINGS_SQL = f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER
 
 @register("headings", HEADINGS_SQL)
 def headings(spark, d):
-    each = table(spark, d, "pages").select("page_id", F.posexplode(H.headings(HTML)).alias("n", "h"))
+    each = table(spark, d, "pages").select("page_id", F.posexplode(H.headings(F.col("html"))).alias("n", "h"))
     return each.select("page_id", F.col("n") + 1, F.col("h.level").alias("level"), F.col("h.text").alias("heading")).withColumnRenamed("(n + 1)", "n")
 
 
@@ -93,7 +97,7 @@ def internal_links(spark, d):
     return crawl.internal_links(table(spark, d, "pages")).select("page_id", "link", "pos")
 
 
-@register("parsed_pages", f"""SELECT page_id, {q.page_key('url')} AS page_key, {q.slug('url')} AS slug, {q.title('html')} AS title, {q.h1('html')} AS h1, {lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES, "general", True)} AS page_type,
+@register("parsed_pages", f"""SELECT page_id, {q.page_key('url')} AS page_key, {q.slug('url')} AS slug, {q.title('html')} AS title, {q.h1('html')} AS h1, {q.page_type('url')} AS page_type,
   {q.words(q.visible('html'))} AS n_words, sha256({q.visible('html')}) AS content_hash FROM pages""")
 def parsed_pages(spark, d):
     own = P.parsed(table(spark, d, "pages"))
@@ -107,15 +111,15 @@ def page_records(spark, d):
     return own.select("page_id", "slug", "title", "section_count", F.size("headings").alias("n_headings"), F.size("internal_links").alias("n_links"), joined("keywords").alias("keywords"))
 
 
-def part(name: str, column: Column) -> None:
-    register(name)(lambda spark, d: table(spark, d, "pages").select("page_id", H.page_parts("html").alias("p")).select("page_id", column.alias(name)))
+def part(name: str, make: Callable[[], Column]) -> None:
+    register(name)(lambda spark, d: table(spark, d, "pages").select("page_id", H.page_parts("html").alias("p")).select("page_id", make().alias(name)))
 
 
-part("meta_map", joined(F.transform(F.col("p.meta"), lambda x: F.concat_ws("=", x["name"], x["content"]))))
-part("breadcrumbs", joined(F.col("p.breadcrumbs")))
-part("faq_extract", F.size("p.faq"))
-part("faq_jsonld", F.size("p.faq_jsonld"))
-part("tables", F.size("p.tables"))
+part("meta_map", lambda: joined(F.transform(F.col("p.meta"), lambda x: F.concat_ws("=", x["name"], x["content"]))))
+part("breadcrumbs", lambda: joined(F.col("p.breadcrumbs")))
+part("faq_extract", lambda: F.size("p.faq"))
+part("faq_jsonld", lambda: F.size("p.faq_jsonld"))
+part("tables", lambda: F.size("p.tables"))
 
 LINES = "SELECT doc_id, line, idx - 1 AS pos FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 SECTIONS = f"line_sections AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, {q.base_key('substr(line, 1, 40)')} AS key, line AS text, {q.words('line')} AS wc FROM ({LINES}) WHERE {q.words('line')} >= 10)"
@@ -154,7 +158,7 @@ def quality_report(spark, d):
 # Keywords.
 for _name, _stop, _most in (("page_keywords", lx.PAGE_STOP_WORDS, 40), ("chunk_keywords", lx.CHUNK_STOP_WORDS, 15)):
     register(_name, f"SELECT doc_id, coalesce(array_to_string(keywords, '|'), '') AS keywords FROM documents LEFT JOIN ({q.keyword_rows('documents', 'doc_id', 'text', _stop, _most)}) USING (doc_id)")(
-        lambda spark, d, s=_stop, m=_most: chunks.keywords(table(spark, d, "documents"), ["doc_id"], TEXT, s, m).select("doc_id", joined("keywords").alias("keywords"))
+        lambda spark, d, s=_stop, m=_most: chunks.keywords(table(spark, d, "documents"), ["doc_id"], F.col("text"), s, m).select("doc_id", joined("keywords").alias("keywords"))
     )
 
 # Chunks. Packs and sentence groups are folds; the SQL walks them with recursion.
@@ -195,7 +199,7 @@ TITLE_TEXT = f"trim({q.h1('html')} || '. ' || {q.title('html')})"
 
 @register("title_chunk", f"SELECT page_id || '_title' AS chunk_id, page_id, {TITLE_TEXT} AS text, {q.words(TITLE_TEXT)} AS word_count, CAST(0.8 AS DOUBLE) AS priority_score, sha256({TITLE_TEXT}) AS content_hash FROM pages WHERE {q.title('html')} <> ''")
 def title_chunk(spark, d):
-    own = table(spark, d, "pages").select("page_id", H.title(HTML).alias("title"), H.h1(HTML).alias("h1"), H.title(HTML).alias("description"))
+    own = table(spark, d, "pages").select("page_id", H.title(F.col("html")).alias("title"), H.h1(F.col("html")).alias("h1"), H.title(F.col("html")).alias("description"))
     return chunks.title_chunks(own, "page_id").select("chunk_id", "page_id", "text", "word_count", "priority_score", "content_hash")
 
 
@@ -277,15 +281,15 @@ on_questions("routing_keywords", f"SELECT query_id, {sql_joined('routing_keyword
 on_questions("faq_like", "SELECT query_id, faq_like FROM processed", lambda x: x.select("query_id", "faq_like"))
 on_questions("processed_queries", f"SELECT query_id, clean, {sql_joined('keywords')} AS keywords, {sql_joined('intents')} AS intents, {sql_joined('match_terms')} AS match_terms, faq_like FROM processed", lambda x: x.select("query_id", "clean", joined("keywords").alias("keywords"), joined("intents").alias("intents"), joined("match_terms").alias("match_terms"), "faq_like"))
 GREET = f"trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) IN {tuple(lx.GREETINGS)}"
-register("greeting_split", f"WITH {q.QUESTIONS} SELECT {GREET} AS greeting, count(*) AS n FROM (SELECT text FROM questions UNION ALL SELECT 'Hello, there!' FROM region) GROUP BY 1")(
-    lambda spark, d: C.questions(spark, d).select("text").unionByName(table(spark, d, "region").select(F.lit("Hello, there!").alias("text"))).groupBy(query.is_greeting(TEXT).alias("greeting")).agg(F.count("*").alias("n"))
+register("greeting_split", f"WITH {q.QUESTIONS} SELECT {GREET} AS greeting, count(*) AS n FROM questions GROUP BY 1")(
+    lambda spark, d: C.questions(spark, d).groupBy(query.is_greeting(F.col("text")).alias("greeting")).agg(F.count("*").alias("n"))
 )
 register("valid_queries", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 1 AND 2000 AND trim(text) <> ''")(lambda spark, d: query.valid(table(spark, d, "documents")).select("doc_id"))
 
 
 @register("token_overlap", f"WITH w AS (SELECT conv_id, turn, {q.question_words('text')} AS ws FROM conversations) SELECT a.conv_id, a.turn, round({q.likeness('a.ws', 'b.ws')}, 6) AS likeness, len(list_intersect(a.ws, b.ws)) AS shared, len(list_filter(a.ws, lambda x: NOT list_contains(b.ws, x))) AS own FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def token_overlap(spark, d):
-    own = table(spark, d, "conversations").select("conv_id", "turn", index.question_words(TEXT).alias("a"))
+    own = table(spark, d, "conversations").select("conv_id", "turn", index.question_words(F.col("text")).alias("a"))
     nxt = own.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return own.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("likeness"), F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("own"))
 
@@ -307,7 +311,7 @@ register("faq_match", f"WITH {PROBES}, {q.faq_match('probes', 'stored')} SELECT
 def faq_jaccard(spark, d):
     asked, stored = probes(spark, d)
     both = asked.join(stored, asked.query_id == stored.chunk_id)
-    return both.select("query_id", F.round(T.jaccard(index.question_words(TEXT), index.question_words(F.col("question"))), 6).alias("likeness"))
+    return both.select("query_id", F.round(T.jaccard(index.question_words(F.col("text")), index.question_words(F.col("question"))), 6).alias("likeness"))
 
 
 # Retrieval.
@@ -337,23 +341,22 @@ on_retrieval("context_block", "SELECT query_id, sha256(context) AS context_hash,
 on_retrieval("prompt_sources", "SELECT p.query_id, coalesce(array_to_string(urls[1:5], '|'), '') AS sources FROM processed p LEFT JOIN contexts USING (query_id)", lambda x, i: answer.prompts(x, answer.context(retrieve.retrieved(x, i))).select("query_id", "sources"))
 on_retrieval("answers", f"SELECT c.query_id, sha256(CASE WHEN low THEN '{answer.FALLBACK}' ELSE first_text END) AS answer_hash, confidence, CASE WHEN low THEN '' ELSE array_to_string(urls[1:3], '|') END AS sources, n_chunks, low AS fallback FROM (SELECT *, confidence < 0.25 OR n_chunks = 0 AS low FROM confidence) c LEFT JOIN contexts USING (query_id)", lambda x, i: (lambda r: answer.answers(x, r, retrieve.confidence(r, x)).select("query_id", F.sha2("answer", 256).alias("answer_hash"), "confidence", "sources", "n_chunks", "fallback"))(retrieve.retrieved(x, i)))
 
-# The link graph. Test pages link within their host to paths that aren't pages, so a path stands for the next page of the host.
+# The link graph: the first page of each host at depth 0, its sitemap (the host's pages) at depth 1, and from there the pages' own links.
 CANON = "CASE WHEN regexp_matches(regexp_replace({0}, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace({0}, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace({0}, '#.*$', '') END"
+CRAWLABLE = f"regexp_matches({{0}}, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.PATH}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')"
 
 
-@register("link_bfs", f"""WITH RECURSIVE canon AS (SELECT page_id, {q.host('url')} AS host, {CANON.format('url')} AS url FROM pages
-), chain AS (SELECT url AS src, lead(url) OVER (PARTITION BY host ORDER BY page_id) AS dst FROM canon
-), seeds AS (SELECT url FROM (SELECT url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM canon) WHERE r = 1
-), walk(url, depth) AS (SELECT url, CAST(0 AS BIGINT) FROM seeds UNION SELECT dst, depth + 1 FROM walk JOIN chain ON src = url WHERE dst IS NOT NULL AND depth < 8)
+@register("link_bfs", f"""WITH RECURSIVE {LINKS}, own AS (SELECT page_id, {q.host('url')} AS host, url FROM pages
+), seeds AS (SELECT {CANON.format('url')} AS url, CAST(CASE WHEN page_id = min(page_id) OVER (PARTITION BY host) THEN 0 ELSE 1 END AS BIGINT) AS depth FROM own
+), edges AS (SELECT DISTINCT {CANON.format('url')} AS src, {CANON.format('link')} AS dst FROM links WHERE {CRAWLABLE.format('link')}
+), walk(url, depth) AS (SELECT url, depth FROM seeds UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 8)
 SELECT url, min(depth) AS depth FROM walk GROUP BY 1""")
 def link_bfs(spark, d):
-    from pyspark.sql import Window
-
-    canon = table(spark, d, "pages").select("page_id", T.host(URL).alias("host"), T.canonical(URL).alias("url"))
-    order = Window.partitionBy("host").orderBy("page_id")
-    chain = canon.select(F.col("url").alias("src"), F.lead("url").over(order).alias("dst")).where("dst is not null")
-    seeds = canon.withColumn("r", F.row_number().over(order)).where("r = 1").select("url", F.lit(0).cast("long").alias("depth"))
-    return crawl.depths(seeds, chain, most=8)
+    pages = table(spark, d, "pages")
+    first = pages.groupBy(T.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url")).select(T.canonical(F.col("url")).alias("url"), F.lit(0).cast("long").alias("depth"))
+    mapped = crawl.sitemap_urls(sitemaps(pages)).where("kind = 'page'").select(T.canonical(F.col("loc")).alias("url"), F.lit(1).cast("long").alias("depth"))
+    edges = crawl.internal_links(pages).select(T.canonical(F.col("url")).alias("src"), F.col("link").alias("dst"))
+    return crawl.depths(first.unionByName(mapped), edges, most=8)
 
 
 @register("crawl_resume", f"WITH {LINKS} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM pages)")
@@ -362,19 +365,23 @@ def crawl_resume(spark, d):
     return crawl.unseen(crawl.internal_links(pages).select(F.col("link").alias("url")).distinct(), pages)
 
 
-@register("sitemap_parse")
+def sitemaps(pages: DataFrame) -> DataFrame:
+    """Sitemaps (url, xml) of each host's pages, of 50,000 entries at most, as the protocol has it."""
+    entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = pages.groupBy(T.host(F.col("url")).alias("host"), F.floor(F.col("page_id") / 50_000).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
+    return maps.select(F.concat(F.lit("https://"), "host", F.lit("/sitemap-"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
+
+
+@register("sitemap_parse", f"SELECT DISTINCT 'page' AS kind, trim(url) AS loc FROM pages WHERE {q.host('url')} <> ''")
 def sitemap_parse(spark, d):
-    """A sitemap for each host is made of its pages, and read back."""
-    pages = table(spark, d, "pages")
-    entry = F.concat(F.lit("<url><loc>"), F.replace(URL, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    maps = pages.groupBy(T.host(URL).alias("host")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
-    return crawl.sitemap_urls(maps.select(F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml")))
+    """Sitemaps are made of each host's pages, and read back."""
+    return crawl.sitemap_urls(sitemaps(table(spark, d, "pages")))
 
 
 @register("robots_filter")
 def robots_filter(spark, d):
     """Rules that keep crawlers out of /fr, but for the host's path /fr/1."""
     pages = table(spark, d, "pages")
-    hosts = pages.select(T.host(URL).alias("host")).distinct()
+    hosts = pages.select(T.host(F.col("url")).alias("host")).distinct()
     rules = hosts.select("host", F.lit("/fr").alias("path"), F.lit(False).alias("allow")).unionByName(hosts.select("host", F.lit("/fr/1").alias("path"), F.lit(True).alias("allow")))
     return crawl.allowed(pages.select("url"), rules)

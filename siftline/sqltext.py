@@ -22,6 +22,10 @@ def slug(u: str) -> str:
     return f"coalesce(nullif(regexp_replace(regexp_replace(lower({path(u)}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'home')"
 
 
+def page_type(u: str) -> str:
+    return lx.sql_case(f"lower({path(u)})", lx.PAGE_TYPES, f"CASE WHEN len(string_split({path(u)}, '/')) > 2 THEN 'general' ELSE 'home' END", True, quote=False)
+
+
 def page_key(u: str) -> str:
     return f"'page_' || substr(md5({u}), 1, 8)"
 
