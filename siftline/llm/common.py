@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's folder, spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The session's folder, or the cluster's that spark.checkpoint.dir names. Without either, the job ends here; a local master gets one in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+
+
+def clear(*rows: DataFrame) -> str:
+    """The shortest run of underscores that begins no column of rows: helper columns named with it clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for df in rows for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def identity(*columns: Column) -> Column:
+    """A digest of the columns' values together, by which rows are found again. Nulls and empty strings differ."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in columns]))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ turn, so one task makes it, as rows that it hands on; it holds one block a sourc
 
 Every row stays. `balanced` tells whether its slot lies before the first slot that a source which has run out leaves empty; up
 to there the mix keeps the weights. From there on sources that have run out have no blocks in the schedule, the others keep their windows.
-Null sources are a source of their own. Null texts and repeated rows are rows as any. An empty table gives an empty result.
+Null sources are a source of their own. Null and very long texts and repeated rows are rows as any; ties of the random order go by
+id and digest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,16 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DDL, table
+from .common import DDL, clear, identity, table
 from .ordering import numbered
 
 
-def frame_shares(weights: dict[str | None, float], slots: int) -> dict[str | None, int]:
-    """Whole shares of a frame of about `slots` slots, one at least for each positive weight."""
-    total = sum(weights.values())
-    return {s: max(1, round(w / total * slots)) for s, w in weights.items() if w > 0}
-
-
 def pfair_schedule(sources: list[tuple[str | None, float, int, int]]) -> Iterator[tuple[str | None, int, int, bool]]:
     """(source, block, slot, balanced) in order of slots, for sources as (name, weight, blocks, full blocks).
 
@@ -67,11 +62,6 @@ def pfair_schedule(sources: list[tuple[str | None, float, int, int]]) -> Iterato
         slot += 1
 
 
-def pfair_frame(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one frame, whose shares are whole numbers of blocks."""
-    return [x[:3] for x in pfair_schedule([(s, a, a, a) for s, a in shares.items()])]
-
-
 def tempered_weights(rows: DataFrame, source: str, power: float) -> DataFrame:
     """source, weight: in proportion to the sources' row counts to a power below 1, which lifts small sources."""
     return rows.groupBy(source).agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight")).select(F.col(source).alias("source"), "weight")
@@ -92,38 +82,52 @@ def scheduled(rows: DataFrame, source: str, weights: DataFrame, block_rows: int)
     return each.where("weight > 0").repartition(1).mapInArrow(run, "_source string, _block long, slot long, balanced boolean")
 
 
-def mixed(rows: DataFrame, key: str, source: str, weights: dict[str | None, float] | DataFrame, ties: list[str] = (), block_rows: int = 32, frame_slots: int | None = None) -> DataFrame:
-    """rows with block (number within the source), slot (of the block), place (within the block) and balanced.
+NAMES = ("block", "slot", "place", "balanced")
+
+
+def mixed(rows: DataFrame, key: str, source: str, weights: dict[str | None, float] | DataFrame, ties: list[str] = (), block_rows: int = 32, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """rows with block (number within the source), slot (of the block), place (within the block) and balanced, named by `names`.
 
-    Sources without a weight come last, after all slots (slot null). frame_slots has no effect: weights aren't rounded to a frame.
+    Sources without a weight come last, after all slots (slot null). Columns of rows that have one of the names give way to the result's.
     """
     if isinstance(weights, dict):
         weights = rows.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-    plan = scheduled(rows, source, weights, block_rows)
-    dealt = numbered(rows, key, [source], list(ties), "_number", "_rows")
-    blocks = dealt.withColumn("block", F.floor(F.col("_number") / block_rows).cast("long")).withColumn("place", (F.col("_number") % block_rows).cast("int"))
-    slotted = blocks.join(plan, F.col(source).eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
-    return slotted.select(*[F.col(c) for c in rows.columns], "block", "slot", "place", F.coalesce("balanced", F.lit(False)).alias("balanced"))
+    block, slot, place, balanced = names
+    own = rows.drop(*names)
+    p = clear(own)
+    plan = scheduled(own, source, weights, block_rows).toDF(*(p + x for x in ("source", "block", "slot", "balanced")))
+    dealt = numbered(own, key, [source], list(ties), f"{p}number", f"{p}rows")
+    blocks = dealt.withColumn(block, F.floor(F.col(f"{p}number") / block_rows).cast("long")).withColumn(place, (F.col(f"{p}number") % block_rows).cast("int"))
+    slotted = blocks.join(plan, F.col(source).eqNullSafe(F.col(f"{p}source")) & (F.col(block) == F.col(f"{p}block")), "left")
+    return slotted.select(*own.columns, block, F.col(f"{p}slot").alias(slot), place, F.coalesce(f"{p}balanced", F.lit(False)).alias(balanced))
 
 
-def with_slots(rows: DataFrame, power: float = 0.7) -> DataFrame:
-    """All rows (doc_id, source, text and more) with slot, place and balanced.
+def with_slots(rows: DataFrame, power: float = 0.7, names: tuple[str, str, str] = NAMES[1:]) -> DataFrame:
+    """All rows (doc_id, source, text and more) with slot, place and balanced, named by `names`; columns of these names give way.
 
-    Numbers are given to ids and digests, not to whole rows; full copies are told apart by a counter.
+    Numbers are given to ids and digests, not to whole rows; full copies are told apart by a counter. Texts move once, by the
+    digest that both the counter and the join go by.
     """
-    copies = Window.partitionBy("doc_id", "source", "_own").orderBy(F.lit(0))
-    counted = rows.withColumn("_own", F.md5(F.coalesce(F.col("text"), F.lit("")))).withColumn("_copy", F.row_number().over(copies))
-    light = rows.select("doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_own")).withColumn("_copy", F.row_number().over(copies))
-    slots = mixed(light, "doc_id", "source", tempered_weights(rows, "source", power), ["_own", "_copy"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_own").alias("_digest"), F.col("_copy").alias("_k"), "slot", "place", "balanced"
+    own = rows.drop(*names)
+    p = clear(own)
+    alike, copy = f"{p}alike", f"{p}copy"
+    copies = Window.partitionBy(alike).orderBy(F.lit(0))
+    same = identity(F.col("doc_id"), F.col("source"), F.col("text"))
+    counted = own.withColumn(alike, same).withColumn(copy, F.row_number().over(copies))
+    light = own.select("doc_id", "source", same.alias("alike")).withColumn("copy", F.row_number().over(Window.partitionBy("alike").orderBy(F.lit(0))))
+    slots = mixed(light, "doc_id", "source", tempered_weights(own, "source", power), ["alike", "copy"]).select(
+        F.col("alike").alias(f"{p}same"), F.col("copy").alias(f"{p}k"), *[F.col(a).alias(b) for a, b in zip(NAMES[1:], names)]
     )
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_own") == F.col("_digest")) & (F.col("_copy") == F.col("_k"))
-    return counted.join(slots, on).select(*[counted[c] for c in rows.columns], "slot", "place", "balanced")
+    # The counter is compared after the join, so that the texts stay where the digest has put them.
+    found = counted.join(slots, (F.col(alike) == F.col(f"{p}same")) & (F.col(copy) - F.col(f"{p}k") == 0))
+    return found.select(*own.columns, *names)
 
 
 def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
     """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots."""
-    return with_slots(rows, power).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*rows.columns)
+    p = clear(rows)
+    names = (f"{p}slot", f"{p}place", f"{p}balanced")
+    return with_slots(rows, power, names).repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).select(*rows.columns)
 
 
 def op3_pfair_mixing(spark, sf_dir: str) -> DataFrame:

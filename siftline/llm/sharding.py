@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import clear, table
 from .ordering import numbered
 
 ROUNDS = 6
@@ -47,11 +47,14 @@ def permuted(number: Column, n: Column, seed: str) -> Column:
 
 
 def sharded(rows: DataFrame, key: str, ties: list[str], shards: int = 16, seed: str = "0") -> DataFrame:
-    """rows with shard and slot by the permutation."""
-    placed = numbered(rows, key, [], ties, "_number", "_total").withColumn("_image", permuted(F.col("_number"), F.col("_total"), seed))
-    image = F.when(F.col("_image") < F.col("_total"), F.col("_image")).otherwise(F.raise_error(F.lit("cycle walk too short")).cast("long"))
-    return placed.withColumn("_image", image).select(
-        *rows.columns, (F.col("_image") % shards).cast("int").alias("shard"), F.floor(F.col("_image") / shards).cast("long").alias("slot")
+    """rows with shard and slot by the permutation; columns of these names give way to the result's."""
+    own = rows.drop("shard", "slot")
+    p = clear(own)
+    number, total, image = f"{p}number", f"{p}total", f"{p}image"
+    placed = numbered(own, key, [], ties, number, total).withColumn(image, permuted(F.col(number), F.col(total), seed))
+    at = F.when(F.col(image) < F.col(total), F.col(image)).otherwise(F.raise_error(F.lit("cycle walk too short")).cast("long"))
+    return placed.withColumn(image, at).select(
+        *own.columns, (F.col(image) % shards).cast("int").alias("shard"), F.floor(F.col(image) / shards).cast("long").alias("slot")
     )
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, table
+from .common import checkpointed, clear, identity, map_rows, table
 from .components import connected
 
 RADIUS = 3
@@ -154,19 +154,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, all columns as they are: the least doc_id, then the least MD5 of the text."""
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    rows = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
-    docs = checkpointed(map_rows(rows, lambda: lambda text, doc_id, own: (doc_id, own, simhash(text)), "doc_id long, digest string, fingerprint long"))
+    """One row of each group of near-duplicates, all columns as they are: the least doc_id, then the least MD5 of the text.
+
+    Texts move once, by the digest of id and text that both the choice of the row and that of one of its full copies go by.
+    """
+    rows = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), identity(F.col("doc_id").cast("long"), F.col("text")).alias("alike"))
+    docs = checkpointed(map_rows(rows, lambda: lambda text, doc_id, own, alike: (doc_id, own, alike, simhash(text)), "doc_id long, digest string, alike string, fingerprint long"))
     # A null id comes after all others.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "alike"))
     of_print = docs.groupBy("fingerprint").agg(first.alias("first"))
-    kept = near_groups(docs).join(of_print, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    of_rows = documents.withColumn("_own", digest)
-    same = of_rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    # Full copies of the kept row have its id and text.
-    order = Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))
-    return same.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*documents.columns)
+    p = clear(documents)
+    alike, copy = f"{p}alike", f"{p}copy"
+    kept = near_groups(docs).join(of_print, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.alike").alias(alike))
+    same = documents.withColumn(alike, identity(F.col("doc_id").cast("long"), F.col("text"))).join(kept, alike, "left_semi")
+    return same.withColumn(copy, F.row_number().over(Window.partitionBy(alike).orderBy(F.lit(0)))).where(F.col(copy) == 1).select(*documents.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

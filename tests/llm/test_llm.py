@@ -126,15 +126,13 @@ def test_balls_meet_at_three_bits(spark):
 
 @pytest.mark.parametrize("weights", [{"a": 5, "b": 3, None: 2}, {"a": 1}, {str(k): k + 1 for k in range(20)}])
 def test_pfair_windows(weights):
-    shares = mixing.frame_shares(weights, 200)
-    frame = mixing.pfair_frame(shares)
-    total = sum(shares.values())
-    had = dict.fromkeys(shares, 0)
-    for slot, (s, j, at) in enumerate(frame):
-        assert at == slot and j == had[s] and j * total // shares[s] <= slot < math.ceil((j + 1) * total / shares[s])
+    total = sum(weights.values())
+    had = dict.fromkeys(weights, 0)
+    for k, (s, j, slot, _) in enumerate(mixing.pfair_schedule([(s, w, w, w) for s, w in weights.items()])):
+        assert slot == k and j == had[s] and j * total // weights[s] <= slot < math.ceil((j + 1) * total / weights[s])
         had[s] += 1
-        assert all(abs(had[x] - shares[x] * (slot + 1) / total) < 1 for x in shares)
-    assert had == shares
+        assert all(abs(had[x] - weights[x] * (slot + 1) / total) < 1 for x in weights)
+    assert had == weights
 
 
 def test_pfair_deviation_from_the_weights():
@@ -166,7 +164,7 @@ def test_mixing_many_sources(spark):
 
 
 def test_mixing_keeps_all_rows(documents, nothing):
-    rows = mixing.mixed(documents.select("doc_id", "source", "text"), "doc_id", "source", {"a": 2, "b": 1, None: 1}, ["text"], block_rows=2, frame_slots=8)
+    rows = mixing.mixed(documents.select("doc_id", "source", "text"), "doc_id", "source", {"a": 2, "b": 1, None: 1}, ["text"], block_rows=2)
     got = rows.collect()
     assert len(got) == documents.count()
     for s in ("a", "b", None):
@@ -179,6 +177,24 @@ def test_mixing_keeps_all_rows(documents, nothing):
     assert mixing.in_mix_order(nothing).count() == 0
 
 
+HELPERS = "_own _copy _alike _same _k slot place balanced block _number _total _image _spread _bucket _count _offset _rank _rows _source _slot shard fingerprint digest alike copy first root row names terms text_key found spans parts".split()
+
+
+def test_clashing_columns(documents):
+    """Columns with the names of helpers and results come out as they went in, and don't change what is decided."""
+    plain = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    clash = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in HELPERS])
+    own = lambda rows: sorted(map(str, rows))
+    for stage in (quality.passing, simhash.first_of_each, privacy.sanitised, mixing.in_mix_order):
+        got = stage(clash)
+        assert got.columns == clash.columns
+        got = got.collect()
+        assert own(r[:5] for r in got) == own(tuple(r) for r in stage(plain).collect()), stage
+        assert all(r[c] == (f"{c}:{r['doc_id']}" if r["doc_id"] is not None else None) for r in got for c in HELPERS)
+    for made, n in ((mixing.mixed(clash, "doc_id", "source", {"a": 1}, ["text"]), 4), (sharding.sharded(clash, "doc_id", ["text"]), 2)):
+        assert len(set(made.columns)) == len(made.columns) and made.count() == documents.count() and made.columns[-1] in ("balanced", "slot")
+
+
 def test_bpe_round_trip(documents, nothing):
     import public_tokenizers as P
     import tiktoken
