@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence.
 
-Each document gets two histograms: of its UTF-8 bytes by character class, and of the common words of
+Each document gets two histograms: of its characters by class, and of the common words of
 every language that it knows. They are compared with the same histograms of a language as a whole, gathered
 from all documents of that language that pass the base rules, by Jensen-Shannon distance (base 2, so from
 0 to 1). A document stays if it is near enough to one language in both. Short documents have noisy
-histograms; below `min_words` only the base rules judge.
+histograms; below `min_words` only the base rules judge. A language whose documents have fewer than `reference_words` words
+together makes no reference. Of two languages equally near, the first by name is named.
 
 Null texts count as empty: no words, so base_failed. Null or unknown languages take no part in the
 references but are judged against all of them. Without any reference (an empty table, or none of the known
@@ -36,15 +37,18 @@ SLOT = {w.encode(): i for i, w in enumerate(VOCABULARY)}
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Byte classes: lower, upper, digit, white space, sentence marks, other ASCII, bytes of non-ASCII characters.
-N_CLASSES = 7
-BYTE_CLASS = np.full(256, 5, np.uint8)
-BYTE_CLASS[ord("a") : ord("z") + 1] = 0
-BYTE_CLASS[ord("A") : ord("Z") + 1] = 1
-BYTE_CLASS[ord("0") : ord("9") + 1] = 2
-BYTE_CLASS[list(b" \t\n\x0b\x0c\r")] = 3
-BYTE_CLASS[list(b".,;:'\"?-")] = 4
-BYTE_CLASS[128:] = 6
+#: Character classes by code point: lower, upper, digit, white space, sentence marks, other ASCII, other Latin signs, beyond Latin.
+#: The Latin blocks end at LATIN.
+N_CLASSES = 8
+LATIN = 0x250
+CLASS = np.array(
+    [
+        3 if chr(c) in " \t\n\x0b\x0c\r" else 2 if chr(c) in "0123456789" else 4 if chr(c) in ".,;:'\"?-" else 0 if chr(c).isalpha() and chr(c).islower() else 1 if chr(c).isalpha() and chr(c).isupper() else 5 if c < 128 else 6
+        for c in range(LATIN)
+    ]
+    + [7],
+    np.uint8,
+)
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,8 @@ class QualityRules:
     base_max_repeat: int = 30
     #: Fewer words: histograms are too noisy, the distances don't count.
     min_words: int = 40
+    #: A language with fewer words in all documents has no reference.
+    reference_words: int = 1000
     #: Largest distances, as (floor, base, slope): max(floor, base + slope / sqrt(words)). The distance of
     #: a sample from its own law falls with the root of its length.
     class_limit: tuple[float, float, float] = (0.20, 0.10, 1.1)
@@ -62,10 +68,13 @@ class QualityRules:
     languages: tuple[str, ...] = field(default=tuple(COMMON_WORDS))
 
 
-def histograms(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def histograms(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by character class, and by common word (the last slot: all other words)."""
-    by_byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    classes = np.bincount(BYTE_CLASS, weights=by_byte, minlength=N_CLASSES)
+    if text.isascii():
+        by_point = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=LATIN + 1)
+    else:
+        by_point = np.bincount(np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), LATIN), minlength=LATIN + 1)
+    classes = np.bincount(CLASS, weights=by_point, minlength=N_CLASSES)
     slots = [SLOT[w] for w in words if w in SLOT]
     common = np.bincount(slots, minlength=len(SLOT) + 1).astype(float) if slots else np.zeros(len(SLOT) + 1)
     common[-1] = len(words) - len(slots)
@@ -135,11 +144,11 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, tuple[np.
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if lang not in known:
                     continue
-                data = (text.as_py() or "").encode()
-                words = data.split()
+                text = text.as_py() or ""
+                words = text.encode().split()
                 if len(words) < rules.min_words or base_failed(len(words), repeated_words(words), rules):
                     continue
-                totals[lang] += np.concatenate(histograms(data, words))
+                totals[lang] += np.concatenate(histograms(text, words))
         for lang, counts in totals.items():
             yield target.batch([[lang] * size, list(range(size)), counts.tolist()])
 
@@ -153,7 +162,7 @@ def references(documents: DataFrame, rules: QualityRules) -> dict[str, tuple[np.
     out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
     for lang, slot, n in rows:
         out[lang][slot] = n
-    return {lang: (h[:N_CLASSES], h[N_CLASSES:]) for lang, h in sorted(out.items())}
+    return {lang: (h[:N_CLASSES], h[N_CLASSES:]) for lang, h in sorted(out.items()) if h[N_CLASSES:].sum() >= rules.reference_words}
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nearest_lang string, class_excess double, word_excess double, kept boolean"
@@ -174,7 +183,7 @@ def judge_of(documents: DataFrame, rules: QualityRules) -> Callable[[str | None]
         n, failed = counts[0], base_failed(counts[0], counts[4], rules)
         if not langs or not words:
             return (*counts, failed, None, None, None, not failed)
-        classes, common = histograms(data, words)
+        classes, common = histograms(text, words)
         d_class = js_distances(classes, by_class) / limit(rules.class_limit, n)
         d_word = js_distances(common, by_word) / limit(rules.word_limit, n)
         worst = np.maximum(d_class, d_word)

@@ -45,13 +45,17 @@ def test_base_counts_by_brute_force(documents):
     def brute(text):
         text = text or ""
         words = re.findall("[^\x20\x09-\x0d]+", text)
-        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
+        covered = brute_windows(words)
         lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
 
-    small = [r for r in documents.collect() if len(r["text"] or "") < 5000]
-    for r in small:
+    def brute_windows(words):
+        count = {}
+        for i in range(len(words) - 7):
+            count.setdefault(tuple(words[i : i + 8]), []).append(i)
+        return {j for at in count.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+
+    for r in documents.collect():
         text = r["text"] or ""
         assert quality.base_counts(text, text.encode(), text.encode().split()) == brute(text)
 
@@ -68,6 +72,59 @@ def test_quality_verdicts(documents, nothing):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
 
 
+def test_verdicts_by_brute_force(documents):
+    """Histograms, references, distances and limits by plain dictionaries."""
+    rules = quality.QualityRules()
+
+    def kind(c):
+        if c in " \t\n\x0b\x0c\r":
+            return "space"
+        if c in "0123456789":
+            return "digit"
+        if c in ".,;:'\"?-":
+            return "mark"
+        if ord(c) >= 0x250:
+            return "beyond"
+        if c.isalpha() and c.islower():
+            return "lower"
+        if c.isalpha() and c.isupper():
+            return "upper"
+        return "ascii" if ord(c) < 128 else "latin"
+
+    common = {w for v in quality.COMMON_WORDS.values() for w in v.split()}
+
+    def tally(values):
+        out = {}
+        for v in values:
+            out[v] = out.get(v, 0) + 1
+        return out
+
+    def histogram(text):
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        return tally(map(kind, text)), tally(w if w in common else None for w in words), len(words)
+
+    def distance(p, q):
+        p, q = ({k: n / sum(h.values()) for k, n in h.items()} for h in (p, q))
+        return math.sqrt(max(0, sum(x.get(k, 0) * math.log2(2 * x[k] / (p.get(k, 0) + q.get(k, 0))) for x in (p, q) for k in x) / 2))
+
+    rows, verdicts = documents.collect(), {(r["doc_id"], r["n_words"]): r for r in quality.judged(documents, ["doc_id"], rules).collect()}
+    failed = lambda r: next(v["base_failed"] for (k, n), v in verdicts.items() if k == r["doc_id"] and n == histogram(r["text"] or "")[2])
+    refs = {}
+    for r in rows:
+        a, b, n = histogram(r["text"] or "")
+        if r["lang"] in rules.languages and n >= rules.min_words and not failed(r):
+            for old, new in zip(refs.setdefault(r["lang"], ({}, {})), (a, b)):
+                for k, x in new.items():
+                    old[k] = old.get(k, 0) + x
+    assert sum(refs["en"][1].values()) >= rules.reference_words
+    for r in rows:
+        a, b, n = histogram(r["text"] or "")
+        worst = min((max(distance(a, x) / max(0.2, 0.1 + 1.1 / n**0.5), distance(b, y) / max(0.2, 0.1 + 2.1 / n**0.5)) for x, y in refs.values()), default=0) if n else 0
+        got = verdicts[r["doc_id"], n]
+        assert got["kept"] == (not failed(r) and (n < rules.min_words or worst <= 1))
+        assert not n or max(got["class_excess"], got["word_excess"]) == pytest.approx(worst)
+
+
 def test_js_distance():
     p = np.array([1.0, 0, 3])
     assert quality.js_distances(p, np.array([[2.0, 0, 6], [0, 5, 0], [0, 0, 0]])).round(9).tolist() == [0, 1, 1]
