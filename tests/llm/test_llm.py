@@ -276,10 +276,13 @@ def test_bpe_odd_words():
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     r = random.Random(2)
     words = ["".join(r.choice(["th", "e", "in", "é", "🎉", "a", "zz", "1"]) for _ in range(n)) for n in (1, 3, 9, 40, 600) for _ in range(20)]
+    words += ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "ACGT", "abcdefghij", "=-", "aA", "lo", "日本") for n in (31, 33, 34, 35, 40, 64, 100, 333) for _ in range(4)]
+    words += ["a" * n for n in range(30, 80)] + ["=" * 3001, "ha" * 999, "ACGT" * 5000, "".join(r.choice("ACGT") for _ in range(20_000))]
     words = sorted({w for x in words for w in own.words(x)})
-    ids, decoded = own.coded(words)
-    assert [list(map(int, i.split())) for i in ids] == [theirs.encode_ordinary(w) for w in words]
-    assert decoded == [w.encode() for w in words]
+    ids = [x.tolist() for x in own.coded(words)]
+    assert ids == [theirs.encode_ordinary(w) for w in words]
+    flat = np.concatenate([np.array(x, np.int32) for x in ids])
+    assert own.decoded(np.repeat(np.arange(len(ids)), [len(x) for x in ids]), flat) == [w.encode() for w in words]
     for text in ("it's  I'LL\n\n \tx½² Ⅷ\x1c ", "a b​c  d", "don't   stop  "):
         assert own.words(text) == own.full.findall(text)
 
