@@ -443,6 +443,74 @@ def test_wrapper_decides_in_articles(spark):
     assert got[101] == "Head 1\n\nBy our staff.\n\nStory 1\n\nMore of 1"
 
 
+def test_main_text_names_and_repeats(spark):
+    rows = [(1, "https://a.org/1", "<body><h1>Title</h1><p>Story one.</p></body>")] * 2
+    rows += [(k, f"https://b{k}.org/", f"<body><div class='{c}'><p>Story text</p></div></body>") for k, c in enumerate(["layout has-sidebar", "post-with-comments", "no-ads", "unadvertised"], 10)]
+    rows += [(k, f"https://c{k}.org/", f"<body><p>Story text</p><div class='{c}'><p>Other</p></div></body>") for k, c in enumerate(["sidebar", "sidebar-left x", "cookie_banner", "site-footer", "comments", "related-posts", "ad-2"], 20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("_host", F.lit("clash")).withColumn("text", F.lit("clash"))
+    got = [(r["page_id"], r["text"]) for r in wrappers.extracted(df, ["page_id", "_host"]).collect()]
+    assert got.count((1, "Title\n\nStory one.")) == 2
+    assert sorted(x for x in got if x[0] > 1) == [(k, "Story text") for k in (10, 11, 12, 13, *range(20, 27))]
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    r = random.Random(9)
+    part = lambda k: r.choice(["<p>Box</p>", "<ul><li>a<li>b</ul>", f"<h2>n{k}</h2>", "<div class='x'><p>Same</p></div>", ""])
+    rows = [(k, f"https://h{k % 3}.org/{k}", f"<body><h1>T{k % 40}</h1>{part(k)}<p>text {k}</p>{part(k)}{part(k)}<p>Imprint</p></body>") for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first, *others = [sorted(map(tuple, wrappers.host_wrappers(x).collect())) for x in (df.repartition(1), df.repartition(7, "page_id"), df.union(df).orderBy(F.desc("page_id")))]
+    assert len(first) == 3 and all(x == first for x in others)
+
+
+def plain_text_of(html):
+    """Blocks of the article by the standard library's parser, for pages of few kinds of elements."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks, self.held = 0, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.held).split())
+            self.held = []
+            if text:
+                self.blocks.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.depth += 1
+            if tag in ("article", "p", "h1", "div"):
+                self.flush()
+            if tag == "br":
+                self.held.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "div"):
+                self.flush()
+            if tag == "article":
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth:
+                self.held.append(data)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    reader.flush()
+    return "\n\n".join(reader.blocks)
+
+
+def test_given_pages_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = wrappers.op10_wrapper_extraction(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == plain_text_of(rows[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
 def test_wrapper_alignment():
     a = wrappers.skeleton("<ul><li>x<li>y</ul><p>same</p><p>one</p>")
     b = wrappers.skeleton("<ul><li>z</ul><p>same</p><h2>extra</h2>")
