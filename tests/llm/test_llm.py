@@ -415,6 +415,76 @@ def test_disclosing_terms(spark, nothing):
     assert privacy.found(nothing, ["doc_id"]).count() == 0 == privacy.sanitised(nothing).count()
 
 
+def disclosed_brute(texts, rules):
+    """What stands in the place of each term, by text: counts over lines, by plain loops."""
+    import collections
+
+    lines_with, both, holders, around, n_lines = collections.Counter(), {}, {}, {}, 0
+    letters = lambda x: [m for m in re.finditer(r"[^\W\d_]{3,}", x)]
+    wider = lambda t: [f"{t[:n]}*" for n in privacy.LEVELS if len(t) > n]
+    lines = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
+    for i, k, line in lines:
+        n_lines += 1
+        for x in {y for m in letters(line) for y in (m[0].lower(), *wider(m[0].lower()))}:
+            lines_with[x] += 1
+        spans = [(m.start(), kind, m.end()) for kind, p in enumerate(BASE) for m in re.finditer(p, line)]
+        spans = [s for s in spans if s in privacy.base_spans(line)]
+        free = [m for m in letters(line) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        for a, kind, b in spans:
+            near = [m for m in free if m.start() < a][-privacy.REACH :] + [m for m in free if m.start() > a][: privacy.REACH]
+            said = " ".join(m[0].lower() for m in near)
+            entity = privacy.entity_of(line, (a, kind, b))
+            holders.setdefault(entity, set()).add((i, k))
+            for x in {y for m in near for y in (m[0].lower(), *wider(m[0].lower()))}:
+                both.setdefault((entity, x), set()).add((i, k))
+                around.setdefault((entity, x), set()).add(said)
+    score = {
+        (e, x): 1 - math.log(len(at) / lines_with[x]) / math.log(len(holders[e]) / n_lines)
+        for (e, x), at in both.items() if len(around[e, x]) >= rules.support
+    }
+    out = {}
+    for (e, x), s in score.items():
+        if s >= rules.generalise and not x.endswith("*"):
+            put = "" if s >= rules.remove else next((c for c in wider(x) if score[e, c] < rules.generalise), "?")
+            for i in {i for i, _ in holders[e]}:
+                out[i, x] = max(out.get((i, x), (0, "")), (s, put))
+    return {k: put for k, (_, put) in out.items()}
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    r = random.Random(12)
+    people = {"ann@x.org": "annabelle", "bob@y.org": "bobsworth", "+44 20 7946 0958": "carlotta"}
+    texts = []
+    for k in range(150):
+        mail, name = r.choice(list(people.items()))
+        if r.random() < 0.25:
+            name = r.choice(["annabellina", "bobswell", "carlos", "Annabelle"])
+        lines = [text_of(k * 3 + j, 8) for j in range(2)]
+        if k % 3:
+            lines[k % 2] += f" {name if r.random() < 0.9 else 'nobody'} at {mail} " + text_of(k, 9)
+        if k % 7 == 0:
+            lines.append(f"{r.choice(list(people.values()))} on their own")
+        texts.append("\n".join(lines))
+    texts += [texts[1], None, "", f"{'far ' * 30}annabelle " + "w " * 13 + "ann@x.org"]
+    rules = privacy.DisclosureRules(generalise=0.6, remove=0.85)
+    want = disclosed_brute(texts, rules)
+    assert {"", "?"} < set(want.values()) and any(v.endswith("*") for v in want.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in privacy.sanitised(df, rules).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in privacy.found(df, ["doc_id"], rules).collect()}
+    for i, t in enumerate(texts):
+        base = privacy.base_spans(t or "")
+        marks = [(s, e, f"[{privacy.KINDS[k].upper()}]", privacy.KINDS[k]) for s, k, e in base]
+        for m in re.finditer(r"[^\W\d_]{3,}", t or ""):
+            put = want.get((i, m[0].lower()))
+            if put is not None and not any(a < m.end() and m.start() < b for a, _, b in base):
+                marks.append((m.start(), m.end(), put.replace("?", "[NAME]" if m[0][0].isupper() else "[WORD]"), "term"))
+        text = t
+        for s, e, mark, _ in sorted(marks, reverse=True):
+            text = text[:s] + mark + text[e:]
+        assert got[i] == text and spans[i] == ",".join(f"{k}:{s}:{e}" for s, e, _, k in sorted(marks))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</ul></nav><header>Top</header>
 <div class="ad banner">Buy</div><aside>side</aside><article><h1>Head {0} &amp; more</h1><p><b>Bold {0}.<br>next <p>Second&nbsp;para</p><div class="comments"><p>reader says</p></div><form>send</form></article><footer>foot</footer></body></html>"""
 
