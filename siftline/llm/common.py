@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a table that written() has made."""
+    context = table.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if folder is not None and str(folder.toString()).startswith(str(context.getCheckpointDir())):
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes and not only by rows, so that very long texts don't add up; a session's own setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -2,13 +2,14 @@
 
 Equal vectors are one candidate first: only the k + 1 smallest of their ids can be in any result. Each of several curves turns
 directions by a random rotation, keeps DIMS coordinates, evens them out by the corpus's own mean and spread, shifts them, and
-orders the vectors along a Hilbert curve. Every curve is cut into ranges of about BLOCK vectors by quantiles of all keys. A query is compared
-with the ranges around its own place, on every curve, so that a window holds `share` of the curve at least; the ranges'
-best are merged, and ranked by the inner product of the original vectors in double precision.
+orders the vectors along a Hilbert curve. Every curve is cut into LEAST_RANGES ranges or more, of about BLOCK vectors each, by quantiles of all
+keys. A query is compared with the neighbouring ranges around its own place, on every curve; at a curve's end the window shifts inwards, so that every
+window holds `share` of the curve. The ranges' best are merged, and ranked by the inner product of the original vectors in double precision.
+Small and large tables go the same way. Beyond MOST_RANGES ranges their vectors are dealt into parts of PART, so that a task's group stays bounded.
 
 How wide the windows must be depends on the data. Where vectors have few directions in common, as in the test tables, no
-low-dimensional order keeps neighbours together: 24 curves with windows of 4.7 % found 95 % of the true 20 nearest there, but
-look at half of all vectors. Vectors with structure need far less; share is a parameter. With one range the search is exact.
+low-dimensional order keeps neighbours together, and the windows of 24 curves together hold most vectors (README has figures).
+Vectors with structure need far less; share is a parameter.
 
 Null vectors, zero vectors, vectors that hold null or non-finite components, and those whose length isn't the most common one take
 no part. Queries without partners give no rows. Rows that repeat an id with the same vector count once. An empty table gives no rows.
@@ -31,6 +32,10 @@ DIMS = 8
 BITS = 7
 TIE_BITS = 7
 BLOCK = 1024
+LEAST_RANGES, MOST_RANGES = 128, 4096
+PART = 65_536
+#: Points for each range that the quantiles tell apart.
+ACCURACY = 50
 SEED = 42
 
 
@@ -142,12 +147,13 @@ def borders(vectors: DataFrame, curves: Curves, blocks: int) -> list[np.ndarray]
                 yield DDL("curve int, key long").batch([np.tile(np.arange(n, dtype=np.int32), len(keys)), keys.ravel()])
 
     at = [k / blocks for k in range(1, blocks)]
-    rows = vectors.select("rep", "vector").mapInArrow(keyed, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", at, 100 * blocks).alias("cuts")).collect()
+    # at most n_curves * MOST_RANGES numbers
+    rows = vectors.select("rep", "vector").mapInArrow(keyed, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", at, ACCURACY * blocks).alias("cuts")).collect()
     found = {r["curve"]: np.array(r["cuts"], np.int64) for r in rows}
     return [found[c] for c in range(n)]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 24, share: float = 0.047) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 24, share: float = 0.062) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each id for which the column function is_query holds.
 
     What comes to the driver is statistics of the curves' coordinates and their range borders, not rows.
@@ -160,10 +166,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 24, share
     length = len(distinct.select("vector").first()["vector"]) // 8
     curves = Curves(n_curves, length)
     n, curves.mean, curves.spread = statistics(distinct, curves)
-    blocks = max(1, math.ceil(n / BLOCK))
-    reach = 0 if blocks == 1 else max(1, math.ceil((share * blocks - 1) / 2))
-    cuts = borders(distinct, curves, blocks) if blocks > 1 else [np.zeros(0, np.int64)] * n_curves
-    used = 1 if blocks == 1 else n_curves
+    blocks, width, parts = windows(n, share)
+    cuts = borders(distinct, curves, blocks)
 
     # All ids of the queries, also those beyond the k + 1 smallest of equal vectors.
     doubles = F.transform("embedding", lambda x: x.cast("double"))
@@ -171,10 +175,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 24, share
     usable = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
     queries = packed(asked.where(usable).select(F.col("vec_id").alias("rep"), F.array("vec_id").alias("ids"), "v"))
 
-    placed = "curve int, block int, query boolean, rep long, ids array<long>, vector binary"
-
-    candidates = distinct.mapInArrow(_placing(curves, cuts, used, blocks, 0, False), placed)
-    asking = queries.mapInArrow(_placing(curves, cuts, used, blocks, reach, True), placed)
+    candidates = distinct.mapInArrow(_placing(curves, cuts, blocks, 1, parts, False), PLACED)
+    asking = queries.mapInArrow(_placing(curves, cuts, blocks, width, parts, True), PLACED)
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["query"].to_numpy()
@@ -206,27 +208,40 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, n_curves: int = 24, share
                     last = exact[j]
         return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, float)})
 
-    found = candidates.unionByName(asking).groupBy("curve", "block").applyInPandas(compare, result)
+    found = candidates.unionByName(asking).groupBy("curve", "block", "part").applyInPandas(compare, result)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _placing(curves: Curves, cuts: list[np.ndarray], used: int, blocks: int, reach: int, asks: bool):
-    """Rows to the ranges within reach of their own, on each curve."""
-    target = DDL("curve int, block int, query boolean, rep long, ids array<long>, vector binary")
+PLACED = "curve int, block int, part int, query boolean, rep long, ids array<long>, vector binary"
+
+
+def windows(n: int, share: float) -> tuple[int, int, int]:
+    """For n vectors: ranges of a curve, ranges in a window, parts of a range."""
+    blocks = min(n, max(LEAST_RANGES, min(MOST_RANGES, math.ceil(n / BLOCK))))
+    half = max(1, math.ceil((share * blocks - 1) / 2))
+    return blocks, min(blocks, 2 * half + 1), max(1, math.ceil(n / blocks / PART))
+
+
+def _placing(curves: Curves, cuts: list[np.ndarray], blocks: int, width: int, parts: int, asks: bool):
+    """Candidates to their range on each curve and to one of its parts; queries to all parts of the `width` ranges around their own."""
+    target = DDL(PLACED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = curves.keys(matrix(batch.column(2)), batch.column(0).to_numpy())
-            for c in range(used):
+            reps = batch.column(0).to_numpy()
+            keys = curves.keys(matrix(batch.column(2)), reps)
+            mine = (reps.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(parts)
+            for c in range(len(cuts)):
                 own = np.searchsorted(cuts[c], keys[:, c], side="right")
-                for step in range(-reach, reach + 1):
-                    rows = np.flatnonzero((own + step >= 0) & (own + step < blocks))
-                    part = batch.take(pa.array(rows))
-                    yield target.batch([np.full(len(rows), c, np.int32), (own[rows] + step).astype(np.int32), np.full(len(rows), asks), *part.columns])
+                first = np.clip(own - width // 2, 0, blocks - width) if asks else own
+                for step in range(width):
+                    for part in range(parts) if asks else [mine.astype(np.int32)]:
+                        where = np.full(batch.num_rows, part, np.int32) if asks else part
+                        yield target.batch([np.full(batch.num_rows, c, np.int32), (first + step).astype(np.int32), where, np.full(batch.num_rows, asks), *batch.columns])
 
     return run
 

@@ -294,7 +294,7 @@ def test_neighbours_recall(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0] * 3), (9080, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for q in neighbours.nearest(df, lambda i: i % 20 == 0, n_curves=12, share=0.2).collect():
+    for q in neighbours.nearest(df, lambda i: i % 20 == 0).collect():  # production parameters
         got.setdefault(q["query_id"], {})[q["rank"]] = (q["vec_id"], q["score"])
     ids = range(0, len(x), 20)
     assert set(got) == set(ids)
@@ -315,6 +315,13 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest(df.where("vec_id < 5"), lambda i: i % 20 == 0).count() == 4
 
 
+def test_windows_hold_their_share():
+    for n in (1, 2, 5, 127, 128, 500, 2000, 130_000, 5_000_000, 10**9):
+        blocks, width, parts = neighbours.windows(n, 0.062)
+        assert blocks <= neighbours.MOST_RANGES and 0.062 <= width / blocks and n / blocks / parts <= neighbours.PART
+        assert n < 500 or width / blocks < 0.08
+
+
 def test_hilbert_neighbours_are_adjacent():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     place = neighbours.hilbert(grid, 3)
