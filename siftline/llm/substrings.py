@@ -1,26 +1,23 @@
 """Repeated substrings by a distributed difference cover.
 
-Only strings of LENGTH = 50 bytes are compared, so suffixes are sorted and named by their first bytes and the recursion ends
-once names span 50. The sample is the positions of a document that are in the difference cover COVER modulo 21: for any two
-positions i and j there is a shift d below 21 that takes both into the sample. If the 50 bytes at i and j are equal, so
-are the TUPLE = 30 bytes at i + d and j + d. So:
-
-1. Name the sampled tuples (a 64-bit hash stands for the bytes), sort names across the cluster, and find those that two documents share.
-2. Merge in the other suffixes: a string of 50 bytes can only be repeated if it starts less than 21 bytes before a shared tuple. Runs of such
-   candidates are cut where a string's own name says so, alike in all documents; name each chunk of a run, sort these names across the cluster,
-   and compare neighbours: of a chunk that a smaller doc_id has, all strings are to go.
-3. The first document to hold a string holds it in a chunk that no smaller doc_id has. So it's enough to do the same with the strings of such
-   chunks, each on its own: a name that a smaller doc_id has is to go.
-4. Mark the bytes that those strings cover in each document.
-
-Names are sorted in buckets by their leading bits, as packed arrays: a row holds the names of many documents. The number of
-buckets follows the corpus's bytes, so a bucket holds about BUCKET names. A piece of a partition ships each of its names once, for its
-least doc_id; the piece settles the others itself. So a passage that a third of all documents hold weighs no more in its bucket
-than one name for each piece.
-
-Null texts are empty. A null doc_id counts as larger than all others. Rows with the same id don't remove from each other. Texts
-under 50 bytes lose nothing. Strings don't cross documents. A string's name has 56 bits and those of its bucket; for a corpus with n candidate
-strings and b buckets, b * n * n / 2 ** 58 / b ** 2 pairs of different strings with one name are to be expected.
+Only strings of LENGTH = 50 bytes count, so suffixes are sorted by their first 50 bytes and the recursion on names ends there. The sample is the
+positions of a document that are in the difference cover COVER modulo 21: for any two positions i and j there is a shift d below 21 that takes both
+into the sample. If the 50 bytes at i and j are equal, so are the TUPLE = 30 bytes at i + d and j + d. So:
+
+1. Discarding: sampled tuples that no two documents share can't begin nor end in a repeated string. Tuples are told apart by a short hash, sorted
+   across the cluster; what a hash confuses stays. The suffixes left are those that start less than 21 bytes before a shared tuple.
+2. Dealing: suffixes are dealt out by the least name among the 16-byte words of their 50 bytes, so that equal strings meet, and neighbouring
+   suffixes mostly travel together, as one run of bytes. Equal runs of a piece of a partition travel once, for their least doc_id, and
+   settle the others at once: a passage that a third of all documents hold weighs in its bucket one run for each piece.
+3. Names: in a bucket, the words of 8 bytes at all positions are sorted and named by their ranks; the triples of names 8 apart are sorted and named
+   (24 bytes); the triples of those names at 0, 24 and 26 are sorted and named (50 bytes). All names are ranks of bytes, none is a hash. Of suffixes
+   with one name, next to each other in order, those of a document that isn't the least one are to go.
+4. The bytes that those strings cover are marked in each document.
+
+No string is taken out but for equal bytes, whatever the hashes do. Copies of whole texts (equal SHA-256) with a larger doc_id go whole.
+
+Null texts are empty. A null doc_id counts as larger than all others. Rows with the same id don't remove from each other; rows alike in id
+and text have one result. Texts under 50 bytes lose nothing. Strings don't cross documents. Very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -32,22 +29,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DDL, checkpointed, table
+from .common import DDL, checkpointed, identity, table
 
 LENGTH = 50
 MODULUS = 21
 # A perfect difference set modulo 21.
 COVER = np.array([3, 6, 7, 12, 14])
 TUPLE = LENGTH - MODULUS + 1
+#: Tuples, and bytes of runs, that a bucket is to hold.
 BUCKET = 8_000_000
-STRING_WIDTH = 7
-CHUNK = 16
+RUN_BUCKET = 1_500_000
+#: Bytes of a tuple's name that travel, besides those of its bucket.
+NAME_BYTES = 4
 PIECE = 16_000_000
+WORD, BLOCK = 8, 16
 LAST = (1 << 63) - 1
-ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+ALL = (1 << 64) - 1
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -60,19 +62,17 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(data: bytes) -> np.ndarray:
-    """64-bit names of the 16 bytes at every position; at least 16 bytes are needed."""
+def blocks(data: bytes, mask: int) -> np.ndarray:
+    """64-bit names of the 16 bytes at every position; at least 16 bytes are needed. mask: the bits that count."""
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)) * ODD[0]
     words ^= words >> np.uint64(32)
     words *= ODD[3]
-    return joined(words[:-8], words[8:])
+    return joined(words[:-8], words[8:]) & np.uint64(mask)
 
 
-def names_at(block: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """64-bit names of the `size` bytes at each position, from those of blocks of 16; parts may overlap."""
-    if size <= 32:
-        return joined(block[at], block[at + (size - 16)]) * ODD[4]
-    return joined(joined(block[at], block[at + 16]), joined(block[at + (size - 32)], block[at + (size - 16)])) * ODD[5]
+def names_at(block: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit names of the tuples at each position, from those of blocks of 16, which may overlap."""
+    return joined(block[at], block[at + (TUPLE - BLOCK)]) * ODD[4]
 
 
 def sample(n: int) -> np.ndarray:
@@ -98,162 +98,114 @@ def near(shared: np.ndarray, n: int) -> np.ndarray:
     return starts[starts + LENGTH <= n]
 
 
-SHIPPED = "bucket int, rows binary, ids binary, counts binary, names binary, told binary"
-TOLD = "row long, names binary"
+SHIPPED = "bucket int, home int, rows binary, counts binary, names binary, told boolean"
+KEY = "V16"
 
 
-class Shipper:
-    """Gathers names of documents, and gives them on by bucket.
+def told_apart(names: np.ndarray, bits: int) -> np.ndarray:
+    """Names with only the bits that travel: the leading ones, of the bucket, and the last NAME_BYTES."""
+    return names & np.uint64((ALL << 64 - bits & ALL) | (1 << 8 * NAME_BYTES) - 1)
 
-    width: how many of a name's 8 bytes are sent. later: only what a smaller id has is told, else all that two documents share.
-    """
 
-    def __init__(self, bits: int, width: int, later: bool) -> None:
-        self.bits, self.width, self.later = bits, width, later
-        self.target = DDL(SHIPPED)
+class Shipper:
+    """Gathers documents' tuples and gives them on by bucket: each name once, and apart from that those that two documents of the piece share."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.target = bits, DDL(SHIPPED)
         self.clear()
 
     def clear(self) -> None:
-        self.rows: list[int] = []
-        self.ids: list[int] = []
+        self.rows: list[bytes] = []
         self.names: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, row: int, doc_id: int, names: np.ndarray) -> None:
+    def add(self, row: bytes, names: np.ndarray) -> None:
         self.rows.append(row)
-        self.ids.append(doc_id)
         self.names.append(names)
         self.held += len(names)
 
-    def low(self, names: np.ndarray) -> np.ndarray:
-        return names & np.uint64((1 << 8 * self.width) - 1)
-
     def batches(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
-            self.clear()
-            return
-        by_id = np.lexsort((self.rows, self.ids))
-        rows, ids = np.array(self.rows, np.int64)[by_id], np.array(self.ids, np.int64)[by_id]
-        names = trimmed(np.concatenate([self.names[k] for k in by_id]), self.bits, self.width)
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(self.names[k]) for k in by_id])
-        self.room = max(0, 64 - self.bits - 8 * self.width)  # bits left for a document beside a name, in one word
-        if len(rows) > 1 << self.room:
+        if self.held:
+            rows = np.array(self.rows, KEY)
+            names = told_apart(np.concatenate(self.names), self.bits)
+            doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in self.names])
             order = np.argsort(names, kind="stable")  # documents in order within a name
             names, doc = names[order], doc[order]
-        else:
-            word = (names >> np.uint64(64 - self.bits) << np.uint64(8 * self.width) | self.low(names)) << np.uint64(self.room) | doc.astype(np.uint64)
-            word.sort()
-            doc = (word & np.uint64((1 << self.room) - 1)).astype(np.int32)
-            names = word >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits) | self.low(word >> np.uint64(self.room))
-        new_name = np.concatenate(([True], names[1:] != names[:-1]))
-        fresh = new_name | np.concatenate(([True], doc[1:] != doc[:-1]))  # once a document
-        names, doc, new_name = names[fresh], doc[fresh], new_name[fresh]
-        first = np.flatnonzero(new_name)
-        size = np.diff(np.append(first, len(names)))
-        told = ids[doc] > np.repeat(ids[doc[first]], size) if self.later else np.repeat(size > 1, size)
-        for flag, mask in ((0, new_name), (1, told)):
-            yield from self.parts(names[mask], doc[mask], rows, ids, flag)
+            new = np.concatenate(([True], names[1:] != names[:-1]))
+            fresh = new | np.concatenate(([True], doc[1:] != doc[:-1]))  # once a document
+            names, doc, new = names[fresh], doc[fresh], new[fresh]
+            size = np.diff(np.append(np.flatnonzero(new), len(names)))
+            shared = np.repeat(size > 1, size)
+            yield from self.parts(names[new], doc[new], rows, False)
+            yield from self.parts(names[shared], doc[shared], rows, True)
         self.clear()
 
-    def parts(self, names: np.ndarray, doc: np.ndarray, rows: np.ndarray, ids: np.ndarray, flag: int) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket: names by document. flag 1: already told."""
-        bucket = (names >> np.uint64(64 - self.bits)).astype(np.int64)
-        if len(rows) > 1 << self.room:
-            order = np.argsort(bucket * len(rows) + doc, kind="stable")
-            names, doc, bucket = names[order], doc[order], bucket[order]
-        else:
-            width = np.uint64(8 * self.width)
-            word = (bucket.astype(np.uint64) << np.uint64(self.room) | doc.astype(np.uint64)) << width | self.low(names)
-            word.sort()
-            doc = (word >> width & np.uint64((1 << self.room) - 1)).astype(np.int32)
-            names = word >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits) | self.low(word)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+    def parts(self, names: np.ndarray, doc: np.ndarray, rows: np.ndarray, told: bool) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket: names by document. What is told already needs no comparison and is spread out by its first document."""
+        home = (names >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(home * len(rows) + doc, kind="stable")
+        names, doc, home = names[order], doc[order], home[order]
+        cuts = np.flatnonzero(np.diff(home)) + 1
         for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(names)).tolist()):
             if hi > lo:
                 own, counts = np.unique(doc[lo:hi], return_counts=True)
-                columns = [rows[own].tobytes(), ids[own].tobytes() if self.later else b"", counts.astype(np.int32).tobytes(), packed(names[lo:hi], self.width), bytes([flag])]
-                yield self.target.batch([[int(bucket[lo])], *([c] for c in columns)])
-
+                bucket = int.from_bytes(rows[own[0]].tobytes()[:4], "little") + int(home[lo]) & (1 << self.bits) - 1 if told else int(home[lo])
+                low = np.ascontiguousarray(names[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES])
+                yield self.target.batch([[bucket], [int(home[lo])], [rows[own].tobytes()], [counts.astype(np.int32).tobytes()], [low.tobytes()], [told]])
 
-def trimmed(names: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """Names with only the bits that survive the trip: those of the bucket and of the bytes sent."""
-    mask = ((1 << 64) - (1 << 64 - bits)) | ((1 << 8 * width) - 1)
-    return names & np.uint64(mask & (1 << 64) - 1)
 
+def unpacked(data: bytes, home: int, bits: int) -> np.ndarray:
+    out = np.zeros((len(data) // NAME_BYTES, 8), np.uint8)
+    out[:, :NAME_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, NAME_BYTES)
+    return out.view("<u8").ravel() | np.uint64(home << 64 - bits)
 
-def packed(names: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
+TOLD = "row binary, names binary"
 
-def unpacked(data: bytes, width: int, bucket: int, bits: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return trimmed(out.view("<u8").ravel() | np.uint64(bucket << 64 - bits), bits, width) if width < 8 else out.view("<u8").ravel()
 
-
-def told(shipped: DataFrame, bits: int, width: int, later: bool) -> DataFrame:
-    """row and names (packed, 8 bytes each): the names of each row's document that are shared or that a smaller id has."""
+def shared_tuples(rows: DataFrame, bits: int, mask: int) -> DataFrame:
+    """rows: row, text. By row, the names of its sampled tuples that two documents have."""
     target = DDL(TOLD)
 
-    def compare(key, part):
-        bucket = key[0].as_py()
-        rows, ids, counts, names, flags = ([x.as_py() for x in part.column(c)] for c in ("rows", "ids", "counts", "names", "told"))
-        names = [unpacked(n, width, bucket, bits) for n in names]
-        asked = [k for k, f in enumerate(flags) if f == b"\0"]
-        every = np.concatenate([names[k] for k in asked])
-        who = np.concatenate([np.repeat(np.frombuffer(ids[k], np.int64), np.frombuffer(counts[k], np.int32)) for k in asked]) if later else None
-        if later:
-            order = np.argsort(every)
-            own, ordered = who[order], every[order]
-            start = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-            hit = np.empty(len(every), bool)
-            hit[order] = own > np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(ordered))))
-        elif width == 5 and len(every) <= 1 << 24:  # a name and its place in one word
-            word = every << np.uint64(24) | np.arange(len(every), dtype=np.uint64)
-            word.sort()
-            same = word[1:] >> np.uint64(24) == word[:-1] >> np.uint64(24)
-            hit = np.empty(len(every), bool)
-            hit[word & np.uint64((1 << 24) - 1)] = np.append(same, False) | np.insert(same, 0, False)
-        else:
-            ordered = np.sort(every)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            at = np.minimum(np.searchsorted(twice, every), max(len(twice) - 1, 0))
-            hit = twice[at] == every if len(twice) else np.zeros(len(every), bool)
-        out_rows, out_names, seen = [], [], 0
-        for k, f in enumerate(flags):
-            yes = np.ones(len(names[k]), bool)
-            if f == b"\0":
-                yes = hit[seen : seen + len(names[k])]
-                seen += len(names[k])
-                if not yes.any():
-                    continue
-            doc = np.repeat(np.frombuffer(rows[k], np.int64), np.frombuffer(counts[k], np.int32))[yes]
-            own = names[k][yes]
-            cuts = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)).tolist()
-            for lo, hi in zip([0, *cuts[:-1]], cuts):
-                out_rows.append(int(doc[lo]))
-                out_names.append(own[lo:hi].tobytes())
-        return pa.Table.from_batches([target.batch([out_rows, out_names])])
-
-    found = shipped.groupBy("bucket").applyInArrow(compare, TOLD)
-    return found.groupBy("row").agg(F.collect_list("names").alias("names"))
-
-
-def shared_tuples(rows: DataFrame, bits: int) -> DataFrame:
-    """rows: row, doc_id, text. The tuples in the sample that two documents have, by row."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper = Shipper(bits, 5, later=False)
+        shipper = Shipper(bits)
         for batch in batches:
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = (text.as_py() or "").encode()
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_py().encode()
                 if len(data) >= LENGTH:
-                    shipper.add(row, doc_id, names_at(blocks(data), sample(len(data)), TUPLE))
+                    shipper.add(row, names_at(blocks(data, mask), sample(len(data))))
                 if shipper.held * MODULUS >= PIECE * len(COVER):
                     yield from shipper.batches()
         yield from shipper.batches()
 
-    return told(rows.mapInArrow(run, SHIPPED), bits, 5, later=False)
+    def compare(part: pa.Table) -> pa.Table:
+        rows, counts, names, homes, told = (part.column(c).to_pylist() for c in ("rows", "counts", "names", "home", "told"))
+        names = [unpacked(n, h, bits) for n, h in zip(names, homes)]
+        asked = [n for n, t in zip(names, told) if not t]
+        hit = np.zeros(0, bool)
+        if asked:
+            every = np.concatenate(asked)
+            order = np.argsort(every)
+            same = np.concatenate(([False], every[order[1:]] == every[order[:-1]], [False]))
+            hit = np.empty(len(every), bool)
+            hit[order] = same[1:] | same[:-1]
+        out_rows, out_names, seen = [], [], 0
+        for k, n in enumerate(names):
+            yes = np.ones(len(n), bool)
+            if not told[k]:
+                yes = hit[seen : seen + len(n)]
+                seen += len(n)
+            doc = np.repeat(np.arange(len(rows[k]) // 16), np.frombuffer(counts[k], np.int32))[yes]
+            own = n[yes]
+            cuts = [*np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+            for lo, hi in zip([0, *cuts[:-1]], cuts):
+                if hi > lo:
+                    out_rows.append(rows[k][16 * doc[lo] : 16 * doc[lo] + 16])
+                    out_names.append(own[lo:hi].tobytes())
+        return pa.Table.from_batches([target.batch([out_rows, out_names])])
+
+    found = rows.select("row", "text").mapInArrow(run, SHIPPED).groupBy("bucket").applyInArrow(compare, TOLD)
+    return found.groupBy("row").agg(F.collect_list("names").alias("names"))
 
 
 def is_in(names: np.ndarray, parts: list[bytes]) -> np.ndarray:
@@ -261,89 +213,129 @@ def is_in(names: np.ndarray, parts: list[bytes]) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
 
 
-def candidates(data: bytes, shared: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the strings that may be repeated, their names, and where chunks begin among them: about every CHUNK strings, by content."""
-    at, block = sample(len(data)), blocks(data)
-    starts = near(at[is_in(trimmed(names_at(block, at, TUPLE), bits, 5), shared)], len(data))
-    names = names_at(block, starts, LENGTH)
-    cut = names % np.uint64(CHUNK) == 0
-    cut[1:] |= np.diff(starts) != 1
-    cut[:1] = True
-    return starts, names, np.flatnonzero(cut)
+def least_words(block: np.ndarray) -> np.ndarray:
+    """For each string of 50 bytes the least name of its blocks of 16."""
+    for step in (1, 2, 4, 8, 16):  # windows of 2, 4, ... 32 blocks
+        block = np.minimum(block[:-step], block[step:])
+    return np.minimum(block[:-3], block[3:])  # of 35
 
 
-def chunk_names(names: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """64-bit names of chunks from the names of their strings, in order."""
-    if not len(names):
-        return names
-    size = np.diff(np.append(begins, len(names)))
-    place = (np.arange(len(names)) - np.repeat(begins, size)).astype(np.uint64)
-    factor = (place + np.uint64(1)) * ODD[0]
-    factor = (factor ^ factor >> np.uint64(31)) * ODD[1] | np.uint64(1)
-    out = np.add.reduceat((names ^ names >> np.uint64(32)) * factor, begins) ^ size.astype(np.uint64) * ODD[2]
-    return (out ^ out >> np.uint64(29)) * ODD[3]
+def runs(data: bytes, shared: list[bytes], bits: int, mask: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, least word) of the runs of neighbouring suffixes that may be repeated and have one least word."""
+    at, block = sample(len(data)), blocks(data, mask)
+    starts = near(at[is_in(told_apart(names_at(block, at), bits), shared)], len(data))
+    if not len(starts):
+        return
+    words = least_words(block)[starts]
+    cuts = np.flatnonzero((np.diff(starts) != 1) | (words[1:] != words[:-1])) + 1
+    lo, hi = np.concatenate(([0], cuts)), np.append(cuts, len(starts)) - 1
+    yield from zip(starts[lo].tolist(), starts[hi].tolist(), (words[lo] * ODD[5]).tolist())
 
 
-def chunk_bits(bits: int) -> int:
-    return max(4, bits - 3)
+RUN = "bucket int, row binary, doc_id long, first int, last int, data binary"
+SPAN = "row binary, first int, last int"
 
 
-def repeated_chunks(rows: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """rows: row, doc_id, text. The chunks of candidates of each row that a smaller id has as well."""
+def repeated(rows: DataFrame, bits: int, run_bits: int, mask: int) -> DataFrame:
+    """rows: row, doc_id, text, names. By row, the spans of starts (first, last) of strings that a smaller doc_id has."""
+    target = DDL(RUN)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper = Shipper(chunk_bits(bits), 8, later=True)
-        for batch in batches:
-            for row, doc_id, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                _, names, begins = candidates(text.as_py().encode(), parts.as_py(), bits)
-                shipper.add(row, doc_id, chunk_names(names, begins))
-                if shipper.held >= PIECE // 8:
-                    yield from shipper.batches()
-        yield from shipper.batches()
-
-    return told(rows.join(shared, "row").select("row", "doc_id", "text", "names").mapInArrow(run, SHIPPED), chunk_bits(bits), 8, later=True)
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
 
+        def given() -> Iterator[pa.RecordBatch]:
+            least: dict[bytes, int] = {}
+            for *_, doc_id, _, _, data in held:
+                if doc_id < least.get(data, LAST + 1):
+                    least[data] = doc_id
+            # A larger id's run is settled: it only tells its row.
+            out = [(b, r, d, f, n, data if d == least[data] else None) for b, r, d, f, n, data in held]
+            for k in range(0, len(out), 20_000):
+                yield target.batch(list(zip(*out[k : k + 20_000])))
 
-def repeated_strings(rows: DataFrame, shared: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
-    """rows: row, doc_id, text. Of the strings outside the repeated chunks, those that start in a document with a smaller id as well."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper = Shipper(bits, STRING_WIDTH, later=True)
         for batch in batches:
-            for row, doc_id, text, parts, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(k) for k in (2, 3, 4))):
-                _, names, begins = candidates(text.as_py().encode(), parts.as_py(), bits)
-                shipper.add(row, doc_id, names[~in_chunks(names, begins, gone.as_py())])
-                if shipper.held >= PIECE // 8:
-                    yield from shipper.batches()
-        yield from shipper.batches()
-
-    known = rows.join(shared, "row").join(chunks.withColumnRenamed("names", "chunks"), "row", "left")
-    return told(known.select("row", "doc_id", "text", "names", "chunks").mapInArrow(run, SHIPPED), bits, STRING_WIDTH, later=True)
-
-
-def in_chunks(names: np.ndarray, begins: np.ndarray, chunks: list[bytes] | None) -> np.ndarray:
-    """Which strings lie in one of the named chunks."""
-    if not chunks or not len(names):
-        return np.zeros(len(names), bool)
-    return np.repeat(is_in(chunk_names(names, begins), chunks), np.diff(np.append(begins, len(names))))
+            for row, doc_id, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                data = text.as_py().encode()
+                for first, last, word in runs(data, names.as_py(), bits, mask):
+                    held.append((word >> 64 - run_bits, row, doc_id, first, last, data[first : last + LENGTH]))
+                    size += last + LENGTH - first
+                if size >= PIECE:
+                    yield from given()
+                    held, size = [], 0
+        if held:
+            yield from given()
+
+    dealt = rows.select("row", "doc_id", "text", "names").mapInArrow(deal, RUN)
+    # Settled runs go anywhere, so that a frequent passage doesn't fill its bucket with them.
+    spread = F.when(F.col("data").isNull(), F.pmod(F.xxhash64("row", "first"), F.lit(1 << run_bits)).cast("int")).otherwise(F.col("bucket"))
+    spans = dealt.withColumn("bucket", spread).groupBy("bucket").applyInArrow(compared, SPAN)
+    return spans.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+
+
+def named(keys: np.ndarray) -> np.ndarray:
+    """The ranks of keys in sorted order, as names."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+    return out
 
 
-def removed(data: bytes, shared: list[bytes], chunks: list[bytes] | None, strings: list[bytes] | None, bits: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """n_removed, n_spans and the spans of the bytes that the named chunks and strings cover."""
-    starts, names, begins = candidates(data, shared, bits)
-    hit = in_chunks(names, begins, chunks)
-    if strings:
-        hit |= is_in(trimmed(names, bits, STRING_WIDTH), strings)
-    starts = starts[hit]
-    edge = np.zeros(len(data) + 1, np.int32)
-    edge[starts] += 1
-    edge[starts + LENGTH] -= 1
+def triples(names: np.ndarray, at: np.ndarray, second: int, third: int) -> np.ndarray:
+    """Names of the triples of names at each position, and `second` and `third` further on."""
+    a, b, c = names[at], names[at + second], names[at + third]
+    if names.max() < 1 << 21:
+        return named(a << 42 | b << 21 | c)
+    return named(named(a << 32 | b) << 32 | c)
+
+
+def string_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Names of the 50 bytes at each position of `at` in data: equal names for equal bytes, in the order of the bytes."""
+    words = named(np.ndarray((len(data) - WORD + 1,), ">u8", data, 0, (1,)).astype(np.uint64))
+    threes = triples(words, np.arange(len(words) - 2 * WORD), WORD, 2 * WORD)
+    return triples(threes, at, 3 * WORD, LENGTH - 3 * WORD)
+
+
+def compared(part: pa.Table) -> pa.Table:
+    """The spans of the strings in a bucket's runs that a smaller doc_id has."""
+    settled = part.filter(pa.compute.is_null(part.column("data")))
+    own = part.filter(pa.compute.is_valid(part.column("data")))
+    row, first, last = ([settled.column(c).to_pylist()] for c in ("row", "first", "last"))
+    if own.num_rows:
+        data = np.frombuffer(b"".join(own.column("data").to_pylist()), np.uint8)
+        ids, begins, ends = (own.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "first", "last"))
+        count = ends - begins + 1
+        run = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        lengths = count + LENGTH - 1
+        names = string_names(data, (np.cumsum(lengths) - lengths)[run] + place)
+        order = np.argsort(names, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], names[order[1:]] != names[order[:-1]])))
+        least = np.repeat(np.minimum.reduceat(ids[run[order]], heads), np.diff(np.append(heads, len(order))))
+        hit = np.empty(len(run), bool)
+        hit[order] = ids[run[order]] > least
+        k = np.flatnonzero(hit)
+        if len(k):
+            cuts = np.flatnonzero((np.diff(k) != 1) | (run[k[1:]] != run[k[:-1]])) + 1
+            lo, hi = k[np.concatenate(([0], cuts))], k[np.append(cuts, len(k)) - 1]
+            rows = own.column("row").to_pylist()
+            row.append([rows[i] for i in run[lo]])
+            first.append((begins[run[lo]] + place[lo]).tolist())
+            last.append((begins[run[hi]] + place[hi]).tolist())
+    return pa.Table.from_batches([DDL(SPAN).batch([sum(x, []) for x in (row, first, last)])])
+
+
+def removed(n: int, spans: list[dict]) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the strings starting in the spans cover, in a text of n bytes."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, [s["first"] for s in spans], 1)
+    np.add.at(edge, [s["last"] + LENGTH for s in spans], -1)
     gone = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
-    lo, hi = np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1)
-    return int((hi - lo).sum()), len(lo), list(zip(lo.tolist(), hi.tolist()))
+    return list(zip(np.flatnonzero(np.diff(gone) == 1).tolist(), np.flatnonzero(np.diff(gone) == -1).tolist()))
 
 
-RESULT = "row long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
+RESULT = "row binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 @contextmanager
@@ -358,12 +350,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends in turn) of every row of documents."""
+def deduplicated(documents: DataFrame, mask: int = ALL) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends in turn) of every row of documents.
+
+    mask: the bits that count of the hashes by which suffixes are discarded and dealt out; the result doesn't depend on it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = documents.select(F.xxhash64(order, text, F.sha2(text, 256)).alias("row"), order.alias("doc_id"), text.alias("text"))
-    light = checkpointed(documents.select("doc_id", F.xxhash64(order, text, F.sha2(text, 256)).alias("row"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), order.alias("_order")))
+    row = F.unhex(identity(order, text))
+    rows = documents.select(row.alias("row"), order.alias("doc_id"), text.alias("text"))
+    light = checkpointed(documents.select("doc_id", row.alias("row"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), order.alias("_order")))
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, int(total * len(COVER) / MODULUS / BUCKET).bit_length())
 
@@ -372,29 +368,30 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     known = light.join(least, "sha").withColumn("_copy", (F.col("_order") > F.col("_least")) & (F.col("n_bytes") >= LENGTH)).select("doc_id", "row", "n_bytes", "sha", "_copy")
     known = checkpointed(known)
     firsts = rows.join(known.where("not _copy").select("row").distinct(), "row", "left_semi")
-    shared = checkpointed(shared_tuples(firsts.select("row", "doc_id", "text"), bits))
-    chunks = checkpointed(repeated_chunks(rows, shared, bits))
-    strings = checkpointed(repeated_strings(rows, shared, chunks, bits))
+    shared = checkpointed(shared_tuples(firsts, bits, mask))
+    tuples = shared.agg(F.sum(F.aggregate("names", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    # A tuple stands for MODULUS / 5 suffixes, which take 3 to 4 bytes each in runs.
+    run_bits = max(4, int(tuples / 8 * MODULUS / len(COVER) * 3.5 / RUN_BUCKET).bit_length())
+    gone = checkpointed(repeated(rows.join(shared, "row"), bits, run_bits, mask))
     target = DDL(RESULT)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, text, *parts in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4))):
+            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = text.as_py().encode()
-                n, k, spans = removed(data, *(p.as_py() for p in parts), bits)
+                spans = removed(len(data), own.as_py())
                 kept, end = hashlib.sha256(), 0
                 for lo, hi in spans:
                     kept.update(data[end:lo])
                     end = hi
                 kept.update(data[end:])
-                out.append((row, n, k, kept.hexdigest(), [x for s in spans for x in s]))
+                out.append((row, sum(hi - lo for lo, hi in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s]))
             if out:
                 yield target.batch(list(zip(*out)))
 
     # Rows alike in id and text have one result.
-    gone = chunks.withColumnRenamed("names", "chunks").join(strings.withColumnRenamed("names", "strings"), "row", "full").join(shared, "row")
-    changed = rows.join(gone, "row").select("row", "text", "names", "chunks", "strings").mapInArrow(finish, RESULT).dropDuplicates(["row"])
+    changed = rows.join(gone, "row").select("row", "text", "spans").mapInArrow(finish, RESULT).dropDuplicates(["row"])
     whole = F.col("_copy")
     return known.join(changed, "row", "left").select(
         "doc_id", "n_bytes",

@@ -371,12 +371,31 @@ def test_substrings_by_brute_force(spark, documents, nothing):
     rows = {x["doc_id"]: x["text"] for x in df.collect()}
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substrings.deduplicated(df.repartition(5)).collect()}
     assert got == substring_brute(rows)
+    weak = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substrings.deduplicated(df.repartition(3), mask=3).collect()}
+    assert weak == got  # hashes of two bits
     by_null = {x["n_bytes"]: x["n_removed"] for x in substrings.deduplicated(documents).where("doc_id is null").collect()}
     assert all(n == k for n, k in by_null.items())  # its text is that of a smaller id
     assert substrings.deduplicated(documents).count() == documents.count()
     assert substrings.deduplicated(nothing).count() == 0
 
 
+def test_string_names_are_ranks():
+    r = np.random.default_rng(3)
+    data = r.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1500] = data[200:700]
+    at = np.arange(len(data) - 49)
+    strings = [data[k : k + 50].tobytes() for k in at]
+    rank = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert substrings.string_names(data, at).tolist() == [rank[x] for x in strings]
+    wide = r.integers(0, 1 << 30, 500)
+    assert substrings.triples(np.concatenate((wide, [1 << 25])), np.arange(400), 7, 50).tolist() == substrings.triples(substrings.named(wide), np.arange(400), 7, 50).tolist()
+
+
+def test_least_words():
+    block = np.random.default_rng(4).integers(0, 1 << 62, 300).astype(np.uint64)
+    assert substrings.least_words(block).tolist() == [int(block[k : k + 35].min()) for k in range(266)]
+
+
 def test_difference_cover():
     shifts = {(a - b) % substrings.MODULUS for a in substrings.COVER for b in substrings.COVER}
     assert shifts == set(range(substrings.MODULUS))
@@ -649,29 +668,3 @@ def test_pipeline_stages(spark, documents, tmp_path):
         assert out.columns == docs.columns, name
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count() > 0
-
-
-@pytest.mark.parametrize("bits", [4, 20])
-def test_substring_names_are_shipped_once(bits):
-    """bits 4: a document's number fits beside a name; 20: it doesn't."""
-    chance = np.random.default_rng(7)
-    pool = substrings.trimmed(chance.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), bits, 5)
-    documents = {k: chance.choice(pool, 9) for k in range(100)}
-    shipper = substrings.Shipper(bits, 5, later=False)
-    for k, names in documents.items():
-        shipper.add(k, k, names)
-    shipped, told = [], set()
-    for batch in shipper.batches():
-        x = batch.to_pylist()[0]
-        names = substrings.unpacked(x["names"], 5, x["bucket"], bits).tolist()
-        docs = np.repeat(np.frombuffer(x["rows"], np.int64), np.frombuffer(x["counts"], np.int32)).tolist()
-        if x["told"] == b"\1":
-            told |= set(zip(docs, names))
-        else:
-            shipped += names
-    holders = {}
-    for k, names in documents.items():
-        for n in names.tolist():
-            holders.setdefault(n, set()).add(k)
-    assert sorted(shipped) == sorted(holders)
-    assert told == {(k, n) for n, h in holders.items() if len(h) > 1 for k in h}
