@@ -29,7 +29,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +106,22 @@ def told_apart(names: np.ndarray, bits: int) -> np.ndarray:
     return names & np.uint64((ALL << 64 - bits & ALL) | (1 << 8 * NAME_BYTES) - 1)
 
 
+def ordered(names: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """names and documents in order of both; in one word each where there is room, which sorts far faster."""
+    width = bits + 8 * NAME_BYTES
+    room = 64 - width
+    if len(doc) and int(doc.max()) >> room:
+        order = np.lexsort((doc, names))
+        return names[order], doc[order]
+    low, short = np.uint64(8 * NAME_BYTES), np.uint64(room)
+    own = np.uint64((1 << 8 * NAME_BYTES) - 1)
+    word = (names >> np.uint64(64 - bits) << low | names & own) << short | doc.astype(np.uint64)
+    word.sort()
+    doc = (word & np.uint64((1 << room) - 1)).astype(np.int32)
+    word >>= short
+    return word >> low << np.uint64(64 - bits) | word & own, doc
+
+
 class Shipper:
     """Gathers documents' tuples and gives them on by bucket: each name once, and apart from that those that two documents of the piece share."""
 
@@ -129,8 +144,7 @@ class Shipper:
             rows = np.array(self.rows, KEY)
             names = told_apart(np.concatenate(self.names), self.bits)
             doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in self.names])
-            order = np.argsort(names, kind="stable")  # documents in order within a name
-            names, doc = names[order], doc[order]
+            names, doc = ordered(names, doc, self.bits)
             new = np.concatenate(([True], names[1:] != names[:-1]))
             fresh = new | np.concatenate(([True], doc[1:] != doc[:-1]))  # once a document
             names, doc, new = names[fresh], doc[fresh], new[fresh]
@@ -143,7 +157,7 @@ class Shipper:
     def parts(self, names: np.ndarray, doc: np.ndarray, rows: np.ndarray, told: bool) -> Iterator[pa.RecordBatch]:
         """A row for each bucket: names by document. What is told already needs no comparison and is spread out by its first document."""
         home = (names >> np.uint64(64 - self.bits)).astype(np.int64)
-        order = np.argsort(home * len(rows) + doc, kind="stable")
+        order = np.argsort(home * len(rows) + doc)
         names, doc, home = names[order], doc[order], home[order]
         cuts = np.flatnonzero(np.diff(home)) + 1
         for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(names)).tolist()):
@@ -232,28 +246,40 @@ def runs(data: bytes, shared: list[bytes], bits: int, mask: int) -> Iterator[tup
     yield from zip(starts[lo].tolist(), starts[hi].tolist(), (words[lo] * ODD[5]).tolist())
 
 
-RUN = "bucket int, row binary, doc_id long, first int, last int, data binary"
-SPAN = "row binary, first int, last int"
+RUN = "bucket int, rows binary, ids binary, firsts binary, lasts binary, data binary"
+SPAN = "row binary, firsts binary, lasts binary"
 
 
-def repeated(rows: DataFrame, bits: int, run_bits: int, mask: int) -> DataFrame:
-    """rows: row, doc_id, text, names. By row, the spans of starts (first, last) of strings that a smaller doc_id has."""
+def dealt(held: list[tuple], run_bits: int) -> Iterator[pa.RecordBatch]:
+    """A piece's runs (bucket, row, doc_id, first, last, data), a row for each bucket; data null: settled ones, which a larger id has as well as a smaller.
+
+    Settled runs only tell their rows. They go anywhere, so that a frequent passage doesn't fill its bucket with them.
+    """
     target = DDL(RUN)
+    least: dict[bytes, int] = {}
+    for _, _, doc_id, _, _, data in held:
+        if doc_id < least.get(data, LAST + 1):
+            least[data] = doc_id
+    sent: dict[int, list[tuple]] = {}
+    settled: dict[int, list[tuple]] = {}
+    for x in held:
+        if x[2] == least[x[5]]:
+            sent.setdefault(x[0], []).append(x)
+        else:
+            settled.setdefault(int.from_bytes(x[1][:4], "little") & (1 << run_bits) - 1, []).append(x)
+    for own, told in ((sent, False), (settled, True)):
+        for bucket, xs in sorted(own.items()):
+            _, rows, ids, firsts, lasts, data = zip(*xs)
+            columns = [b"".join(rows), np.array(ids, np.int64).tobytes(), np.array(firsts, np.int32).tobytes(), np.array(lasts, np.int32).tobytes(), None if told else b"".join(data)]
+            yield target.batch([[bucket], *([c] for c in columns)])
+
+
+def repeated(rows: DataFrame, bits: int, run_bits: int, mask: int) -> DataFrame:
+    """rows: row, doc_id, text, names. By row, the spans of starts (firsts, lasts: packed) of strings that a smaller doc_id has."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-
-        def given() -> Iterator[pa.RecordBatch]:
-            least: dict[bytes, int] = {}
-            for *_, doc_id, _, _, data in held:
-                if doc_id < least.get(data, LAST + 1):
-                    least[data] = doc_id
-            # A larger id's run is settled: it only tells its row.
-            out = [(b, r, d, f, n, data if d == least[data] else None) for b, r, d, f, n, data in held]
-            for k in range(0, len(out), 20_000):
-                yield target.batch(list(zip(*out[k : k + 20_000])))
-
         for batch in batches:
             for row, doc_id, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data = text.as_py().encode()
@@ -261,24 +287,21 @@ def repeated(rows: DataFrame, bits: int, run_bits: int, mask: int) -> DataFrame:
                     held.append((word >> 64 - run_bits, row, doc_id, first, last, data[first : last + LENGTH]))
                     size += last + LENGTH - first
                 if size >= PIECE:
-                    yield from given()
+                    yield from dealt(held, run_bits)
                     held, size = [], 0
         if held:
-            yield from given()
+            yield from dealt(held, run_bits)
 
-    dealt = rows.select("row", "doc_id", "text", "names").mapInArrow(deal, RUN)
-    # Settled runs go anywhere, so that a frequent passage doesn't fill its bucket with them.
-    spread = F.when(F.col("data").isNull(), F.pmod(F.xxhash64("row", "first"), F.lit(1 << run_bits)).cast("int")).otherwise(F.col("bucket"))
-    spans = dealt.withColumn("bucket", spread).groupBy("bucket").applyInArrow(compared, SPAN)
-    return spans.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = rows.select("row", "doc_id", "text", "names").mapInArrow(deal, RUN).groupBy("bucket").applyInArrow(compared, SPAN)
+    return spans.groupBy("row").agg(F.collect_list(F.struct("firsts", "lasts")).alias("spans"))
 
 
 def named(keys: np.ndarray) -> np.ndarray:
     """The ranks of keys in sorted order, as names."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
     out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+    out[order] = np.cumsum(np.concatenate(([False], sorted_keys[1:] != sorted_keys[:-1])))
     return out
 
 
@@ -297,40 +320,64 @@ def string_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return triples(threes, at, 3 * WORD, LENGTH - 3 * WORD)
 
 
+def repeats(data: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, last) of the spans of strings in different runs that a run with a smaller id has."""
+    sizes = np.array([len(x) for x in data])
+    count = sizes - LENGTH + 1
+    run = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    names = string_names(np.frombuffer(b"".join(data), np.uint8), (np.cumsum(sizes) - sizes)[run] + place)
+    order = np.argsort(names)
+    heads = np.flatnonzero(np.concatenate(([True], names[order[1:]] != names[order[:-1]])))
+    least = np.empty(len(run), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[run[order]], heads), np.diff(np.append(heads, len(order))))
+    k = np.flatnonzero(ids[run] > least)
+    cuts = np.flatnonzero((np.diff(k) != 1) | (run[k[1:]] != run[k[:-1]])) + 1
+    lo, hi = (k[np.concatenate(([0], cuts))], k[np.append(cuts, len(k)) - 1]) if len(k) else (k, k)
+    return run[lo], place[lo], place[hi]
+
+
 def compared(part: pa.Table) -> pa.Table:
-    """The spans of the strings in a bucket's runs that a smaller doc_id has."""
-    settled = part.filter(pa.compute.is_null(part.column("data")))
-    own = part.filter(pa.compute.is_valid(part.column("data")))
-    row, first, last = ([settled.column(c).to_pylist()] for c in ("row", "first", "last"))
-    if own.num_rows:
-        data = np.frombuffer(b"".join(own.column("data").to_pylist()), np.uint8)
-        ids, begins, ends = (own.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "first", "last"))
-        count = ends - begins + 1
-        run = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        lengths = count + LENGTH - 1
-        names = string_names(data, (np.cumsum(lengths) - lengths)[run] + place)
-        order = np.argsort(names, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], names[order[1:]] != names[order[:-1]])))
-        least = np.repeat(np.minimum.reduceat(ids[run[order]], heads), np.diff(np.append(heads, len(order))))
-        hit = np.empty(len(run), bool)
-        hit[order] = ids[run[order]] > least
-        k = np.flatnonzero(hit)
-        if len(k):
-            cuts = np.flatnonzero((np.diff(k) != 1) | (run[k[1:]] != run[k[:-1]])) + 1
-            lo, hi = k[np.concatenate(([0], cuts))], k[np.append(cuts, len(k)) - 1]
-            rows = own.column("row").to_pylist()
-            row.append([rows[i] for i in run[lo]])
-            first.append((begins[run[lo]] + place[lo]).tolist())
-            last.append((begins[run[hi]] + place[hi]).tolist())
-    return pa.Table.from_batches([DDL(SPAN).batch([sum(x, []) for x in (row, first, last)])])
+    """By row, the spans of the strings in a bucket's runs that a smaller doc_id has."""
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    held: list[tuple[bytes, int, int, bytes]] = []
+    least: dict[bytes, int] = {}
+    for x in part.to_pylist():
+        rows = [x["rows"][k : k + 16] for k in range(0, len(x["rows"]), 16)]
+        firsts, lasts = np.frombuffer(x["firsts"], np.int32).tolist(), np.frombuffer(x["lasts"], np.int32).tolist()
+        if x["data"] is None:
+            for row, first, last in zip(rows, firsts, lasts):
+                found.setdefault(row, []).append((first, last))
+            continue
+        at = 0
+        for row, doc_id, first, last in zip(rows, np.frombuffer(x["ids"], np.int64).tolist(), firsts, lasts):
+            data = x["data"][at : at + last - first + LENGTH]
+            at += len(data)
+            held.append((row, doc_id, first, data))
+            if doc_id < least.get(data, LAST + 1):
+                least[data] = doc_id
+    # Equal runs: those with a larger id are settled, those with the least have one result.
+    holders: dict[bytes, list[tuple[bytes, int]]] = {}
+    for row, doc_id, first, data in held:
+        if doc_id > least[data]:
+            found.setdefault(row, []).append((first, first + len(data) - LENGTH))
+        else:
+            holders.setdefault(data, []).append((row, first))
+    if holders:
+        data = list(holders)
+        for k, lo, hi in zip(*(x.tolist() for x in repeats(data, np.array([least[d] for d in data], np.int64)))):
+            for row, first in holders[data[k]]:
+                found.setdefault(row, []).append((first + lo, first + hi))
+    packed = [tuple(np.array(x, np.int32).tobytes() for x in zip(*spans)) for spans in found.values()]
+    return pa.Table.from_batches([DDL(SPAN).batch([list(found), [f for f, _ in packed], [n for _, n in packed]])])
 
 
 def removed(n: int, spans: list[dict]) -> list[tuple[int, int]]:
     """The maximal runs of bytes that the strings starting in the spans cover, in a text of n bytes."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, [s["first"] for s in spans], 1)
-    np.add.at(edge, [s["last"] + LENGTH for s in spans], -1)
+    for s in spans:
+        np.add.at(edge, np.frombuffer(s["firsts"], np.int32), 1)
+        np.add.at(edge, np.frombuffer(s["lasts"], np.int32) + LENGTH, -1)
     gone = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
     return list(zip(np.flatnonzero(np.diff(gone) == 1).tolist(), np.flatnonzero(np.diff(gone) == -1).tolist()))
 
