@@ -135,7 +135,7 @@ def classes_of(term: str) -> list[str]:
 
 
 def together(text: str) -> Iterator[tuple[str, str | None, str, int]]:
-    """Rows of counts() for what is together on each line of a text."""
+    """Rows of pair_counts() for what is together on each line of a text."""
     spans = base_spans(text)
     if not spans:
         return
@@ -171,53 +171,62 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
 
 
-def counts(documents: DataFrame) -> DataFrame:
+def pair_counts(documents: DataFrame) -> DataFrame:
     """entity, term, context, n: how many lines. Written once, as several statistics come from it.
 
-    entity null: lines with the term (a class ends in *), or all lines if the term is null, too. term null: lines with the entity, in the
-    texts whose key is the context. Else: lines with both together, by their surroundings; a line counts for the first of its surroundings.
+    term null: lines with the entity, in the texts whose key is the context. Else: lines with both together (a class of terms ends in *),
+    by their surroundings; a line counts for the first of its surroundings.
     """
     target = DDL(COUNTED_ROW)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines_with: Counter[str | None] = Counter()
         for batch in batches:
             rows: list[tuple] = []
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                lines = lowered(text).split("\n")
-                lines_with[None] += len(lines)
-                for line in lines:
-                    terms = set(TERM.findall(line))
-                    lines_with.update(terms)
-                    for n in LEVELS:
-                        lines_with.update({f"{t[:n]}*" for t in terms if len(t) > n})
-                rows += together(text)
+            for text in batch.column(0):
+                rows += together(text.as_py() or "")
                 if len(rows) > 20_000:
                     yield target.batch(list(zip(*rows)))
                     rows = []
-            if len(lines_with) > COUNTED:
-                rows += [(None, t, None, n) for t, n in lines_with.items()]
-                lines_with.clear()
             if rows:
                 yield target.batch(list(zip(*rows)))
-        if lines_with:
-            yield target.batch(list(zip(*[(None, t, None, n) for t, n in lines_with.items()])))
 
     made = documents.select("text").mapInArrow(run, COUNTED_ROW)
     return checkpointed(made.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")))
 
 
-def disclosures(counted: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """entity, term, score, put: the terms that disclose an entity, and what is to stand in their place (null: their kind)."""
-    paired = counted.where("entity IS NOT NULL AND term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= rules.support)
-    own = counted.where("entity IS NOT NULL AND term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    lines = counted.where("entity IS NULL AND term IS NOT NULL").select("term", F.col("n").alias("n_term"))
-    total = counted.where("entity IS NULL AND term IS NULL").agg(F.sum("n").alias("n_lines"))  # one row
-    each = paired.join(own, "entity").join(lines, "term").join(F.broadcast(total))
+def term_lines(documents: DataFrame) -> DataFrame:
+    """(term, n_term): how many lines have each term and class, over all documents."""
+    target = DDL("term string, n_term long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines_with: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for line in lowered(text.as_py() or "").split("\n"):
+                    terms = set(TERM.findall(line))
+                    lines_with.update(terms)
+                    for n in LEVELS:
+                        lines_with.update({f"{t[:n]}*" for t in terms if len(t) > n})
+            if len(lines_with) > COUNTED:
+                yield target.batch([list(lines_with), list(lines_with.values())])
+                lines_with.clear()
+        if lines_with:
+            yield target.batch([list(lines_with), list(lines_with.values())])
+
+    return documents.select("text").mapInArrow(run, "term string, n_term long").groupBy("term").agg(F.sum("n_term").alias("n_term"))
+
+
+def disclosures(documents: DataFrame, counted: DataFrame, rules: DisclosureRules) -> DataFrame:
+    """entity, term, score, put: the terms that disclose an entity, and what is to stand in their place (null: their kind). counted: pair_counts()."""
+    paired = counted.where("term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= rules.support)
+    own = counted.where("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    lines = documents.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("all_lines"), F.sum(F.col("text").isNull().cast("long")).alias("nulls"))
+    total = lines.select((F.coalesce("all_lines", F.lit(0)) + F.coalesce("nulls", F.lit(0))).alias("n_lines"))  # one row
+    each = paired.join(own, "entity").join(term_lines(documents), "term").join(F.broadcast(total))
     # 1 - log p(e | t) / log p(e); an entity on every line has nothing to disclose
     score = F.when(F.col("n_entity") < F.col("n_lines"), 1 - F.log(F.col("n_both") / F.col("n_term")) / F.log(F.col("n_entity") / F.col("n_lines"))).otherwise(0.0)
-    scored = each.select("entity", "term", score.alias("score"))
+    # Few pairs, written once: terms and their classes are joined with each other.
+    scored = checkpointed(each.select("entity", "term", score.alias("score")))
     told = scored.where((F.col("score") >= rules.generalise) & ~F.col("term").endswith("*"))
     wide = scored.where(F.col("term").endswith("*") & (F.col("score") < rules.generalise))
     put = F.when(F.col("score") >= rules.remove, "")
@@ -234,10 +243,10 @@ TERMS = "array<struct<term:string,score:double,put:string>>"
 
 def terms_of_texts(documents: DataFrame, rules: DisclosureRules) -> DataFrame:
     """text_key and `terms`: the terms that disclose one of the text's entities, with score and what is to be put."""
-    counted = counts(documents)
-    holders = counted.where("entity IS NOT NULL AND term IS NULL").select("entity", F.col("context").alias("text_key"))
+    counted = pair_counts(documents)
+    holders = counted.where("term IS NULL").select("entity", F.col("context").alias("text_key"))
     best = F.max(F.struct("score", F.coalesce("put", F.lit("?")).alias("put")))  # ties of scores: the last by what is put
-    each = holders.join(disclosures(counted, rules), "entity").groupBy("text_key", "term").agg(best.alias("b"))
+    each = holders.join(disclosures(documents, counted, rules), "entity").groupBy("text_key", "term").agg(best.alias("b"))
     one = F.struct("term", F.col("b.score").alias("score"), F.nullif("b.put", F.lit("?")).alias("put"))
     return each.groupBy("text_key").agg(F.sort_array(F.collect_list(one)).alias("terms"))
 
