@@ -414,6 +414,19 @@ def test_licences(spark):
     assert licences.scanned(df.where("false"), ["doc_id"]).count() == 0
 
 
+def test_wrapped_licences(spark):
+    wrap = lambda words, n, mark: "\n".join(mark + " ".join(words[k : k + n]) for k in range(0, len(words), n))
+    rows, want = [], []
+    for k, (family, at) in enumerate([("gpl-3.0", 0), ("gpl-2.0", 0), ("lgpl", 0), ("mit", 0), ("apache-2.0", 0), ("bsd", 2), ("cc-by-sa", 1), ("cc-by-nc", 1), ("isc", 0)]):
+        for mark in ("", " * ", "# ", "// "):
+            rows.append((len(rows), f"{text_of(k, 30)}\n\n{wrap(licences.TEMPLATES[family][at].split(), 9, mark)}\n\n{text_of(k + 9, 30)}"))
+            want.append(family)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit("clash")).withColumn("_text", F.lit("clash"))
+    got = {r["doc_id"]: [x["family"] for x in r["found"]] for r in licences.scanned(df, ["doc_id"]).collect()}
+    right = [set(got[k]) == {w} for k, w in enumerate(want)]
+    assert sum(right) >= 0.9 * len(want), [(w, got[k]) for k, w in enumerate(want) if set(got[k]) != {w}]
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
