@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import found, tag_text
+from .lexicon import EMAIL, NOISE_CLASSES, NOISE_IDS, NOISE_TAGS, PHONE
+from .text import found, joined_url, tag_text, unescaped
 
-NOISE_TAGS = ("script", "style", "noscript", "iframe", "nav", "footer")
-NOISE_CLASSES = ("cookie-banner", "popup", "modal", "ad", "advertisement", "footer", "header-nav", "mobile-menu", "social-links", "social-icons")
-NOISE_IDS = ("cookie", "footer")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {"p": frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 
@@ -39,6 +36,42 @@ def visible(html: Column) -> Column:
     return tag_text(F.regexp_replace(F.regexp_replace(stripped(html), r"(?is)<head\b.*?</head>", ""), r"(?s)<!--.*?-->", ""))
 
 
+#: Ends of blocks, which part paragraphs, and of lines.
+PARAGRAPH_END, LINE_END = r"(?i)</?(?:p|div|h[1-6]|section|article|ul|ol|table|blockquote|main|pre)\b[^>]*>", r"(?i)<(?:br|/li|/tr|/dt|/dd)\b[^>]*>"
+
+
+def visible_lines(html: Column) -> Column:
+    """Text without noise elements and head, in lines as a browser shows it; blank lines part paragraphs."""
+    kept = F.regexp_replace(F.regexp_replace(stripped(html), r"(?is)<head\b.*?</head>", ""), r"(?s)<!--.*?-->", "")
+    broken = F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"\s+", " "), PARAGRAPH_END, "\n\n"), LINE_END, "\n")
+    text = F.regexp_replace(unescaped(F.regexp_replace(broken, "<[^>]*>", "")), r"[ \t]*\n[ \t]*", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def description(html: Column, part: bool = False) -> Column:
+    """The content of the first meta element named description, or with that in its name (`part`, the first generation's rule); empty if there is none."""
+    rest = "[^\"']*" if part else ""
+    element = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\bname\s*=\s*["']{rest}description{rest}["'][^>]*>""", 0)
+    return F.trim(unescaped(F.regexp_extract(element, r"""(?is)\bcontent\s*=\s*"([^"]*)\"""", 1)))
+
+
+FAQ_PAGE = "`@type` string, mainEntity array<struct<name:string,acceptedAnswer:struct<text:string>>>"
+
+
+def faq_jsonld(html: Column) -> Column:
+    """(question, answer) of the FAQ pages in JSON-LD: 30 at most, answers to 1000 characters, which may be empty."""
+    scripts = found(html, r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""", 1)
+    pages = F.filter(F.transform(scripts, lambda x: F.from_json(x, FAQ_PAGE)), lambda x: x["@type"] == "FAQPage")
+    items = F.filter(F.flatten(F.transform(pages, lambda x: F.coalesce(x["mainEntity"], F.array().cast("array<struct<name:string,acceptedAnswer:struct<text:string>>>")))), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+    return F.slice(F.transform(items, lambda x: F.struct(x["name"].alias("question"), F.substring(F.coalesce(x["acceptedAnswer"]["text"], F.lit("")), 1, 1000).alias("answer"))), 1, 30)
+
+
+def contact_links(html: Column, url: Column, most: int = 3) -> Column:
+    """Distinct link targets with `contact` in them, resolved, by first place."""
+    own = F.filter(F.transform(found(html, r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)\"""", 1), lambda x: F.trim(x)), lambda x: F.contains(F.lower(x), F.lit("contact")))
+    return F.slice(F.array_distinct(F.transform(own, lambda x: joined_url(url, x))), 1, most)
+
+
 def headings(html: Column) -> Column:
     """(level, text) of h1 to h6 in order: texts of over 2 characters, the first of equal ones."""
     whole = F.transform(found(html, r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), lambda x: F.struct(F.lower(F.substring(x, 2, 2)).alias("level"), tag_text(x).alias("text")))
@@ -53,9 +86,6 @@ def links(html: Column) -> Column:
     return F.filter(every, lambda x: ~x.rlike("^(mailto:|tel:|#)"))
 
 
-EMAIL, PHONE = r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}", r"\+?\d[\d\s\-().]{7,}\d"
-
-
 def contacts(text: Column, most: int = 5) -> Column:
     """E-mail addresses and telephone numbers: distinct, by first place."""
     return F.struct(
@@ -144,20 +174,8 @@ def breadcrumbs_of(root: Element) -> list[str]:
     return []
 
 
-def faq_of(root: Element, microdata: bool) -> list[tuple[str, str]]:
-    """Question and answer pairs: of microdata or else details elements (20, answers to 500), or of JSON-LD (30, to 1000)."""
-    if not microdata:
-        out = []
-        for e in root.every("script"):
-            if e.attributes.get("type") == "application/ld+json":
-                try:
-                    data = json.loads("".join(c for c in e.children if isinstance(c, str)))
-                except ValueError:
-                    continue
-                for item in data.get("mainEntity", []) if isinstance(data, dict) and data.get("@type") == "FAQPage" else []:
-                    if isinstance(item, dict) and item.get("name"):
-                        out.append((item["name"], str((item.get("acceptedAnswer") or {}).get("text", ""))[:1000]))
-        return out[:30]
+def faq_of(root: Element) -> list[tuple[str, str]]:
+    """Question and answer pairs of microdata, or else of details elements: 20 at most, answers to 500 characters."""
     out = []
     for e in root.walk():
         if e.attributes.get("itemtype", "").endswith("/Question"):
@@ -210,26 +228,29 @@ def sections_of(root: Element) -> list[tuple[int, str, str]]:
     return [(k, *x) for k, x in enumerate(own.items())]
 
 
-PARTS = (
-    "meta array<struct<name:string,content:string>>, breadcrumbs array<string>, faq array<struct<question:string,answer:string>>, "
-    f"faq_jsonld array<struct<question:string,answer:string>>, tables array<struct<headers:array<string>,rows:array<array<string>>>>, sections {SECTIONS}, text string"
-)
+#: What a page's tree can tell, by name: DDL and how it is made.
+PARTS = {
+    "meta": ("array<struct<name:string,content:string>>", lambda r: _named(("name", "content"), meta_of(r))),
+    "breadcrumbs": ("array<string>", breadcrumbs_of),
+    "faq": ("array<struct<question:string,answer:string>>", lambda r: _named(("question", "answer"), faq_of(r))),
+    "tables": ("array<struct<headers:array<string>,rows:array<array<string>>>>", tables_of),
+    "sections": (SECTIONS, lambda r: _named(("pos", "key", "text"), sections_of(r))),
+}
+
+
+def _named(names: tuple[str, ...], values: list[tuple]) -> list[dict]:
+    return [dict(zip(names, v)) for v in values]
 
 
-def page_parts(html: str | Column) -> Column:
-    """What needs a tree, in one pass over the page."""
-    return F.pandas_udf(_page_parts, PARTS)(html)
+def page_parts(html: str | Column, *names: str) -> Column:
+    """A struct of the named parts, which need a tree, in one pass over the page; sections come last, as they prune it."""
+    own = [n for n in PARTS if n in names]
 
+    def parts(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            root = tree(page)
+            rows.append([PARTS[n][1](root) for n in own])
+        return pd.DataFrame(rows, columns=own)
 
-def _page_parts(html: pd.Series) -> pd.DataFrame:
-    rows = []
-    for page in html:
-        root = tree(page)
-        pairs = lambda names, values: [dict(zip(names, v)) for v in values]
-        rows.append(
-            (
-                pairs(("name", "content"), meta_of(root)), breadcrumbs_of(root), pairs(("question", "answer"), faq_of(root, True)),
-                pairs(("question", "answer"), faq_of(root, False)), tables_of(root), pairs(("pos", "key", "text"), sections_of(root)), root.text(),
-            )
-        )
-    return pd.DataFrame(rows, columns=["meta", "breadcrumbs", "faq", "faq_jsonld", "tables", "sections", "text"])
+    return F.pandas_udf(parts, ", ".join(f"{n} {PARTS[n][0]}" for n in own))(html)

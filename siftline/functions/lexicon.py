@@ -61,6 +61,13 @@ PAGE_TYPES_V1 = [
 ]
 SKIPPED_EXTENSIONS = "pdf jpg jpeg png gif svg webp zip mp4 mp3 css js woff woff2 ttf ico map".split()
 
+#: Elements that aren't content, by tag, class and id.
+NOISE_TAGS = ("script", "style", "noscript", "iframe", "nav", "footer")
+NOISE_CLASSES = ("cookie-banner", "popup", "modal", "ad", "advertisement", "footer", "header-nav", "mobile-menu", "social-links", "social-icons")
+NOISE_IDS = ("cookie", "footer")
+#: E-mail addresses and telephone numbers.
+EMAIL, PHONE = r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}", r"\+?\d[\d\s\-().]{7,}\d"
+
 #: Topics and their terms, for a knowledge base on business law.
 INTENTS = [
     ("gst", ["gst", "goods and services tax", "gstin", "gst registration", "gstr"]),

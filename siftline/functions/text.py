@@ -55,7 +55,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def whole_word(text: Column, term: str) -> Column:
-    """Whether a term of letters and spaces occurs as whole words."""
+    """Whether a term of letters, digits and spaces occurs as whole words. Other terms would need to be escaped and aren't taken."""
+    if not all(c.isalnum() or c == " " for c in term):
+        raise ValueError(f"not a plain term: {term!r}")
     return text.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){term}([^\p{{L}}\p{{N}}_]|$)")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from .query import is_greeting
 from .retrieve import THRESHOLD
 
 FALLBACK = "No reliable information was found for this question. Please contact us directly."
@@ -47,14 +48,28 @@ def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None) -> DataFrame:
-    """query_id, answer, confidence, sources (up to 3), n_chunks, fallback: below the threshold, or without chunks, the fallback text."""
-    made = prompts(queries, context(results)).join(confidences, "query_id")
+    """query_id, answer, confidence, sources (up to 3), n_chunks, fallback, intents.
+
+    Below the threshold, or without chunks, the fallback text. Where the generator fails (null), the fallback text with confidence 0.
+    """
+    made = prompts(queries, context(results)).join(confidences, "query_id").join(queries.select("query_id", "intents"), "query_id")
     low = (F.col("confidence") < THRESHOLD) | (F.col("n_chunks") == 0)
     text = (generator or Extractive()).generate(F.col("prompt"), F.col("first_text"))
-    return made.select(
-        "query_id", F.when(low, F.lit(FALLBACK)).otherwise(text).alias("answer"), "confidence",
-        F.when(low, F.lit("")).otherwise(F.array_join(F.slice("urls", 1, 3), "|")).alias("sources"), "n_chunks", low.alias("fallback"),
+    told = made.withColumn("text", F.when(~low, text)).withColumn("low", low).withColumn("failed", ~F.col("low") & F.col("text").isNull())
+    none = F.col("low") | F.col("failed")
+    return told.select(
+        "query_id", F.when(none, F.lit(FALLBACK)).otherwise(F.col("text")).alias("answer"), F.when(F.col("failed"), 0.0).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(none, F.lit("")).otherwise(F.array_join(F.slice("urls", 1, 3), "|")).alias("sources"), "n_chunks", none.alias("fallback"), "intents",
+    )
+
+
+def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None) -> DataFrame:
+    """Rows of answers() for all queries (query_id, text and what is made of them); greetings get their fixed answer with confidence 1."""
+    greeted = queries.where(is_greeting(F.col("text"))).select(
+        "query_id", F.lit(GREETING).alias("answer"), F.lit(1.0).alias("confidence"), F.lit("").alias("sources"), F.lit(0).cast("long").alias("n_chunks"), F.lit(False).alias("fallback"), F.array(F.lit("greeting")).alias("intents")
     )
+    asked = queries.where(~is_greeting(F.col("text")))
+    return greeted.unionByName(answers(asked, results.join(asked.select("query_id"), "query_id", "left_semi"), confidences, generator))
 
 
 def preview(results: DataFrame, most: int = 5) -> DataFrame:

@@ -79,6 +79,13 @@ def described(chunks: DataFrame, page: str) -> DataFrame:
     )
 
 
+def with_keywords(chunks: DataFrame, extra: str | None = None) -> DataFrame:
+    """chunks (chunk_id, text) with keywords of the text, and of the array column `extra`, which goes."""
+    said = F.concat_ws(" ", "text", F.array_join(extra, " ")) if extra else F.col("text")
+    own = keywords(chunks.select("chunk_id", said.alias("_said")), ["chunk_id"], F.col("_said"))
+    return (chunks.drop(extra) if extra else chunks).join(own, "chunk_id")
+
+
 def title_chunks(pages: DataFrame, page: str) -> DataFrame:
     """One chunk of h1 or title, and description, for each page (page, title, h1, description) that has a title or description."""
     text = F.trim(F.concat(F.coalesce(F.nullif("h1", F.lit("")), F.col("title")), F.lit(". "), F.col("description")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -58,6 +59,40 @@ def depths(seeds: DataFrame, edges: DataFrame, most: int = 10, pages: int | None
     return _first(visited, pages)
 
 
+def sitemap_pages(maps: DataFrame, fetch: Callable[[DataFrame], DataFrame], most: int = 5) -> DataFrame:
+    """loc of the pages of sitemaps (url, xml) and of the maps that they name, down to `most` levels. fetch takes urls (url) and gives maps (url, xml)."""
+    from ..plans.session import checkpointed
+
+    pages, seen = None, maps.select("url")
+    for _ in range(most):
+        entries = checkpointed(sitemap_urls(maps))
+        own = entries.where("kind = 'page'").select("loc")
+        pages = own if pages is None else pages.unionByName(own)
+        nested = unseen(entries.where("kind = 'map'").select(F.col("loc").alias("url")), seen)
+        if nested.isEmpty():
+            break
+        seen, maps = seen.unionByName(nested), checkpointed(fetch(nested))
+    return pages.distinct()
+
+
+def crawled(seeds: DataFrame, fetcher: Fetcher, most: int = 10) -> DataFrame:
+    """url, depth, html of the pages that are reached from seeds (url, depth): each round fetches the frontier and follows its links within their hosts."""
+    from ..plans.session import checkpointed
+
+    frontier = seeds.where(crawlable(F.col("url"))).select(canonical(F.col("url")).alias("url"), "depth").groupBy("url").agg(F.min("depth").alias("depth"))
+    found = None
+    for depth in range(most + 1):
+        now = frontier.where(F.col("depth") <= depth)
+        got = checkpointed(fetcher.fetch(now.select("url")).join(now, "url").select("url", "depth", "html"))
+        found = got if found is None else checkpointed(found.unionByName(got))
+        linked = internal_links(got.withColumn("page_id", F.col("url"))).where(crawlable(F.col("link"))).select(canonical(F.col("link")).alias("url")).distinct().withColumn("depth", F.lit(depth + 1).cast(seeds.schema["depth"].dataType))
+        later = frontier.where(F.col("depth") > depth).unionByName(linked).groupBy("url").agg(F.min("depth").alias("depth"))
+        frontier = checkpointed(unseen(later, found))
+        if frontier.isEmpty():
+            break
+    return found
+
+
 def _first(visited: DataFrame, pages: int | None) -> DataFrame:
     return visited if pages is None else visited.orderBy("depth", "url").limit(pages)
 

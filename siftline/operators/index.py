@@ -40,6 +40,12 @@ def faq_index(chunks: DataFrame) -> DataFrame:
     return latest(asked.withColumn("question_hash", F.md5(F.lower("question"))), ["question_hash"], [F.col("chunk_id")]).select("question_hash", "question", "chunk_id", "page_id")
 
 
+def faq_router(chunks: DataFrame) -> DataFrame:
+    """question (lower case), chunk_id of the chunks of type faq: of equal questions the last chunk_id."""
+    question = F.lower(F.trim(F.replace(F.split("text", "\n")[0], F.lit("Q:"), F.lit(""))))
+    return chunks.where("section_type = 'faq'").select(question.alias("question"), "chunk_id").where("question <> ''").groupBy("question").agg(F.max("chunk_id").alias("chunk_id"))
+
+
 def heading_index(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.lower("section").alias("heading"), "chunk_id").where("heading <> ''").distinct()
 

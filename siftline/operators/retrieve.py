@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, rounded
+from ..functions.stem import stemmed
+from ..plans.session import checkpointed
 from . import index
 
 K1, B = 1.2, 0.75
-FEW, FIRST_LIMIT, BROAD_LIMIT, SUPPLEMENT, PAGES = 3, 25, 20, 50, 800
-KEYWORD_SCORE, FAQ_SCORE, LIKE_SCORE, FAQ_LIKENESS = 0.2, 1.0, 0.3, 0.4
-TOP_K, THRESHOLD = 5, 0.25
+KEYWORD_SCORE, FAQ_SCORE, LIKE_SCORE = 0.2, 1.0, 0.3
+THRESHOLD = 0.25
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much is looked at: few (fewer results widen the search), first and broad (results of a search), supplement (chunks by keyword), pages, FAQ likeness, top k."""
+
+    few: int = 3
+    first: int = 25
+    broad: int = 20
+    supplement: int = 50
+    pages: int = 800
+    faq_likeness: float = 0.4
+    top_k: int = 5
 
 
-@dataclass
 class Indexes:
-    """What retrieval reads. chunks: chunk_id, page_id, url, section, section_type, text, keywords, priority_score."""
+    """What retrieval reads. chunks: chunk_id, page_id, url, section, section_type, text, keywords, priority_score.
+
+    Each is a DataFrame or a function that makes it when it is first asked for. stemmed: the postings' terms are stems, and so are queries' terms to be.
+    """
+
+    #: The key that each is sorted by as a table.
+    KEYS = {"chunks": "chunk_id", "keyword": "keyword", "url": "slug", "intent": "intent", "faq": "question_hash", "postings": "term"}
+
+    def __init__(self, stemmed: bool = False, limits: Limits = Limits(), **own: DataFrame | Callable[[], DataFrame]) -> None:
+        if set(own) != set(self.KEYS):
+            raise ValueError(f"indexes are {', '.join(self.KEYS)}")
+        self.stemmed, self.limits, self._own = stemmed, limits, own
 
-    chunks: DataFrame
-    keyword: DataFrame
-    url: DataFrame
-    intent: DataFrame
-    faq: DataFrame
-    postings: DataFrame
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._own:
+            raise AttributeError(name)
+        if callable(value := self._own[name]) and not isinstance(value, DataFrame):
+            self._own[name] = value = value()
+        return value
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -41,31 +66,64 @@ def routed(queries: DataFrame, own: Indexes) -> DataFrame:
     by_intent = queries.select("query_id", F.explode("intents").alias("intent")).where("intent <> 'general'").join(own.intent, "intent").select("query_id", "page_id")
     by_slug = first_items(queries, "routing_keywords", 5, "slug").join(own.url, "slug").select("query_id", "page_id")
     chunks = ranked(first_items(queries, "keywords", 8, "keyword").join(own.keyword, "keyword"), ["query_id", "keyword"], [F.col("chunk_id")])
-    by_keyword = chunks.where(F.col("rank") <= SUPPLEMENT).select("query_id", "page_id")
+    by_keyword = chunks.where(F.col("rank") <= own.limits.supplement).select("query_id", "page_id")
     every = by_intent.unionByName(by_slug).unionByName(by_keyword).distinct()
-    return ranked(every, ["query_id"], [F.col("page_id")]).where(F.col("rank") <= PAGES).select("query_id", "page_id")
+    return ranked(every, ["query_id"], [F.col("page_id")]).where(F.col("rank") <= own.limits.pages).select("query_id", "page_id")
 
 
-def scored(queries: DataFrame, own: Indexes) -> DataFrame:
-    """query_id, chunk_id, page_id, score, n_match, n_terms of every chunk that has a term of the query: one pass for all tiers."""
-    wanted = queries.select("query_id", F.explode("match_terms").alias("term"), F.size("match_terms").alias("n_terms"))
+def wanted_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """query_id, term, n_terms: a query's terms. Two terms with one stem count twice."""
+    own = queries.select("query_id", F.explode("match_terms").alias("term"), F.size("match_terms").alias("n_terms"))
+    if not stem:
+        return own
+    stems = own.select("term").distinct().withColumn("stem", stemmed("term"))
+    return own.join(stems, "term").select("query_id", F.col("stem").alias("term"), "n_terms")
+
+
+def weighted(wanted: DataFrame, own: Indexes) -> DataFrame:
+    """term, chunk_id, s: what each of the batch's terms adds to the score of each chunk that has it."""
     length = index.lengths(own.postings)
     statistics = index.corpus(length)  # one row
     # Frequencies and lengths are needed for the terms and chunks that occur in the batch only.
     hits = own.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     frequency = index.document_frequency(hits)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = frequency.join(F.broadcast(statistics)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("term", "idf", "avgdl")
-    per_term = hits.join(weighted, "term").join(length, "chunk_id").withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    found = wanted.join(per_term, "term").groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
+    terms = frequency.join(F.broadcast(statistics)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("term", "idf", "avgdl")
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return hits.join(terms, "term").join(length, "chunk_id").select("term", "chunk_id", score.alias("s"))
+
+
+def scored(queries: DataFrame, own: Indexes) -> DataFrame:
+    """query_id, chunk_id, page_id, score, n_match, n_terms of every chunk that has a term of the query: one pass for all tiers."""
+    wanted = wanted_terms(queries, own.stemmed)
+    found = wanted.join(weighted(wanted, own), "term").groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
     return found.join(own.chunks.select("chunk_id", "page_id"), "chunk_id")
 
 
+def matched(queries: DataFrame, own: Indexes, every: bool, most: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, n_match, rank: the best `most` chunks with every or any term of the query.
+
+    For every term, only the chunks with the query's rarest term are looked at.
+    """
+    wanted = wanted_terms(queries, own.stemmed)
+    s = weighted(wanted, own)
+    if every:
+        rare = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
+        first = wanted.distinct().join(index.document_frequency(s), "term", "left").withColumn("_r", rare).where("_r = 1").select("query_id", "term")
+        few = first.join(s.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+        hits = few.join(wanted, "query_id").join(s, ["term", "chunk_id"])
+    else:
+        hits = wanted.join(s, "term")
+    found = hits.groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
+    best = ranked(found.where("n_match = n_terms") if every else found, ["query_id"], best_first())
+    return best.where(F.col("rank") <= (most or own.limits.first)).select("query_id", "chunk_id", "score", "n_match", "rank")
+
+
 def best_first() -> list[Column]:
     return [F.desc("score"), F.col("chunk_id")]
 
 
-def tiered(scores: DataFrame, routes: DataFrame) -> DataFrame:
+def tiered(scores: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """query_id, chunk_id, score, tier. Tiers give way to the next while a query has fewer than 3 chunks.
 
     1: all terms, on routed pages (anywhere, if the query has none); 2: all terms anywhere; 3: any term, where tier 1 looked;
@@ -73,60 +131,93 @@ def tiered(scores: DataFrame, routes: DataFrame) -> DataFrame:
     """
     flagged = scores.join(routes.withColumn("on_route", F.lit(True)), ["query_id", "page_id"], "left").join(routes.select("query_id").distinct().withColumn("has_route", F.lit(True)), "query_id", "left")
     flagged = flagged.withColumn("has_route", F.coalesce("has_route", F.lit(False))).withColumn("inside", F.coalesce("on_route", F.lit(False)) | ~F.col("has_route")).withColumn("whole", F.col("n_match") == F.col("n_terms"))
-    query = Window.partitionBy("query_id")
-    count = lambda test: F.sum(test.cast("int")).over(query)
-    counted = flagged.withColumn("n1", count(F.col("whole") & F.col("inside"))).withColumn("n_whole", count(F.col("whole"))).withColumn("n_inside", count(F.col("inside")))
-    second = F.col("has_route") & (F.col("n1") < FEW)
+    # No tier takes more than this of any kind of hits, and counts only matter up to `few`.
+    most = max(limits.few, limits.first, limits.broad)
+    flagged = checkpointed(ranked(flagged, ["query_id", "whole", "inside"], best_first(), "kind_rank").where(F.col("kind_rank") <= most).drop("kind_rank", "page_id", "on_route"))
+    count = lambda test: F.sum(test.cast("int"))
+    counts = flagged.groupBy("query_id").agg(count(F.col("whole") & F.col("inside")).alias("n1"), count(F.col("whole")).alias("n_whole"), count(F.col("inside")).alias("n_inside"))
+    counted = flagged.join(counts, "query_id")
+    second = F.col("has_route") & (F.col("n1") < limits.few)
     after = F.when(second, F.col("n_whole")).otherwise(F.col("n1"))
-    third = (after < FEW) & (F.col("n_terms") > 1)
+    third = (after < limits.few) & (F.col("n_terms") > 1)
     # in tier 3: what is inside and in no tier before
     total = F.when(third, after + F.col("n_inside") - F.col("n1")).otherwise(after)
     tier = (
         F.when(F.col("whole") & F.col("inside"), 1).when(F.col("whole") & second, 2).when(F.col("inside") & third, 3)
-        .when(F.col("has_route") & (total < FEW) & (F.col("whole") | (F.col("n_whole") < FEW) & (F.col("n_terms") > 1)), 4)
+        .when(F.col("has_route") & (total < limits.few) & (F.col("whole") | (F.col("n_whole") < limits.few) & (F.col("n_terms") > 1)), 4)
     )
     given = counted.withColumn("tier", tier).where("tier is not null")
-    place = ranked(given, ["query_id"], [F.col("tier"), *best_first()], "place")
     # the broad search ranks what has all terms, then all others, wherever they were found before
-    broad = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("whole"), *best_first()))
-    return place.withColumn("broad", broad).where(((F.col("tier") < 4) & (F.col("place") <= FIRST_LIMIT)) | ((F.col("tier") == 4) & (F.col("broad") <= BROAD_LIMIT))).select("query_id", "chunk_id", "score", F.col("tier").cast("long").alias("tier"))
+    narrow = ranked(given.where("tier < 4"), ["query_id"], [F.col("tier"), *best_first()], "place").where(F.col("place") <= limits.first)
+    broad = ranked(given.join(given.where("tier = 4").select("query_id").distinct(), "query_id", "left_semi"), ["query_id"], [F.desc("whole"), *best_first()], "place").where((F.col("place") <= limits.broad) & (F.col("tier") == 4))
+    both = narrow.unionByName(broad)
+    return both.select("query_id", "chunk_id", "score", F.col("tier").cast("long").alias("tier"))
 
 
 def keyword_chunks(queries: DataFrame, own: Indexes) -> DataFrame:
     """query_id, chunk_id: the first 50 chunks of a query's first 10 keywords, by keyword and chunk_id."""
     hits = first_items(queries, "keywords", 10, "keyword").join(own.keyword, "keyword").groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"))
-    return ranked(hits, ["query_id"], [F.col("at"), F.col("chunk_id")]).where(F.col("rank") <= SUPPLEMENT).select("query_id", "chunk_id")
+    return ranked(hits, ["query_id"], [F.col("at"), F.col("chunk_id")]).where(F.col("rank") <= own.limits.supplement).select("query_id", "chunk_id")
 
 
-def faq_matches(queries: DataFrame, faq: DataFrame) -> DataFrame:
-    """query_id, chunk_id, likeness: the FAQ whose question's words are most like those of a query (query_id, text), from 0.4.
+def faq_matches(queries: DataFrame, faq: DataFrame, least: float = Limits.faq_likeness) -> DataFrame:
+    """query_id, chunk_id, likeness: the FAQ whose question's words are most like those of a query (query_id, text), from `least` on.
 
-    Only pairs that share a word are compared: others are at 0.
+    Two sets of n and m words that are alike to that degree share one of the rarest n - ceil(least * n) + 1 of the one and of the rarest
+    m - ceil(least * m) + 1 of the other, in one order of all words. Only pairs that share such a word are compared, so that common words join nothing.
     """
-    asked = queries.select("query_id", index.question_words(F.col("text")).alias("q"))
-    kept = faq.select("chunk_id", index.question_words(F.col("question")).alias("f"))
-    shared = asked.select("query_id", F.explode("q").alias("w")).join(kept.select("chunk_id", F.explode("f").alias("w")), "w").select("query_id", "chunk_id").distinct()
+    asked = checkpointed(queries.select("query_id", index.question_words(F.col("text")).alias("q")))
+    kept = checkpointed(faq.select("chunk_id", index.question_words(F.col("question")).alias("f")))
+    common = kept.select(F.explode("f").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str, words: str) -> DataFrame:
+        each = rows.select(key, F.size(words).alias("size"), F.explode(words).alias("w")).join(common, "w", "left")
+        place = ranked(each, [key], [F.coalesce("n", F.lit(0)), F.col("w")])
+        return place.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, "w")
+
+    shared = rarest(asked, "query_id", "q").join(rarest(kept, "chunk_id", "f"), "w").select("query_id", "chunk_id").distinct()
     likeness = F.round(jaccard(F.col("q"), F.col("f")), 6)
-    pairs = shared.join(asked, "query_id").join(kept, "chunk_id").select("query_id", "chunk_id", likeness.alias("likeness")).where(F.col("likeness") >= FAQ_LIKENESS)
+    pairs = shared.join(asked, "query_id").join(kept, "chunk_id").select("query_id", "chunk_id", likeness.alias("likeness")).where(F.col("likeness") >= least)
     return ranked(pairs, ["query_id"], [F.desc("likeness"), F.col("chunk_id")]).where("rank = 1").drop("rank")
 
 
-def like_search(queries: DataFrame, chunks: DataFrame, most: int = FIRST_LIMIT) -> DataFrame:
+def trigrams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda k: F.substring(text, k, 3)))
+
+
+def like_search(queries: DataFrame, chunks: DataFrame, most: int = Limits.first, pages: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of the chunks that hold one of a query's first 3 keywords anywhere, by chunk_id; for engines without an index.
 
-    Every query is compared with every chunk, as the search is for parts of words.
+    The batch's different keywords are looked for, not each query's: a keyword of three letters or more in the texts that hold its first three
+    letters (an equality join), a shorter one in all texts. pages (query_id, page_id) restricts queries that have any there.
     """
-    first = queries.select("query_id", F.slice("keywords", 1, 3).alias("k")).where("size(k) > 0")
-    hits = chunks.select("chunk_id", F.lower("text").alias("t")).join(first, F.exists("k", lambda x: F.contains(F.col("t"), x)))
-    return ranked(hits.select("query_id", "chunk_id"), ["query_id"], [F.col("chunk_id")]).where(F.col("rank") <= most).select("query_id", "chunk_id", F.lit(LIKE_SCORE).alias("score"))
+    first = queries.select("query_id", F.explode(F.slice("keywords", 1, 3)).alias("k"))
+    words = first.select("k").distinct()
+    low = chunks.select("chunk_id", F.lower("text").alias("t"))
+    long = words.where("length(k) >= 3").withColumn("g", F.substring("k", 1, 3))
+    starts = long.select("g").distinct()
+    held = low.select("chunk_id", F.explode(trigrams(F.col("t"))).alias("g")).join(starts, "g", "left_semi")
+    hits = held.join(long, "g").join(low, "chunk_id").where(F.contains(F.col("t"), F.col("k"))).select("k", "chunk_id")
+    short = words.where("length(k) < 3").withColumnRenamed("k", "s")
+    short_hits = low.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 1, F.lit(1))), lambda k: F.substring("t", k, 2)))).alias("s")).join(short, "s").select(F.col("s").alias("k"), "chunk_id")
+    # A keyword's first chunks are enough for every query that has it, unless pages choose among them.
+    found = hits.unionByName(short_hits)
+    if pages is None:
+        found = ranked(found, ["k"], [F.col("chunk_id")]).where(F.col("rank") <= most).drop("rank")
+    each = first.join(found, "k").select("query_id", "chunk_id").distinct()
+    if pages is not None:
+        placed = each.join(chunks.select("chunk_id", "page_id"), "chunk_id")
+        some = pages.select("query_id").distinct()
+        each = placed.join(pages, ["query_id", "page_id"], "left_semi").unionByName(placed.join(some, "query_id", "left_anti")).select("query_id", "chunk_id")
+    return ranked(each, ["query_id"], [F.col("chunk_id")]).where(F.col("rank") <= most).select("query_id", "chunk_id", F.lit(LIKE_SCORE).alias("score"))
 
 
 def gathered(queries: DataFrame, own: Indexes) -> DataFrame:
-    """query_id, chunk_id, score, tier (5: keyword, 6: FAQ) of all candidates of valid queries."""
-    found = tiered(scored(queries, own), routed(queries, own))
+    """query_id, chunk_id, score, tier (5: keyword, 6: FAQ) of all candidates of valid queries: some dozens a query, written once."""
+    found = checkpointed(tiered(scored(queries, own), checkpointed(routed(queries, own)), own.limits))
     more = keyword_chunks(queries, own).join(found, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(KEYWORD_SCORE).alias("score"), F.lit(5).cast("long").alias("tier"))
-    both = found.unionByName(more)
-    faq = faq_matches(queries.where("faq_like"), own.faq).join(both, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(FAQ_SCORE).alias("score"), F.lit(6).cast("long").alias("tier"))
+    both = checkpointed(found.unionByName(more))
+    faq = faq_matches(queries.where("faq_like"), own.faq, own.limits.faq_likeness).join(both, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(FAQ_SCORE).alias("score"), F.lit(6).cast("long").alias("tier"))
     return both.unionByName(faq)
 
 
@@ -149,21 +240,26 @@ def reranked(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> Da
 def deduplicated(rows: DataFrame) -> DataFrame:
     """The first of a query's chunks with equal first 80 characters."""
     prefix = F.lower(F.substring("text", 1, 80))
-    return rows.withColumn("_p", prefix).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy("place"))).where("_r = 1").drop("_p", "_r")
+    return rows.withColumn("_p", prefix if "text" in rows.columns else F.col("prefix")).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy("place"))).where("_r = 1").drop("_p", "_r")
 
 
-def top(rows: DataFrame, most: int = TOP_K) -> DataFrame:
+def top(rows: DataFrame, most: int = Limits.top_k) -> DataFrame:
     return ranked(rows, ["query_id"], [F.col("place")]).where(F.col("rank") <= most)
 
 
-def confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
+def confidence(results: DataFrame, queries: DataFrame, top_k: int = Limits.top_k) -> DataFrame:
     """query_id, n_chunks, confidence of all queries: how many chunks, and overlap and priority of the best."""
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     found = results.groupBy("query_id").agg(F.count("*").alias("n_chunks"), first("overlap").alias("o"), first("priority_score").alias("p"))
-    value = F.round(F.least(F.col("n_chunks") / TOP_K, F.lit(1.0)) * 0.3 + F.least("o", F.lit(1.0)) * 0.4 + F.col("p") * 0.3, 2)
+    value = F.round(F.least(F.col("n_chunks") / top_k, F.lit(1.0)) * 0.3 + F.least("o", F.lit(1.0)) * 0.4 + F.col("p") * 0.3, 2)
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce(value, F.lit(0.0)).alias("confidence"))
 
 
 def retrieved(queries: DataFrame, own: Indexes) -> DataFrame:
-    """The best chunks of every query, with rank, final_score, tier and all chunk columns."""
-    return top(deduplicated(reranked(gathered(queries, own), queries, own.chunks)))
+    """The best chunks of every query, with rank, final_score, tier and all chunk columns. Written once, as answers use it several times.
+
+    Candidates are ranked without their texts; only the best ones fetch them.
+    """
+    light = own.chunks.select("chunk_id", "section", "section_type", "keywords", "priority_score", F.lower(F.substring("text", 1, 80)).alias("prefix"))
+    best = top(deduplicated(reranked(gathered(queries, own), queries, light)), own.limits.top_k).select("query_id", "chunk_id", "score", "tier", "overlap", "final_score", "place", "rank")
+    return checkpointed(checkpointed(best).join(own.chunks, "chunk_id"))

@@ -23,8 +23,17 @@ def base_key(name: Column) -> Column:
 def unique_keys(sections: DataFrame, page: str) -> DataFrame:
     """sections (page, pos, name, ...) with `key`: a repeated one gets the first suffix _2, _3, ... that its page hasn't used yet.
 
-    A fold over the page's sections, as a name can equal a key made for an earlier one.
+    Repeats are numbered. Only where a name equals a key made for another one are the page's sections gone through one by one.
     """
+    based = sections.withColumn("_base", base_key(F.col("name")))
+    place = F.row_number().over(Window.partitionBy(page, "_base").orderBy("pos"))
+    numbered = based.withColumn("_n", place).withColumn("key", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_n").cast("string"))))
+    clash = numbered.groupBy(page, "key").agg(F.count("*").alias("_c")).where("_c > 1").select(page).distinct()
+    columns = [*sections.columns, "key"]
+    return numbered.join(clash, page, "left_anti").select(*columns).unionByName(_folded_keys(sections.join(clash, page, "left_semi"), page).select(*columns))
+
+
+def _folded_keys(sections: DataFrame, page: str) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("pos", base_key(F.col("name")).alias("base"))))
     free = lambda used, base: F.filter(F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(base, F.lit("_"), n.cast("string"))), lambda k: ~F.array_contains(used, k))[0]
     key = lambda used, base: F.when(F.array_contains(used, base), free(used, base)).otherwise(base)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.text import priority, section_type, slug, word_count
 from ..operators import chunks as packing
-from ..operators import index, query
+from ..operators import query
 from ..operators.retrieve import Indexes
+from .build import indexes
+from .session import checkpointed
 
 SECTIONS = {"en": "Title / Overview", "fr": "Process steps", "de": "FAQ questions"}
 OTHER_SECTION = "Contact"
@@ -32,13 +34,13 @@ def page_url(source: Column) -> Column:
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:
-    """Each document as a chunk of the page that its source is."""
+    """Each document as a chunk of the page that its source is. Keywords are worked out once and kept; texts come from the documents."""
     section = section_of(F.col("lang"))
     own = documents.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("page_id"), page_url(F.col("source")).alias("url"), section.alias("section"),
         section_type(section).alias("section_type"), "text", priority(section_type(section), word_count(F.col("text"))).alias("priority_score"),
     )
-    return own.join(packing.keywords(own, ["chunk_id"], F.col("text")), "chunk_id")
+    return own.join(checkpointed(packing.keywords(own, ["chunk_id"], F.col("text"))), "chunk_id")
 
 
 def document_pages(documents: DataFrame) -> DataFrame:
@@ -58,13 +60,9 @@ def processed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.processed(query.valid(questions(spark, sf_dir)), lexicon.SAMPLE_INTENTS)
 
 
-def document_indexes(spark: SparkSession, sf_dir: str) -> Indexes:
+def document_indexes(spark: SparkSession, sf_dir: str, stem: bool = False) -> Indexes:
     documents = table(spark, sf_dir, "documents")
-    chunks, pages = document_chunks(documents), document_pages(documents)
-    return Indexes(
-        chunks=chunks, keyword=index.keyword_index(chunks), url=index.url_index(pages), intent=index.intent_index(pages, lexicon.SAMPLE_INTENTS),
-        faq=index.faq_index(chunks), postings=index.postings(chunks, ["section", "page_id", "text", "keywords"]),
-    )
+    return indexes(document_chunks(documents), document_pages(documents), ["section", "page_id", "text", "keywords"], lexicon.SAMPLE_INTENTS, stem)
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to spark.checkpoint.dir, its lineage cut; where that is unset (tests) to a temporary folder."""
-    context = df.sparkSession.sparkContext
+    """df written once to the folder that spark.checkpoint.dir names, its lineage cut. A local master has one in its warehouse if none is set."""
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = session.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or f"{session.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint(eager=True)

@@ -12,6 +12,7 @@ from .functions import html as H
 from .functions import lexicon as lx
 from .functions import text as T
 from .operators import answer, chunks, crawl, index, query, retrieve, sections
+from .plans import build as B
 from .plans import corpus as C
 from .plans import pages as P
 from .plans.corpus import table
@@ -71,8 +72,7 @@ simple("pages_scan", "pages", "page_id", {"url": (lambda t: t.url, "url"), "n_ch
 simple("page_title", "pages", "page_id", {"title": (lambda t: H.title(t.html), q.title("html")), "h1": (lambda t: H.h1(t.html), q.h1("html"))})
 simple("html_strip", "pages", "page_id", {"stripped_hash": (lambda t: F.sha2(H.stripped(t.html), 256), f"sha256({q.stripped('html')})")})
 simple("visible_text", "pages", "page_id", {"visible": (lambda t: H.visible(t.html), q.visible("html"))})
-EMAIL, PHONE = "[\\w.+-]+@[\\w-]+\\.[a-zA-Z]{2,}", "\\+?\\d[\\d\\s\\-().]{7,}\\d"
-simple("contacts", "documents", "doc_id", {"email": (lambda t: joined(H.contacts(t.text)["email"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{EMAIL}')") + "[1:5]")), "phone": (lambda t: joined(H.contacts(t.text)["phone"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{PHONE}')") + "[1:5]"))})
+simple("contacts", "documents", "doc_id", {"email": (lambda t: joined(H.contacts(t.text)["email"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{lx.EMAIL}')") + "[1:5]")), "phone": (lambda t: joined(H.contacts(t.text)["phone"]), sql_joined(q.distinct(f"regexp_extract_all(text, '{lx.PHONE}')") + "[1:5]"))})
 
 HEADINGS_SQL = f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS n, level, heading FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, heading ORDER BY idx) AS r FROM (SELECT page_id, lower(substr(h, 2, 2)) AS level, {q.tag_text('h')} AS heading, idx FROM (
@@ -111,15 +111,27 @@ def page_records(spark, d):
     return own.select("page_id", "slug", "title", "section_count", F.size("headings").alias("n_headings"), F.size("internal_links").alias("n_links"), joined("keywords").alias("keywords"))
 
 
-def part(name: str, make: Callable[[], Column]) -> None:
-    register(name)(lambda spark, d: table(spark, d, "pages").select("page_id", H.page_parts("html").alias("p")).select("page_id", make().alias(name)))
+def part(spark, d, name: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", H.page_parts("html", name)[name].alias(name))
 
 
-part("meta_map", lambda: joined(F.transform(F.col("p.meta"), lambda x: F.concat_ws("=", x["name"], x["content"]))))
-part("breadcrumbs", lambda: joined(F.col("p.breadcrumbs")))
-part("faq_extract", lambda: F.size("p.faq"))
-part("faq_jsonld", lambda: F.size("p.faq_jsonld"))
-part("tables", lambda: F.size("p.tables"))
+register("meta_map")(lambda spark, d: part(spark, d, "meta").select("page_id", joined(F.transform("meta", lambda x: F.concat_ws("=", x["name"], x["content"]))).alias("meta_map")))
+register("breadcrumbs")(lambda spark, d: part(spark, d, "breadcrumbs").select("page_id", joined("breadcrumbs").alias("breadcrumbs")))
+register("faq_extract")(lambda spark, d: part(spark, d, "faq").select("page_id", F.posexplode("faq").alias("n", "x")).select("page_id", "n", "x.question", "x.answer"))
+register("tables")(
+    lambda spark, d: part(spark, d, "tables").select("page_id", F.posexplode("tables").alias("n", "x")).select("page_id", "n", joined("x.headers").alias("headers"), F.posexplode("x.rows").alias("row", "cells")).withColumn("cells", joined("cells"))
+)
+register("faq_jsonld", """SELECT page_id, CAST(n - 1 AS BIGINT) AS n, coalesce(json_extract_string(item, '$.name'), '') AS question, substr(coalesce(json_extract_string(item, '$.acceptedAnswer.text'), ''), 1, 1000) AS answer FROM (
+  SELECT page_id, item, row_number() OVER (PARTITION BY page_id ORDER BY k, i) AS n FROM (SELECT page_id, k, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM (
+    SELECT page_id, k, CAST(json_extract(doc, '$.mainEntity') AS JSON[]) AS items FROM (SELECT page_id, unnest(l) AS doc, generate_subscripts(l, 1) AS k FROM (
+      SELECT page_id, regexp_extract_all(html, '(?is)<script\\b[^>]*type\\s*=\\s*["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS l FROM pages)) WHERE json_valid(doc) AND json_extract_string(doc, '$."@type"') = 'FAQPage'))
+  WHERE coalesce(json_extract_string(item, '$.name'), '') <> '') WHERE n <= 30""")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", F.posexplode(H.faq_jsonld(F.col("html"))).alias("n", "x")).select("page_id", "n", "x.question", "x.answer")
+)
+CONTACT_LINKS = "list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1), lambda x: trim(x)), lambda x: contains(lower(x), 'contact')), lambda x: regexp_replace(x, '#.*$', ''))"
+register("contact_links", f"SELECT page_id, {sql_joined(q.distinct('own') + '[1:3]')} AS contact_links FROM (SELECT page_id, list_transform({CONTACT_LINKS}, lambda h: {LINK}) AS own FROM pages)")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", joined(H.contact_links(F.col("html"), F.col("url"))).alias("contact_links"))
+)
 
 LINES = "SELECT doc_id, line, idx - 1 AS pos FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 SECTIONS = f"line_sections AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, {q.base_key('substr(line, 1, 40)')} AS key, line AS text, {q.words('line')} AS wc FROM ({LINES}) WHERE {q.words('line')} >= 10)"
@@ -133,7 +145,7 @@ def sections_v1(spark, d):
     return P.headed_sections(sections.lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id", F.regexp_count("line", F.lit(r"\S+")) < 6).select("doc_id", "key", "sid", F.sha2("text", 256).alias("text_hash"))
 
 
-@register("sections_v2")
+@register("sections_v2", f"WITH {q.visible_sections('(SELECT doc_id AS id, text, NULL AS title FROM documents)')} SELECT id AS doc_id, CAST(pos AS BIGINT) AS pos, key, sha256(text) AS text_hash FROM visible_sections")
 def sections_v2(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("title"))
     return sections.visible_sections(rows, "doc_id", "text", "title").select("doc_id", "pos", "key", F.sha2("text", 256).alias("text_hash"))
@@ -162,31 +174,14 @@ for _name, _stop, _most in (("page_keywords", lx.PAGE_STOP_WORDS, 40), ("chunk_k
     )
 
 # Chunks. Packs and sentence groups are folds; the SQL walks them with recursion.
-PACKED = f"""{SECTIONS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM line_sections
-), packing(doc_id, i, pos, key, text, wc, pack, held) AS (
-  SELECT doc_id, i, pos, key, text, wc, 1, CASE WHEN wc < 50 THEN wc ELSE 0 END FROM ordered WHERE i = 1
-  UNION ALL
-  SELECT o.doc_id, o.i, o.pos, o.key, o.text, o.wc, p.pack + CASE WHEN o.wc >= 50 OR p.held = 0 THEN 1 ELSE 0 END, CASE WHEN o.wc >= 50 OR p.held + o.wc >= 50 THEN 0 ELSE p.held + o.wc END
-  FROM packing p JOIN ordered o ON o.doc_id = p.doc_id AND o.i = p.i + 1
-), ends AS (SELECT doc_id, max(pack) AS last FROM packing GROUP BY 1
-), small AS (SELECT doc_id, min(pos) AS pos, 0 AS part, arg_max(key, pos) AS key, trim(string_agg(text, ' ' ORDER BY pos)) AS text, sum(wc) AS wc FROM packing JOIN ends USING (doc_id) WHERE wc <= 700 GROUP BY doc_id, pack, last HAVING pack < last OR sum(wc) >= 15
-), pieces AS (SELECT doc_id, pos, key, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, pos, key, string_split(regexp_replace(text, '([.!?])\\s+', '\\1␞', 'g'), '␞') AS l FROM packing WHERE wc > 700)
-), sized AS (SELECT *, {q.words('line')} AS wc FROM pieces
-), cutting(doc_id, pos, key, i, line, wc, part, held) AS (
-  SELECT doc_id, pos, key, i, line, wc, 0, wc FROM sized WHERE i = 1
-  UNION ALL
-  SELECT s.doc_id, s.pos, s.key, s.i, s.line, s.wc, c.part + CASE WHEN c.held > 0 AND c.held + s.wc > 700 THEN 1 ELSE 0 END, CASE WHEN c.held > 0 AND c.held + s.wc > 700 THEN s.wc ELSE c.held + s.wc END
-  FROM cutting c JOIN sized s ON s.doc_id = c.doc_id AND s.pos = c.pos AND s.i = c.i + 1
-), large AS (SELECT doc_id, pos, part, key, trim(string_agg(line, ' ' ORDER BY i)) AS text, sum(wc) AS wc FROM cutting GROUP BY ALL
-), packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS n, key, text, CAST(wc AS BIGINT) AS wc FROM (SELECT * FROM small UNION ALL SELECT * FROM large WHERE text <> ''))"""
+PACKED = f"{SECTIONS}, {q.PACKED}"
 
 
 def packed(spark, d) -> DataFrame:
     return chunks.packed(sections.line_sections(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-DESCRIBED = f"""described AS (SELECT doc_id || '_chunk_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id, doc_id, {q.section_type('key')} AS section_type, text, wc AS word_count,
-  {q.entities('text')} AS entities, {q.priority(q.section_type('key'), 'wc')} AS priority_score, sha256(text) AS content_hash FROM packed)"""
+DESCRIBED = q.DESCRIBED
 
 
 @register("chunk_pack", f"WITH RECURSIVE {PACKED}, {DESCRIBED} SELECT chunk_id, doc_id, section_type, word_count, array_to_string(entities, '|') AS entities, priority_score, content_hash FROM described")
@@ -235,6 +230,7 @@ def on_chunks(name: str, select: str, build) -> None:
 on_chunks("keyword_index", "SELECT * FROM keyword_index", lambda x: x.keyword)
 on_chunks("url_index", "SELECT * FROM url_index", lambda x: x.url)
 on_chunks("faq_index", "SELECT * FROM faq_index", lambda x: x.faq)
+on_chunks("faq_router", "SELECT question, max(chunk_id) AS chunk_id FROM (SELECT lower(trim(replace(string_split(text, chr(10))[1], 'Q:', ''))) AS question, chunk_id FROM chunks WHERE section_type = 'faq') WHERE question <> '' GROUP BY 1", lambda x: index.faq_router(x.chunks))
 on_chunks("intent_index", "SELECT * FROM intent_index", lambda x: x.intent)
 on_chunks("heading_index", "SELECT DISTINCT lower(section) AS heading, chunk_id FROM chunks", lambda x: index.heading_index(x.chunks))
 on_chunks("postings", "SELECT * FROM postings", lambda x: x.postings)
@@ -268,6 +264,11 @@ def kb_stats(spark, d):
     return count(pages, F.count("*"), "n_pages").crossJoin(count(own.chunks, F.count("*"), "n_chunks")).crossJoin(count(own.keyword, F.countDistinct("keyword"), "n_keywords")).crossJoin(count(own.faq, F.count("*"), "n_faq"))
 
 
+register("kb_health", "SELECT (SELECT count(*) FROM documents) > 0 AND (SELECT count(*) FROM pages) > 0 AS ready, (SELECT count(*) FROM pages) AS n_pages, (SELECT count(*) FROM documents) AS n_chunks")(
+    lambda spark, d: table(spark, d, "pages").agg(F.count("*").alias("n_pages")).crossJoin(table(spark, d, "documents").agg(F.count("*").alias("n_chunks"))).select(((F.col("n_pages") > 0) & (F.col("n_chunks") > 0)).alias("ready"), "n_pages", "n_chunks")
+)
+
+
 # Queries.
 def on_questions(name: str, select: str, build) -> None:
     register(name, f"WITH {q.processed(lx.SAMPLE_INTENTS)} {select}")(lambda spark, d: build(C.processed_questions(spark, d)))
@@ -321,11 +322,12 @@ def on_retrieval(name: str, select: str, build) -> None:
 
 scores = retrieve.scored
 on_retrieval("route_pages", "SELECT query_id, page_id FROM routed", lambda x, i: retrieve.routed(x, i))
-on_retrieval("bm25_and", "SELECT query_id, chunk_id, score FROM scored WHERE n_match = n_terms", lambda x, i: scores(x, i).where("n_match = n_terms").select("query_id", "chunk_id", "score"))
-on_retrieval("bm25_or", "SELECT query_id, chunk_id, score, n_match FROM scored", lambda x, i: scores(x, i).select("query_id", "chunk_id", "score", "n_match"))
-on_retrieval("bm25_routed", "SELECT query_id, chunk_id, score FROM scored JOIN routed USING (query_id, page_id)", lambda x, i: scores(x, i).join(retrieve.routed(x, i), ["query_id", "page_id"], "left_semi").select("query_id", "chunk_id", "score"))
+TOP25 = "SELECT query_id, chunk_id, score, n_match FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored WHERE {0}) WHERE r <= 25"
+on_retrieval("bm25_and", TOP25.format("n_match = n_terms"), lambda x, i: retrieve.matched(x, i, True).drop("rank"))
+on_retrieval("bm25_or", TOP25.format("true"), lambda x, i: retrieve.matched(x, i, False).drop("rank"))
+on_retrieval("bm25_routed", "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored JOIN routed USING (query_id, page_id)) WHERE r <= 25", lambda x, i: retrieve.ranked(scores(x, i).join(retrieve.routed(x, i), ["query_id", "page_id"], "left_semi"), ["query_id"], retrieve.best_first()).where("rank <= 25").select("query_id", "chunk_id", "score"))
 on_retrieval("bm25_tiered", "SELECT query_id, chunk_id, score, tier FROM tiered", lambda x, i: retrieve.tiered(scores(x, i), retrieve.routed(x, i)))
-on_retrieval("bm25_topk", "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 25", lambda x, i: retrieve.ranked(scores(x, i), ["query_id"], retrieve.best_first()).where("rank <= 25").select("query_id", "chunk_id", "score", "rank"))
+on_retrieval("bm25_topk", "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 25", lambda x, i: retrieve.matched(x, i, False).select("query_id", "chunk_id", "score", "rank"))
 on_retrieval("keyword_supplement", "SELECT query_id, chunk_id FROM supplement", lambda x, i: retrieve.keyword_chunks(x, i))
 on_retrieval("like_search", """SELECT query_id, chunk_id, CAST(0.3 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS r FROM (
   SELECT query_id, chunk_id FROM processed p, chunks c WHERE len(p.keywords) > 0 AND len(list_filter(p.keywords[1:3], lambda k: contains(lower(c.text), k))) > 0)) WHERE r <= 25""", lambda x, i: retrieve.like_search(x, i.chunks))
@@ -341,6 +343,21 @@ on_retrieval("context_block", "SELECT query_id, sha256(context) AS context_hash,
 on_retrieval("prompt_sources", "SELECT p.query_id, coalesce(array_to_string(urls[1:5], '|'), '') AS sources FROM processed p LEFT JOIN contexts USING (query_id)", lambda x, i: answer.prompts(x, answer.context(retrieve.retrieved(x, i))).select("query_id", "sources"))
 on_retrieval("answers", f"SELECT c.query_id, sha256(CASE WHEN low THEN '{answer.FALLBACK}' ELSE first_text END) AS answer_hash, confidence, CASE WHEN low THEN '' ELSE array_to_string(urls[1:3], '|') END AS sources, n_chunks, low AS fallback FROM (SELECT *, confidence < 0.25 OR n_chunks = 0 AS low FROM confidence) c LEFT JOIN contexts USING (query_id)", lambda x, i: (lambda r: answer.answers(x, r, retrieve.confidence(r, x)).select("query_id", F.sha2("answer", 256).alias("answer_hash"), "confidence", "sources", "n_chunks", "fallback"))(retrieve.retrieved(x, i)))
 
+on_retrieval("responses", f"SELECT p.query_id, sha256(CASE WHEN {GREET} THEN '{answer.GREETING}' WHEN low THEN '{answer.FALLBACK}' ELSE first_text END) AS answer_hash, CASE WHEN {GREET} THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN {GREET} THEN 'greeting' ELSE {sql_joined('intents')} END AS intents FROM processed p JOIN (SELECT *, confidence < 0.25 OR n_chunks = 0 AS low FROM confidence) USING (query_id) LEFT JOIN contexts USING (query_id)", lambda x, i: (lambda r: answer.responses(x, r, retrieve.confidence(r, x)).select("query_id", F.sha2("answer", 256).alias("answer_hash"), "confidence", joined("intents").alias("intents")))(retrieve.retrieved(x, i)))
+
+# The same with stems, which SQL hasn't; tested on small cases.
+register("retrieve_stem")(lambda spark, d: retrieve.retrieved(C.processed_questions(spark, d), C.document_indexes(spark, d, stem=True)).select("query_id", "rank", "chunk_id", "final_score", "tier"))
+
+# Raw pages, through their chunks and indexes.
+register("page_chunks", q.on_pages("SELECT chunk_id, page_id, section, section_type, word_count, array_to_string(keywords, '|') AS keywords, array_to_string(entities, '|') AS entities, priority_score, content_hash FROM all_page_chunks"))(
+    lambda spark, d: B.page_chunks(table(spark, d, "pages")).select("chunk_id", "page_id", "section", "section_type", "word_count", joined("keywords").alias("keywords"), joined("entities").alias("entities"), "priority_score", "content_hash")
+)
+register("page_retrieve", q.on_pages("SELECT t.query_id, t.rank, t.chunk_id, t.page_id, t.section_type, t.final_score, t.tier, c.confidence FROM top t JOIN confidence c USING (query_id)", retrieval=True))(
+    lambda spark, d: (lambda x, r: r.join(retrieve.confidence(r, x), "query_id").select("query_id", "rank", "chunk_id", "page_id", "section_type", "final_score", "tier", "confidence"))(
+        *(lambda x: (x, retrieve.retrieved(x, B.page_indexes(table(spark, d, "pages"), lx.SAMPLE_INTENTS))))(C.processed_questions(spark, d))
+    )
+)
+
 # The link graph: the first page of each host at depth 0, its sitemap (the host's pages) at depth 1, and from there the pages' own links.
 CANON = "CASE WHEN regexp_matches(regexp_replace({0}, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace({0}, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace({0}, '#.*$', '') END"
 CRAWLABLE = f"regexp_matches({{0}}, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.PATH}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')"

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import page_file
+from ..operators.retrieve import Indexes, Limits
+
 PAGE = (
     "page_id string, url string, slug string, title string, h1 string, meta_description string, page_type string, author string, headings array<struct<level:string,text:string>>, "
     "content map<string,string>, content_sections map<string,string>, full_text string, faq array<struct<question:string,answer:string>>, keywords array<string>, "
     "internal_links array<string>, last_crawled string, content_hash string, word_count int, section_count int"
 )
+CHUNK = (
+    "chunk_id string, page_id string, page_title string, url string, section string, section_type string, text string, word_count int, keywords array<string>, "
+    "important_entities array<string>, priority_score double, content_hash string"
+)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -19,24 +29,68 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return own.withColumns(text).withColumn("content_sections", F.coalesce("content_sections", "content"))
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks from JSON files, one object each; missing lists are empty, a missing priority is 0.5."""
+    own = spark.read.schema(CHUNK).option("multiLine", True).json(path)
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("keywords", "important_entities")}
+    return own.withColumns(lists).withColumn("priority_score", F.coalesce("priority_score", F.lit(0.5)))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page records (url and more) as JSON lines, each with the `file` that a sink of one file a page would give it. Many pages share a file here."""
+    write_json(pages.withColumn("file", page_file(F.col("url"))), path)
+
+
 def write_index(index: DataFrame, path: str, key: str, files: int | None = None) -> None:
     """An index as Parquet, sorted by its key within files, so that a lookup skips row groups."""
     dealt = index.repartitionByRange(files, key) if files else index.repartitionByRange(key)
     dealt.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
-def read_or_build(spark: SparkSession, path: str, build, key: str) -> DataFrame:
-    """The index at path, built first if there is none."""
-    from pyspark.errors import AnalysisException
+def compact(spark: SparkSession, path: str, target: str, key: str, files: int) -> None:
+    """An index that has grown by small files, as `files` sorted ones in another folder."""
+    write_index(spark.read.parquet(path), target, key, files)
+
 
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path; None if there is none."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    write_index(build(), path, key)
-    return spark.read.parquet(path)
+    return None
+
+
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    done = _table(spark, f"{folder}/complete")
+    return None if done is None else done.agg(F.max("version")).first()[0]
+
+
+def write_snapshot(spark: SparkSession, own: Indexes, folder: str, files: int | None = None) -> int:
+    """All indexes as a new version. Its number is written last, so that readers see a version whole or go on with the one before."""
+    version = (latest_version(spark, folder) or 0) + 1
+    for name, key in Indexes.KEYS.items():
+        write_index(getattr(own, name), f"{folder}/{version}/{name}", key, files)
+    spark.createDataFrame([(version, own.stemmed)], "version int, stemmed boolean").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
+    return version
+
+
+def read_snapshot(spark: SparkSession, folder: str, limits: Limits = Limits()) -> Indexes | None:
+    """The newest complete version; None if there is none."""
+    if (version := latest_version(spark, folder)) is None:
+        return None
+    stemmed = spark.read.parquet(f"{folder}/complete").where(F.col("version") == version).first()["stemmed"]
+    return Indexes(stemmed=stemmed, limits=limits, **{name: spark.read.parquet(f"{folder}/{version}/{name}") for name in Indexes.KEYS})
+
+
+def snapshot_or_build(spark: SparkSession, folder: str, build: Callable[[], Indexes]) -> Indexes:
+    """The newest version of the indexes in a folder, built first if there is none."""
+    if (found := read_snapshot(spark, folder)) is None:
+        write_snapshot(spark, build(), folder)
+        found = read_snapshot(spark, folder)
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions import lexicon as lx
+from .functions.html import LINE_END, PARAGRAPH_END
 from .functions.text import TERM
 from .plans import corpus as cp
 
@@ -59,10 +60,23 @@ def priority(kind: str, n: str) -> str:
     return f"round(least(CAST(0.5 AS DOUBLE) + {boost} + least({n} / CAST(700 AS DOUBLE), CAST(1 AS DOUBLE)) * CAST(0.15 AS DOUBLE) + CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)), 2)"
 
 
-def tag_text(x: str) -> str:
-    made = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+def display(key: str) -> str:
+    """Words of a key with first letters raised; a word ends at a blank."""
+    return f"array_to_string(list_transform(string_split(replace({key}, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+
+
+def chunk_id(page: str, n: str) -> str:
+    return f"{page} || '_chunk_' || CASE WHEN {n} < 1000 THEN lpad(CAST({n} AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
+
+
+def unescaped(made: str) -> str:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
         made = f"replace({made}, '{a}', '{b}')"
+    return made
+
+
+def tag_text(x: str) -> str:
+    made = unescaped(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({made}, '\\s+', ' ', 'g'))"
 
 
@@ -233,8 +247,73 @@ CONTEXT = """context AS (SELECT query_id, string_agg('[Source ' || rank || ']' |
    list(url ORDER BY rank) AS every_url, arg_min(text, rank) AS first_text FROM top GROUP BY 1
 ), contexts AS (SELECT *, list_filter(every_url, lambda u, i: list_position(every_url, u) = i) AS urls FROM context)"""
 
-RETRIEVAL = ", ".join([CHUNKS, DOC_PAGES, processed(lx.SAMPLE_INTENTS), KEYWORD_INDEX, URL_INDEX, intent_index(lx.SAMPLE_INTENTS), FAQ_INDEX, POSTINGS, SCORED, ROUTED, TIERED, faq_match("(SELECT * FROM processed WHERE faq_like)", "faq_index"), SUPPLEMENT, GATHERED, RERANKED, TOP, CONFIDENCE, CONTEXT])
+AFTER_CHUNKS = [processed(lx.SAMPLE_INTENTS), KEYWORD_INDEX, URL_INDEX, intent_index(lx.SAMPLE_INTENTS), FAQ_INDEX, POSTINGS, SCORED, ROUTED, TIERED, faq_match("(SELECT * FROM processed WHERE faq_like)", "faq_index"), SUPPLEMENT, GATHERED, RERANKED, TOP, CONFIDENCE, CONTEXT]
+RETRIEVAL = ", ".join([CHUNKS, DOC_PAGES, *AFTER_CHUNKS])
 
 
 def retrieval(select: str) -> str:
     return f"WITH {RETRIEVAL} {select}"
+
+
+PACKED = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM line_sections
+), packing(doc_id, i, pos, key, text, wc, pack, held) AS (
+  SELECT doc_id, i, pos, key, text, wc, 1, CASE WHEN wc < 50 THEN wc ELSE 0 END FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.doc_id, o.i, o.pos, o.key, o.text, o.wc, p.pack + CASE WHEN o.wc >= 50 OR p.held = 0 THEN 1 ELSE 0 END, CASE WHEN o.wc >= 50 OR p.held + o.wc >= 50 THEN 0 ELSE p.held + o.wc END
+  FROM packing p JOIN ordered o ON o.doc_id = p.doc_id AND o.i = p.i + 1
+), ends AS (SELECT doc_id, max(pack) AS last FROM packing GROUP BY 1
+), small AS (SELECT doc_id, min(pos) AS pos, 0 AS part, arg_max(key, pos) AS key, trim(string_agg(text, ' ' ORDER BY pos)) AS text, sum(wc) AS wc FROM packing JOIN ends USING (doc_id) WHERE wc <= 700 GROUP BY doc_id, pack, last HAVING pack < last OR sum(wc) >= 15
+), pieces AS (SELECT doc_id, pos, key, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, pos, key, string_split(regexp_replace(text, '([.!?])\\s+', '\\1␞', 'g'), '␞') AS l FROM packing WHERE wc > 700)
+), sized AS (SELECT *, {words('line')} AS wc FROM pieces
+), cutting(doc_id, pos, key, i, line, wc, part, held) AS (
+  SELECT doc_id, pos, key, i, line, wc, 0, wc FROM sized WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.pos, s.key, s.i, s.line, s.wc, c.part + CASE WHEN c.held > 0 AND c.held + s.wc > 700 THEN 1 ELSE 0 END, CASE WHEN c.held > 0 AND c.held + s.wc > 700 THEN s.wc ELSE c.held + s.wc END
+  FROM cutting c JOIN sized s ON s.doc_id = c.doc_id AND s.pos = c.pos AND s.i = c.i + 1
+), large AS (SELECT doc_id, pos, part, key, trim(string_agg(line, ' ' ORDER BY i)) AS text, sum(wc) AS wc FROM cutting GROUP BY ALL
+), packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS n, key, text, CAST(wc AS BIGINT) AS wc FROM (SELECT * FROM small UNION ALL SELECT * FROM large WHERE text <> ''))"""
+
+DESCRIBED = f"""described AS (SELECT doc_id || '_chunk_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id, doc_id, {section_type('key')} AS section_type, text, wc AS word_count,
+  {entities('text')} AS entities, {priority(section_type('key'), 'wc')} AS priority_score, sha256(text) AS content_hash FROM packed)"""
+
+
+def visible_lines(x: str) -> str:
+    kept = f"regexp_replace(regexp_replace({stripped(x)}, '(?is)<head\\b.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+    broken = f"regexp_replace(regexp_replace(regexp_replace({kept}, '\\s+', ' ', 'g'), '{PARAGRAPH_END}', chr(10) || chr(10), 'g'), '{LINE_END}', chr(10), 'g')"
+    text = f"regexp_replace({unescaped(f"regexp_replace({broken}, '<[^>]*>', '', 'g')")}, '[ \\t]*\\n[ \\t]*', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def visible_sections(source: str) -> str:
+    """visible_sections (id, pos, key, text) of the rows of source (id, text, title; title null: none)."""
+    return f"""vlines AS (SELECT id, trim(title) AS title, trim(line) AS line, idx - 1 AS pos FROM (SELECT id, title, unnest(l) AS line, generate_subscripts(l, 1) AS idx FROM (SELECT id, title, string_split(text, chr(10)) AS l FROM {source}))
+), vmarked AS (SELECT *, sum(CAST(heading AS INT)) OVER (PARTITION BY id ORDER BY pos) AS sid, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS bid FROM (
+  SELECT id, line, pos, regexp_matches(line, {lx.quoted(lx.HEADING_PATTERN)}) AND length(line) < 120 AS heading FROM vlines
+  WHERE NOT list_contains({lx.sql_list(lx.NOISE_LINES)}, lower(line)) AND NOT regexp_matches(line, {lx.quoted(lx.NOISE_PATTERN)}) AND (title IS NULL OR line <> title OR line = ''))
+), vheaded AS (SELECT id, sid, min(pos) AS pos, coalesce(max(CASE WHEN heading THEN line END), 'introduction') AS name, trim(string_agg(CASE WHEN NOT heading THEN line END, ' ' ORDER BY pos)) AS text FROM vmarked GROUP BY ALL
+), vnamed AS (SELECT * FROM vheaded WHERE text <> ''), vseveral AS (SELECT id FROM vnamed GROUP BY 1 HAVING count(*) > 1 AND max(sid) > 0
+), vparts AS (SELECT id, bid, min(pos) AS pos, string_agg(line, ' ' ORDER BY pos) AS text FROM vmarked WHERE line <> '' GROUP BY ALL
+), vfirst AS (SELECT *, coalesce(nullif(substr(trim(regexp_extract(text, '^([^.!?]*)', 1)), 1, 60), ''), substr(text, 1, 40)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rank FROM vparts WHERE length(text) > 40) WHERE rank <= 80
+), vboth AS (SELECT id, pos, name, text FROM vnamed WHERE id IN (FROM vseveral) UNION ALL SELECT id, pos, name, text FROM vfirst WHERE id NOT IN (FROM vseveral)
+), visible_sections AS (SELECT id, pos, CASE WHEN r = 1 THEN base ELSE base || '_' || r END AS key, text FROM (SELECT *, row_number() OVER (PARTITION BY id, base ORDER BY pos) AS r FROM (SELECT *, {base_key('name')} AS base FROM vboth)))"""
+
+
+DESCRIPTION = """trim(regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*?\\bname\\s*=\\s*["'']description["''][^>]*>'), '(?is)\\bcontent\\s*=\\s*"([^"]*)"', 1))"""
+PAGE_CHUNKS = f"""ptexts AS (SELECT page_id, url, {slug('url')} AS slug, {title('html')} AS title, {h1('html')} AS h1, {DESCRIPTION} AS description, {visible_lines('html')} AS text FROM pages
+), {visible_sections('(SELECT page_id AS id, text, title FROM ptexts)')}
+, line_sections AS (SELECT id AS doc_id, CAST(pos AS BIGINT) AS pos, key, text, {words('text')} AS wc FROM visible_sections WHERE {words('text')} >= 10), {PACKED}, {DESCRIBED}
+, ptitles AS (SELECT page_id || '_title' AS chunk_id, page_id, 'Title / Overview' AS section, 'intro' AS section_type, trim(h1 || '. ' || description) AS text, CAST(0.8 AS DOUBLE) AS priority_score FROM ptexts WHERE title <> '' OR description <> ''
+), pkw AS ({keyword_rows("(SELECT page_id, title || ' ' || text AS t FROM ptexts)", 'page_id', 't', lx.PAGE_STOP_WORDS, 40)}
+), psaid AS (SELECT t.*, t.text || ' ' || coalesce(array_to_string(pkw.keywords, ' '), '') AS said FROM ptitles t LEFT JOIN pkw USING (page_id)
+  UNION ALL SELECT d.chunk_id, d.doc_id, {display('p.key')}, d.section_type, d.text, d.priority_score, d.text FROM described d JOIN packed p ON p.doc_id = d.doc_id AND d.chunk_id = {chunk_id('p.doc_id', 'p.n')}
+), ckw AS ({keyword_rows('psaid', 'chunk_id', 'said', lx.CHUNK_STOP_WORDS, 15)}
+), all_page_chunks AS (SELECT chunk_id, page_id, title AS page_title, url, section, section_type, p.text, {words('p.text')} AS word_count, coalesce(ckw.keywords, CAST([] AS VARCHAR[])) AS keywords, {entities('p.text')} AS entities, priority_score, sha256(p.text) AS content_hash
+  FROM psaid p JOIN ptexts USING (page_id) LEFT JOIN ckw USING (chunk_id))"""
+
+
+def on_pages(select: str, retrieval: bool = False) -> str:
+    """A query over the chunks of raw pages, or over retrieval from them."""
+    own = PAGE_CHUNKS
+    if retrieval:
+        own += ", chunks AS (SELECT * FROM all_page_chunks), sluggish AS (SELECT page_id, url, slug, title, text FROM ptexts), doc_pages AS (FROM sluggish), " + ", ".join(AFTER_CHUNKS).replace("section || ' ' || page_id || ' ' || text", "section || ' ' || page_title || ' ' || text")
+    return f"WITH RECURSIVE {own} {select}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.index import postings
 from ..plans.session import checkpointed
@@ -46,3 +46,26 @@ def start(pages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         pages.writeStream.foreachBatch(lambda batch, _: replace_postings(batch, table))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+class Progress(StreamingQueryListener):
+    """Follows streams: rows read so far, batches, and whether each has ended. Add it with spark.streams.addListener."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = self.batches[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.batches[key] = self.batches.get(key, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import html as H
+from siftline.functions import lexicon
 from siftline.functions import text as T
 from siftline.functions.stem import stem
 from siftline.operators import answer, chunks, crawl, index, query, retrieve, sections
@@ -60,7 +61,9 @@ def test_page_parts(spark):
     {"@type": "FAQPage", "mainEntity": [{"name": "Why?", "acceptedAnswer": {"text": "So."}}, {"name": "Empty?"}]}</script></head><body>
     <nav aria-label="Breadcrumb"><a>Home</a><a>Docs</a></nav><h2>One</h2><p>first<h2>Two</h2><p>second</p><h2>One</h2><p>third</p>
     <details><summary>Open?</summary>Yes</details><table><tr><th>h</th></tr><tr><td>1</td></tr><tr><td> </td></tr></table></body></html>"""
-    p = spark.createDataFrame([(page,)], "html string").select(H.page_parts("html").alias("p")).first()["p"]
+    df = spark.createDataFrame([(page, "https://h.org/x/")], "html string, url string")
+    p = df.select(H.page_parts("html", "meta", "breadcrumbs", "faq", "tables", "sections").alias("p"), H.faq_jsonld(F.col("html")).alias("f")).first()
+    p = {**p["p"].asDict(), "faq_jsonld": p["f"]}
     assert [(m["name"], m["content"]) for m in p["meta"]] == [("description", "d1"), ("og:title", "t")]
     assert p["breadcrumbs"] == ["Home", "Docs"]
     assert [(f["question"], f["answer"]) for f in p["faq_jsonld"]] == [("Why?", "So."), ("Empty?", "")]
@@ -69,6 +72,85 @@ def test_page_parts(spark):
     assert [(s["key"], s["text"]) for s in p["sections"]][:2] == [("one", "third 1"), ("two", "second")]
 
 
+def test_page_type_of_short_paths(spark):
+    for url, kind in (("https://h.org", "home"), ("https://h.org/x", "home"), ("https://h.org/x/", "general"), ("https://h.org/a/b", "general"), ("https://h.org/blog", "blog")):
+        assert column(spark, url, T.page_type) == kind
+    assert column(spark, "https://h.org/x", lambda u: T.page_type(u, lexicon.PAGE_TYPES_V1)) == "home"
+
+
+def test_lines_description_and_contact_links(spark):
+    page = """<head><meta name="description" content="What &amp; why"><title>T</title></head><body><nav>n</nav><h1>Big <b>title</b></h1><p>One<br>two &lt;3</p>
+    <ul><li>a</li><li>b</li></ul><a href="/Contact-us">c</a><a href="mailto:contact@h.org">m</a></body>"""
+    df = spark.createDataFrame([(page, "https://h.org/x/")], "html string, url string")
+    r = df.select(H.visible_lines(F.col("html")).alias("t"), H.description(F.col("html")).alias("d"), H.contact_links(F.col("html"), F.col("url")).alias("c")).first()
+    assert r["t"] == "Big title\n\nOne\ntwo <3\n\na\nb\n\ncm" and r["d"] == "What & why"
+    assert r["c"] == ["https://h.org/Contact-us", "mailto:contact@h.org"]
+
+
+SITE = """<html><head><title>{0}</title><meta name="description" content="{1}">{3}</head><body><nav>Home</nav><h1>{0}</h1>{2}</body></html>"""
+FAQ_JSON = """<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"name": "What are the filing fees?", "acceptedAnswer": {"text": "Two hundred."}}, {"name": "Nothing?"}]}</script>"""
+
+
+@pytest.fixture(scope="module")
+def site(spark):
+    para = lambda w, n: "<p>" + " ".join(f"{w} word{k} and more" for k in range(n)) + ".</p>"
+    rows = [
+        (1, "https://h.org/trademark", SITE.format("Trademark registration", "How to register", para("trademarks registering", 20), "")),
+        (2, "https://h.org/faq/fees", SITE.format("Fees", "", "<p>1. Fees to pay now</p>" + para("filing costs", 20) + "<p>2. Steps to take now</p>" + para("process step", 20), FAQ_JSON)),
+        (3, "https://h.org/empty", ""), (4, "https://h.org/null", None),
+    ]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_page_chunks(spark, site):
+    from siftline.plans import build
+
+    got = {r["chunk_id"]: r for r in build.page_chunks(site).collect()}
+    assert set(got) == {"1_title", "1_chunk_001", "2_title", "2_chunk_001", "2_chunk_002", "2_faq_001"}
+    assert got["1_title"]["text"] == "Trademark registration. How to register" and got["2_title"]["text"] == "Fees."
+    assert got["2_chunk_002"]["section"].lower().startswith("2 steps") and got["2_chunk_002"]["section_type"] == "process"
+    assert got["2_faq_001"]["keywords"][:2] == ["what", "filing"] and got["2_faq_001"]["section_type"] == "faq" and got["1_title"]["page_title"] == "Trademark registration"
+    assert set(build.CHUNK) == set(got["1_title"].asDict())
+
+
+def test_retrieval_from_pages_with_stems(spark, site):
+    from siftline.plans import build
+
+    asked = spark.createDataFrame([("q1", "trademarked registration word3"), ("q2", "What are the filing fees?")], "query_id string, text string")
+    queries = query.processed(query.valid(asked))
+    plain, stems = (retrieve.retrieved(queries, build.page_indexes(site, stem=s)).collect() for s in (False, True))
+    assert [r["chunk_id"] for r in stems if r["query_id"] == "q2" and r["rank"] == 1] == ["2_faq_001"]
+    assert {r["chunk_id"] for r in stems if r["query_id"] == "q1"} >= {"1_title", "1_chunk_001"}
+    score = lambda rows: max(r["score"] for r in rows if r["chunk_id"] == "1_chunk_001" and r["query_id"] == "q1")
+    assert score(stems) >= score(plain)  # registering counts for registration
+
+
+def test_faq_prefixes_lose_no_match(spark):
+    import random
+
+    r = random.Random(7)
+    words = [f"w{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(30)]
+    said = [" ".join(r.choices(words[: r.choice([5, 12, 30])], k=r.randint(1, 9))) for _ in range(60)]
+    asked = spark.createDataFrame([(f"q{k}", x) for k, x in enumerate(said[:30])], "query_id string, text string")
+    kept = spark.createDataFrame([(f"c{k:02d}", x) for k, x in enumerate(said[30:])], "chunk_id string, question string")
+    best = {}
+    for k, x in enumerate(said[:30]):
+        for j, y in enumerate(said[30:]):
+            a, b = set(x.split()), set(y.split())
+            if (v := len(a & b) / len(a | b)) >= 0.4:
+                best[f"q{k}"] = min(best.get(f"q{k}", (0, "")), (-round(v, 6), f"c{j:02d}"))
+    got = {x["query_id"]: (-x["likeness"], x["chunk_id"]) for x in retrieve.faq_matches(asked, kept).collect()}
+    assert got == best and len(best) > 5
+
+
+def test_like_search_by_pages(spark):
+    chunks_ = spark.createDataFrame([("c1", "p1", "The Taxonomy of it"), ("c2", "p2", "a tax"), ("c3", "p1", "no")], "chunk_id string, page_id string, text string")
+    queries = spark.createDataFrame([("q", ["tax"]), ("r", ["no", "zz"]), ("s", [])], "query_id string, keywords array<string>")
+    found = lambda pages=None: sorted((x["query_id"], x["chunk_id"]) for x in retrieve.like_search(queries, chunks_, pages=pages).collect())
+    assert found() == [("q", "c1"), ("q", "c2"), ("r", "c1"), ("r", "c3")]
+    assert found(spark.createDataFrame([("q", "p2")], "query_id string, page_id string")) == [("q", "c2"), ("r", "c1"), ("r", "c3")]
+
+
 @pytest.mark.parametrize(
     "link, expected",
     [
@@ -108,7 +190,7 @@ def corpus(spark):
     rows = [(k, f"p{k}", f"https://h/p{k}", "S", "general", t, t.split(), 0.5) for k, t in texts.items()]
     c = spark.createDataFrame(rows, "chunk_id long, page_id string, url string, section string, section_type string, text string, keywords array<string>, priority_score double")
     empty = spark.createDataFrame([], "slug string, page_id string")
-    return retrieve.Indexes(c, index.keyword_index(c), empty, spark.createDataFrame([], "intent string, page_id string"), index.faq_index(c), index.postings(c, ["text"]))
+    return retrieve.Indexes(chunks=c, keyword=index.keyword_index(c), url=empty, intent=spark.createDataFrame([], "intent string, page_id string"), faq=index.faq_index(c), postings=index.postings(c, ["text"]))
 
 
 def test_tiers_and_supplement(spark):
