@@ -30,7 +30,7 @@ def section_of(lang: Column) -> Column:
 
 
 def page_url(source: Column) -> Column:
-    return F.concat(F.lit("https://corpus.example/"), source, F.lit("-"), F.element_at(lexicon.words(SLUGS), F.substring(source, 4, 9).cast("int") % len(SLUGS) + 1))
+    return F.concat(F.lit("https://corpus.example/"), source, F.lit("-"), F.element_at(lexicon.words(SLUGS), F.pmod(F.coalesce(F.substring(source, 4, 9).try_cast("int"), F.lit(0)), F.lit(len(SLUGS))) + 1))
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def keyword_rows(source: str, key: str, text: str, stop: list[str], most: int) -
 
 
 SECTION_OF = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cp.SECTIONS.items()) + f" ELSE '{cp.OTHER_SECTION}' END"
-PAGE_URL = f"'https://corpus.example/' || source || '-' || {lx.sql_list(cp.SLUGS)}[1 + CAST(substr(source, 4) AS BIGINT) % {len(cp.SLUGS)}]"
+PAGE_URL = f"'https://corpus.example/' || source || '-' || {lx.sql_list(cp.SLUGS)}[1 + coalesce(TRY_CAST(substr(source, 4, 9) AS BIGINT), 0) % {len(cp.SLUGS)}]"
 
 CHUNKS = f"""base AS (
   SELECT doc_id AS chunk_id, source AS page_id, {PAGE_URL} AS url, {SECTION_OF} AS section, text, {words('text')} AS wc FROM documents
