@@ -653,6 +653,80 @@ def test_pipeline_tells_the_mix(spark, tmp_path):
         assert all(abs(had[s] - (k + 1) * weights[s] / sum(weights.values())) < 1 for s in had)
 
 
+def slots_by_brute_force(ids, weights, block_rows):
+    """(slot, place) of each id, and how many slots are balanced: each slot goes to the released block that is due first."""
+    from fractions import Fraction
+
+    own = {s: sorted(x, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s, x in ids.items()}
+    w = {s: Fraction(weights[s]) / sum(map(Fraction, weights.values())) for s in own}
+    end, full = {s: -(-len(x) // block_rows) for s, x in own.items()}, {s: len(x) // block_rows for s, x in own.items()}
+    had, at, slot, balanced, n_balanced = dict.fromkeys(own, 0), {}, 0, True, 0
+    while any(had[s] < end[s] for s in own):
+        open_ = [(math.ceil((had[s] + 1) / w[s]), s) for s in sorted(own) if had[s] / w[s] < slot + 1 and math.floor(had[s] / w[s]) <= slot and (balanced or had[s] < end[s])]
+        if open_:
+            s = min(open_)[1]
+            balanced = balanced and had[s] < full[s]
+            if balanced or had[s] < end[s]:
+                for place, i in enumerate(own[s][had[s] * block_rows : (had[s] + 1) * block_rows]):
+                    at[i] = (slot, place)
+                n_balanced += balanced
+                had[s] += 1
+        slot += 1
+    return at, n_balanced
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
+    import corpus_pipeline
+
+    r = random.Random(21)
+    texts = {}
+    for k in range(260):
+        text = text_of(k, 70)
+        if k % 5 == 0:
+            text += f"\n{r.choice(['the Zorblax', 'Quomble'])} wrote from {['zed@example.com', 'q@mail.org'][k % 2]} to " + text_of(k + 900, 6)
+        texts[k] = text if k % 29 else text_of(k, 12)  # some too short
+    texts |= {260: texts[1], 261: texts[2].upper(), 262: None, 263: ""}
+    rows = [(k, t, "en", "a" if k % 3 else "b", len(t or "")) for k, t in texts.items()]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, sf).collect()}
+
+    kept = {x["doc_id"] for x in quality.judged(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).collect() if x["kept"]}  # by brute force above
+    prints = {k: fingerprint(texts[k]) for k in sorted(kept)}
+    first = sorted(set(groups(prints).values()))
+    assert 150 < len(first) < len(kept) < len(texts) and set(got) == set(first)
+    want = disclosed_brute([texts[k] for k in first], privacy.DisclosureRules())
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for i, k in enumerate(first):
+        base = privacy.base_spans(texts[k])
+        marks = [(s, e, f"[{privacy.KINDS[kind].upper()}]") for s, kind, e in base]
+        for m in re.finditer(r"[^\W\d_]{3,}", texts[k]):
+            if (put := want.get((i, m[0].lower()))) is not None and not any(a < m.end() and m.start() < b for a, _, b in base):
+                marks.append((m.start(), m.end(), put.replace("?", "[NAME]" if m[0][0].isupper() else "[WORD]")))
+        text = texts[k]
+        for s, e, mark in sorted(marks, reverse=True):
+            text = text[:s] + mark + text[e:]
+        assert got[k]["ids"] == theirs.encode_ordinary(text) and got[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    ids = {s: [k for k in first if (k % 3 > 0) == (s == "a")] for s in "ab"}
+    at, n_balanced = slots_by_brute_force(ids, {s: float(len(x)) ** 0.7 for s, x in ids.items()}, 32)
+    assert {k: (x["slot"], x["place"]) for k, x in got.items()} == at
+    assert len({x["slot"] for x in got.values() if x["balanced"]}) == n_balanced
+
+
+def test_mixing_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    ids = {}
+    for d in docs:
+        ids.setdefault(d["source"], []).append(d["doc_id"])
+    got = {x["doc_id"]: (x["slot"], x["place"]) for x in mixing.op3_pfair_mixing(spark, sf).collect()}
+    at, _ = slots_by_brute_force(ids, {s: float(len(x)) ** 0.7 for s, x in ids.items()}, 32)
+    assert got == at
+
+
 def test_wide_wrappers_lose_constants(spark):
     r = random.Random(6)
     names = "p h2 h3 dd pre li blockquote figure".split()
