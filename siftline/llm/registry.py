@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
+from . import bpe, lexical, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op8_licence_scan": licences.op8_licence_scan,
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
         "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
+        "op11_lexical_search": lexical.op11_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_feistel_sharding": sharding.OP6_SQL}
+    return {"op6_feistel_sharding": sharding.OP6_SQL, "op11_lexical_search": lexical.OP11_SQL}
