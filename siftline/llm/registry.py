@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, lexical, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
+from . import bpe, lattice, lexical, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
         "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op13_lattice_score": lattice.op13_lattice_score,
     }
 
 
