@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, lattice, lexical, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, wrappers
+from . import bpe, lattice, lexical, licences, mixing, neighbours, privacy, quality, sharding, simhash, substrings, trie, wrappers
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op9_disclosure_sanitisation": privacy.op9_disclosure_sanitisation,
         "op10_wrapper_extraction": wrappers.op10_wrapper_extraction,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_conversation_trie": trie.op12_conversation_trie,
         "op13_lattice_score": lattice.op13_lattice_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_feistel_sharding": sharding.OP6_SQL, "op11_lexical_search": lexical.OP11_SQL}
+    return {"op6_feistel_sharding": sharding.OP6_SQL, "op11_lexical_search": lexical.OP11_SQL, "op12_conversation_trie": trie.OP12_SQL}
