@@ -48,6 +48,18 @@ def rounded(value: Column, places: int) -> Column:
     return F.floor(value * 10.0**places + 0.5) / 10.0**places
 
 
+def rounded_exactly(value: Column, places: int) -> Column:
+    """The nearest decimal by the exact binary value, of two equally near the even one; for values from 0 to 2^16 and 2 places at most.
+
+    The value is parted into a multiple of 2^-26 and the rest, so that twice its hundredfold and the odd number in the middle of its neighbours differ exactly.
+    """
+    scale, k = 10.0**places, F.floor(value * 10.0**places).cast("double")
+    upper = F.floor(value * 2.0**26) / 2.0**26
+    beyond = (upper * (2 * scale) - (k * 2 + 1)) + (value - upper) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (k % 2 == 1))
+    return (k + up.cast("double")) / scale
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 if either is empty."""
     union = F.size(F.array_union(a, b))
@@ -78,8 +90,8 @@ def page_key(url: Column) -> Column:
     return F.concat(F.lit("page_"), F.substring(F.md5(url), 1, 8))
 
 
-def page_file(url: Column) -> Column:
-    return F.concat(F.substring(slug(url), 1, 60), F.lit("_"), page_key(url), F.lit(".json"))
+def page_file(url: Column, most: int = 70) -> Column:
+    return F.concat(F.substring(slug(url), 1, most), F.lit("_"), page_key(url), F.lit(".json"))
 
 
 def page_type(url: Column, rules: list | None = None) -> Column:
@@ -122,7 +134,7 @@ def section_type(name: Column) -> Column:
 def priority(kind: Column, n_words: Column, has_faq: bool = False) -> Column:
     boosts = F.create_map(*[F.lit(x) for pair in lexicon.TYPE_BOOSTS.items() for x in pair])
     length = F.least(n_words / 700.0, F.lit(1.0)) * 0.15
-    return F.round(F.least(0.5 + F.coalesce(boosts[kind], F.lit(0.0)) + length + (0.1 if has_faq else 0.0), F.lit(1.0)), 2)
+    return rounded_exactly(F.least(0.5 + F.coalesce(boosts[kind], F.lit(0.0)) + length + (0.1 if has_faq else 0.0), F.lit(1.0)), 2)
 
 
 def display_name(key: Column) -> Column:

@@ -47,13 +47,13 @@ def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return own.select("query_id", prompt.alias("prompt"), F.coalesce(F.array_join(pages, "|"), F.lit("")).alias("sources"), "urls", "first_text")
 
 
-def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None) -> DataFrame:
+def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, answer, confidence, sources (up to 3), n_chunks, fallback, intents.
 
     Below the threshold, or without chunks, the fallback text. Where the generator fails (null), the fallback text with confidence 0.
     """
     made = prompts(queries, context(results)).join(confidences, "query_id").join(queries.select("query_id", "intents"), "query_id")
-    low = (F.col("confidence") < THRESHOLD) | (F.col("n_chunks") == 0)
+    low = (F.col("confidence") < threshold) | (F.col("n_chunks") == 0)
     text = (generator or Extractive()).generate(F.col("prompt"), F.col("first_text"))
     told = made.withColumn("text", F.when(~low, text)).withColumn("low", low).withColumn("failed", ~F.col("low") & F.col("text").isNull())
     none = F.col("low") | F.col("failed")
@@ -63,13 +63,13 @@ def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, gene
     )
 
 
-def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None) -> DataFrame:
+def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of answers() for all queries (query_id, text and what is made of them); greetings get their fixed answer with confidence 1."""
     greeted = queries.where(is_greeting(F.col("text"))).select(
         "query_id", F.lit(GREETING).alias("answer"), F.lit(1.0).alias("confidence"), F.lit("").alias("sources"), F.lit(0).cast("long").alias("n_chunks"), F.lit(False).alias("fallback"), F.array(F.lit("greeting")).alias("intents")
     )
     asked = queries.where(~is_greeting(F.col("text")))
-    return greeted.unionByName(answers(asked, results.join(asked.select("query_id"), "query_id", "left_semi"), confidences, generator))
+    return greeted.unionByName(answers(asked, results.join(asked.select("query_id"), "query_id", "left_semi"), confidences, generator, threshold))
 
 
 def preview(results: DataFrame, most: int = 5) -> DataFrame:

@@ -8,19 +8,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, rounded
+from ..functions.text import jaccard, rounded, rounded_exactly
 from ..functions.stem import stemmed
 from ..plans.session import checkpointed
 from . import index
+from .search import SearchIndex, found, search_index
 
-K1, B = 1.2, 0.75
 KEYWORD_SCORE, FAQ_SCORE, LIKE_SCORE = 0.2, 1.0, 0.3
 THRESHOLD = 0.25
 
 
 @dataclass(frozen=True)
 class Limits:
-    """How much is looked at: few (fewer results widen the search), first and broad (results of a search), supplement (chunks by keyword), pages, FAQ likeness, top k."""
+    """How much is looked at: few (fewer results widen the search), first and broad (results of a search), supplement (chunks by keyword), pages, FAQ likeness, top k.
+
+    k1 and b are BM25's, for an index that is yet to be built.
+    """
 
     few: int = 3
     first: int = 25
@@ -29,26 +32,30 @@ class Limits:
     pages: int = 800
     faq_likeness: float = 0.4
     top_k: int = 5
+    k1: float = 1.2
+    b: float = 0.75
 
 
 class Indexes:
     """What retrieval reads. chunks: chunk_id, page_id, url, section, section_type, text, keywords, priority_score.
 
     Each is a DataFrame or a function that makes it when it is first asked for. stemmed: the postings' terms are stems, and so are queries' terms to be.
+    search: the block-max postings, or a function that makes them; made of postings and chunks if it isn't given.
     """
 
     #: The key that each is sorted by as a table.
     KEYS = {"chunks": "chunk_id", "keyword": "keyword", "url": "slug", "intent": "intent", "faq": "question_hash", "postings": "term"}
 
-    def __init__(self, stemmed: bool = False, limits: Limits = Limits(), **own: DataFrame | Callable[[], DataFrame]) -> None:
+    def __init__(self, stemmed: bool = False, limits: Limits = Limits(), search: SearchIndex | Callable[[], SearchIndex] | None = None, **own: DataFrame | Callable[[], DataFrame]) -> None:
         if set(own) != set(self.KEYS):
             raise ValueError(f"indexes are {', '.join(self.KEYS)}")
-        self.stemmed, self.limits, self._own = stemmed, limits, own
+        made = search or (lambda: search_index(self.postings, self.chunks, limits.k1, limits.b))
+        self.stemmed, self.limits, self._own = stemmed, limits, own | {"search": made}
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def __getattr__(self, name: str) -> DataFrame | SearchIndex:
         if name.startswith("_") or name not in self._own:
             raise AttributeError(name)
-        if callable(value := self._own[name]) and not isinstance(value, DataFrame):
+        if callable(value := self._own[name]) and not isinstance(value, (DataFrame, SearchIndex)):
             self._own[name] = value = value()
         return value
 
@@ -80,63 +87,44 @@ def wanted_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     return own.join(stems, "term").select("query_id", F.col("stem").alias("term"), "n_terms")
 
 
-def weighted(wanted: DataFrame, own: Indexes) -> DataFrame:
-    """term, chunk_id, s: what each of the batch's terms adds to the score of each chunk that has it."""
-    length = index.lengths(own.postings)
-    statistics = index.corpus(length)  # one row
-    # Frequencies and lengths are needed for the terms and chunks that occur in the batch only.
-    hits = own.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    frequency = index.document_frequency(hits)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = frequency.join(F.broadcast(statistics)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("term", "idf", "avgdl")
-    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hits.join(terms, "term").join(length, "chunk_id").select("term", "chunk_id", score.alias("s"))
+def searched(queries: DataFrame, own: Indexes, kind: str, most: int, routes: DataFrame | None = None) -> DataFrame:
+    """The best chunks of each shard for the queries' terms; kind and columns as in search.found."""
+    return found(wanted_terms(queries, own.stemmed), own.search, kind, most, routes)
+
 
+def matched(queries: DataFrame, own: Indexes, every: bool, most: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, n_match, rank: the best `most` chunks with every or any term of the query."""
+    most = most or own.limits.first
+    best = ranked(searched(queries, own, "all" if every else "any", most), ["query_id"], best_first())
+    return best.where(F.col("rank") <= most).select("query_id", "chunk_id", "score", "n_match", "rank")
 
-def scored(queries: DataFrame, own: Indexes) -> DataFrame:
-    """query_id, chunk_id, page_id, score, n_match, n_terms of every chunk that has a term of the query: one pass for all tiers."""
-    wanted = wanted_terms(queries, own.stemmed)
-    found = wanted.join(weighted(wanted, own), "term").groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
-    return found.join(own.chunks.select("chunk_id", "page_id"), "chunk_id")
 
+def routed_matches(queries: DataFrame, own: Indexes, most: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score: the best `most` chunks with any term of the query on the pages that it is routed to."""
+    most = most or own.limits.first
+    best = ranked(searched(queries, own, "routed", most, routed(queries, own)), ["query_id"], best_first())
+    return best.where(F.col("rank") <= most).select("query_id", "chunk_id", "score")
 
-def matched(queries: DataFrame, own: Indexes, every: bool, most: int | None = None) -> DataFrame:
-    """query_id, chunk_id, score, n_match, rank: the best `most` chunks with every or any term of the query.
 
-    For every term, only the chunks with the query's rarest term are looked at.
-    """
-    wanted = wanted_terms(queries, own.stemmed)
-    s = weighted(wanted, own)
-    if every:
-        rare = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
-        first = wanted.distinct().join(index.document_frequency(s), "term", "left").withColumn("_r", rare).where("_r = 1").select("query_id", "term")
-        few = first.join(s.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
-        hits = few.join(wanted, "query_id").join(s, ["term", "chunk_id"])
-    else:
-        hits = wanted.join(s, "term")
-    found = hits.groupBy("query_id", "chunk_id").agg(rounded(F.sum("s"), 6).alias("score"), F.count("*").alias("n_match"), F.max("n_terms").alias("n_terms"))
-    best = ranked(found.where("n_match = n_terms") if every else found, ["query_id"], best_first())
-    return best.where(F.col("rank") <= (most or own.limits.first)).select("query_id", "chunk_id", "score", "n_match", "rank")
+def candidates(queries: DataFrame, own: Indexes) -> DataFrame:
+    """For tiered(): no tier takes more than `most` chunks of one kind, and counts only matter up to `few`, so the best `most` of each kind are enough."""
+    most = max(own.limits.few, own.limits.first, own.limits.broad)
+    best = ranked(searched(queries, own, "tiers", most, routed(queries, own)), ["query_id", "whole", "inside"], best_first(), "kind_rank")
+    return best.where(F.col("kind_rank") <= most).drop("kind_rank")
 
 
 def best_first() -> list[Column]:
     return [F.desc("score"), F.col("chunk_id")]
 
 
-def tiered(scores: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """query_id, chunk_id, score, tier. Tiers give way to the next while a query has fewer than 3 chunks.
+def tiered(kinds: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """query_id, chunk_id, score, tier of candidates (query_id, chunk_id, score, n_terms, whole, inside, has_route). Tiers give way to the next while a query has fewer than 3 chunks.
 
     1: all terms, on routed pages (anywhere, if the query has none); 2: all terms anywhere; 3: any term, where tier 1 looked;
     the three together end at 25. 4: if there still are fewer than 3, all terms and then any anywhere, up to 20.
     """
-    flagged = scores.join(routes.withColumn("on_route", F.lit(True)), ["query_id", "page_id"], "left").join(routes.select("query_id").distinct().withColumn("has_route", F.lit(True)), "query_id", "left")
-    flagged = flagged.withColumn("has_route", F.coalesce("has_route", F.lit(False))).withColumn("inside", F.coalesce("on_route", F.lit(False)) | ~F.col("has_route")).withColumn("whole", F.col("n_match") == F.col("n_terms"))
-    # No tier takes more than this of any kind of hits, and counts only matter up to `few`.
-    most = max(limits.few, limits.first, limits.broad)
-    flagged = checkpointed(ranked(flagged, ["query_id", "whole", "inside"], best_first(), "kind_rank").where(F.col("kind_rank") <= most).drop("kind_rank", "page_id", "on_route"))
-    count = lambda test: F.sum(test.cast("int"))
-    counts = flagged.groupBy("query_id").agg(count(F.col("whole") & F.col("inside")).alias("n1"), count(F.col("whole")).alias("n_whole"), count(F.col("inside")).alias("n_inside"))
-    counted = flagged.join(counts, "query_id")
+    count = lambda test: F.sum(test.cast("int")).over(Window.partitionBy("query_id"))
+    counted = kinds.withColumn("n1", count(F.col("whole") & F.col("inside"))).withColumn("n_whole", count(F.col("whole"))).withColumn("n_inside", count(F.col("inside")))
     second = F.col("has_route") & (F.col("n1") < limits.few)
     after = F.when(second, F.col("n_whole")).otherwise(F.col("n1"))
     third = (after < limits.few) & (F.col("n_terms") > 1)
@@ -146,12 +134,11 @@ def tiered(scores: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> D
         F.when(F.col("whole") & F.col("inside"), 1).when(F.col("whole") & second, 2).when(F.col("inside") & third, 3)
         .when(F.col("has_route") & (total < limits.few) & (F.col("whole") | (F.col("n_whole") < limits.few) & (F.col("n_terms") > 1)), 4)
     )
-    given = counted.withColumn("tier", tier).where("tier is not null")
+    given = counted.withColumn("tier", tier).where("tier is not null").withColumn("late", F.col("tier") == 4)
     # the broad search ranks what has all terms, then all others, wherever they were found before
-    narrow = ranked(given.where("tier < 4"), ["query_id"], [F.col("tier"), *best_first()], "place").where(F.col("place") <= limits.first)
-    broad = ranked(given.join(given.where("tier = 4").select("query_id").distinct(), "query_id", "left_semi"), ["query_id"], [F.desc("whole"), *best_first()], "place").where((F.col("place") <= limits.broad) & (F.col("tier") == 4))
-    both = narrow.unionByName(broad)
-    return both.select("query_id", "chunk_id", "score", F.col("tier").cast("long").alias("tier"))
+    places = ranked(ranked(given, ["query_id", "late"], [F.col("tier"), *best_first()], "narrow"), ["query_id"], [F.desc("whole"), *best_first()], "broad")
+    kept = places.where(F.when(F.col("late"), F.col("broad") <= limits.broad).otherwise(F.col("narrow") <= limits.first))
+    return kept.select("query_id", "chunk_id", "score", F.col("tier").cast("long").alias("tier"))
 
 
 def keyword_chunks(queries: DataFrame, own: Indexes) -> DataFrame:
@@ -213,12 +200,11 @@ def like_search(queries: DataFrame, chunks: DataFrame, most: int = Limits.first,
 
 
 def gathered(queries: DataFrame, own: Indexes) -> DataFrame:
-    """query_id, chunk_id, score, tier (5: keyword, 6: FAQ) of all candidates of valid queries: some dozens a query, written once."""
-    found = checkpointed(tiered(scored(queries, own), checkpointed(routed(queries, own)), own.limits))
-    more = keyword_chunks(queries, own).join(found, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(KEYWORD_SCORE).alias("score"), F.lit(5).cast("long").alias("tier"))
-    both = checkpointed(found.unionByName(more))
-    faq = faq_matches(queries.where("faq_like"), own.faq, own.limits.faq_likeness).join(both, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(FAQ_SCORE).alias("score"), F.lit(6).cast("long").alias("tier"))
-    return both.unionByName(faq)
+    """query_id, chunk_id, score, tier (5: keyword, 6: FAQ) of all candidates of valid queries, some dozens a query; a chunk counts in its first tier."""
+    given = lambda rows, score, tier: rows.select("query_id", "chunk_id", F.lit(score).alias("score"), F.lit(tier).cast("long").alias("tier"))
+    faq = given(faq_matches(queries.where("faq_like"), own.faq, own.limits.faq_likeness), FAQ_SCORE, 6)
+    every = tiered(candidates(queries, own), own.limits).unionByName(given(keyword_chunks(queries, own), KEYWORD_SCORE, 5)).unionByName(faq)
+    return ranked(every, ["query_id", "chunk_id"], [F.col("tier")]).where("rank = 1").drop("rank")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -251,7 +237,7 @@ def confidence(results: DataFrame, queries: DataFrame, top_k: int = Limits.top_k
     """query_id, n_chunks, confidence of all queries: how many chunks, and overlap and priority of the best."""
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     found = results.groupBy("query_id").agg(F.count("*").alias("n_chunks"), first("overlap").alias("o"), first("priority_score").alias("p"))
-    value = F.round(F.least(F.col("n_chunks") / top_k, F.lit(1.0)) * 0.3 + F.least("o", F.lit(1.0)) * 0.4 + F.col("p") * 0.3, 2)
+    value = rounded_exactly(F.least(F.col("n_chunks") / top_k, F.lit(1.0)) * 0.3 + F.least("o", F.lit(1.0)) * 0.4 + F.col("p") * 0.3, 2)
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce(value, F.lit(0.0)).alias("confidence"))
 
 

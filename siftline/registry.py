@@ -56,7 +56,7 @@ simple("word_count", "documents", "doc_id", {"n_words": (lambda t: T.word_count(
 simple("content_hash", "documents", "doc_id", {"content_hash": (lambda t: F.sha2(t.text, 256), "sha256(text)")})
 simple("page_key", "pages", "page_id", {"page_key": (lambda t: T.page_key(t.url), q.page_key("url"))})
 simple("url_slug", "pages", "page_id", {"slug": (lambda t: T.slug(t.url), q.slug("url"))})
-simple("page_filename", "pages", "page_id", {"file": (lambda t: T.page_file(t.url), f"substr({q.slug('url')}, 1, 60) || '_' || {q.page_key('url')} || '.json'")})
+simple("page_filename", "pages", "page_id", {"file": (lambda t: T.page_file(t.url), f"substr({q.slug('url')}, 1, 70) || '_' || {q.page_key('url')} || '.json'")})
 simple("url_canonical", "pages", "page_id", {"canonical": (lambda t: T.canonical(t.url), "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace(url, '#.*$', '') END")})
 simple("page_type", "pages", "page_id", {"page_type": (lambda t: T.page_type(t.url), q.page_type("url")), "page_type_v1": (lambda t: T.page_type(t.url, lx.PAGE_TYPES_V1), lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES_V1, "general", True))})
 simple("crawlable", "pages", "page_id", {"crawlable": (lambda t: T.crawlable(t.url), f"regexp_matches(url, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.path('url')}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')")})
@@ -320,13 +320,12 @@ def on_retrieval(name: str, select: str, build) -> None:
     register(name, q.retrieval(select))(lambda spark, d: build(C.processed_questions(spark, d), C.document_indexes(spark, d)))
 
 
-scores = retrieve.scored
 on_retrieval("route_pages", "SELECT query_id, page_id FROM routed", lambda x, i: retrieve.routed(x, i))
 TOP25 = "SELECT query_id, chunk_id, score, n_match FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored WHERE {0}) WHERE r <= 25"
 on_retrieval("bm25_and", TOP25.format("n_match = n_terms"), lambda x, i: retrieve.matched(x, i, True).drop("rank"))
 on_retrieval("bm25_or", TOP25.format("true"), lambda x, i: retrieve.matched(x, i, False).drop("rank"))
-on_retrieval("bm25_routed", "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored JOIN routed USING (query_id, page_id)) WHERE r <= 25", lambda x, i: retrieve.ranked(scores(x, i).join(retrieve.routed(x, i), ["query_id", "page_id"], "left_semi"), ["query_id"], retrieve.best_first()).where("rank <= 25").select("query_id", "chunk_id", "score"))
-on_retrieval("bm25_tiered", "SELECT query_id, chunk_id, score, tier FROM tiered", lambda x, i: retrieve.tiered(scores(x, i), retrieve.routed(x, i)))
+on_retrieval("bm25_routed", "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored JOIN routed USING (query_id, page_id)) WHERE r <= 25", lambda x, i: retrieve.routed_matches(x, i))
+on_retrieval("bm25_tiered", "SELECT query_id, chunk_id, score, tier FROM tiered", lambda x, i: retrieve.tiered(retrieve.candidates(x, i)))
 on_retrieval("bm25_topk", "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 25", lambda x, i: retrieve.matched(x, i, False).select("query_id", "chunk_id", "score", "rank"))
 on_retrieval("keyword_supplement", "SELECT query_id, chunk_id FROM supplement", lambda x, i: retrieve.keyword_chunks(x, i))
 on_retrieval("like_search", """SELECT query_id, chunk_id, CAST(0.3 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS r FROM (

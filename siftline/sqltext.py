@@ -55,9 +55,15 @@ def section_type(name: str) -> str:
     return lx.sql_case(f"lower({name})", lx.SECTION_TYPES, "general")
 
 
+def rounded_exactly(x: str) -> str:
+    """Two places by the exact binary value; see functions.text."""
+    up = "(floor(v * 67108864) / 67108864 * 200 - (floor(v * 100) * 2 + 1)) + (v - floor(v * 67108864) / 67108864) * 200"
+    return f"list_transform([{x}], lambda v: (floor(v * 100) + CASE WHEN {up} > 0 OR ({up} = 0 AND floor(v * 100) % 2 = 1) THEN 1 ELSE 0 END) / CAST(100 AS DOUBLE))[1]"
+
+
 def priority(kind: str, n: str) -> str:
     boost = "CASE " + " ".join(f"WHEN {kind} = '{k}' THEN CAST({v} AS DOUBLE)" for k, v in lx.TYPE_BOOSTS.items()) + " ELSE CAST(0 AS DOUBLE) END"
-    return f"round(least(CAST(0.5 AS DOUBLE) + {boost} + least({n} / CAST(700 AS DOUBLE), CAST(1 AS DOUBLE)) * CAST(0.15 AS DOUBLE) + CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)), 2)"
+    return rounded_exactly(f"least(CAST(0.5 AS DOUBLE) + {boost} + least({n} / CAST(700 AS DOUBLE), CAST(1 AS DOUBLE)) * CAST(0.15 AS DOUBLE) + CAST(0 AS DOUBLE), CAST(1 AS DOUBLE))")
 
 
 def display(key: str) -> str:
@@ -240,8 +246,8 @@ TOP = """deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qu
 ), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM deduped) WHERE rank <= 5)"""
 
 CONFIDENCE = """confidence AS (SELECT p.query_id, coalesce(n_chunks, 0) AS n_chunks,
-   coalesce(round(least(n_chunks / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) * 0.3::DOUBLE + least(o, CAST(1 AS DOUBLE)) * 0.4::DOUBLE + pr * 0.3::DOUBLE, 2), CAST(0 AS DOUBLE)) AS confidence
-  FROM processed p LEFT JOIN (SELECT query_id, count(*) AS n_chunks, max(CASE WHEN rank = 1 THEN overlap END) AS o, max(CASE WHEN rank = 1 THEN priority_score END) AS pr FROM top GROUP BY 1) USING (query_id))"""
+   coalesce(@@, CAST(0 AS DOUBLE)) AS confidence
+  FROM processed p LEFT JOIN (SELECT query_id, count(*) AS n_chunks, max(CASE WHEN rank = 1 THEN overlap END) AS o, max(CASE WHEN rank = 1 THEN priority_score END) AS pr FROM top GROUP BY 1) USING (query_id))""".replace("@@", rounded_exactly("least(n_chunks / CAST(5 AS DOUBLE), CAST(1 AS DOUBLE)) * 0.3::DOUBLE + least(o, CAST(1 AS DOUBLE)) * 0.4::DOUBLE + pr * 0.3::DOUBLE"))
 
 CONTEXT = """context AS (SELECT query_id, string_agg('[Source ' || rank || ']' || CASE WHEN url <> '' THEN ' | Page: ' || url ELSE '' END || CASE WHEN section <> '' THEN ' | Section: ' || section ELSE '' END || chr(10) || trim(text) || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context,
    list(url ORDER BY rank) AS every_url, arg_min(text, rank) AS first_text FROM top GROUP BY 1
