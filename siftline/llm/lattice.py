@@ -43,6 +43,8 @@ UNIT = 1 << 16
 SPACE = "▁"
 SEGMENTS = "segment long, word binary, at int, train long, doc_ids binary, no_id binary, held_out binary, sizes binary, gaps binary, counts binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Characters of a word that takes the recursion alone, and characters of words that take it together.
+LONG, CELLS = 500, 50_000
 #: Bytes, by their value, come before all other pieces.
 BYTES = 256
 
@@ -72,7 +74,12 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
 
 
 class Lattice:
-    """A word's segmentations. ways: a string to its piece's number, or None if it only begins pieces."""
+    """Words' segmentations. Words of one length go through the recursion together, a step a position; those of over LONG characters one at a time, with an array of
+    their own length and no more.
+
+    ways: a string to its piece's number, or None if it only begins pieces. The same as a trie in arrays: `keys` are (state, letter) in order, `nexts` the states they
+    lead to, and `ends` a state's piece or -1.
+    """
 
     def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         self.ways: dict[str, int | None] = {}
@@ -80,8 +87,18 @@ class Lattice:
             for end in range(1, len(piece)):
                 self.ways.setdefault(piece[:end], None)
             self.ways[piece] = BYTES + k
-        self.logs = logs.tolist()
+        self.scores, self.logs = logs, logs.tolist()
         self.spelled: dict[str, float] = {}
+        self.longest = max(map(len, pieces), default=1)
+        letters = sorted({c for p in pieces for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        states = {"": 0} | {s: k + 1 for k, s in enumerate(self.ways)}
+        keys = np.array([states[s[:-1]] * self.width + int(self.letter[ord(s[-1])]) for s in self.ways], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nexts = keys[order], order.astype(np.int32) + 1
+        self.ends = np.array([-1, *(-1 if n is None else n for n in self.ways.values())], np.int32)
 
     def spelling(self, char: str) -> float:
         """Log-probability of a character by its bytes."""
@@ -107,7 +124,7 @@ class Lattice:
             alpha.append(most if len(terms) == 1 else most + math.log(sum([exp(x - most) for x in terms])))
         return alpha
 
-    def expected(self, word: str, weight: int, into: list[int]) -> None:
+    def expected(self, word: str, weight: int, into: np.ndarray) -> None:
         """Adds how often each piece is expected in `weight` such words, in units."""
         ways, logs, exp, n = self.ways, self.logs, math.exp, len(word)
         alpha = self.forward(word)
@@ -132,8 +149,108 @@ class Lattice:
             most = max(terms)
             beta[j] = most if len(terms) == 1 else most + math.log(sum([exp(x - most) for x in terms]))
 
-    def score(self, word: str) -> float:
-        return self.forward(word)[-1]
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Of words of one length: their characters' code points, the edges (words, starts, pieces) by length from 1, and spellings' log-probabilities."""
+        n = len(words[0])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        own, place = np.unique(chars, return_inverse=True)
+        spelled = np.array([self.spelling(chr(c)) for c in own.tolist()])[place].reshape(chars.shape)
+        letters = self.letter[chars]
+        word, start = (x.ravel() for x in np.indices(chars.shape, np.int32))
+        state, edges = np.zeros(len(word), np.int64), []
+        for k in range(min(n, self.longest)):
+            inside = start + k < n
+            word, start, state = word[inside], start[inside], state[inside]
+            wanted = state * self.width + letters[word, start + k]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            on = self.keys[at] == wanted
+            word, start, state = word[on], start[on], self.nexts[at[on]].astype(np.int64)
+            piece = self.ends[state]
+            hit = piece >= 0
+            edges.append((word[hit], start[hit], piece[hit]))
+            if not len(word):
+                break
+        return chars, edges, spelled
+
+    def forwards(self, m: int, n: int, edges: list[tuple[np.ndarray, ...]], spelled: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the words' first k characters; the columns before the first stand for nothing."""
+        most = len(edges)
+        come = np.full((m, n + 1, most + 1), -np.inf)
+        come[:, 1:, 0] = spelled
+        for k, (word, start, piece) in enumerate(edges, 1):
+            come[word, start + k, k] = self.scores[piece]
+        alpha = np.full((m, most + n + 1), -np.inf)
+        alpha[:, most] = 0.0
+        for i in range(1, n + 1):
+            before = alpha[:, i : i + most][:, ::-1]  # lengths 1, 2, ...
+            alpha[:, most + i] = together(np.concatenate([before[:, :1], before], axis=1) + come[:, i])
+        return alpha[:, most:]
+
+    def backwards(self, m: int, n: int, edges: list[tuple[np.ndarray, ...]], spelled: np.ndarray) -> np.ndarray:
+        """Log-probabilities of what follows the words' first k characters."""
+        most = len(edges)
+        go = np.full((m, n, most + 1), -np.inf)
+        go[:, :, 0] = spelled
+        for k, (word, start, piece) in enumerate(edges, 1):
+            go[word, start, k] = self.scores[piece]
+        beta = np.full((m, n + 1 + most), -np.inf)
+        beta[:, n] = 0.0
+        for j in range(n - 1, -1, -1):
+            after = beta[:, j + 1 : j + 1 + most]
+            beta[:, j] = together(np.concatenate([after[:, :1], after], axis=1) + go[:, j])
+        return beta[:, : n + 1]
+
+    def all_scores(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words over all their segmentations."""
+        out = np.zeros(len(words))
+        for at, own in by_length(words):
+            if len(own[0]) > LONG:
+                out[at] = [self.forward(w)[-1] for w in own]
+            else:
+                _, edges, spelled = self.lattice(own)
+                out[at] = self.forwards(len(own), len(own[0]), edges, spelled)[:, -1]
+        return out
+
+    def all_expected(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
+        """expected() of all words."""
+        for at, own in by_length(words):
+            m, n = len(own), len(own[0])
+            if n > LONG:
+                for w, c in zip(own, weights[at].tolist()):
+                    self.expected(w, c, into)
+                continue
+            chars, edges, spelled = self.lattice(own)
+            alpha, beta = self.forwards(m, n, edges, spelled), self.backwards(m, n, edges, spelled)
+            many = weights[at] * float(UNIT)
+            units = lambda x: np.floor(x + 0.5).astype(np.int64)
+            for k, (word, start, piece) in enumerate(edges, 1):
+                share = np.exp(alpha[word, start] + self.scores[piece] + beta[word, start + k] - alpha[word, n])
+                np.add.at(into, piece, units(share * many[word]))
+            by_bytes = units(np.exp(alpha[:, :-1] + spelled + beta[:, 1:] - alpha[:, n:]) * many[:, None])
+            some = by_bytes > 0
+            if some.any():
+                own_chars, place = np.unique(chars[some], return_inverse=True)
+                found = np.zeros(len(own_chars), np.int64)
+                np.add.at(found, place, by_bytes[some])
+                for c, x in zip(own_chars.tolist(), found.tolist()):
+                    for byte in chr(c).encode("utf-8", "surrogateescape"):
+                        into[byte] += x
+
+
+def together(logs: np.ndarray) -> np.ndarray:
+    """Logarithm of the sums along the rows."""
+    most = logs.max(axis=1)
+    return most + np.log(np.exp(logs - most[:, None]).sum(axis=1))
+
+
+def by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    groups: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        groups.setdefault(len(w), []).append(k)
+    for n, every in groups.items():
+        step = max(1, CELLS // n)
+        for k in range(0, len(every), step):
+            yield every[k : k + step], [words[x] for x in every[k : k + step]]
 
 
 def marked(word: bytes) -> str:
@@ -206,12 +323,11 @@ def expectations(words: DataFrame, pieces: list[str], logs: np.ndarray) -> DataF
     target = DDL("piece int, n long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, into = Lattice(pieces, logs), [0] * len(logs)
+        own, into = Lattice(pieces, logs), np.zeros(len(logs), np.int64)
         for batch in batches:
-            for word, c in zip(*(x.to_pylist() for x in batch.columns)):
-                own.expected(marked(word), c, into)
-        some = [k for k, n in enumerate(into) if n]
-        yield target.batch([some, [into[k] for k in some]])
+            own.all_expected([marked(w) for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), into)
+        some = np.flatnonzero(into)
+        yield target.batch([some, into[some]])
 
     return words.select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
 
@@ -235,7 +351,7 @@ def scored_words(words: DataFrame, pieces: list[str], logs: np.ndarray) -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(pieces, logs)
         for batch in batches:
-            found = [own.score(marked(w)) / math.log(10) for w in batch.column(0).to_pylist()]
+            found = own.all_scores([marked(w) for w in batch.column(0).to_pylist()]) / math.log(10)
             yield target.batch([batch.column(0), batch.column(1), found])
 
     return words.select("word", "c").mapInArrow(run, "word binary, c long, score double")

@@ -52,11 +52,25 @@ def test_forward_by_all_cuts(path, word):
     own = lattice.Lattice(pieces, logs)
     text = lattice.marked(word.encode())
     score, expected = by_all_cuts(text, {p: lattice.BYTES + k for k, p in enumerate(pieces)}, logs)
-    assert own.score(text) == pytest.approx(score, abs=1e-9)
-    into = [0] * len(logs)
-    own.expected(text, 1000, into)
-    for k in range(len(logs)):
-        assert into[k] / lattice.UNIT / 1000 == pytest.approx(expected.get(k, 0.0), abs=1e-5)
+    assert own.forward(text)[-1] == pytest.approx(score, abs=1e-9) == own.all_scores([text, "▁other"])[0]
+    for how in (lambda into: own.expected(text, 1000, into), lambda into: own.all_expected([text], np.array([1000]), into)):
+        how(into := np.zeros(len(logs), np.int64))
+        for k in range(len(logs)):
+            assert into[k] / lattice.UNIT / 1000 == pytest.approx(expected.get(k, 0.0), abs=1e-5)
+
+
+def test_words_together_and_alone(path):
+    """Words of many lengths, in one call and one at a time, by arrays and by the plain recursion."""
+    r = random.Random(2)
+    pieces, logs = lattice.vocabulary(path)
+    own = lattice.Lattice(pieces, logs)
+    words = [lattice.marked("".join(r.choices("abcdeéß東🎉-.x", k=r.choice((1, 2, 3, 9, 40, 700)))).encode()) for _ in range(200)]
+    assert own.all_scores(words) == pytest.approx([own.forward(w)[-1] for w in words], rel=1e-12)
+    weights, a, b = np.arange(1, 201), np.zeros(len(logs), np.int64), np.zeros(len(logs), np.int64)
+    own.all_expected(words, weights, a)
+    for w, c in zip(words, weights.tolist()):
+        own.expected(w, c, b)
+    assert np.abs(a - b).max() <= 2 * len("".join(words))
 
 
 def test_starting_probabilities(path):
@@ -79,10 +93,10 @@ def brute(docs, path, rounds):
     v = len(counts) + (1 if train else 0)
     pieces, logs = lattice.vocabulary(path)
     for _ in range(rounds):
-        own, into = lattice.Lattice(pieces, logs), [0] * len(logs)
+        own, into = lattice.Lattice(pieces, logs), np.zeros(len(logs), np.int64)
         for w, c in counts.items():
             own.expected(lattice.marked(w.encode()), c, into)
-        new = np.array(into) / lattice.UNIT + 1
+        new = into / lattice.UNIT + 1
         new[-1] += len(train)
         logs = np.log(new / new.sum())
     own = lattice.Lattice(pieces, logs)
@@ -91,7 +105,7 @@ def brute(docs, path, rounds):
         ws = words_of(t)
         cs = [counts[w] for w in ws] + [len(train)]
         base = sum(math.log10((c + 1) / (n + v + 1)) for c in cs)
-        score = (sum(own.score(lattice.marked(w.encode())) for w in ws) + logs[-1]) / math.log(10)
+        score = (sum(own.forward(lattice.marked(w.encode()))[-1] for w in ws) + logs[-1]) / math.log(10)
         rows.append((d, out_of_training(d), len(ws) + 1, sum(c > 0 for c in cs), n, base, score))
     return rows
 
