@@ -1,19 +1,13 @@
-"""Page parts from HTML. Columns where a pattern is enough; an Arrow UDF over a small tree where it isn't."""
+"""Page parts from HTML that a pattern tells, as columns. Parts that need to know what lies in what are in operators.markup."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import EMAIL, NOISE_CLASSES, NOISE_IDS, NOISE_TAGS, PHONE
+from .lexicon import EMAIL, NOISE_TAGS, PHONE
 from .text import found, joined_url, tag_text, unescaped
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-
 
 def stripped(html: Column) -> Column:
     """html without the noise elements that tags tell."""
@@ -92,165 +86,3 @@ def contacts(text: Column, most: int = 5) -> Column:
         F.slice(F.array_distinct(found(text, EMAIL)), 1, most).alias("email"),
         F.slice(F.array_distinct(found(text, PHONE)), 1, most).alias("phone"),
     )
-
-
-class Element:
-    def __init__(self, name: str, attributes: dict[str, str]) -> None:
-        self.name, self.attributes, self.children = name, attributes, []
-
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
-
-    def every(self, *names: str) -> list[Element]:
-        return [e for e in self.walk() if e.name in names]
-
-    def parts(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.name not in ("script", "style"):
-                yield from child.parts()
-
-    def text(self, glue: str = " ") -> str:
-        return glue.join(x for part in self.parts() if (x := " ".join(part.split())))
-
-    def is_noise(self) -> bool:
-        own = self.attributes
-        return self.name in NOISE_TAGS or bool(set((own.get("class") or "").split()) & set(NOISE_CLASSES)) or own.get("id") in NOISE_IDS or "data-ad" in own
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if len(self.open) > 1 and tag in CLOSED_BY.get(self.open[-1].name, ()):
-            self.open.pop()
-        element = Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(element)
-        if tag not in VOID:
-            self.open.append(element)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name == tag:
-                del self.open[k:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def tree(html: str | None) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def meta_of(root: Element) -> list[tuple[str, str]]:
-    """Meta names or properties to their contents; the last of equal names."""
-    own = {}
-    for e in root.every("meta"):
-        name, content = (e.attributes.get("name") or e.attributes.get("property") or "").lower(), e.attributes.get("content", "")
-        if name and content:
-            own[name] = content
-    return list(own.items())
-
-
-def breadcrumbs_of(root: Element) -> list[str]:
-    """Names of the schema.org list, or else of the navigation that is labelled so."""
-    for e in root.walk():
-        if "BreadcrumbList" in e.attributes.get("itemtype", ""):
-            return [x.text() for x in e.walk() if x.attributes.get("itemprop") == "name" and x.text()]
-    for e in root.every("nav", "ol", "ul"):
-        if "breadcrumb" in e.attributes.get("aria-label", "").lower():
-            return [x.text() for x in e.every("a", "span", "li") if x.text() and not x.every("a", "span")]
-    return []
-
-
-def faq_of(root: Element) -> list[tuple[str, str]]:
-    """Question and answer pairs of microdata, or else of details elements: 20 at most, answers to 500 characters."""
-    out = []
-    for e in root.walk():
-        if e.attributes.get("itemtype", "").endswith("/Question"):
-            name = next((x.text() for x in e.walk() if x.attributes.get("itemprop") == "name"), "")
-            answer = next((x.text() for x in e.walk() if x.attributes.get("itemprop") == "text" or x.attributes.get("itemtype", "").endswith("/Answer")), "")
-            if name and answer:
-                out.append((name, answer[:500]))
-    if not out:
-        for e in root.every("details"):
-            if summaries := e.every("summary"):
-                question = summaries[0].text()
-                answer = e.text().removeprefix(question).strip()
-                if question and answer:
-                    out.append((question, answer[:500]))
-    return out[:20]
-
-
-def tables_of(root: Element) -> list[dict]:
-    """Up to 5 tables with rows: headers, and up to 30 rows that aren't blank."""
-    out = []
-    for e in root.every("table"):
-        rows = [[c.text() for c in r.every("td", "th")] for r in e.every("tr")]
-        rows = [r for r in rows if any(r)]
-        if rows:
-            out.append({"headers": [h.text("") for h in e.every("th")], "rows": rows[:30]})
-    return out[:5]
-
-
-def without_noise(root: Element) -> Element:
-    root.children = [without_noise(c) if isinstance(c, Element) else c for c in root.children if isinstance(c, str) or not c.is_noise()]
-    return root
-
-
-SECTIONS = "array<struct<pos:int,key:string,text:string>>"
-
-
-def sections_of(root: Element) -> list[tuple[int, str, str]]:
-    """Texts of paragraphs, items and cells by the h2 or h3 before them. A repeated heading replaces the text, not the place."""
-    own: dict[str, str] = {}
-    key, held = "introduction", []
-    for e in without_noise(root).every("h2", "h3", "p", "li", "td"):
-        if e.name in ("h2", "h3"):
-            if held:
-                own[key] = " ".join(held)
-            key, held = "_".join(e.text("").lower().split())[:40], []
-        elif text := e.text():
-            held.append(text)
-    if held:
-        own[key] = " ".join(held)
-    return [(k, *x) for k, x in enumerate(own.items())]
-
-
-#: What a page's tree can tell, by name: DDL and how it is made.
-PARTS = {
-    "meta": ("array<struct<name:string,content:string>>", lambda r: _named(("name", "content"), meta_of(r))),
-    "breadcrumbs": ("array<string>", breadcrumbs_of),
-    "faq": ("array<struct<question:string,answer:string>>", lambda r: _named(("question", "answer"), faq_of(r))),
-    "tables": ("array<struct<headers:array<string>,rows:array<array<string>>>>", tables_of),
-    "sections": (SECTIONS, lambda r: _named(("pos", "key", "text"), sections_of(r))),
-}
-
-
-def _named(names: tuple[str, ...], values: list[tuple]) -> list[dict]:
-    return [dict(zip(names, v)) for v in values]
-
-
-def page_parts(html: str | Column, *names: str) -> Column:
-    """A struct of the named parts, which need a tree, in one pass over the page; sections come last, as they prune it."""
-    own = [n for n in PARTS if n in names]
-
-    def parts(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in pages:
-            root = tree(page)
-            rows.append([PARTS[n][1](root) for n in own])
-        return pd.DataFrame(rows, columns=own)
-
-    return F.pandas_udf(parts, ", ".join(f"{n} {PARTS[n][0]}" for n in own))(html)

@@ -165,9 +165,3 @@ def unescaped(text: Column) -> Column:
 def tag_text(html: Column) -> Column:
     """Text of a piece of HTML: tags become blanks, white space collapses."""
     return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
-
-
-def keywords_ranked(counted: Column, most: int) -> Column:
-    """Words by count, then first place, from an array of (count, place, word) structs."""
-    order = lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).otherwise(F.when(a["at"] < b["at"], -1).otherwise(1))
-    return F.slice(F.transform(F.array_sort(counted, order), lambda x: x["word"]), 1, most)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import display_name, entities, found, keywords_ranked, priority, section_type, without, word_count
+from ..functions.counts import frequent_words
+from ..functions.text import display_name, entities, priority, section_type, word_count
 
 LEAST_SECTION, LEAST_CHUNK, MOST_CHUNK, LEAST_LAST = 10, 50, 700, 15
 
@@ -63,10 +64,7 @@ def packed(sections: DataFrame, page: str) -> DataFrame:
 
 def keywords(rows: DataFrame, keys: list[str], text: Column, stop: list[str] = lexicon.CHUNK_STOP_WORDS, most: int = 15) -> DataFrame:
     """keys and keywords: words of three letters or more, by count and then first place. keys tell rows apart."""
-    words = without(found(F.lower(text), "[a-z]{3,}"), stop)
-    ranked = rows.select(*keys, F.posexplode_outer(words).alias("_at", "_word")).groupBy(*keys, "_word").agg(F.count("_word").alias("n"), F.min("_at").alias("at"))
-    listed = ranked.groupBy(*keys).agg(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("n", "at", F.col("_word").alias("word")))).alias("c"))
-    return listed.select(*keys, keywords_ranked(F.col("c"), most).alias("keywords"))
+    return frequent_words(rows, keys, F.lower(text), stop, most)
 
 
 def described(chunks: DataFrame, page: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.counts import term_counts
 from ..functions.stem import stemmed
-from ..functions.text import host, path, slug, terms, tokens, whole_word, without
+from ..functions.text import host, path, slug, tokens, whole_word, without
 from ..functions.lexicon import STOP_WORDS
 
 
@@ -17,7 +18,8 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def keyword_index(chunks: DataFrame) -> DataFrame:
     """keyword, chunk_id, page_id, weight of chunks (chunk_id, page_id, keywords, priority_score)."""
-    return chunks.select(F.explode("keywords").alias("keyword"), "chunk_id", "page_id", F.col("priority_score").alias("weight")).withColumn("keyword", F.lower("keyword")).dropDuplicates(["keyword", "chunk_id"])
+    own = F.array_distinct(F.transform("keywords", F.lower))
+    return chunks.select(F.explode(own).alias("keyword"), "chunk_id", "page_id", F.col("priority_score").alias("weight"))
 
 
 def url_index_sql(pages: DataFrame) -> DataFrame:
@@ -73,10 +75,10 @@ def lookup(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, columns: list[str], stem: bool = False) -> DataFrame:
-    """term, chunk_id, tf over the text of the columns (arrays count as their items). Stems are made for distinct terms only."""
+    """term, chunk_id, tf over the text of the columns (arrays count as their items). Chunks have ids of their own. Stems are made for distinct terms only."""
     kinds = dict(chunks.dtypes)
     texts = [F.array_join(c, " ") if kinds[c].startswith("array") else F.coalesce(c, F.lit("")) for c in columns]
-    counted = chunks.select("chunk_id", F.explode(terms(F.concat_ws(" ", *texts))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    counted = term_counts(chunks, "chunk_id", F.concat_ws(" ", *texts))
     if not stem:
         return counted
     stems = counted.select("term").distinct().withColumn("stem", stemmed("term"))

@@ -68,12 +68,16 @@ def first_items(queries: DataFrame, column: str, most: int, name: str) -> DataFr
     return queries.select("query_id", F.posexplode(F.slice(column, 1, most)).alias("at", name))
 
 
+def first_chunks(own: Indexes) -> DataFrame:
+    """The first chunks of each keyword, by chunk_id. No query looks at more of one keyword, so this is cut before queries are joined."""
+    return ranked(own.keyword, ["keyword"], [F.col("chunk_id")]).where(F.col("rank") <= own.limits.supplement).drop("rank")
+
+
 def routed(queries: DataFrame, own: Indexes) -> DataFrame:
     """query_id, page_id: pages of the query's intents, of its first 5 routing keywords' slugs, and of its first 8 keywords' chunks."""
     by_intent = queries.select("query_id", F.explode("intents").alias("intent")).where("intent <> 'general'").join(own.intent, "intent").select("query_id", "page_id")
     by_slug = first_items(queries, "routing_keywords", 5, "slug").join(own.url, "slug").select("query_id", "page_id")
-    chunks = ranked(first_items(queries, "keywords", 8, "keyword").join(own.keyword, "keyword"), ["query_id", "keyword"], [F.col("chunk_id")])
-    by_keyword = chunks.where(F.col("rank") <= own.limits.supplement).select("query_id", "page_id")
+    by_keyword = first_items(queries, "keywords", 8, "keyword").join(first_chunks(own), "keyword").select("query_id", "page_id")
     every = by_intent.unionByName(by_slug).unionByName(by_keyword).distinct()
     return ranked(every, ["query_id"], [F.col("page_id")]).where(F.col("rank") <= own.limits.pages).select("query_id", "page_id")
 
@@ -143,7 +147,8 @@ def tiered(kinds: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def keyword_chunks(queries: DataFrame, own: Indexes) -> DataFrame:
     """query_id, chunk_id: the first 50 chunks of a query's first 10 keywords, by keyword and chunk_id."""
-    hits = first_items(queries, "keywords", 10, "keyword").join(own.keyword, "keyword").groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"))
+    # What an earlier keyword has given leaves enough of a later one's first chunks to fill the list.
+    hits = first_items(queries, "keywords", 10, "keyword").join(first_chunks(own), "keyword").groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"))
     return ranked(hits, ["query_id"], [F.col("at"), F.col("chunk_id")]).where(F.col("rank") <= own.limits.supplement).select("query_id", "chunk_id")
 
 

@@ -28,9 +28,11 @@ from ..plans.session import checkpointed, shared_folder
 
 SHARD_CHUNKS = 4096
 BLOCK = 32
-#: Blocks that are read before the last places are looked at again.
-STEP = 8
+#: Blocks that are read before the last places are looked at for the first time; twice as many each time after.
+STEP = 64
 QUERIES = 20_000
+BLOCK_ORDER = ["shard", "term", "block"]
+BLOCKS = "shard long, term string, block int, nums array<int>, impacts array<double>, most double"
 FOUND = "query_no int, shard long, num int, score double, n_match long, inside boolean, read long"
 
 
@@ -48,11 +50,11 @@ class SearchIndex:
     avgdl: float
 
 
-def bucketed(rows: DataFrame, key: str, order: list[str], buckets: int, name: str, path: str | None = None) -> DataFrame:
-    """rows as a table bucketed by key and sorted within buckets, of a name of its own; at path, or in the shared folder."""
+def bucketed(rows: DataFrame, key: str, order: list[str], buckets: int, name: str, path: str | None = None, dealt: bool = False) -> DataFrame:
+    """rows as a table bucketed by key and sorted within buckets, of a name of its own; at path, or in the shared folder. dealt: each task has whole buckets already."""
     table = f"{name}_{uuid.uuid4().hex}"
     place = path or f"{shared_folder(rows.sparkSession)}/{table}"
-    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).option("path", place).saveAsTable(table, format="parquet")
+    (rows if dealt else rows.repartition(buckets, key)).write.bucketBy(buckets, key).sortBy(*order).option("path", place).saveAsTable(table, format="parquet")
     return rows.sparkSession.table(table)
 
 
@@ -64,26 +66,40 @@ def opened(spark: SparkSession, rows: DataFrame, key: str, order: list[str], buc
     return spark.table(table)
 
 
+def _blocks(rows: pa.Table) -> pa.Table:
+    """A shard's postings (shard, term, block, num, impact) in lists by term and block."""
+    rows = rows.sort_by([("term", "ascending"), ("num", "ascending")]).combine_chunks()
+    column = lambda c: rows.column(c).chunk(0)
+    block, impact = column("block").to_numpy(), column("impact").to_numpy()
+    changes = np.ones(len(block), bool)
+    changes[1:] = block[1:] != block[:-1]
+    changes[pc.run_end_encode(column("term")).run_ends.to_numpy()[:-1]] = True
+    starts = np.flatnonzero(changes)
+    offsets, at = pa.array(np.append(starts, len(block)), pa.int32()), pa.array(starts)
+    lists = [pa.ListArray.from_arrays(offsets, column(c)) for c in ("num", "impact")]
+    return pa.table([column("shard").take(at), column("term").take(at), column("block").take(at), *lists, pa.array(np.maximum.reduceat(impact, starts))], names=["shard", "term", "block", "nums", "impacts", "most"])
+
+
 def search_index(postings: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, shard_chunks: int = SHARD_CHUNKS, buckets: int | None = None) -> SearchIndex:
     """The index of postings (term, chunk_id, tf) over chunks (chunk_id, page_id). Postings are read twice, so they should be a table."""
     spark = postings.sparkSession
     length = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
     own = checkpointed(length.join(chunks.select("chunk_id", "page_id"), "chunk_id"))
     n, avgdl = own.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
-    shards = max(1, -(-n // shard_chunks))
+    # As many as keep shards small, and one a core where chunks are few.
+    shards = max(1, -(-n // shard_chunks), min(spark.sparkContext.defaultParallelism, -(-n // 512)))
     number = lambda *by: (F.row_number().over(Window.partitionBy("shard").orderBy(*by)) - 1).cast("int")
     dealt = own.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("long"))
     pages = (F.dense_rank().over(Window.partitionBy("shard").orderBy("page_id")) - 1).cast("int")
     placed = checkpointed(dealt.select("shard", number("len", "chunk_id").alias("num"), number("chunk_id").alias("place"), pages.alias("page_no"), "chunk_id", "page_id", "len"))
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avgdl)))
+    buckets = buckets or min(shards, 4096)
     each = postings.join(placed.select("chunk_id", "shard", "num", "len"), "chunk_id").select("shard", "term", (F.col("num") / BLOCK).cast("int").alias("block"), "num", impact.alias("impact"))
-    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    rows = each.groupBy("shard", "term", "block").agg(listed("num", "impact").alias("l"), F.max("impact").alias("most"))
-    told = placed.groupBy("shard").agg(listed("num", F.col("page_no").alias("page"), F.col("place").cast("double").alias("impact")).alias("l"))
+    blocks = each.repartition(buckets, "shard").groupBy("shard").applyInArrow(_blocks, BLOCKS)
+    told = F.array_sort(F.collect_list(F.struct("num", F.col("page_no").alias("page"), F.col("place").cast("double").alias("impact"))))
     field = lambda c: F.transform("l", lambda x: x[c])
-    blocks = rows.select("shard", "term", "block", field("num").alias("nums"), field("impact").alias("impacts"), "most")
-    every = blocks.unionByName(told.select("shard", F.lit("").alias("term"), F.lit(-1).alias("block"), field("page").alias("nums"), field("impact").alias("impacts"), F.lit(0.0).alias("most")))
-    table = bucketed(every, "shard", ["shard", "term", "block"], buckets or min(shards, 4096), "search_blocks")
+    pages = placed.repartition(buckets, "shard").groupBy("shard").agg(told.alias("l")).select("shard", F.lit("").alias("term"), F.lit(-1).alias("block"), field("page").alias("nums"), field("impact").alias("impacts"), F.lit(0.0).alias("most"))
+    table = bucketed(blocks.unionByName(pages), "shard", BLOCK_ORDER, buckets, "search_blocks", dealt=True)
     return SearchIndex(table, placed, checkpointed(table.where("term <> ''").groupBy("term").agg(F.sum(F.size("nums")).alias("df"))), n, float(avgdl))
 
 
@@ -136,18 +152,20 @@ class Shard:
         for full, there, seen in ((False, False, some_out), (False, True, some_in), (True, False, some_out & whole), (True, True, some_in & whole)):
             if (full or len(terms) > 1) and (kind := int(kinds(np.array([full]), np.array([there]))[0])) >= 0:
                 may.append((kind, seen & (bound > 1e-6)))
-        best: dict[int, tuple[np.ndarray, ...]] = {}
-        least: dict[int, float] = {}
-        left, read = np.ones(self.blocks, bool), 0
+        # kind, score, place, num, n_match, inside of the best so far, kind by kind; the least score that still counts, by kind
+        best = tuple(np.zeros(0, t) for t in (int, float, int, int, int, bool))
+        least = np.full(1 + max((kind for kind, _ in may), default=0), -1.0)
+        left, read, step = np.ones(self.blocks, bool), 0, STEP
         while True:
             need = np.zeros(self.blocks, bool)
             for kind, possible in may:
-                need |= possible & (bound >= least.get(kind, -1.0))
+                need |= possible & (bound >= least[kind])
             ahead = np.flatnonzero(need & left)
             if not len(ahead):
                 break
-            if len(ahead) > STEP:
-                ahead = ahead[np.argpartition(-bound[ahead], STEP)[:STEP]]
+            if len(ahead) > step:
+                ahead = ahead[np.argpartition(-bound[ahead], step)[:step]]
+            step *= 2
             left[ahead] = False
             slot = np.full(self.blocks, -1)
             slot[ahead] = np.arange(len(ahead))
@@ -163,15 +181,16 @@ class Shard:
             score, count = np.floor(score[hit] * 1e6 + 0.5) / 1e6, count[hit]
             there = np.ones(len(num), bool) if inside is None else inside[num]
             kind = kinds(count == len(terms), there)
-            for k in {k for k, _ in may}:
-                new = np.flatnonzero((kind == k) & (score >= least.get(k, -1.0)))
-                if len(new):
-                    every = tuple(np.concatenate(x) for x in zip(best[k], (num[new], score[new], count[new], there[new]))) if k in best else (num[new], score[new], count[new], there[new])
-                    order = np.lexsort((self.place[every[0]], -every[1]))[:most]
-                    best[k] = tuple(x[order] for x in every)
-                    if len(order) == most:
-                        least[k] = float(best[k][1][-1])
-        return [row for x in best.values() for row in zip(*(c.tolist() for c in x))], read
+            new = np.flatnonzero((kind >= 0) & (score >= least[kind]))
+            if len(new):
+                every = tuple(np.concatenate(x) for x in zip(best, (kind[new], score[new], self.place[num[new]], num[new], count[new], there[new])))
+                order = np.lexsort((every[2], -every[1], every[0]))
+                own_kind = every[0][order]
+                rank = np.arange(len(order)) - np.searchsorted(own_kind, own_kind)
+                best = tuple(x[order[rank < most]] for x in every)
+                last = order[rank == most - 1]
+                least[every[0][last]] = every[1][last]
+        return list(zip(best[3].tolist(), best[1].tolist(), best[4].tolist(), best[5].tolist())), read
 
 
 #: Kinds of results, each with its own places: by all terms and page, all together, with all terms only, on the query's pages only.

@@ -15,6 +15,8 @@ from .session import checkpointed
 
 SECTIONS = {"en": "Title / Overview", "fr": "Process steps", "de": "FAQ questions"}
 OTHER_SECTION = "Contact"
+#: What postings are made of.
+INDEXED = ["section", "page_id", "text", "keywords"]
 SLUGS = ["les", "der", "los", "thread", "notes"]
 
 
@@ -62,7 +64,7 @@ def processed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_indexes(spark: SparkSession, sf_dir: str, stem: bool = False) -> Indexes:
     documents = table(spark, sf_dir, "documents")
-    return indexes(document_chunks(documents), document_pages(documents), ["section", "page_id", "text", "keywords"], lexicon.SAMPLE_INTENTS, stem)
+    return indexes(document_chunks(documents), document_pages(documents), INDEXED, lexicon.SAMPLE_INTENTS, stem)
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

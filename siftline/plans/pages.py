@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import lexicon
 from ..functions.text import joined_url, host, page_key, page_type, slug, word_count
+from ..operators import markup
 from ..operators.chunks import keywords
 
 
@@ -22,9 +23,9 @@ def records(pages: DataFrame) -> DataFrame:
     """Whole page records: parsed() with headings, links, contacts, keywords, meta, FAQ, tables, breadcrumbs and sections. Links are capped at 60."""
     own = parsed(pages).withColumn("headings", H.headings(F.col("html"))).withColumn("contact_info", H.contacts(F.col("text")))
     links = F.array_distinct(F.filter(F.transform(H.links(F.col("html")), lambda h: joined_url(F.col("url"), h)), lambda u: (host(u) == host(F.col("url"))) & (u != F.col("url"))))
-    own = own.withColumn("internal_links", F.slice(links, 1, 60)).withColumn("p", H.page_parts("html", "meta", "breadcrumbs", "faq", "tables", "sections")).withColumn("faq_jsonld", H.faq_jsonld(F.col("html")))
+    own = own.withColumn("internal_links", F.slice(links, 1, 60)).withColumn("faq_jsonld", H.faq_jsonld(F.col("html")))
     word = keywords(own.select("page_id", F.concat_ws(" ", "title", "text").alias("t")), ["page_id"], F.col("t"), lexicon.PAGE_STOP_WORDS, 40)
-    made = own.select("*", "p.meta", "p.breadcrumbs", "p.faq", "p.tables", "p.sections").withColumn("contact_links", H.contact_links(F.col("html"), F.col("url"))).withColumn("last_crawled", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")).drop("p", "html")
+    made = own.join(markup.parts(pages), "page_id").withColumn("contact_links", H.contact_links(F.col("html"), F.col("url"))).withColumn("last_crawled", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")).drop("html")
     return made.withColumn("section_count", F.size("sections")).join(word, "page_id")
 
 

@@ -20,3 +20,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: few large row groups are dealt out before work that reads every text. Inputs with as many parts as cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import markupsql as M
 from . import sqltext as q
 from .functions import html as H
 from .functions import lexicon as lx
 from .functions import text as T
-from .operators import answer, chunks, crawl, index, query, retrieve, sections
+from .operators import answer, chunks, crawl, index, markup, query, retrieve, sections
 from .plans import build as B
 from .plans import corpus as C
 from .plans import pages as P
@@ -111,16 +112,16 @@ def page_records(spark, d):
     return own.select("page_id", "slug", "title", "section_count", F.size("headings").alias("n_headings"), F.size("internal_links").alias("n_links"), joined("keywords").alias("keywords"))
 
 
-def part(spark, d, name: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", H.page_parts("html", name)[name].alias(name))
+def pages_of(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", "html")
 
 
-register("meta_map")(lambda spark, d: part(spark, d, "meta").select("page_id", joined(F.transform("meta", lambda x: F.concat_ws("=", x["name"], x["content"]))).alias("meta_map")))
-register("breadcrumbs")(lambda spark, d: part(spark, d, "breadcrumbs").select("page_id", joined("breadcrumbs").alias("breadcrumbs")))
-register("faq_extract")(lambda spark, d: part(spark, d, "faq").select("page_id", F.posexplode("faq").alias("n", "x")).select("page_id", "n", "x.question", "x.answer"))
-register("tables")(
-    lambda spark, d: part(spark, d, "tables").select("page_id", F.posexplode("tables").alias("n", "x")).select("page_id", "n", joined("x.headers").alias("headers"), F.posexplode("x.rows").alias("row", "cells")).withColumn("cells", joined("cells"))
-)
+register("meta_map", M.META)(lambda spark, d: (lambda x: markup.per_page(x, markup.meta(x), "pos", F.concat_ws("=", "name", "content"), "own"))(pages_of(spark, d)).select("page_id", joined("own").alias("meta_map")))
+register("breadcrumbs", M.BREADCRUMBS)(lambda spark, d: (lambda x: markup.per_page(x, markup.breadcrumbs(x), "pos", F.col("crumb"), "own"))(pages_of(spark, d)).select("page_id", joined("own").alias("breadcrumbs")))
+register("faq_extract", M.FAQ)(lambda spark, d: markup.faq(pages_of(spark, d)))
+register("tables", M.TABLES)(lambda spark, d: markup.tables(pages_of(spark, d)).withColumn("headers", joined("headers")).withColumn("cells", joined("cells")))
+register("html_sections", M.SECTIONS)(lambda spark, d: markup.sections(pages_of(spark, d)))
+register("main_text", M.MAIN_TEXT)(lambda spark, d: markup.main_text(pages_of(spark, d)).select("page_id", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars")))
 register("faq_jsonld", """SELECT page_id, CAST(n - 1 AS BIGINT) AS n, coalesce(json_extract_string(item, '$.name'), '') AS question, substr(coalesce(json_extract_string(item, '$.acceptedAnswer.text'), ''), 1, 1000) AS answer FROM (
   SELECT page_id, item, row_number() OVER (PARTITION BY page_id ORDER BY k, i) AS n FROM (SELECT page_id, k, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM (
     SELECT page_id, k, CAST(json_extract(doc, '$.mainEntity') AS JSON[]) AS items FROM (SELECT page_id, unnest(l) AS doc, generate_subscripts(l, 1) AS k FROM (
@@ -233,7 +234,7 @@ on_chunks("faq_index", "SELECT * FROM faq_index", lambda x: x.faq)
 on_chunks("faq_router", "SELECT question, max(chunk_id) AS chunk_id FROM (SELECT lower(trim(replace(string_split(text, chr(10))[1], 'Q:', ''))) AS question, chunk_id FROM chunks WHERE section_type = 'faq') WHERE question <> '' GROUP BY 1", lambda x: index.faq_router(x.chunks))
 on_chunks("intent_index", "SELECT * FROM intent_index", lambda x: x.intent)
 on_chunks("heading_index", "SELECT DISTINCT lower(section) AS heading, chunk_id FROM chunks", lambda x: index.heading_index(x.chunks))
-on_chunks("postings", "SELECT * FROM postings", lambda x: x.postings)
+register("postings", q.retrieval("SELECT * FROM postings"))(lambda spark, d: index.postings(C.document_chunks(table(spark, d, "documents")), C.INDEXED))
 on_chunks("index_postings_size", "SELECT keyword, count(*) AS n, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM keyword_index GROUP BY 1", lambda x: x.keyword.groupBy("keyword").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk")))
 on_chunks("faq_url_join", "SELECT question_hash, f.chunk_id, f.page_id, slug FROM faq_index f JOIN url_index u ON u.page_id = f.page_id", lambda x: x.faq.join(x.url, "page_id").select("question_hash", "chunk_id", "page_id", "slug"))
 register("postings_stem")(lambda spark, d: index.postings(C.document_chunks(table(spark, d, "documents")), ["text"], stem=True))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_file
 from ..operators.retrieve import Indexes, Limits
+from ..operators.search import BLOCK_ORDER, SHARD_CHUNKS, SearchIndex, bucketed, opened
 
 PAGE = (
     "page_id string, url string, slug string, title string, h1 string, meta_description string, page_type string, author string, headings array<struct<level:string,text:string>>, "
@@ -66,26 +68,37 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
     return None
 
 
-def latest_version(spark: SparkSession, folder: str) -> int | None:
+def latest_version(spark: SparkSession, folder: str) -> Row | None:
+    """version, name, stemmed, n, avgdl and buckets of the newest complete version; of two with one number, that with the larger name."""
     done = _table(spark, f"{folder}/complete")
-    return None if done is None else done.agg(F.max("version")).first()[0]
+    return None if done is None else done.orderBy(F.desc("version"), F.desc("name")).first()
 
 
 def write_snapshot(spark: SparkSession, own: Indexes, folder: str, files: int | None = None) -> int:
-    """All indexes as a new version. Its number is written last, so that readers see a version whole or go on with the one before."""
-    version = (latest_version(spark, folder) or 0) + 1
-    for name, key in Indexes.KEYS.items():
-        write_index(getattr(own, name), f"{folder}/{version}/{name}", key, files)
-    spark.createDataFrame([(version, own.stemmed)], "version int, stemmed boolean").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
+    """All indexes as a new version in a folder of its own name, so that two writers never share one. It is announced last: readers see it whole, or the one before."""
+    last = latest_version(spark, folder)
+    version, name = (last["version"] if last else 0) + 1, uuid.uuid4().hex
+    for table, key in Indexes.KEYS.items():
+        write_index(getattr(own, table), f"{folder}/{name}/{table}", key, files)
+    found = own.search
+    buckets = files or max(1, min(found.n // SHARD_CHUNKS + 1, 4096))
+    bucketed(found.blocks, "shard", BLOCK_ORDER, buckets, "search_blocks", f"{folder}/{name}/search_blocks")
+    write_index(found.placed, f"{folder}/{name}/search_placed", "shard", files)
+    write_index(found.terms, f"{folder}/{name}/search_terms", "term", files)
+    row = [(version, name, own.stemmed, found.n, found.avgdl, buckets)]
+    spark.createDataFrame(row, "version int, name string, stemmed boolean, n long, avgdl double, buckets int").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
     return version
 
 
 def read_snapshot(spark: SparkSession, folder: str, limits: Limits = Limits()) -> Indexes | None:
-    """The newest complete version; None if there is none."""
-    if (version := latest_version(spark, folder)) is None:
+    """The newest complete version; None if there is none. Its postings are still bucketed by shard, and lengths, frequencies and the corpus are stored."""
+    if (last := latest_version(spark, folder)) is None:
         return None
-    stemmed = spark.read.parquet(f"{folder}/complete").where(F.col("version") == version).first()["stemmed"]
-    return Indexes(stemmed=stemmed, limits=limits, **{name: spark.read.parquet(f"{folder}/{version}/{name}") for name in Indexes.KEYS})
+    read = lambda table: spark.read.parquet(f"{folder}/{last['name']}/{table}")
+    place = f"{folder}/{last['name']}/search_blocks"
+    blocks = opened(spark, read("search_blocks"), "shard", BLOCK_ORDER, last["buckets"], "search_blocks", place)
+    stored = SearchIndex(blocks, read("search_placed"), read("search_terms"), last["n"], last["avgdl"])
+    return Indexes(stemmed=last["stemmed"], limits=limits, search=stored, **{table: read(table) for table in Indexes.KEYS})
 
 
 def snapshot_or_build(spark: SparkSession, folder: str, build: Callable[[], Indexes]) -> Indexes:

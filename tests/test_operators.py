@@ -56,22 +56,6 @@ def test_faq_chunks_number_all_pairs(spark):
     assert values(chunks.faq_chunks(df, "page"), "chunk_id", "text") == [("1_faq_002", "Q: q2\nA: a2")]
 
 
-def test_page_parts(spark):
-    page = """<html><head><meta name="Description" content="d1"><meta property="og:title" content="t"><script type="application/ld+json">
-    {"@type": "FAQPage", "mainEntity": [{"name": "Why?", "acceptedAnswer": {"text": "So."}}, {"name": "Empty?"}]}</script></head><body>
-    <nav aria-label="Breadcrumb"><a>Home</a><a>Docs</a></nav><h2>One</h2><p>first<h2>Two</h2><p>second</p><h2>One</h2><p>third</p>
-    <details><summary>Open?</summary>Yes</details><table><tr><th>h</th></tr><tr><td>1</td></tr><tr><td> </td></tr></table></body></html>"""
-    df = spark.createDataFrame([(page, "https://h.org/x/")], "html string, url string")
-    p = df.select(H.page_parts("html", "meta", "breadcrumbs", "faq", "tables", "sections").alias("p"), H.faq_jsonld(F.col("html")).alias("f")).first()
-    p = {**p["p"].asDict(), "faq_jsonld": p["f"]}
-    assert [(m["name"], m["content"]) for m in p["meta"]] == [("description", "d1"), ("og:title", "t")]
-    assert p["breadcrumbs"] == ["Home", "Docs"]
-    assert [(f["question"], f["answer"]) for f in p["faq_jsonld"]] == [("Why?", "So."), ("Empty?", "")]
-    assert [(f["question"], f["answer"]) for f in p["faq"]] == [("Open?", "Yes")]
-    assert [(t["headers"], t["rows"]) for t in p["tables"]] == [(["h"], [["h"], ["1"]])]
-    assert [(s["key"], s["text"]) for s in p["sections"]][:2] == [("one", "third 1"), ("two", "second")]
-
-
 def test_page_type_of_short_paths(spark):
     for url, kind in (("https://h.org", "home"), ("https://h.org/x", "home"), ("https://h.org/x/", "general"), ("https://h.org/a/b", "general"), ("https://h.org/blog", "blog")):
         assert column(spark, url, T.page_type) == kind

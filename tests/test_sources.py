@@ -48,8 +48,8 @@ def test_snapshots_are_whole_and_swapped(spark, pages, tmp_path):
     assert newest.stemmed and {r["page_id"] for r in newest.chunks.collect()} == {0, 1}
     # a version without its number isn't seen
     newest.url.write.parquet(f"{folder}/3/url")
-    assert tables.latest_version(spark, folder) == 2
-    tables.compact(spark, f"{folder}/2/keyword", str(tmp_path / "small"), "keyword", 1)
+    assert tables.latest_version(spark, folder)["version"] == 2
+    tables.compact(spark, f"{folder}/{tables.latest_version(spark, folder)['name']}/keyword", str(tmp_path / "small"), "keyword", 1)
     assert spark.read.parquet(str(tmp_path / "small")).count() == newest.keyword.count()
 
 
