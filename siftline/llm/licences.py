@@ -121,8 +121,9 @@ COMMON = frozenset(
 )
 
 
-#: Lines that a window holds at most.
-WINDOW = 4
+#: Lines that a window holds at most, and the words that a line should have: where a paragraph's lines are shorter on average, windows also go by as many lines
+#: together as have them, so that a notice is covered however short the lines are that it is wrapped to.
+WINDOW, LINE_WORDS = 4, 12
 #: Families with texts in common, which are held out together.
 KIN = (("gpl-3.0", "gpl-2.0", "lgpl", "agpl"), ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc0"), ("mit", "bsd", "isc", "zlib", "boost", "unlicense"), ("apache-2.0", "mpl-2.0", "proprietary"))
 
@@ -317,6 +318,13 @@ def scanned(documents: DataFrame, keys: list[str], rules: LicenceRules | None =
         at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.arrays_overlap(grams(beside(k)), anchors))
         spans = F.flatten(F.transform(at, lambda k: F.flatten(F.transform(
             F.sequence(F.lit(1), F.lit(WINDOW)), lambda n: F.transform(F.sequence(F.greatest(k - n + 1, F.lit(0)), k), lambda s: F.struct(s.alias("at"), n.alias("n")))))))
+        # The same in steps of `several` lines, cut at the paragraph's ends.
+        n_words = F.aggregate(lines, F.lit(0), lambda n, x: n + F.regexp_count(F.lower(x), F.lit(WORD)))
+        several = F.least(F.lit(LINE_WORDS), F.ceil(F.size(lines) * F.lit(float(LINE_WORDS)) / F.greatest(n_words, F.lit(1)))).cast("int")
+        cut = lambda s, n: let(F.greatest(s, F.lit(0)), lambda a: F.struct(a.alias("at"), (F.least(s + n, F.size(lines)) - a).alias("n")))
+        wide = let(several, lambda g: F.flatten(F.transform(at, lambda k: F.flatten(F.transform(
+            F.sequence(F.lit(1), F.lit(WINDOW)), lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda m: cut(k - m * g, n * g)))))))
+        spans = F.when(several > 1, F.concat(spans, wide)).otherwise(spans)
         inside = F.filter(F.array_distinct(spans), lambda x: x["at"] + x["n"] <= F.size(lines))
         return F.transform(inside, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice(lines, x["at"] + 1, x["n"]), " ").alias("text")))
 

@@ -427,6 +427,16 @@ def test_wrapped_licences(spark):
     assert sum(right) >= 0.9 * len(want), [(w, got[k]) for k, w in enumerate(want) if set(got[k]) != {w}]
 
 
+@pytest.mark.parametrize("family,notice", [("mit", 0), ("apache-2.0", 1), ("bsd", 4), ("isc", 0)])
+def test_licences_of_any_width(spark, family, notice):
+    """An exact notice is found whatever its lines' width: from one word a line to one line."""
+    words = licences.TEMPLATES[family][notice].split()
+    widths = [1, 2, 3, 4, 5, 6, 8, 10, 12, len(words)]
+    rows = [(n, f"{text_of(n, 40)}\n\n" + "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n)) + f"\n\n{text_of(n + 9, 40)}") for n in widths]
+    got = {r["doc_id"]: {x["family"] for x in r["found"]} for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert [n for n in widths if got[n] != {family}] == []
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
