@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from ..plans.session import spread
@@ -55,3 +57,12 @@ def frequent_words(rows: DataFrame, keys: list[str], text: Column, stop: list[st
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], made], names=[*keys, "keywords"])
 
     return own.mapInArrow(run, schema)
+
+
+def numbered_by(rule: Callable[[Iterable], list], kind: str = "int") -> Callable[[Column], Column]:
+    """A column function that puts arrays through a rule that goes along an array once, keeping a state. A fold of columns would copy its growing array at each step."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(rule)
+
+    return F.pandas_udf(run, f"array<{kind}>")

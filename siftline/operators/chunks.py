@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.counts import frequent_words
+from ..functions.counts import frequent_words, numbered_by
 from ..functions.text import display_name, entities, priority, section_type, word_count
 
 LEAST_SECTION, LEAST_CHUNK, MOST_CHUNK, LEAST_LAST = 10, 50, 700, 15
@@ -18,28 +20,35 @@ def sentences(text: Column) -> Column:
 
 def _groups(counts: Column, most: int) -> Column:
     """For word counts of pieces in order, the group of each: a piece that would take a group beyond `most` begins the next."""
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, n: Column) -> Column:
-        over = (s["held"] > 0) & (s["held"] + n > most)
-        group = s["group"] + over.cast("int")
-        return F.struct(F.when(over, n).otherwise(s["held"] + n).alias("held"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"))
+    def groups(counts: Iterable[int]) -> list[int]:
+        held, group, out = 0, 0, []
+        for n in counts:
+            if held > 0 and held + n > most:
+                held, group = 0, group + 1
+            held += n
+            out.append(group)
+        return out
 
-    return F.aggregate(counts, zero, step, lambda s: s["out"])
+    return numbered_by(groups)(counts)
 
 
 def _packs(sizes: Column) -> Column:
     """The pack of each section, for (wc) in order: small sections join until they have LEAST_CHUNK words; all others stand alone."""
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        small = n < LEAST_CHUNK
-        pack = s["pack"] + (~small | (s["held"] <= 0)).cast("int")
-        held = F.when(~small, F.lit(0)).otherwise(s["held"] + n)
-        # a full pack takes no more: nothing is held
-        return F.struct(F.when(held >= LEAST_CHUNK, 0).otherwise(held).cast("long").alias("held"), pack.alias("pack"), F.concat(s["out"], F.array(pack)).alias("out"))
 
-    return F.aggregate(sizes, zero, step, lambda s: s["out"])
+    def packs(sizes: Iterable[int]) -> list[int]:
+        held, pack, out = 0, 0, []
+        for n in sizes:
+            if n >= LEAST_CHUNK:
+                held, pack = 0, pack + 1
+            else:
+                pack += held <= 0
+                held += n
+                held = 0 if held >= LEAST_CHUNK else held  # a full pack takes no more
+            out.append(pack)
+        return out
+
+    return numbered_by(packs)(sizes)
 
 
 def packed(sections: DataFrame, page: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import links
@@ -105,6 +105,27 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(verdict.where(~F.col("v.allow")).select("url"), "url", "left_anti")
 
 
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """host, path, allow: the rules for an agent in robots files (host, txt), for allowed().
+
+    Comments and lines without a known name are passed over. Agent lines on end begin a group that all rules up to the next agent line belong to; groups of one agent add up.
+    The agent's rules are those of the longest agent name that its own begins with, in any case of letters, or else those of *. A rule without a path, which
+    allows all, is left out. A host whose file has no group for the agent has no rules.
+    """
+    each = files.select("host", F.posexplode(F.split(F.coalesce("txt", F.lit("")), r"\r\n|\r|\n")).alias("pos", "line"))
+    plain = F.regexp_replace("line", "#.*$", "")
+    known = each.select("host", "pos", F.lower(F.trim(F.regexp_extract(plain, "^([^:]*):", 1))).alias("name"), F.trim(F.regexp_extract(plain, "^[^:]*:(.*)$", 1)).alias("value"))
+    known = known.where("name in ('user-agent', 'allow', 'disallow')").withColumn("is_agent", F.col("name") == "user-agent")
+    order = Window.partitionBy("host").orderBy("pos")
+    begins = F.col("is_agent") & ~F.coalesce(F.lag("is_agent").over(order), F.lit(False))
+    grouped = known.withColumn("group", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    agents = grouped.where("is_agent").select("host", "group", F.lower("value").alias("agent")).where((F.col("agent") == "*") | ((F.col("agent") != "") & F.startswith(F.lit(agent.lower()), F.col("agent"))))
+    weight = F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))
+    own = agents.withColumn("w", weight).withColumn("best", F.max("w").over(Window.partitionBy("host"))).where("w = best").select("host", "group").distinct()
+    rules = grouped.where(~F.col("is_agent") & (F.col("value") != "")).join(own, ["host", "group"])
+    return rules.select("host", F.col("value").alias("path"), (F.col("name") == "allow").alias("allow")).distinct()
+
+
 def sitemap_urls(maps: DataFrame) -> DataFrame:
     """kind ('page' or 'map') and loc of the entries of sitemaps (url, xml); only those on the sitemap's own host."""
     is_index = F.contains(F.col("xml"), F.lit("<sitemapindex"))

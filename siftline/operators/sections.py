@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from ..functions.counts import numbered_by
 from ..functions.text import word_count
+from ..plans.session import checkpointed
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,12 +37,25 @@ def unique_keys(sections: DataFrame, page: str) -> DataFrame:
     return numbered.join(clash, page, "left_anti").select(*columns).unionByName(_folded_keys(sections.join(clash, page, "left_semi"), page).select(*columns))
 
 
+def _free_keys(bases: Iterable[str]) -> list[str]:
+    """Keys in order: a base that is used already gets its first free suffix from 2. What is used only grows, so the search for a base goes on where it ended."""
+    used, following, out = set(), {}, []
+    for base in bases:
+        key = base
+        if base in used:
+            n = following.get(base, 2)
+            while (key := f"{base}_{n}") in used:
+                n += 1
+            following[base] = n + 1
+        used.add(key)
+        out.append(key)
+    return out
+
+
 def _folded_keys(sections: DataFrame, page: str) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("pos", base_key(F.col("name")).alias("base"))))
-    free = lambda used, base: F.filter(F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(base, F.lit("_"), n.cast("string"))), lambda k: ~F.array_contains(used, k))[0]
-    key = lambda used, base: F.when(F.array_contains(used, base), free(used, base)).otherwise(base)
-    keys = F.aggregate("listed", F.array().cast("array<string>"), lambda used, x: F.concat(used, F.array(key(used, x["base"]))))
-    own = sections.groupBy(page).agg(listed.alias("listed")).select(page, F.explode(F.arrays_zip(F.col("listed.pos").alias("pos"), keys.alias("key"))).alias("x"))
+    keys = numbered_by(_free_keys, "string")(F.transform("listed", lambda x: x["base"]))
+    own = sections.groupBy(page).agg(listed.alias("listed")).withColumn("keys", keys).select(page, F.explode(F.arrays_zip(F.col("listed.pos").alias("pos"), F.col("keys").alias("key"))).alias("x"))
     return sections.join(own.select(page, "x.pos", "x.key"), [page, "pos"])
 
 
@@ -67,7 +84,7 @@ def visible_sections(rows: DataFrame, page: str, text: str, title: str) -> DataF
     first = F.substring(F.trim(F.regexp_extract("text", "^([^.!?]*)", 1)), 1, 60)
     by_paragraph = texts.withColumn("rank", rank).where("rank <= 80").withColumn("name", F.coalesce(F.nullif(first, F.lit("")), F.substring("text", 1, 40))).join(several, page, "left_anti")
     both = by_heading.join(several, page, "left_semi").select(page, "pos", "name", "text").unionByName(by_paragraph.select(page, "pos", "name", "text"))
-    return unique_keys(both, page).select(page, "pos", "key", "text")
+    return unique_keys(checkpointed(both), page).select(page, "pos", "key", "text")
 
 
 def line_sections(rows: DataFrame, page: str, text: str) -> DataFrame:

@@ -24,7 +24,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 def page_chunks(pages: DataFrame) -> DataFrame:
     """The chunks (CHUNK) of raw pages: title, packed sections and FAQ pairs of each, all with keywords; a title's also from the page's keywords."""
-    own = page_texts(pages)
+    own = checkpointed(page_texts(pages))  # read many times below
     cut = sections.visible_sections(own, "page_id", "text", "title").withColumn("wc", word_count(F.col("text")))
     packed = packing.described(packing.packed(cut, "page_id"), "page_id")
     of_page = packing.keywords(own.select("page_id", F.concat_ws(" ", "title", "text").alias("t")), ["page_id"], F.col("t"), lexicon.PAGE_STOP_WORDS, 40).withColumnRenamed("keywords", "page_keywords")

@@ -395,10 +395,28 @@ def sitemap_parse(spark, d):
     return crawl.sitemap_urls(sitemaps(table(spark, d, "pages")))
 
 
-@register("robots_filter")
+ROBOTS = "concat('# rules of ', {host}, chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), 'User-Agent: sift', chr(10), 'user-agent: *', chr(13), chr(10), 'Disallow: /t # all under t', chr(10), 'Disallow: /a', chr(10), 'ALLOW: /th', chr(10), 'Disallow:', chr(10), 'Sitemap: x')"
+HOSTS = f"SELECT DISTINCT {q.host('url')} AS host FROM pages WHERE {q.host('url')} <> ''"
+ROBOTS_SQL = f"""WITH files AS (SELECT host, {ROBOTS.format(host='host')} AS txt FROM ({HOSTS})
+), lines AS (SELECT host, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT host, regexp_split_to_array(txt, '\r\n|\r|\n') AS l FROM files)
+), named AS (SELECT host, pos, lower(trim(regexp_extract(p, '^([^:]*):', 1))) AS name, trim(regexp_extract(p, '^[^:]*:(.*)$', 1)) AS value FROM (SELECT host, pos, regexp_replace(line, '#.*$', '') AS p FROM lines)
+), known AS (SELECT *, name = 'user-agent' AS is_agent FROM named WHERE name IN ('user-agent', 'allow', 'disallow')
+), marked AS (SELECT *, is_agent AND NOT coalesce(lag(is_agent) OVER (PARTITION BY host ORDER BY pos), false) AS begins FROM known
+), grouped AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY host ORDER BY pos) AS g FROM marked
+), agents AS (SELECT DISTINCT host, g FROM grouped WHERE is_agent AND value = '*')"""
+register("robots_rules", f"{ROBOTS_SQL} SELECT DISTINCT host, value AS path, name = 'allow' AS allow FROM grouped JOIN agents USING (host, g) WHERE NOT is_agent AND value <> ''")(lambda spark, d: crawl.robots_rules(robots(table(spark, d, "pages"))))
+
+
+@register("robots_filter", f"""{ROBOTS_SQL}, rules AS (SELECT DISTINCT host, value AS path, name = 'allow' AS allow FROM grouped JOIN agents USING (host, g) WHERE NOT is_agent AND value <> ''
+), hits AS (SELECT url, arg_max(allow, length(path) * 2 + CAST(allow AS INT)) AS allow FROM (SELECT url, {q.host('url')} AS host, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS p FROM pages) JOIN rules USING (host) WHERE starts_with(p, path) GROUP BY url)
+SELECT url FROM pages WHERE url NOT IN (SELECT url FROM hits WHERE NOT allow)""")
 def robots_filter(spark, d):
-    """Rules that keep crawlers out of /fr, but for the host's path /fr/1."""
+    """Robots files of all hosts, which keep crawlers out of /t and /a, but for /th."""
     pages = table(spark, d, "pages")
-    hosts = pages.select(T.host(F.col("url")).alias("host")).distinct()
-    rules = hosts.select("host", F.lit("/fr").alias("path"), F.lit(False).alias("allow")).unionByName(hosts.select("host", F.lit("/fr/1").alias("path"), F.lit(True).alias("allow")))
-    return crawl.allowed(pages.select("url"), rules)
+    return crawl.allowed(pages.select("url"), crawl.robots_rules(robots(pages)))
+
+
+def robots(pages: DataFrame) -> DataFrame:
+    """A robots file (host, txt) of every host of pages."""
+    own = pages.select(T.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    return own.select("host", F.expr(ROBOTS.format(host="host").replace("chr(", "char(")).alias("txt"))

@@ -10,34 +10,65 @@ from ..operators.index import postings
 from ..plans.session import checkpointed
 
 BUCKETS = 64
-SCHEMA = "page_id string, url string, text string, last_crawled timestamp"
+SCHEMA = "page_id string, url string, text string, last_crawled timestamp, gone boolean"
 
 
-def page_stream(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
-    """New page files (JSON lines) of a folder; copies of a page within `late` of each other count once."""
-    read = spark.readStream.schema(SCHEMA).json(folder)
-    return read.withWatermark("last_crawled", late).dropDuplicatesWithinWatermark(["page_id", "last_crawled"])
+def page_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New page files (JSON lines) of a folder. Copies and late pages need no watermark, which would lose a page first seen late: the stored versions tell them."""
+    return spark.readStream.schema(SCHEMA).json(folder)
 
 
 def bucket(page: str = "page_id") -> Column:
     return F.pmod(F.xxhash64(page), F.lit(BUCKETS)).cast("int")
 
 
+def versions(table: str) -> str:
+    """The table of page_id, last_crawled, gone and bucket that says which version of each page the postings are of."""
+    return f"{table}_versions"
+
+
+def _overwrite(spark: SparkSession, rows: DataFrame, table: str, buckets: list[int]) -> None:
+    """rows in place of what the buckets hold. A bucket that has no rows any more is emptied, which an overwrite of partitions alone wouldn't do."""
+    if not spark.catalog.tableExists(table):
+        rows.write.partitionBy("bucket").saveAsTable(table, format="parquet")
+        return
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # of the batch's own session
+    rows.select(spark.table(table).columns).write.insertInto(table, overwrite=True)
+    for b in sorted(set(buckets) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}):  # BUCKETS at most
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (bucket = {b})")
+
+
 def replace_postings(batch: DataFrame, table: str) -> None:
-    """The postings of the batch's pages in place of their old ones. Only the buckets that they lie in are written anew."""
+    """The postings of the batch's pages in place of their old ones, where the batch has a newer version or the same one again.
+
+    A page that is gone, or whose text is null or empty, leaves its version and no postings; one older than the stored version changes nothing. Only the buckets of
+    changed pages are written anew. Postings are written before versions: a batch that is repeated after a crash between the two does the same again.
+    """
     spark = batch.sparkSession
-    newest = batch.groupBy("page_id").agg(F.max_by("text", "last_crawled").alias("text"))
-    new = postings(newest.withColumnRenamed("page_id", "chunk_id"), ["text"]).withColumnRenamed("chunk_id", "page_id").withColumn("bucket", bucket())
-    changed = checkpointed(newest.select("page_id", bucket().alias("bucket")))
-    if changed.isEmpty():
+    newest = batch.where("page_id is not null").groupBy("page_id").agg(F.max_by(F.struct("text", F.coalesce("gone", F.lit(False)).alias("gone")), "last_crawled").alias("x"), F.max("last_crawled").alias("last_crawled"))
+    newest = newest.select("page_id", "x.text", "x.gone", "last_crawled", bucket().alias("bucket"))
+    known = spark.catalog.tableExists(versions(table))
+    if known:
+        spark.catalog.refreshTable(versions(table))
+        stored = spark.table(versions(table)).select("page_id", F.col("last_crawled").alias("stored"))
+        newest = newest.join(stored, "page_id", "left").where("stored is null or last_crawled >= stored").drop("stored")
+    changed = checkpointed(newest)
+    buckets = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not buckets:
         return
-    if spark.catalog.tableExists(table):
-        old = spark.table(table).join(changed.select("bucket").distinct(), "bucket", "left_semi").join(changed.select("page_id"), "page_id", "left_anti")
-        new = checkpointed(new.unionByName(old.select(new.columns)))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # of the batch's own session
-        new.write.insertInto(table, overwrite=True)
-    else:
-        new.write.partitionBy("bucket").saveAsTable(table, format="parquet")
+    held = changed.where("not gone").select(F.col("page_id").alias("chunk_id"), "text")
+    new = postings(held, ["text"]).withColumnRenamed("chunk_id", "page_id").withColumn("bucket", bucket())
+    told = changed.select("page_id", "last_crawled", "gone", "bucket")
+
+    def with_others(rows: DataFrame, stored: str) -> DataFrame:
+        if not spark.catalog.tableExists(stored):
+            return rows
+        spark.catalog.refreshTable(stored)  # another session may have written it
+        old = spark.table(stored).where(F.col("bucket").isin(buckets)).join(changed.select("page_id"), "page_id", "left_anti")
+        return checkpointed(rows.unionByName(old.select(rows.columns)))
+
+    _overwrite(spark, with_others(new, table), table, buckets)
+    _overwrite(spark, with_others(told, versions(table)), versions(table), buckets)
 
 
 def start(pages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

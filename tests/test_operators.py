@@ -219,19 +219,83 @@ def test_robots_and_sitemaps(spark):
     assert values(crawl.sitemap_urls(maps), "kind", "loc") == [("map", "https://h/x.xml")]
 
 
+@pytest.mark.parametrize(
+    "agent, expected",
+    [
+        ("*", [("/private", False), ("/private/open", True)]), ("SiftBot/1.0", [("/", False), ("/sift", True)]), ("sift", [("/s", False)]), ("other", [("/private", False), ("/private/open", True)]),
+        ("deep", [("/one", False), ("/two", False)]),
+    ],
+)
+def test_robots_files(spark, agent, expected):
+    txt = """# comment
+User-agent: *
+Disallow: /private # not this
+Allow: /private/open
+Crawl-delay: 3
+
+User-agent: siftbot
+User-Agent: SIFTBOT-NEWS
+Disallow: /
+allow:/sift
+Disallow:
+user-agent: sift
+Disallow: /s\r\nnonsense
+USER-AGENT: deep
+Disallow: /one
+User-agent: none
+Disallow: /x
+User-agent: deep
+Disallow: /two
+"""
+    files = spark.createDataFrame([("h", txt), ("empty", ""), ("null", None)], "host string, txt string")
+    assert sorted(values(crawl.robots_rules(files, agent), "host", "path", "allow")) == [("h", *x) for x in expected]
+
+
+def test_packs_and_keys_in_linear_time(spark):
+    """A page of 100,000 sections whose names clash, packed and keyed in seconds; the same as section by section."""
+    import time
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "a 2").otherwise("a").alias("name"), F.lit("w " * 12).alias("text"), F.lit(12).cast("long").alias("wc"))
+    start = time.time()
+    keyed = sections.unique_keys(rows, "page").withColumn("key", F.col("key"))
+    packs = chunks.packed(keyed.select("page", "pos", "key", "text", "wc"), "page")
+    assert packs.count() == n // 5 and keyed.select("key").distinct().count() == n
+    assert time.time() - start < 90
+    assert sections._free_keys(["a", "a", "a_2", "a", "b", "a_2"]) == ["a", "a_2", "a_2_2", "a_3", "b", "a_2_3"]
+
+
 @pytest.mark.parametrize("word, expected", [x.split(":") for x in "caresses:caress ponies:poni agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall filing:file happy:happi relational:relat triplicate:triplic formalize:formal revival:reviv adoption:adopt rate:rate cease:ceas controll:control roll:roll".split()])
 def test_stem(word, expected):
     assert stem(word) == expected
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Newer, late, repeated, emptied, vanished and returned pages, over several runs: what is stored is the newest version's postings."""
+    import json
+
     from siftline.streaming import refresh
 
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "1.json").write_text('{"page_id": "a", "text": "one two", "last_crawled": "2025-01-01T00:00:00Z"}\n{"page_id": "b", "text": "two", "last_crawled": "2025-01-01T00:00:00Z"}\n')
-    run = lambda: refresh.start(refresh.page_stream(spark, str(folder)), "stream_postings", str(tmp_path / "ck")).awaitTermination()
-    run()
-    (folder / "2.json").write_text('{"page_id": "a", "text": "three", "last_crawled": "2025-01-02T00:00:00Z"}\n')
-    run()
-    assert sorted(values(spark.table("stream_postings"), "term", "page_id", "tf")) == [("three", "a", 1), ("two", "b", 1)]
+    runs = [
+        [("a", "one two", 1, None), ("b", "two", 1, None), ("c", "three", 5, None), ("d", "four four", 2, False)],
+        [("a", "three", 2, None), ("c", "late", 4, None), ("d", "four four", 2, None), ("e", "first seen late", 1, None)],
+        [("b", "", 3, None), ("d", None, 3, None), ("a", "three", 3, True), ("c", "three", 5, None), ("f", None, 1, None)],
+        [("a", "older than gone", 2, None), ("e", "again", 7, None), ("e", "between", 6, None), ("d", "back", 4, None)],
+    ]
+    seen = []
+    for k, pages in enumerate(runs):
+        lines = [{"page_id": p, "text": text, "last_crawled": f"2025-01-0{day}T00:00:00Z"} | ({} if gone is None else {"gone": gone}) for p, text, day, gone in pages]
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, lines)))
+        refresh.start(refresh.page_stream(spark, str(folder)), "stream_postings", str(tmp_path / "ck")).awaitTermination()
+        seen += pages
+        newest = {}
+        for p, text, day, gone in seen:
+            if p not in newest or day >= newest[p][0]:
+                newest[p] = (day, "" if gone else text or "")
+        batch = sorted((w, p, text.split().count(w)) for p, (_, text) in newest.items() for w in set(text.split()))
+        spark.catalog.refreshTable("stream_postings")
+        assert sorted(values(spark.table("stream_postings"), "term", "page_id", "tf")) == batch
+    refresh.replace_postings(spark.createDataFrame([("e", None, "again", None, None)], refresh.SCHEMA).withColumn("last_crawled", F.to_timestamp(F.lit("2025-01-07"))), "stream_postings")
+    assert sorted(values(spark.table("stream_postings"), "term", "page_id", "tf")) == batch
