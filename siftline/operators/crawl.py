@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import links
-from ..functions.text import canonical, crawlable, host, joined_url
+from ..functions.text import canonical, crawlable, host, joined_url, page_file, slug
 
 
 class Fetcher(Protocol):
@@ -97,6 +97,14 @@ def _first(visited: DataFrame, pages: int | None) -> DataFrame:
     return visited if pages is None else visited.orderBy("depth", "url").limit(pages)
 
 
+def page_files(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """pages (url and more) with `file`, the first generation's name: the slug's first 80 characters for the first page that has them, 70 and the page's key for all others."""
+    own = pages.withColumn("_short", F.substring(slug(F.col("url")), 1, 80))
+    first = own.groupBy("_short").agg(F.min(order).alias("_first"))  # summed up before it is dealt out, so that one slug of many pages is a row a task
+    alone = F.concat("_short", F.lit(".json"))
+    return own.join(first, "_short").withColumn("file", F.when(F.col(order) == F.col("_first"), alone).otherwise(page_file(F.col("url")))).drop("_short", "_first")
+
+
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url) that robots rules (host, path, allow) let through: the longest matching path decides, allow before disallow."""
     own = urls.withColumn("_host", host(F.col("url"))).withColumn("_path", F.regexp_extract("url", "^https?://[^/?#]+([^#]*)", 1))

@@ -12,7 +12,7 @@ from . import sqltext as q
 from .functions import html as H
 from .functions import lexicon as lx
 from .functions import text as T
-from .operators import answer, chunks, crawl, index, markup, query, retrieve, sections
+from .operators import answer, chunks, crawl, frontier, index, markup, query, retrieve, sections
 from .plans import build as B
 from .plans import corpus as C
 from .plans import pages as P
@@ -58,6 +58,9 @@ simple("content_hash", "documents", "doc_id", {"content_hash": (lambda t: F.sha2
 simple("page_key", "pages", "page_id", {"page_key": (lambda t: T.page_key(t.url), q.page_key("url"))})
 simple("url_slug", "pages", "page_id", {"slug": (lambda t: T.slug(t.url), q.slug("url"))})
 simple("page_filename", "pages", "page_id", {"file": (lambda t: T.page_file(t.url), f"substr({q.slug('url')}, 1, 70) || '_' || {q.page_key('url')} || '.json'")})
+register("page_filename_v1", f"SELECT page_id, CASE WHEN page_id = min(page_id) OVER (PARTITION BY substr({q.slug('url')}, 1, 80)) THEN substr({q.slug('url')}, 1, 80) || '.json' ELSE substr({q.slug('url')}, 1, 70) || '_' || {q.page_key('url')} || '.json' END AS file FROM pages")(
+    lambda spark, d: crawl.page_files(table(spark, d, "pages").select("page_id", "url")).select("page_id", "file")
+)
 simple("url_canonical", "pages", "page_id", {"canonical": (lambda t: T.canonical(t.url), "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '[?&]utm_|\\?ref=') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') ELSE regexp_replace(url, '#.*$', '') END")})
 simple("page_type", "pages", "page_id", {"page_type": (lambda t: T.page_type(t.url), q.page_type("url")), "page_type_v1": (lambda t: T.page_type(t.url, lx.PAGE_TYPES_V1), lx.sql_case(f"lower({q.path('url')})", lx.PAGE_TYPES_V1, "general", True))})
 simple("crawlable", "pages", "page_id", {"crawlable": (lambda t: T.crawlable(t.url), f"regexp_matches(url, '^https?://[^/?#]+') AND NOT regexp_matches(lower({q.path('url')}), '\\.({'|'.join(lx.SKIPPED_EXTENSIONS)})$')")})
@@ -420,3 +423,29 @@ def robots(pages: DataFrame) -> DataFrame:
     """A robots file (host, txt) of every host of pages."""
     own = pages.select(T.host(F.col("url")).alias("host")).where("host <> ''").distinct()
     return own.select("host", F.expr(ROBOTS.format(host="host").replace("chr(", "char(")).alias("txt"))
+
+
+# Schedules of a crawl over all pages: times follow from page ids, outcomes from a digest of URL and attempt.
+DUE, ERRS = "(page_id * 7919) % 60000", "substr(md5(url || ':' || attempt), 1, 1)"
+STATUS = f"CASE WHEN {ERRS} < '5' THEN NULL WHEN {ERRS} = 'f' THEN 404 ELSE 200 END"
+
+
+def _round(n: int) -> str:
+    """The n-th round of attempts in SQL; `last` is the end of all rounds before."""
+    before = " UNION ALL ".join(f"SELECT * FROM done{k}" for k in range(1, n))
+    waiting = f"SELECT url, 0 AS depth, min({DUE}) AS due FROM pages WHERE {q.host('url')} <> '' GROUP BY url" if n == 1 else f"SELECT url, depth, fetch_at + {n - 1} * {frontier.BACK_OFF} AS due FROM done{n - 1} WHERE outcome = 'failed'"
+    last = f"LEFT JOIN (SELECT host, max(fetch_at) AS last FROM ({before}) GROUP BY host) USING (host)" if n > 1 else ""
+    return f"""w{n} AS (SELECT *, {q.host('url')} AS host FROM ({waiting})
+), k{n} AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY due, depth, url) AS k FROM w{n}
+), t{n} AS (SELECT url, k{n}.host, depth, k * {frontier.PAUSE} + greatest(max(due - k * {frontier.PAUSE}) OVER (PARTITION BY k{n}.host ORDER BY k), {'last' if n > 1 else 'NULL'}) AS fetch_at, {n} AS attempt FROM k{n} {last}
+), done{n} AS (SELECT url, host, depth, attempt, fetch_at, CASE WHEN s < 400 THEN 'read' WHEN s >= 400 THEN 'refused' ELSE 'failed' END AS outcome FROM (SELECT *, {STATUS} AS s FROM t{n}))"""
+
+
+def frontier_of(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("url", F.lit(0).cast("long").alias("depth"), F.expr(DUE).alias("due"))
+
+
+register("crawl_schedule", f"WITH {_round(1)} SELECT url, host, CAST(depth AS BIGINT) AS depth, CAST(fetch_at AS BIGINT) AS fetch_at FROM t1")(lambda spark, d: frontier.scheduled(frontier_of(spark, d)))
+register("crawl_attempts", f"WITH {_round(1)}, {_round(2)}, {_round(3)} SELECT url, host, CAST(depth AS BIGINT) AS depth, CAST(attempt AS BIGINT) AS attempt, CAST(fetch_at AS BIGINT) AS fetch_at, outcome FROM (SELECT * FROM done1 UNION ALL SELECT * FROM done2 UNION ALL SELECT * FROM done3)")(
+    lambda spark, d: frontier.attempts(frontier_of(spark, d), lambda x: x.select("url", F.expr(STATUS).alias("status")))
+)
