@@ -572,6 +572,17 @@ def test_main_text_names_and_repeats(spark):
     assert sorted(x for x in got if x[0] > 1) == [(k, "Story text") for k in (10, 11, 12, 13, *range(20, 27))]
 
 
+def test_main_text_data_attributes_and_unclosed_tags(spark):
+    import time
+
+    page = '<article><p data-id="comments">Hello world</p><p data-role="sidebar">two</p><p id="comments">no</p></article>'
+    df = spark.createDataFrame([(1, None, page), (2, "https://h/x", "<article><p>text</p>" + "<a " * 8000)], "page_id long, url string, html string")
+    start = time.time()
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(df, ["page_id"]).collect()}
+    assert got[1] == "Hello world\n\ntwo" and got[2].startswith("text")
+    assert time.time() - start < 60
+
+
 def test_wrappers_do_not_depend_on_partitions(spark):
     r = random.Random(9)
     part = lambda k: r.choice(["<p>Box</p>", "<ul><li>a<li>b</ul>", f"<h2>n{k}</h2>", "<div class='x'><p>Same</p></div>", ""])
