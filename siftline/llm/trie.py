@@ -220,8 +220,8 @@ def prefix_trie(conversations: DataFrame, band_size: int = BAND) -> DataFrame:
     sums = walked(rows, valued, "sums", SUMS, band_size).groupBy(*KEY).agg(F.sum("shared").alias("shared"), F.sum("leaves").alias("n_leaves"), F.min_by("own_shared", "conv_id").alias("own_shared"))
     # The parent of a chain's first node: the root for most; for the others, AQE splits what a common parent makes large.
     up = tree.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("up"))
-    root = tree.where("depth = 0").select(F.col("conv_id").alias("up"))
-    heads = chains.where("depth > 1").join(up, ["depth", "p1", "p2"]).select("conv_id", "depth", "up").unionByName(chains.where("depth = 1").select("conv_id", "depth").join(F.broadcast(root)))
+    root = tree.where("depth = 0").select("conv_id").first()  # one row, none of an empty table
+    heads = chains.where("depth > 1").join(up, ["depth", "p1", "p2"]).select("conv_id", "depth", "up").unionByName(chains.where("depth = 1").select("conv_id", "depth", F.lit(root and root[0]).cast("long").alias("up")))
     every = tree.join(sums, KEY).join(heads, ["conv_id", "depth"], "left").join(end_digests(local), KEY, "left")
     saved: Column = F.col("shared") - F.col("own_shared") - (F.col("n_convs") - 1) * (F.col("prefix") - F.col("bytes"))
     return every.select(
