@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,10 +158,28 @@ def confidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 0.7, "high").when(confidence >= 0.4, "medium").otherwise("low")
 
 
+#: A character reference, by name or by number. One without its semicolon is ordinary text.
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: What names stand for, by the whole reference: those of HTML 4 and the apostrophe. A no-break space is a blank here, as white space collapses.
+NAMED = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
+#: Numbers that stand for another character: those of the old Windows page, the no-break space, and null.
+RENUMBERED = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)} | {0xA0: " ", 0: "\ufffd"}
+
+
+def referred(reference: Column) -> Column:
+    """The character of a reference; a name that isn't known stays as it is, a number that is no character becomes U+FFFD."""
+    known = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    digits = F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    by_number = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.when(F.startswith(reference, F.lit("&#")), F.coalesce(F.try_element_at(known(RENUMBERED), code), by_number)).otherwise(F.coalesce(F.try_element_at(known(NAMED), reference), reference))
+
+
 def unescaped(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """text with its character references decoded, each once: what stands between them, and their characters, put together again."""
+    whole = lambda t: F.array_join(F.zip_with(F.split(t, REFERENCE, -1), found(t, REFERENCE), lambda a, r: F.concat(a, F.coalesce(referred(r), F.lit("")))), "")
+    # As an element of an array the text is worked out once for its uses.
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t)), F.lit(0))
 
 
 def tag_text(html: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..functions.text import rounded
-from .query import is_greeting
-from .retrieve import THRESHOLD
+from ..plans.session import checkpointed
+from .query import is_greeting, processed, valid
+from .retrieve import Indexes, Limits, confidence, retrieved
 
 FALLBACK = "No reliable information was found for this question. Please contact us directly."
 GREETING = "Hello! How can I help you today?"
@@ -47,7 +50,7 @@ def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return own.select("query_id", prompt.alias("prompt"), F.coalesce(F.array_join(pages, "|"), F.lit("")).alias("sources"), "urls", "first_text")
 
 
-def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = Limits.threshold) -> DataFrame:
     """query_id, answer, confidence, sources (up to 3), n_chunks, fallback, intents.
 
     Below the threshold, or without chunks, the fallback text. Where the generator fails (null), the fallback text with confidence 0.
@@ -63,7 +66,7 @@ def answers(queries: DataFrame, results: DataFrame, confidences: DataFrame, gene
     )
 
 
-def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, generator: Generator | None = None, threshold: float = Limits.threshold) -> DataFrame:
     """Rows of answers() for all queries (query_id, text and what is made of them); greetings get their fixed answer with confidence 1."""
     greeted = queries.where(is_greeting(F.col("text"))).select(
         "query_id", F.lit(GREETING).alias("answer"), F.lit(1.0).alias("confidence"), F.lit("").alias("sources"), F.lit(0).cast("long").alias("n_chunks"), F.lit(False).alias("fallback"), F.array(F.lit("greeting")).alias("intents")
@@ -72,6 +75,20 @@ def responses(queries: DataFrame, results: DataFrame, confidences: DataFrame, ge
     return greeted.unionByName(answers(asked, results.join(asked.select("query_id"), "query_id", "left_semi"), confidences, generator, threshold))
 
 
+def answered(requests: DataFrame, own: Indexes, topics: list[tuple[str, list[str]]] = lexicon.INTENTS, generator: Generator | None = None) -> DataFrame:
+    """The response to every valid request (query_id, text, asked_at, session_id): what responses() gives, session_id and latency_ms.
+
+    asked_at is a timestamp; the latency goes from there to when the batch's answers are written, to a tenth of a millisecond. Null where
+    asked_at is null. Requests without text, or of over 2000 characters, get no response, requests of no words the fallback. query_id is unique.
+    """
+    asked = checkpointed(processed(valid(requests.select("query_id", "text")), topics))
+    results = retrieved(asked, own)
+    made = checkpointed(responses(asked, results, confidence(results, asked, own.limits.top_k), generator, own.limits.threshold))
+    written = F.lit(int(time.time() * 1_000_000))
+    told = requests.select("query_id", "session_id", rounded((written - F.unix_micros("asked_at")) / 1000, 1).alias("latency_ms"))
+    return made.join(told, "query_id")
+
+
 def preview(results: DataFrame, most: int = 5) -> DataFrame:
     """query_id, rank, chunk_id, section, score (4 decimals), preview (200 characters) of the first results."""
     return results.where(F.col("rank") <= most).select("query_id", "rank", "chunk_id", "section", rounded(F.col("final_score"), 4).alias("score"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("preview"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,15 @@ from ..functions import lexicon
 from ..functions.counts import frequent_words, numbered_by
 from ..functions.text import display_name, entities, priority, section_type, word_count
 
-LEAST_SECTION, LEAST_CHUNK, MOST_CHUNK, LEAST_LAST = 10, 50, 700, 15
+
+@dataclass(frozen=True)
+class Sizes:
+    """Words: a section that counts, a chunk that takes no more sections, a chunk at the most, and the rest of a page that stays."""
+
+    section: int = 10
+    least: int = 50
+    most: int = 700
+    last: int = 15
 
 
 def sentences(text: Column) -> Column:
@@ -33,38 +42,38 @@ def _groups(counts: Column, most: int) -> Column:
     return numbered_by(groups)(counts)
 
 
-def _packs(sizes: Column) -> Column:
-    """The pack of each section, for (wc) in order: small sections join until they have LEAST_CHUNK words; all others stand alone."""
+def _packs(sizes: Column, least: int) -> Column:
+    """The pack of each section, for (wc) in order: small sections join until they have `least` words; all others stand alone."""
 
     def packs(sizes: Iterable[int]) -> list[int]:
         held, pack, out = 0, 0, []
         for n in sizes:
-            if n >= LEAST_CHUNK:
+            if n >= least:
                 held, pack = 0, pack + 1
             else:
                 pack += held <= 0
                 held += n
-                held = 0 if held >= LEAST_CHUNK else held  # a full pack takes no more
+                held = 0 if held >= least else held  # a full pack takes no more
             out.append(pack)
         return out
 
     return numbered_by(packs)(sizes)
 
 
-def packed(sections: DataFrame, page: str) -> DataFrame:
+def packed(sections: DataFrame, page: str, limits: Sizes = Sizes()) -> DataFrame:
     """page, n (from 1), key, text, wc: chunks of sections (page, pos, key, text, wc), in order.
 
     Sections under ten words don't count. Smaller ones join the next until there are 50 words; a larger one ends what is held, of whatever
-    size; one of over 700 words is cut at sentences. What is held at the end stays if it has 15 words.
+    size; one of over 700 words is cut at sentences. What is held at the end stays if it has 15 words. `limits` sets these numbers.
     """
-    own = sections.where(F.col("wc") >= LEAST_SECTION).groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "text", "wc"))).alias("s"))
-    numbered = own.select(page, "s", _packs(F.transform("s", lambda x: x["wc"])).alias("packs"))
+    own = sections.where(F.col("wc") >= limits.section).groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "text", "wc"))).alias("s"))
+    numbered = own.select(page, "s", _packs(F.transform("s", lambda x: x["wc"]), limits.least).alias("packs"))
     each = numbered.select(page, F.element_at("packs", -1).alias("last"), F.explode(F.arrays_zip("s", "packs")).alias("x")).select(page, "last", F.col("x.packs").alias("pack"), "x.s.pos", "x.s.key", "x.s.text", "x.s.wc")
-    large = each.where(F.col("wc") > MOST_CHUNK)
+    large = each.where(F.col("wc") > limits.most)
     listed = F.array_sort(F.collect_list(F.struct("pos", "key", "text")))
-    packs = each.where(F.col("wc") <= MOST_CHUNK).groupBy(page, "pack", "last").agg(listed.alias("s"), F.sum("wc").alias("wc")).where((F.col("pack") < F.col("last")) | (F.col("wc") >= LEAST_LAST))
+    packs = each.where(F.col("wc") <= limits.most).groupBy(page, "pack", "last").agg(listed.alias("s"), F.sum("wc").alias("wc")).where((F.col("pack") < F.col("last")) | (F.col("wc") >= limits.last))
     whole = packs.select(page, F.col("s")[0]["pos"].alias("pos"), F.lit(0).alias("part"), F.element_at("s", -1)["key"].alias("key"), F.trim(F.array_join(F.transform("s", lambda x: x["text"]), " ")).alias("text"), "wc")
-    cut = large.withColumn("ss", sentences(F.col("text"))).withColumn("g", _groups(F.transform("ss", word_count), MOST_CHUNK))
+    cut = large.withColumn("ss", sentences(F.col("text"))).withColumn("g", _groups(F.transform("ss", word_count), limits.most))
     pieces = cut.select(page, "pos", "key", F.posexplode(F.arrays_zip("ss", "g")).alias("i", "x")).groupBy(page, "pos", "key", F.col("x.g").alias("part")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("x.ss").alias("line")))).alias("s"))
     parts = pieces.withColumn("text", F.trim(F.array_join(F.transform("s", lambda x: x["line"]), " "))).select(page, "pos", "part", "key", "text", word_count(F.col("text")).alias("wc")).where("text <> ''")
     order = F.row_number().over(Window.partitionBy(page).orderBy("pos", "part"))

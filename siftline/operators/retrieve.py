@@ -15,14 +15,14 @@ from . import index
 from .search import SearchIndex, found, search_index
 
 KEYWORD_SCORE, FAQ_SCORE, LIKE_SCORE = 0.2, 1.0, 0.3
-THRESHOLD = 0.25
 
 
 @dataclass(frozen=True)
 class Limits:
     """How much is looked at: few (fewer results widen the search), first and broad (results of a search), supplement (chunks by keyword), pages, FAQ likeness, top k.
 
-    k1 and b are BM25's, for an index that is yet to be built.
+    k1 and b are BM25's, for an index that is yet to be built. boost_faq, boost_title and boost_heading raise a chunk's score by its kind; below
+    `threshold` of confidence no answer is given.
     """
 
     few: int = 3
@@ -34,6 +34,10 @@ class Limits:
     top_k: int = 5
     k1: float = 1.2
     b: float = 0.75
+    boost_faq: float = 2.0
+    boost_title: float = 2.5
+    boost_heading: float = 1.5
+    threshold: float = 0.25
 
 
 class Indexes:
@@ -216,12 +220,12 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_distinct(a)), F.lit(1))
 
 
-def reranked(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def reranked(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """candidates with chunk columns, final_score, overlap and place (from 1): section boosts, keyword overlap and priority on the base score."""
     own = candidates.join(chunks, "chunk_id").join(queries.select("query_id", F.col("keywords").alias("query_keywords")), "query_id")
     name = F.lower("section")
-    boost = F.when(F.col("section_type") == "faq", 2.0).otherwise(1.0) * F.when(name.contains("title") | name.contains("overview"), 2.5).otherwise(1.0)
-    boost = boost * F.when(F.col("section_type").isin("requirements", "process", "pricing"), 1.5).otherwise(1.0)
+    boost = F.when(F.col("section_type") == "faq", limits.boost_faq).otherwise(1.0) * F.when(name.contains("title") | name.contains("overview"), limits.boost_title).otherwise(1.0)
+    boost = boost * F.when(F.col("section_type").isin("requirements", "process", "pricing"), limits.boost_heading).otherwise(1.0)
     weight = F.when(F.coalesce("priority_score", F.lit(0.0)) == 0, 0.5).otherwise(F.col("priority_score"))
     share = overlap(F.col("query_keywords"), F.col("keywords"))
     made = own.withColumn("overlap", share).withColumn("final_score", rounded(F.col("score") * (boost + share * 0.5) * (0.5 + weight), 6))
@@ -252,5 +256,5 @@ def retrieved(queries: DataFrame, own: Indexes) -> DataFrame:
     Candidates are ranked without their texts; only the best ones fetch them.
     """
     light = own.chunks.select("chunk_id", "section", "section_type", "keywords", "priority_score", F.lower(F.substring("text", 1, 80)).alias("prefix"))
-    best = top(deduplicated(reranked(gathered(queries, own), queries, light)), own.limits.top_k).select("query_id", "chunk_id", "score", "tier", "overlap", "final_score", "place", "rank")
+    best = top(deduplicated(reranked(gathered(queries, own), queries, light, own.limits)), own.limits.top_k).select("query_id", "chunk_id", "score", "tier", "overlap", "final_score", "place", "rank")
     return checkpointed(checkpointed(best).join(own.chunks, "chunk_id"))

@@ -59,14 +59,14 @@ def _folded_keys(sections: DataFrame, page: str) -> DataFrame:
     return sections.join(own.select(page, "x.pos", "x.key"), [page, "pos"])
 
 
-def visible_sections(rows: DataFrame, page: str, text: str, title: str) -> DataFrame:
+def visible_sections(rows: DataFrame, page: str, text: str, title: str, noise: Iterable[str] = ()) -> DataFrame:
     """page, pos, key, text by headings; where none is found, or all falls into one section, by paragraphs.
 
-    Navigation lines and the title line don't count. A paragraph is text between blank lines, of over 40 characters; the first 80 count.
+    Navigation lines, those of `noise` (a site's own, in any case of letters) and the title line don't count. A paragraph is text between blank lines, of over 40 characters; the first 80 count.
     """
     clean = F.trim(F.col("line"))
     every = lines(rows.withColumn("_title", F.trim(F.col(title))), page, text).join(rows.select(page, F.trim(F.col(title)).alias("_title")), page)
-    kept = every.withColumn("line", clean).where(~F.lower("line").isin(lexicon.NOISE_LINES) & ~F.col("line").rlike(lexicon.NOISE_PATTERN) & ((F.col("line") != F.col("_title")) | (F.col("line") == "")))
+    kept = every.withColumn("line", clean).where(~F.lower("line").isin([*lexicon.NOISE_LINES, *(x.strip().lower() for x in noise)]) & ~F.col("line").rlike(lexicon.NOISE_PATTERN) & ((F.col("line") != F.col("_title")) | (F.col("line") == "")))
     ahead = Window.partitionBy(page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     heading = F.col("line").rlike(lexicon.HEADING_PATTERN) & (F.length("line") < 120)
     marked = kept.withColumn("heading", heading).withColumn("sid", F.sum(F.col("heading").cast("int")).over(ahead))

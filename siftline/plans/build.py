@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", slug(F.col("url")).alias("slug"), H.title(html).alias("title"), H.h1(html).alias("h1"), H.description(html).alias("description"), H.visible_lines(html).alias("text"), H.faq_jsonld(html).alias("faq"))
 
 
-def page_chunks(pages: DataFrame) -> DataFrame:
-    """The chunks (CHUNK) of raw pages: title, packed sections and FAQ pairs of each, all with keywords; a title's also from the page's keywords."""
+def page_chunks(pages: DataFrame, sizes: packing.Sizes = packing.Sizes(), noise: Iterable[str] = ()) -> DataFrame:
+    """The chunks (CHUNK) of raw pages: title, packed sections and FAQ pairs of each, all with keywords; a title's also from the page's keywords.
+
+    noise: lines that are no content on these pages, beside the known ones.
+    """
     own = checkpointed(page_texts(pages))  # read many times below
-    cut = sections.visible_sections(own, "page_id", "text", "title").withColumn("wc", word_count(F.col("text")))
-    packed = packing.described(packing.packed(cut, "page_id"), "page_id")
+    cut = sections.visible_sections(own, "page_id", "text", "title", noise).withColumn("wc", word_count(F.col("text")))
+    packed = packing.described(packing.packed(cut, "page_id", sizes), "page_id")
     of_page = packing.keywords(own.select("page_id", F.concat_ws(" ", "title", "text").alias("t")), ["page_id"], F.col("t"), lexicon.PAGE_STOP_WORDS, 40).withColumnRenamed("keywords", "page_keywords")
     titles = packing.with_keywords(packing.title_chunks(own, "page_id").join(of_page, "page_id"), "page_keywords")
     rest = packing.with_keywords(packed.unionByName(packing.faq_chunks(own, "page_id")))
@@ -34,9 +39,9 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     return every.select(*CHUNK)
 
 
-def page_indexes(pages: DataFrame, intents: list = lexicon.INTENTS, stem: bool = False, limits: Limits = Limits()) -> Indexes:
+def page_indexes(pages: DataFrame, intents: list = lexicon.INTENTS, stem: bool = False, limits: Limits = Limits(), sizes: packing.Sizes = packing.Sizes(), noise: Iterable[str] = ()) -> Indexes:
     """All indexes over the chunks of raw pages. Chunks are cut once and kept, as all other indexes are made of them."""
-    return indexes(checkpointed(page_chunks(pages)), page_texts(pages).select("page_id", "url", "slug", "title", "text"), ["section", "page_title", "text", "keywords"], intents, stem, limits)
+    return indexes(checkpointed(page_chunks(pages, sizes, noise)), page_texts(pages).select("page_id", "url", "slug", "title", "text"), ["section", "page_title", "text", "keywords"], intents, stem, limits)
 
 
 def indexes(chunks: DataFrame, pages: DataFrame, columns: list[str], intents: list, stem: bool = False, limits: Limits = Limits()) -> Indexes:

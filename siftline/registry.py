@@ -340,7 +340,7 @@ on_retrieval("retrieve_topk", "SELECT query_id, rank, chunk_id FROM top", lambda
 on_retrieval("confidence", "SELECT * FROM confidence", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x))
 on_retrieval("confidence_band", "SELECT CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM confidence GROUP BY 1", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x).groupBy(T.confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n")))
 on_retrieval("retrieve", "SELECT t.query_id, t.rank, t.chunk_id, t.page_id, t.section_type, t.final_score, t.tier, c.confidence FROM top t JOIN confidence c USING (query_id)", lambda x, i: (lambda r: r.join(retrieve.confidence(r, x), "query_id").select("query_id", "rank", "chunk_id", "page_id", "section_type", "final_score", "tier", "confidence"))(retrieve.retrieved(x, i)))
-on_retrieval("answer_gate", "SELECT query_id, confidence < 0.25 OR n_chunks = 0 AS fallback FROM confidence", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x).select("query_id", ((F.col("confidence") < retrieve.THRESHOLD) | (F.col("n_chunks") == 0)).alias("fallback")))
+on_retrieval("answer_gate", "SELECT query_id, confidence < 0.25 OR n_chunks = 0 AS fallback FROM confidence", lambda x, i: retrieve.confidence(retrieve.retrieved(x, i), x).select("query_id", ((F.col("confidence") < retrieve.Limits.threshold) | (F.col("n_chunks") == 0)).alias("fallback")))
 on_retrieval("admin_search", "SELECT query_id, rank, chunk_id, section, floor(final_score * 10000 + 0.5) / 10000 AS score, sha256(substr(text, 1, 200) || '...') AS preview_hash FROM top", lambda x, i: answer.preview(retrieve.retrieved(x, i)).select("query_id", "rank", "chunk_id", "section", "score", F.sha2("preview", 256).alias("preview_hash")))
 on_retrieval("context_block", "SELECT query_id, sha256(context) AS context_hash, length(context) AS n_chars FROM contexts", lambda x, i: answer.context(retrieve.retrieved(x, i)).select("query_id", F.sha2("context", 256).alias("context_hash"), F.length("context").alias("n_chars")))
 on_retrieval("prompt_sources", "SELECT p.query_id, coalesce(array_to_string(urls[1:5], '|'), '') AS sources FROM processed p LEFT JOIN contexts USING (query_id)", lambda x, i: answer.prompts(x, answer.context(retrieve.retrieved(x, i))).select("query_id", "sources"))

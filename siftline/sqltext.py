@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import lexicon as lx
 from .functions.html import LINE_END, PARAGRAPH_END
-from .functions.text import TERM
+from .functions.text import NAMED, REFERENCE, RENUMBERED, TERM
 from .plans import corpus as cp
 
 PATH = "regexp_extract({0}, '^https?://[^/?#]+([^?#]*)', 1)"
@@ -75,10 +75,13 @@ def chunk_id(page: str, n: str) -> str:
     return f"{page} || '_chunk_' || CASE WHEN {n} < 1000 THEN lpad(CAST({n} AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
 
 
-def unescaped(made: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        made = f"replace({made}, '{a}', '{b}')"
-    return made
+def unescaped(x: str) -> str:
+    known = lambda pairs: "MAP {" + ", ".join(f"{lx.quoted(k) if isinstance(k, str) else k}: {lx.quoted(v)}" for k, v in pairs.items()) + "}"
+    code = "CAST(CASE WHEN regexp_matches(p[2], '^&#[xX]') THEN '0x' || p[2][4:-2] ELSE p[2][3:-2] END AS INTEGER)"
+    by_number = f"list_transform([{code}], lambda n: coalesce({known(RENUMBERED)}[n], CASE WHEN n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(n) END))[1]"
+    char = f"CASE WHEN p[2] IS NULL THEN '' WHEN starts_with(p[2], '&#') THEN {by_number} ELSE coalesce({known(NAMED)}[p[2]], p[2]) END"
+    whole = f"array_to_string(list_transform(list_zip(string_split_regex(t, '{REFERENCE}'), regexp_extract_all(t, '{REFERENCE}')), lambda p: p[1] || {char}), '')"
+    return f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN {whole} ELSE t END)[1]"
 
 
 def tag_text(x: str) -> str:

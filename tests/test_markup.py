@@ -103,3 +103,25 @@ def test_tags_cost_linear_time(spark):
     start = time.time()
     spark.createDataFrame([(1, page)], "page_id long, html string").select(F.size(markup.found(F.col("html"), markup.TOKEN))).collect()
     assert time.time() - start < 20
+
+
+REFERENCES = ["&#8217;s", "&#x2019;&#X2013;", "&amp;lt; &lt;b&gt;", "a &eacute;&Eacute;&apos;&quot; b", "&nosuch; & &;", "&#128;&#150;", "&#128512;", "&#0;&#xD800;&#x110000;", "&&amp;&", "", "plain", "&nbsp;x&#160;y", "&#39;'&copy;&hellip;&rarr;"]
+
+
+def test_character_references(spark):
+    """As the standard library decodes them (no-break spaces as blanks), in columns and in SQL."""
+    import html
+
+    import duckdb
+
+    from siftline import sqltext
+    from siftline.functions.text import unescaped
+
+    texts = [*REFERENCES, "&amp", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = [r["u"] for r in df.orderBy("k").select(unescaped(F.col("t")).alias("u")).collect()]
+    assert got == [*(html.unescape(x).replace("\xa0", " ") for x in REFERENCES), "&amp", None]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE x(k BIGINT, t VARCHAR)")
+    c.executemany("INSERT INTO x VALUES (?, ?)", list(enumerate(texts)))
+    assert [r[0] for r in c.execute(f"SELECT {sqltext.unescaped('t')} FROM x ORDER BY k").fetchall()] == got

@@ -109,6 +109,43 @@ def test_retrieval_from_pages_with_stems(spark, site):
     assert score(stems) >= score(plain)  # registering counts for registration
 
 
+def test_sizes_and_noise_of_a_site(spark, site):
+    from siftline.plans import build
+
+    of = lambda **own: {r["chunk_id"]: r["text"] for r in build.page_chunks(site, **own).collect()}
+    plain, large = of(), of(sizes=chunks.Sizes(least=150))  # two sections of 100 words in one chunk
+    assert set(plain) - set(large) == {"2_chunk_002"} and large["2_chunk_001"] == plain["2_chunk_001"] + " " + plain["2_chunk_002"]
+    page = spark.createDataFrame([(1, "Our own firm\nIntroduction\n" + "word " * 20 + "\nour OWN firm\nSummary\n" + "more " * 20, "t")], "page long, text string, title string")
+    texts = lambda **own: " ".join(r["text"] for r in sections.visible_sections(page, "page", "text", "title", **own).collect()).lower()
+    assert "own firm" in texts() and "own firm" not in texts(noise=["Our own firm "])
+
+
+def test_boosts_and_threshold_are_options(spark):
+    found = spark.createDataFrame([("q", "c", 1.0, 1)], "query_id string, chunk_id string, score double, tier long")
+    asked = spark.createDataFrame([("q", ["a"])], "query_id string, keywords array<string>")
+    kept = spark.createDataFrame([("c", "Title", "faq", ["b"], 0.5)], "chunk_id string, section string, section_type string, keywords array<string>, priority_score double")
+    score = lambda *limits: retrieve.reranked(found, asked, kept, *limits).first()["final_score"]
+    assert score() == 5.0 and score(retrieve.Limits(boost_faq=1.0, boost_title=3.0)) == 3.0
+
+
+def test_answered_requests(spark, site):
+    from dataclasses import replace
+
+    from siftline.plans import build
+
+    rows = [("q1", "What are the filing fees?", "s1", "now"), ("q2", "Hello!", None, "now"), ("q3", "zzz qqq", "s1", None), ("q4", "  ", "s2", "now"), ("q5", "x" * 2001, "s2", "now"), ("q6", None, "s2", "now")]
+    asked = spark.createDataFrame(rows, "query_id string, text string, session_id string, at string").select("query_id", "text", "session_id", F.when(F.col("at") == "now", F.lit(F.current_timestamp())).alias("asked_at"))
+    own = build.page_indexes(site)
+    got = {r["query_id"]: r for r in answer.answered(asked, own).collect()}
+    assert set(got) == {"q1", "q2", "q3"}
+    assert got["q1"]["session_id"] == "s1" and not got["q1"]["fallback"] and "Two hundred." in got["q1"]["answer"] and got["q1"]["latency_ms"] > 0
+    assert got["q2"]["answer"] == answer.GREETING and got["q2"]["session_id"] is None and got["q2"]["n_chunks"] == 0
+    assert got["q3"]["fallback"] and got["q3"]["latency_ms"] is None
+    own.limits = replace(own.limits, threshold=1.1)
+    assert all(r["fallback"] for r in answer.answered(asked.where("query_id = 'q1'"), own).collect())
+    assert answer.answered(asked.where("false"), own).count() == 0
+
+
 def test_faq_prefixes_lose_no_match(spark):
     import random
 
