@@ -81,12 +81,12 @@ def answered(requests: DataFrame, own: Indexes, topics: list[tuple[str, list[str
     asked_at is a timestamp; the latency goes from there to when the batch's answers are written, to a tenth of a millisecond. Null where
     asked_at is null. Requests without text, or of over 2000 characters, get no response, requests of no words the fallback. query_id is unique.
     """
+    told = checkpointed(requests.select("query_id", "session_id", "asked_at"))  # before all else, as asked_at may be worked out when it is read
     asked = checkpointed(processed(valid(requests.select("query_id", "text")), topics))
     results = retrieved(asked, own)
     made = checkpointed(responses(asked, results, confidence(results, asked, own.limits.top_k), generator, own.limits.threshold))
     written = F.lit(int(time.time() * 1_000_000))
-    told = requests.select("query_id", "session_id", rounded((written - F.unix_micros("asked_at")) / 1000, 1).alias("latency_ms"))
-    return made.join(told, "query_id")
+    return made.join(told.select("query_id", "session_id", rounded((written - F.unix_micros("asked_at")) / 1000, 1).alias("latency_ms")), "query_id")
 
 
 def preview(results: DataFrame, most: int = 5) -> DataFrame:
