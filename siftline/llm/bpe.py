@@ -125,6 +125,12 @@ def merge_table(vocabulary: dict[bytes, int]) -> tuple[list[int], list[int], lis
     return tuple(map(list, zip(*out))) if out else ([], [], [])
 
 
+def known_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class Encoder:
     """Words to ids, and ids to texts, many at a time, in a DuckDB database in memory. A worker process keeps it, without any words.
 
@@ -137,6 +143,7 @@ class Encoder:
 
         self.ranks = ranks(path)
         self.full = regex.compile(pattern)
+        self.plain = pattern == known_pattern()  # PLAIN_WORDS cuts as this pattern only
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         left, right, rank = merge_table(self.ranks)
@@ -149,7 +156,7 @@ class Encoder:
         self.db.unregister("given")
 
     def words(self, text: str) -> list[str]:
-        return (PLAIN_WORDS if PLAIN.fullmatch(text) else self.full).findall(text)
+        return [m.group() for m in self.full.finditer(text)] if not self.plain or not PLAIN.fullmatch(text) else PLAIN_WORDS.findall(text)
 
     def coded(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word."""

@@ -776,3 +776,17 @@ def test_pipeline_stages(spark, documents, tmp_path):
         assert out.columns == docs.columns, name
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count() > 0
+
+
+def test_bpe_keeps_to_the_pattern_given(spark):
+    """A pattern other than the vocabulary's own cuts texts of any characters; groups in it don't matter."""
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["don't stop  now", "plain words 12", "h\u00e9 \u4e2d\u6587 it's", "", None]
+    for pattern in (public_tokenizers.PATTERN, r"\S+|\s+", r"(\w)\w*|\W"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for r in bpe.encoded(df, ["doc_id"], path, pattern).collect():
+            assert (r["ids"], r["decoded"]) == (own.encode_ordinary(texts[r["doc_id"]] or ""), texts[r["doc_id"]] or ""), (pattern, r)
