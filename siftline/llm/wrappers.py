@@ -16,7 +16,7 @@ asides, forms, scripts, styles and hidden parts, and elements whose class, id or
 vary, so that to a wrapper they are slots as the article's are. A name counts as a whole: `sidebar` and `sidebar-left` do, `has-sidebar` doesn't.
 
 Null and empty html give an empty text. A null url is a host of its own. A host with one page, however often, has no constants to tell;
-only the other rules act. Very long pages are read whole; wrappers of over WIDTH items are compacted. Repeated rows are rows; other columns pass by. Unclosed and stray tags are taken as browsers do
+only the other rules act. Very long pages are read whole, and wrappers keep all items, however many. Repeated rows are rows; other columns pass by. Unclosed and stray tags are taken as browsers do
 for paragraphs, list items and cells: a new one ends the last.
 """
 
@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from hashlib import md5
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -179,13 +181,11 @@ def main_text(html: str | None, template: frozenset[str] = frozenset(), sure: fr
     return "\n\n".join(text for text, _ in found)
 
 
-#: Wrappers of more items have neighbouring optional items joined.
-WIDTH = 1000
-
 #: Different pages that have to witness a constant text before it is taken out of an article, or out of an optional or repeated part.
 SURE = 8
 
 # Wrappers. An item is ["tag", name and classes], ["text", mark, witnesses], ["text", null] (a slot), ["some", items] (once or more) or ["maybe", items].
+# Neighbouring optional items of a wrapper are one optional item that holds them.
 
 
 def mark(text: str) -> str:
@@ -275,54 +275,121 @@ def core(item: list) -> str:
 
 def grouped(items: list[list], other: list[list]) -> list[list]:
     """items with each sequence that is a repeated group of the other side as such a group, if it occurs once."""
+    shapes, done = list(map(shape, items)), set()
     for group in [x[1] for x in other if x[0] == "some"]:
         size, wanted, out, k = len(group), list(map(shape, group)), [], 0
+        if tuple(wanted) in done or not set(wanted) <= set(shapes):
+            continue
+        done.add(tuple(wanted))
         while k < len(items):
-            if list(map(shape, items[k : k + size])) == wanted:
+            if shapes[k] == wanted[0] and shapes[k : k + size] == wanted:
                 out.append(["some", items[k : k + size]])
                 k += size
             else:
                 out.append(items[k])
                 k += 1
-        items = out
+        if len(out) < len(items) or size == 1:
+            items, shapes = out, list(map(shape, out))
     return items
 
 
+#: Pairs of items up to which difflib is the faster way to the same blocks.
+NARROW = 10_000
+
+
+def matching(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of equal runs, in order: the longest first, by its place in a and then in b, and so on to its left and right.
+
+    These are the blocks of difflib's SequenceMatcher without junk, which gives them for narrow wrappers. Of a window's runs of the greatest
+    length those that it would find one by one come in one pass from the left here; what lies between has shorter ones only. So wide
+    wrappers don't take cubic time.
+    """
+    if len(a) * len(b) <= NARROW:
+        return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]]
+    numbers: dict[str, int] = {}
+    n, total = len(a), len(a) + len(b)
+    ranks = [np.array([numbers.setdefault(x, len(numbers)) for x in [*a, *b]], np.int64)]  # by k: numbers of the runs of 2**k items
+
+    def runs(size: int, low: int, high: int) -> np.ndarray:
+        """Numbers of the runs of so many items that lie in a window."""
+        k = size.bit_length() - 1
+        while len(ranks) <= k:
+            half = 1 << len(ranks) - 1
+            ranks.append(np.unique(ranks[-1][:-half] * total + ranks[-1][half:], return_inverse=True)[1])
+        end = high - size + 1
+        shift = size - (1 << k)
+        return ranks[k][low:end] * total + ranks[k][low + shift : end + shift]
+
+    found: list[tuple[int, int, int]] = []
+    windows = [(0, n, n, total, total)]
+    while windows:
+        i, end, j, last, most = windows.pop()
+        size, most = 0, min(most, end - i, last - j)
+        while size < most:
+            middle = (size + most + 1) // 2
+            if np.isin(runs(middle, i, end), runs(middle, j, last)).any():
+                size = middle
+            else:
+                most = middle - 1
+        if not size:
+            continue
+        own, theirs = runs(size, i, end), runs(size, j, last)
+        places: dict[int, list[int]] = {}
+        for q, x in enumerate(theirs.tolist(), j):
+            places.setdefault(x, []).append(q)
+        start = i
+        for p in np.flatnonzero(np.isin(own, theirs)).tolist():
+            at = places[int(own[p])]
+            if start + p >= i and (q := bisect_left(at, j)) < len(at):
+                found.append((start + p, at[q] - n, size))
+                windows.append((i, start + p, j, at[q], size - 1))
+                i, j = start + p + size, at[q] + size
+        windows.append((i, end, j, last, size - 1))
+    return sorted(found)
+
+
 def aligned(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of two wrappers: what one of them lacks or has otherwise is constant no more, however wide they are."""
+    """The wrapper of two wrappers: what one of them lacks or has otherwise is constant no more; nothing is left out, however wide they are."""
+    a, b = apart(a), apart(b)
     sa, sb = list(map(core, a)), list(map(core, b))
     if sa != sb:
         a, b = grouped(a, b), grouped(b, a)
         sa, sb = list(map(core, a)), list(map(core, b))
     out: list[list] = []
-    for op, i, j, k, m in [("equal", 0, len(a), 0, len(b))] if sa == sb else SequenceMatcher(None, sa, sb, autojunk=False).get_opcodes():
-        if op == "equal":
-            for x, y in zip(a[i:j], b[k:m]):
-                kinds = {x[0], y[0]}
-                both = [merged(p, q) for p, q in zip(inner(x), inner(y))]
-                # missing in an earlier page: still optional; once on one side and repeated on the other: repeated
-                out += [["maybe", both]] if "maybe" in kinds else [["some", both]] if "some" in kinds else both
-        else:
-            for x in a[i:j] + b[k:m]:
-                out.append(x if x[0] == "maybe" else ["maybe", inner(x)])
-    return out if len(out) <= WIDTH else compact(out)
-
-
-#: What any run of optional items becomes in a wide wrapper.
-GAP = ["maybe", [["text", None]]]
-
-
-def compact(items: list[list]) -> list[list]:
-    """Neighbouring optional items as one optional slot. What is left isn't optional, so it is in every page, and gaps between."""
+    i = k = 0
+    for j, m, n in [(0, 0, len(a))] if sa == sb else [*matching(sa, sb), (len(a), len(b), 0)]:
+        for x in a[i:j] + b[k:m]:
+            out.append(x if x[0] == "maybe" else ["maybe", inner(x)])
+        i, k = j + n, m + n
+        for x, y in zip(a[j:i], b[m:k]):
+            kinds = {x[0], y[0]}
+            both = [merged(p, q) for p, q in zip(inner(x), inner(y))]
+            # missing in an earlier page: still optional; once on one side and repeated on the other: repeated
+            out += [["maybe", both]] if "maybe" in kinds else [["some", both]] if "some" in kinds else both
+    return together(out)
+
+
+def together(items: list[list]) -> list[list]:
+    """Neighbouring optional items as one optional item that holds them all. What is left beside isn't optional, so it is in every page."""
     out: list[list] = []
-    for x in items:
-        if x[0] != "maybe":
+    run: list[list] = []
+    for x in [*items, None]:
+        if x is not None and x[0] == "maybe":
+            run.append(x)
+            continue
+        if run:
+            out.append(run[0] if len(run) == 1 else ["maybe", run])
+            run = []
+        if x is not None:
             out.append(x)
-        elif not out or out[-1] != GAP:
-            out.append(GAP)
     return out
 
 
+def apart(items: list[list]) -> list[list]:
+    """The optional items that together() has joined, one by one again."""
+    return [y for x in items for y in (x[1] if x[0] == "maybe" and x[1][0][0] == "maybe" else [x])]
+
+
 def constants(items: list[list]) -> set[str]:
     """Marks of the texts that stayed constant over different pages, in what is neither optional nor repeated."""
     return {x[1] for x in items if x[0] == "text" and x[1] and len(x[2]) > 1}

@@ -765,6 +765,38 @@ def test_wide_wrappers_lose_constants(spark):
     assert got[10] == got[11] == "Name\n\nOnly story"
 
 
+def test_wide_wrappers_keep_optional_constants(spark):
+    """A text in an optional part is template in a wrapper of any width."""
+    letters = "abcdefghij"
+    body = lambda k: "".join(f"<p class='{'xyz'[k % 3]}-{letters[j // 100]}{letters[j // 10 % 10]}{letters[j % 10]}'>text {k} {j}</p>" for j in range(320))
+    page = lambda k: f"<body><article><h1>Head {k}</h1>{body(k)}{BOX if k % 2 else ''}</article></body>"
+    BOX = "<div class='box'><p>Read our other pages</p></div>"
+    whole = wrappers.skeleton(page(0))
+    for k in range(1, 24):
+        whole = wrappers.aligned(whole, wrappers.skeleton(page(k)))
+    assert len(wrappers.apart(whole)) > 1000 and wrappers.sure_constants(whole) == {wrappers.mark("Read our other pages")}
+    df = spark.createDataFrame([(k, f"https://a.org/{k}", page(k)) for k in range(24)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(df, ["page_id"]).collect()}
+    assert got == {k: "\n\n".join([f"Head {k}", *(f"text {k} {j}" for j in range(320))]) for k in range(24)}
+
+
+def test_wrapper_matching_is_difflibs(monkeypatch):
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(wrappers, "NARROW", 0)
+    r = random.Random(1)
+    for t in range(600):
+        k = r.choice([1, 2, 3, 6, 20])
+        a = [str(r.randrange(k)) for _ in range(r.randrange(60))]
+        b = [str(r.randrange(k)) for _ in range(r.randrange(60))] if t % 3 else a[:20] + a[25:] + a[:9]
+        blocks = []
+        for i, j, n in wrappers.matching(a, b):
+            joined = bool(blocks) and (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]) == (i, j)
+            i, j, m = blocks.pop() if joined else (i, j, 0)
+            blocks.append((i, j, m + n))
+        assert blocks == [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()][:-1]
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
