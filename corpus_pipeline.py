@@ -30,17 +30,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out so that the sources interleave by their weights; token_ids gives the same slots as columns."""
+    """All documents, laid out so that the sources interleave by their weights. The layout, and the rule told with it, are what token_ids goes by."""
     return mixing.in_mix_order(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded bytes, and its place in the mix.
 
-    Files don't keep an order, and documents' columns have no room for it, so the mix is told here: slot, place within the slot's
-    block and balanced, which follow from the documents alone. Rows by slot and place, up to where balanced ends, are the mix.
+    Documents' columns have no room for the mix, so it comes as the order of rows in the files that source_mix has laid out, and is told here:
+    slot, place within the slot's block and balanced. Rows by slot and place, up to where balanced ends, are the mix. Documents
+    that source_mix hasn't laid out are in no mix; their slot and place are null.
     """
-    return bpe.tokenised(mixing.with_slots(docs), ["doc_id", "source", "slot", "place", "balanced"])
+    return bpe.tokenised(mixing.laid_slots(docs), ["doc_id", "source", "slot", "place", "balanced"])
 
 
 STAGES = [

@@ -21,10 +21,11 @@ from itertools import islice
 from math import lcm
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DDL, clear, identity, table
+from .common import DDL, clear, identity, table, written
 from .ordering import numbered
 
 
@@ -92,14 +93,20 @@ def mixed(rows: DataFrame, key: str, source: str, weights: dict[str | None, floa
     """
     if isinstance(weights, dict):
         weights = rows.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-    block, slot, place, balanced = names
     own = rows.drop(*names)
     p = clear(own)
-    plan = scheduled(own, source, weights, block_rows).toDF(*(p + x for x in ("source", "block", "slot", "balanced")))
     dealt = numbered(own, key, [source], list(ties), f"{p}number", f"{p}rows")
-    blocks = dealt.withColumn(block, F.floor(F.col(f"{p}number") / block_rows).cast("long")).withColumn(place, (F.col(f"{p}number") % block_rows).cast("int"))
+    return in_blocks(dealt, own.columns, f"{p}number", source, scheduled(own, source, weights, block_rows), block_rows, names)
+
+
+def in_blocks(dealt: DataFrame, columns: list[str], number: str, source: str, plan: DataFrame, block_rows: int, names: tuple[str, str, str, str]) -> DataFrame:
+    """The columns of rows that are numbered within their source, with their block, place in it, and its slot and balanced by the schedule."""
+    block, slot, place, balanced = names
+    p = clear(dealt)
+    plan = plan.toDF(*(p + x for x in ("source", "block", "slot", "balanced")))
+    blocks = dealt.withColumn(block, F.floor(F.col(number) / block_rows).cast("long")).withColumn(place, (F.col(number) % block_rows).cast("int"))
     slotted = blocks.join(plan, F.col(source).eqNullSafe(F.col(f"{p}source")) & (F.col(block) == F.col(f"{p}block")), "left")
-    return slotted.select(*own.columns, block, F.col(f"{p}slot").alias(slot), place, F.coalesce(f"{p}balanced", F.lit(False)).alias(balanced))
+    return slotted.select(*columns, block, F.col(f"{p}slot").alias(slot), place, F.coalesce(f"{p}balanced", F.lit(False)).alias(balanced))
 
 
 def with_slots(rows: DataFrame, power: float = 0.7, names: tuple[str, str, str] = NAMES[1:]) -> DataFrame:
@@ -123,11 +130,53 @@ def with_slots(rows: DataFrame, power: float = 0.7, names: tuple[str, str, str]
     return found.select(*own.columns, *names)
 
 
+#: Under this name the column source tells, in its metadata, by what rule its rows were laid out.
+RULE = "mix"
+
+
 def in_mix_order(rows: DataFrame, power: float = 0.7) -> DataFrame:
-    """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots."""
+    """All rows (doc_id, source, text and more), laid out in the order of the mix: partitions and rows follow the slots.
+
+    The rule goes with them as metadata of the column source, which Parquet tables keep.
+    """
     p = clear(rows)
     names = (f"{p}slot", f"{p}place", f"{p}balanced")
-    return with_slots(rows, power, names).repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).select(*rows.columns)
+    laid = with_slots(rows, power, names).repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).select(*rows.columns)
+    return laid.withMetadata("source", {**rows.schema["source"].metadata, RULE: {"power": float(power), "block_rows": 32}})
+
+
+def laid_slots(rows: DataFrame, names: tuple[str, str, str] = NAMES[1:]) -> DataFrame:
+    """All rows of a table written from in_mix_order with slot, place and balanced, named by `names`, as they were laid out there; columns of these names give way.
+
+    A source's rows are numbered as its files and the rows in them follow each other, whatever order Spark reads them in; slots
+    are those of the rule that came with the rows. Rows without a rule are in no mix: slot and place are null. What
+    in_mix_order returns is written first, if it wasn't yet: only a table of files has places. Texts move once.
+    """
+    own = rows.drop(*names)
+    rule = own.schema["source"].metadata.get(RULE)
+    if rule is None:
+        return own.select("*", F.lit(None).cast("long").alias(names[0]), F.lit(None).cast("int").alias(names[1]), F.lit(False).alias(names[2]))
+    p = clear(own)
+    file, at, rank, offset, number = (p + x for x in ("file", "at", "rank", "offset", "number"))
+    try:
+        placed = with_places(own, file, at)
+    except AnalysisException:
+        placed = with_places(own := written(own, "mix"), file, at)
+    light = placed.select("source", file, at).withColumn(rank, F.row_number().over(Window.partitionBy(file, "source").orderBy(at)) - 1)
+    before = Window.partitionBy("source").orderBy(F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long"), file).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("source", file).agg(F.count("*").alias(rank))
+    offsets = sizes.select(F.col("source").alias(f"{p}of"), F.col(file).alias(f"{p}in"), F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(offset))
+    dealt = light.join(offsets, F.col("source").eqNullSafe(F.col(f"{p}of")) & (F.col(file) == F.col(f"{p}in"))).withColumn(number, F.col(offset) + F.col(rank))
+    plan = scheduled(own, "source", tempered_weights(own, "source", rule["power"]), rule["block_rows"])
+    slots = in_blocks(dealt, [file, at], number, "source", plan, rule["block_rows"], (f"{p}block", f"{p}slot", f"{p}place", f"{p}balanced"))
+    found = placed.join(slots.withColumnsRenamed({file: f"{p}f", at: f"{p}a"}), (F.col(file) == F.col(f"{p}f")) & (F.col(at) == F.col(f"{p}a")))
+    return found.select(*own.columns, *[F.col(f"{p}{a}").alias(b) for a, b in zip(NAMES[1:], names)])
+
+
+def with_places(rows: DataFrame, file: str, at: str) -> DataFrame:
+    """Rows of a table of files with the path of their file and their number in it."""
+    where = rows.metadataColumn("_metadata")
+    return rows.select("*", where.getField("file_path").alias(file), where.getField("row_index").alias(at))
 
 
 def op3_pfair_mixing(spark, sf_dir: str) -> DataFrame:

@@ -737,6 +737,36 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert len({x["slot"] for x in got.values() if x["balanced"]}) == n_balanced
 
 
+def test_pipeline_takes_the_mix_from_its_stage(spark, tmp_path):
+    """Slots are those of the layout that the mixing stage has made: by other weights others, without it none."""
+    import corpus_pipeline
+
+    ids = {"a": list(range(900)), "b": list(range(900, 1200)), None: list(range(1200, 1270))}
+    rows = [(k, f"text {k}", "en", s, 0) for s, own in ids.items() for k in own]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_metadata", F.lit("own")).repartition(5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for n, power in enumerate((0.7, 0.2)):
+            laid = mixing.in_mix_order(docs, power)
+            laid.write.parquet(f"{tmp_path}/{n}")
+            read = spark.read.parquet(f"{tmp_path}/{n}")
+            assert read.columns == docs.columns
+            at, n_balanced = slots_by_brute_force({s or "~": x for s, x in ids.items()}, {s or "~": float(len(x)) ** power for s, x in ids.items()}, 32)
+            for table in (read, laid, mixing.in_mix_order(read, power)):
+                got = corpus_pipeline.token_ids(spark, table, "").collect()
+                assert len(got) == len(rows) and {x["doc_id"]: (x["slot"], x["place"]) for x in got} == at
+                assert len({x["slot"] for x in got if x["balanced"]}) == n_balanced
+        # The stage's own order of rows counts: laid out the other way round, a source's last row is its first.
+        read.orderBy(F.desc("doc_id")).write.parquet(f"{tmp_path}/turned")
+        got = corpus_pipeline.token_ids(spark, spark.read.parquet(f"{tmp_path}/turned"), "").collect()
+        first = {x["source"]: x["doc_id"] for x in sorted(got, key=lambda x: (-x["slot"], -x["place"]))}
+        assert first == {s: own[-1] for s, own in ids.items()}
+        got = corpus_pipeline.token_ids(spark, docs, "").collect()
+        assert len(got) == len(rows) and {(x["slot"], x["place"], x["balanced"]) for x in got} == {(None, None, False)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_mixing_query_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
