@@ -69,7 +69,7 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def latest_version(spark: SparkSession, folder: str) -> Row | None:
-    """version, name, stemmed, n, avgdl and buckets of the newest complete version; of two with one number, that with the larger name."""
+    """version, name, stemmed, n, avgdl, buckets, k1 and b of the newest complete version; of two with one number, that with the larger name."""
     done = _table(spark, f"{folder}/complete")
     return None if done is None else done.orderBy(F.desc("version"), F.desc("name")).first()
 
@@ -85,8 +85,8 @@ def write_snapshot(spark: SparkSession, own: Indexes, folder: str, files: int |
     bucketed(found.blocks, "shard", BLOCK_ORDER, buckets, "search_blocks", f"{folder}/{name}/search_blocks")
     write_index(found.placed, f"{folder}/{name}/search_placed", "shard", files)
     write_index(found.terms, f"{folder}/{name}/search_terms", "term", files)
-    row = [(version, name, own.stemmed, found.n, found.avgdl, buckets)]
-    spark.createDataFrame(row, "version int, name string, stemmed boolean, n long, avgdl double, buckets int").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
+    row = [(version, name, own.stemmed, found.n, found.avgdl, buckets, found.k1, found.b)]
+    spark.createDataFrame(row, "version int, name string, stemmed boolean, n long, avgdl double, buckets int, k1 double, b double").coalesce(1).write.mode("append").parquet(f"{folder}/complete")
     return version
 
 
@@ -97,7 +97,7 @@ def read_snapshot(spark: SparkSession, folder: str, limits: Limits = Limits()) -
     read = lambda table: spark.read.parquet(f"{folder}/{last['name']}/{table}")
     place = f"{folder}/{last['name']}/search_blocks"
     blocks = opened(spark, read("search_blocks"), "shard", BLOCK_ORDER, last["buckets"], "search_blocks", place)
-    stored = SearchIndex(blocks, read("search_placed"), read("search_terms"), last["n"], last["avgdl"])
+    stored = SearchIndex(blocks, read("search_placed"), read("search_terms"), last["n"], last["avgdl"], last["k1"], last["b"])
     return Indexes(stemmed=last["stemmed"], limits=limits, search=stored, **{table: read(table) for table in Indexes.KEYS})
 
 

@@ -94,6 +94,28 @@ def test_stored_index(spark, own, wanted, tmp_path):
     assert (again.search.n, again.search.avgdl) == (own.search.n, own.search.avgdl)
 
 
+def test_shards_have_buckets_of_their_own(spark, own):
+    """Else some tasks search several shards, one after the other, while others have none."""
+    made = search.search_index(own.postings, own.chunks, shard_chunks=90)
+    shards = made.blocks.where("term = ''").select(F.pmod(F.hash("shard"), F.lit(18)).alias("bucket")).collect()
+    assert len(shards) == 18 == len({r["bucket"] for r in shards})
+
+
+def test_tiers_need_few_kinds(spark, own, wanted):
+    """Kinds that the tiers don't ask for aren't sent, and the tiers are the same without them."""
+    by = ["query_id", "whole", "inside"]
+    best = lambda few: retrieve.ranked(search.found(wanted, own.search, "tiers", 25, routes_of(spark), few=few), by, retrieve.best_first()).where("rank <= 25").localCheckpoint()
+    some, every = best(3), best(None)
+    tiers = lambda rows: sorted(map(tuple, retrieve.tiered(rows).collect()))
+    assert some.count() < every.count() and tiers(some) == tiers(every)
+
+
+def test_bags_index_is_that_of_postings(spark, own, wanted):
+    made = search.bags_index(index.bags(own.chunks, ["text"]), own.chunks.count(), shard_chunks=400)
+    rows = lambda x: sorted(map(tuple, search.found(wanted, x, "any", 10).drop("read").collect()))
+    assert rows(made) == rows(own.search) and (made.n, made.avgdl) == (own.search.n, own.search.avgdl)
+
+
 def test_search_of_nothing(spark, own):
     nothing = spark.createDataFrame([], "query_id string, term string, n_terms int")
     assert search.found(nothing, own.search, "any", 5).count() == 0
