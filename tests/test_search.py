@@ -139,3 +139,18 @@ def test_rounding_by_brute_force(spark):
 def test_priority_as_measured(spark):
     rows = spark.createDataFrame([("requirements", 70), ("legal", 490)], "kind string, n int")
     assert [r[0] for r in rows.select(T.priority(F.col("kind"), F.col("n"))).collect()] == [0.71, 0.7]
+
+
+def test_faq_by_brute_force(spark):
+    """All pairs, as the pairs that meet at a rare word must give them; and pairs that aren't alike are dealt out nowhere: likeness is asked where sets meet."""
+    r = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nrt"]
+    said = lambda: " ".join(r.choices(vocabulary[: r.choice((12, 30, 120))], k=r.randint(1, 14)))
+    faq = spark.createDataFrame([(k, said()) for k in range(90)] + [(90, ""), (91, None)], "chunk_id long, question string")
+    queries = spark.createDataFrame([(f"q{k}", said()) for k in range(120)] + [("none", ""), ("null", None)], "query_id string, text string")
+    likeness = F.round(T.jaccard(index.question_words(F.col("text")), index.question_words(F.col("question"))), 6)
+    every = retrieve.ranked(queries.crossJoin(faq).withColumn("likeness", likeness).where("likeness >= 0.4"), ["query_id"], [F.desc("likeness"), F.col("chunk_id")])
+    found = retrieve.faq_matches(queries, faq)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.where("rank = 1").select("query_id", "chunk_id", "likeness").collect()))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Join " in x or x.startswith("Join")]
+    assert "w#" in joins[0]
