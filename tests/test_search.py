@@ -154,3 +154,24 @@ def test_faq_by_brute_force(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.where("rank = 1").select("query_id", "chunk_id", "likeness").collect()))
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Join " in x or x.startswith("Join")]
     assert "w#" in joins[0]
+
+
+@pytest.mark.parametrize("most", [1, 3, 25])
+def test_like_search_by_brute_force(spark, most):
+    """Words in words, odd words, empty and missing texts, ids in no order."""
+    r = random.Random(13)
+    texts = [" ".join("".join(r.choices("abcÉ7", k=r.randint(1, 7))) for _ in range(r.randint(0, 9))) for _ in range(120)] + ["", None, "a c&d"]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    words = ["ab", "bc", "cab", "abc", "aaaa", "é", "7", "c&d", "zz", "a b", "bcab", "c"]
+    asked = [(f"q{k}", r.sample(words, r.randint(0, 5))) for k in range(30)]
+    found = retrieve.like_search(spark.createDataFrame(asked, "query_id string, keywords array<string>"), spark.createDataFrame(rows, "chunk_id long, text string"), most)
+    every = [(q, k) for q, own in asked for k in sorted(k for k, t in rows if t is not None and any(w in t.lower() for w in own[:3]))[:most]]
+    assert sorted((x["query_id"], x["chunk_id"]) for x in found.collect()) == sorted(every)
+
+
+def test_like_search_reads_each_text_once(spark):
+    """No row for each piece of a text: what is dealt out are the words' first chunks."""
+    found = retrieve.like_search(spark.createDataFrame([("q", ["ab"])], "query_id string, keywords array<string>"), spark.createDataFrame([(1, "xaby")], "chunk_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "explode(array_distinct" not in plan
