@@ -175,3 +175,16 @@ def test_like_search_reads_each_text_once(spark):
     found = retrieve.like_search(spark.createDataFrame([("q", ["ab"])], "query_id string, keywords array<string>"), spark.createDataFrame([(1, "xaby")], "chunk_id long, text string"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "explode(array_distinct" not in plan
+
+
+def test_no_text_is_dealt_out_for_the_index(spark):
+    """The index's texts are made row by row, as the chunks are."""
+    from siftline.plans import corpus
+
+    rows = [(k, t, f"s{k % 3}", lang) for k, (t, lang) in enumerate([("Que la que é 12 Que", "fr"), ("", "en"), (None, "de"), ("the alpha alpha beta " * 30, "es")])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    own = corpus.indexed_texts(documents)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
+    bags = lambda x: sorted((r["chunk_id"], r["page_id"], sorted(zip(r["terms"], r["tfs"]))) for r in index.bags(x, corpus.INDEXED).collect())
+    assert bags(own) == bags(corpus.document_chunks(documents))
