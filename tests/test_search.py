@@ -188,3 +188,13 @@ def test_no_text_is_dealt_out_for_the_index(spark):
     assert "Join" not in plan and "Repartition" not in plan
     bags = lambda x: sorted((r["chunk_id"], r["page_id"], sorted(zip(r["terms"], r["tfs"]))) for r in index.bags(x, corpus.INDEXED).collect())
     assert bags(own) == bags(corpus.document_chunks(documents))
+
+
+def test_all_terms_from_the_rarest(spark, own):
+    """Of chunks with all terms, only those of the rarest term are looked up in the others."""
+    common = [r["term"] for r in own.search.terms.orderBy(F.desc("df")).limit(3).collect()]
+    rare = own.search.terms.where("df between 30 and 40").orderBy("df", "term").limit(5).collect()
+    rows = [(r["term"], [*common, r["term"]], r["df"]) for r in rare]
+    wanted = spark.createDataFrame(rows, "query_id string, terms array<string>, df long").select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
+    found = search.found(wanted, own.search, "all", 25).groupBy("query_id").agg(F.max("read").alias("read")).collect()
+    assert found and all(r["read"] <= 4 * dict((x[0], x[2]) for x in rows)[r["query_id"]] for r in found)
